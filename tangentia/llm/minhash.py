@@ -256,8 +256,9 @@ def near_duplicates(
         "family",
         F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"),
     )
+    # the texts move once, at any size, unsorted
     sets = written(
-        docs.join(families.withColumnRenamed("rep", "doc_id"), "doc_id")
+        docs.join(families.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
         .select(F.col("doc_id").alias("rep"), "family", "h1", "h2", "text")
         .mapInArrow(_full_sets, "rep long, family long, sig binary, members binary"),
         "sets",
