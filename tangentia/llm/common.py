@@ -90,5 +90,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def lower_az(column):
-    """Lower-case A-Z only."""
-    return F.translate(column, UPPER, LOWER)
+    """Lower-case A-Z only; ASCII texts take the fast path of ``lower``."""
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(
+        F.translate(column, UPPER, LOWER)
+    )

@@ -1,5 +1,7 @@
 """DuckDB SQL that states what the queries return, where SQL can state it."""
 
+from tangentia.llm import quality as _q
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,3 +34,84 @@ p AS (
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN c ON c.doc_id = n.doc_id
 """
+
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lowered("coalesce(text, '')")}, '{_TOKEN}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({lowered("coalesce(text, '')")}, '{_TOKEN}') AS w FROM benchmark),
+i AS (
+  SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda s: array_to_string(w[s:s+9], ' '))) AS k,
+         least(len(w), 10) AS n
+  FROM b WHERE len(w) > 0
+), p AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s+n-1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)
+), h AS (SELECT DISTINCT p.doc_id, p.s, p.n, i.item_id FROM p JOIN i ON i.k = p.k AND i.n = p.n),
+q AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM h) GROUP BY 1),
+c AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY 1
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(q.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(c.n_items, 0)::BIGINT AS n_items, sha256(coalesce(c.items, '')) AS items_sha256,
+       coalesce(q.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN q USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def _distance(p: list[str], q: list[float]) -> str:
+    def term(x: str, m: str) -> str:
+        return f"(CASE WHEN {x} > 0 THEN {x} * log2({x} / ({m})) ELSE 0 END)"
+
+    parts = []
+    for x, y in zip(p, q, strict=True):
+        m = f"({x} + {y}) / 2"
+        parts.append(f"({term(x, m)} + {term(repr(float(y)), m)}) / 2")
+    return f"sqrt(greatest({' + '.join(parts)}, 0))"
+
+
+def quality() -> str:
+    kinds = ("[a-z]", "[A-Z]", "[0-9]", r"[^\x00-\x7F]", r"[.,;:!?''\"()\-]", "[#*$%&|<>]")
+    counts = [f"length(regexp_replace(c, '[^{k[1:-1]}]+', '', 'g'))" for k in kinds]
+    counts[3] = r"length(regexp_replace(c, '[\x00-\x7F]+', '', 'g'))"
+    shares = ", ".join(f"{x} / length(c)::DOUBLE AS c{i}" for i, x in enumerate(counts))
+    chars = ", ".join(_distance([f"c{i}" for i in range(7)], list(q)) for q in _q.CHAR_REFERENCES.values())
+    words = []
+    for q in _q.WORD_REFERENCES.values():
+        p = [f"(len(list_filter(w, lambda x: x IN ('{v}', '{v.capitalize()}'))) / n::DOUBLE)" for v in q]
+        words.append(_distance([*p, f"(1 - ({' + '.join(p)}))"], [*q.values(), 1 - sum(q.values())]))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS c
+  FROM documents
+), g AS (
+  SELECT doc_id, i, k FROM (
+    SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3
+  ), LATERAL (SELECT array_to_string(w[i:i+2], ' ') AS k)
+), r AS (
+  SELECT doc_id, count(DISTINCT x) AS n_repeat_words FROM (
+    SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS x
+    FROM g JOIN (SELECT doc_id, k FROM g GROUP BY 1, 2 HAVING count(*) > 1) m ON m.doc_id = g.doc_id AND m.k = g.k
+  ) GROUP BY 1
+), f AS (
+  SELECT d.doc_id, len(w) AS n, w, length(c) AS word_chars, {shares},
+         len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}'))) AS lines,
+         len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS own_lines,
+         {counts[5]} AS n_symbols, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+), e AS (SELECT *, greatest(1 - c0 - c1 - c2 - c3 - c4 - c5, 0) AS c6 FROM f),
+j AS (
+  SELECT *, CASE WHEN n > 0 THEN round(least({chars}), 6) END AS chars_js,
+         CASE WHEN n > 0 THEN round(least({", ".join(words)}), 6) END AS words_js,
+         n < {_q.LEAST_BASE_WORDS} OR 100 * n_repeat_words > {_q.MOST_REPEAT_PERCENT} * n AS base_failed
+  FROM e
+)
+SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       (lines - own_lines)::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       chars_js, words_js, base_failed,
+       NOT base_failed AND NOT (word_chars >= {_q.LEAST_CHARS} AND coalesce(chars_js, 0) > {_q.BOTH_CHARS_JS}
+         AND (chars_js > {_q.MOST_CHARS_JS} OR (n >= {_q.LEAST_WORDS} AND words_js > {_q.BOTH_WORDS_JS}))) AS kept
+FROM j
+"""
