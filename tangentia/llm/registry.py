@@ -6,20 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tangentia.llm import minhash, sql
+from tangentia.llm import decontaminate, minhash, quality, sql
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_documents(spark, sf_dir))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash": op10_minhash}
+    return {f.__name__: f for f in (op2_divergence, op4_decontaminate, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_minhash": sql.NEAR_DUPLICATES}
+    return {
+        "op2_divergence": sql.quality(),
+        "op4_decontaminate": sql.DECONTAMINATE,
+        "op10_minhash": sql.NEAR_DUPLICATES,
+    }
