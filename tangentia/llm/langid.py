@@ -144,7 +144,7 @@ def train(texts: list[str], langs: list[str]) -> Model:
         y = np.array([rows[k][2] for k in held])
         losses = [
             (-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean(), t)
-            for t in np.geomspace(0.2, 5, 41)
+            for t in np.geomspace(1, 20, 41)
         ]
         temperature = float(min(losses)[1])
         right = _softmax(logits / temperature)[np.arange(len(y)), y]
