@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tangentia.llm import decontaminate, minhash, quality, sql
+from tangentia.llm import chat, decontaminate, langid, lm, minhash, mixing, quality, sql, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,17 +21,55 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    planted = [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+    more = spark.createDataFrame(planted, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(conversations.unionByName(more)))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_documents(spark, sf_dir))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+_ALL = (
+    op2_divergence,
+    op3_chat,
+    op4_decontaminate,
+    op6_lm,
+    op7_mix,
+    op8_warc,
+    op9_langid,
+    op10_minhash,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_divergence, op4_decontaminate, op10_minhash)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_divergence": sql.quality(),
+        "op3_chat": sql.CHAT,
         "op4_decontaminate": sql.DECONTAMINATE,
+        "op7_mix": sql.MIX,
+        "op8_warc": sql.WARC,
         "op10_minhash": sql.NEAR_DUPLICATES,
     }

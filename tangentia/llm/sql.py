@@ -1,5 +1,6 @@
 """DuckDB SQL that states what the queries return, where SQL can state it."""
 
+from tangentia.llm import mixing as _m
 from tangentia.llm import quality as _q
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,3 +116,67 @@ SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols
          AND (chars_js > {_q.MOST_CHARS_JS} OR (n >= {_q.LEAST_WORDS} AND words_js > {_q.BOTH_WORDS_JS}))) AS kept
 FROM j
 """
+
+
+def _escaped_length(column: str, chars: str) -> str:
+    return f"length(regexp_replace({column}, '([{chars}])', '+\\1', 'g'))"
+
+
+CHAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + {_escaped_length("role", "#<:" + chr(92) * 2)} + {_escaped_length("text", "#<" + chr(92) * 2)})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
+       CASE WHEN kept > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept > page_id THEN kept END AS refers_to
+FROM p LEFT JOIN k ON k.payload_digest = p.payload_digest AND payload_bytes >= 1000
+"""
+
+MIX = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+         (('0x' || substr(md5('{_m.SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u,
+         coalesce(greatest(round(length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g'))
+           / greatest(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 1)::DOUBLE, 6), 0.05), 0.05) AS q,
+         md5(coalesce(text, '')) AS tie
+  FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size,
+         [{", ".join(map(str, _m.WEIGHTS))}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(_m.WEIGHTS)}] AS w
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, {_m.CAP} * source_size AS most, row_number() OVER r AS k, {_m.CAP} * source_size / w::DOUBLE AS r,
+         coalesce(sum({_m.CAP} * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+         coalesce(sum(w) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone_w
+  FROM s WINDOW r AS (ORDER BY {_m.CAP} * source_size / w::DOUBLE, source NULLS LAST)
+), l AS (
+  SELECT arg_min(share, k) AS level FROM (
+    SELECT k, r, ((SELECT sum(source_size) FROM s) - gone)::DOUBLE / ((SELECT sum(w) FROM s) - gone_w) AS share FROM o
+  ) WHERE share <= r
+), t AS (
+  SELECT source, source_size::BIGINT AS source_size, least(most::DOUBLE, level * w) AS target FROM o, l
+), e AS (
+  SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM t
+), x AS (
+  SELECT d.*, e.* EXCLUDE (source), round(target - epochs * source_size)::BIGINT AS budget,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, doc_id, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN e ON e.source IS NOT DISTINCT FROM d.source
+)
+SELECT doc_id, source, size, source_size, target,
+       (epochs * size + greatest(least(size, budget - before), 0))::BIGINT AS taken
+FROM x
+"""
