@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tangentia.llm import chat, decontaminate, langid, lm, minhash, mixing, quality, sql, warc
+from tangentia.llm import chat, decontaminate, html, langid, licences, lm, minhash, mixing, quality, sql, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir))
 
@@ -28,6 +32,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(conversations.unionByName(more)))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_documents(spark, sf_dir))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_documents(spark, sf_dir))
 
@@ -49,9 +57,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
+    op1_html,
     op2_divergence,
     op3_chat,
     op4_decontaminate,
+    op5_licences,
     op6_lm,
     op7_mix,
     op8_warc,
