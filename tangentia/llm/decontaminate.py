@@ -245,7 +245,7 @@ def proximity_matches(
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` without a benchmark window, with its own columns."""
+    """The rows of ``documents`` without a benchmark window, with its own columns; an id goes with all its rows."""
     hits = decontaminate(documents.select(id_col, text_col), benchmark, id_col, text_col)
-    bad = hits.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.lit(True).alias("_bad")).distinct()
-    return documents.join(bad, documents[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")
+    bad = hits.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return documents.join(bad.hint("shuffle_hash"), documents[id_col].eqNullSafe(bad["_bad"]), "left_anti")

@@ -297,3 +297,13 @@ def near_duplicates(
         F.when(has, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(has, F.col("component") == F.col("doc_id")).otherwise(F.lit(True)).alias("kept"),
     )
+
+
+def keep_distinct(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of ``documents`` that stand for their near duplicates, with its own columns only.
+
+    An id with different texts, one of which goes, goes as a whole; rows with a null id stay.
+    """
+    found = near_duplicates(documents.select(id_col, text_col), id_col, text_col, percent)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone.hint("shuffle_hash"), documents[id_col] == gone["_gone"], "left_anti")

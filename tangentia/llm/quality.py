@@ -100,6 +100,7 @@ def measure(
     repeated, chars_js, words_js, failed, count, lines, distinct_lines, counts = _fresh(
         documents, "_repeated", "_chars_js", "_words_js", "_failed", "_n", "_lines", "_distinct_lines", "_counts"
     )
+    (stop,) = _fresh(documents, "_stop")
     keep = [F.col(f"`{x}`") for x in (documents.columns if carry is None else carry)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = [v for x in _COMMON for v in (x, x.capitalize())]
@@ -186,8 +187,12 @@ def measure(
             [js_distance(word_shares(q), [*q.values(), 1 - sum(q.values())]) for q in WORD_REFERENCES.values()]
         ).alias(words_js),
     )
-    df = df.withColumn(
-        failed, (n < LEAST_BASE_WORDS) | (100 * F.col(repeated) > MOST_REPEAT_PERCENT * n)
+    # a filter on the verdict must not be pushed below this step, which would compute all above anew for each use
+    df = df.withColumns(
+        {
+            failed: (n < LEAST_BASE_WORDS) | (100 * F.col(repeated) > MOST_REPEAT_PERCENT * n),
+            stop: F.monotonically_increasing_id(),
+        }
     )
     chars, words = F.coalesce(chars_js, F.lit(0.0)), F.coalesce(words_js, F.lit(0.0))
     far = (F.col(length) >= LEAST_CHARS) & (
@@ -204,7 +209,7 @@ def measure(
             F.col(chars_js).alias("chars_js"),
             F.col(words_js).alias("words_js"),
             F.col(failed).alias("base_failed"),
-            (~F.col(failed) & ~far).alias("kept"),
+            (~F.col(failed) & ~far & (F.col(stop) >= 0)).alias("kept"),
         ).alias(out),
     )
 
