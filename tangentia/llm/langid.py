@@ -16,20 +16,22 @@ of the right class there.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled rows the model is fitted on, and their most characters together.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 16_000_000
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 16, 6, 0.5, 7
-GRAMS = (1, 2, 3)
+#: Lengths of the n-grams, in bytes.
+GRAMS = (1, 2, 3, 4)
 #: Share of a sample's rows that calibrates, and the quantile there that rejection allows to lose.
 CALIBRATION, REJECT_QUANTILE = 0.2, 0.002
 WORDS_KEPT = 300_000
@@ -41,11 +43,29 @@ def letters_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word itself."""
-    w = f"<{word}>"
-    grams = {w} | {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
-    return [xxhash.xxh32_intdigest(g.encode()) & (BUCKETS - 1) for g in sorted(grams)]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams and of the words themselves, and the word each belongs to.
+
+    All words are hashed together: a polynomial over the bytes of every n-gram
+    that doesn't cross a boundary.
+    """
+    marked = [f"<{w}>".encode() for w in words]
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    data = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(len(data))
+    ids = [np.fromiter((zlib.crc32(w) for w in marked), dtype=np.int64, count=len(marked)) % BUCKETS]
+    owners = [np.arange(len(marked))]
+    h = np.full(len(data), 2_166_136_261, dtype=np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        h = h[: len(data) - n + 1] * np.uint32(16_777_619) ^ data[n - 1 :]
+        if n in GRAMS:
+            inside = at[: len(h)] + n <= end[: len(h)]
+            x = h[inside]
+            ids.append(((x ^ (x >> np.uint32(15))) % BUCKETS).astype(np.int64))
+            owners.append(owner[: len(h)][inside])
+    return np.concatenate(ids), np.concatenate(owners)
 
 
 @dataclass
@@ -57,7 +77,25 @@ class Model:
     threshold: float
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        """A scorer that tasks of this process share, with the words it has met."""
+        key = zlib.crc32(self.table.tobytes())
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(self)
+        return _SCORERS[key]
+
+
+class _Rows(dict):
+    """Numbers words as they come; new ones are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.new.append(word)
+        return row
 
 
 class Scorer:
@@ -65,32 +103,40 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.labels)), dtype=np.float32)
-
-    def _row(self, word: str) -> int:
-        row = self.rows.get(word)
-        if row is None:
-            row = len(self.rows)
-            if row == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[row] = self.model.table[subwords(word)].mean(axis=0)
-            self.rows[word] = row
-        return row
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """A label and its calibrated probability; ``und`` and 0 for a text without letters."""
-        words = letters_of(text) if text else []
-        if not words or not self.model.labels:
-            return "und", 0.0
-        if len(self.rows) > WORDS_KEPT:
-            self.rows.clear()
-        get = self._row
-        at = np.fromiter((get(w) for w in words), dtype=np.int64, count=len(words))
-        mean = self.scores[at].astype(np.float64).mean(axis=0)
-        p = _softmax((mean + self.model.bias) / self.model.temperature)
-        best = int(p.argmax())
-        return self.model.labels[best], float(p[best])
+        self.rows = _Rows()
+        self.scores = np.zeros((0, len(model.labels)))
+
+    def _learn(self) -> None:
+        """Class scores of the words met since the last time."""
+        new, self.rows.new = self.rows.new, []
+        if new:
+            ids, owner = subwords(new)
+            sums = [np.bincount(owner, self.model.table[ids, k], len(new)) for k in range(self.scores.shape[1])]
+            grams = np.bincount(owner, minlength=len(new))
+            self.scores = np.concatenate([self.scores, np.stack(sums, axis=1) / grams[:, None]])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """A label and its calibrated probability for each text; ``und`` and 0 for one without letters."""
+        out = []
+        for a in range(0, len(texts), 256):
+            if len(self.rows) > WORDS_KEPT:
+                self.rows, self.scores = _Rows(), self.scores[:0]
+            found = [
+                np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
+                for words in (letters_of(t) if t else [] for t in texts[a : a + 256])
+            ]
+            self._learn()
+            for at in found:
+                if not len(at) or not self.model.labels:
+                    out.append(("und", 0.0))
+                    continue
+                p = _softmax((self.scores[at].mean(axis=0) + self.model.bias) / self.model.temperature)
+                best = int(p.argmax())
+                out.append((self.model.labels[best], float(p[best])))
+        return out
+
+
+_SCORERS: dict[int, Scorer] = {}
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -102,21 +148,15 @@ def train(texts: list[str], langs: list[str]) -> Model:
     """Fit on labelled texts; rows without letters are passed over."""
     labels = sorted(set(langs))
     rows: list[tuple[np.ndarray, np.ndarray, int]] = []
-    known: dict[str, list[int]] = {}
     for text, lang in zip(texts, langs, strict=True):
-        words, counts = np.unique(np.array(letters_of(text), dtype=object), return_counts=True)
-        if not len(words):
+        words = Counter(letters_of(text))
+        if not words:
             continue
-        ids, weights = [], []
-        for w, c in zip(words, counts, strict=True):
-            sub = known.get(w)
-            if sub is None:
-                sub = known[w] = subwords(w)
-            ids += sub
-            weights += [c / len(sub)] * len(sub)
+        ids, owner = subwords(list(words))
+        counts = np.array(list(words.values()), dtype=np.float64)
+        share = counts[owner] / np.bincount(owner)[owner] / counts.sum()
         bucket, inverse = np.unique(ids, return_inverse=True)
-        share = np.bincount(inverse, weights) / counts.sum()
-        rows.append((bucket, share.astype(np.float32), labels.index(lang)))
+        rows.append((bucket, np.bincount(inverse, share).astype(np.float32), labels.index(lang)))
     rng = np.random.default_rng(SEED)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(labels)), dtype=np.float32)
@@ -194,7 +234,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = shared.value.scorer()
         for texts in batches:
-            found = [scorer.predict(t) for t in texts]
+            found = scorer.predict(texts.tolist())
             yield pd.DataFrame(
                 {
                     "lang_pred": [f[0] for f in found],
@@ -234,7 +274,7 @@ def keep_identified(documents: DataFrame) -> DataFrame:
     def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = shared.value.scorer()
         for texts in batches:
-            found = [scorer.predict(t) for t in texts]
+            found = scorer.predict(texts.tolist())
             yield pd.Series([f[0] != "und" and f[1] >= scorer.model.threshold for f in found])
 
     return documents.where(accepted(F.col("text")))
