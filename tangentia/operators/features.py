@@ -27,6 +27,8 @@ from tangentia.functions import geometry as geo
 from tangentia.functions.matrix import hermitian_part, sqrtm
 from tangentia.operators import estimate
 
+#: Numbers of points up to which an iterative mean runs on the driver: rounds of a job each would cost more than they compute.
+LOCAL_NUMBERS = 2_000_000
 #: Most numbers of base points (classes times entries) that a closure carries to the workers.
 CLOSURE_NUMBERS = 4_000_000
 
@@ -272,15 +274,24 @@ class Means:
             (F.col(label_col) if label_col else F.lit(0)).alias("label"), F.col(f_col).alias("f")
         ).where(F.col("f").isNotNull())
         self.labelled = label_col is not None
+        self.local: dict[Any, Any] | None = None
         self.label_type = self.rows.schema["label"].dataType.simpleString()
 
     def sums(self, fn: Callable[[Any, Any], np.ndarray], extra: dict | None = None) -> dict[Any, tuple[int, np.ndarray]]:
         """Per label the number of rows and the sum of ``fn(points, extra[label])``, rows of real coordinates."""
+        if self.local is not None:
+            return {
+                k: (_len(x), fn(x, None if extra is None else extra[k]).sum(axis=0))
+                for k, x in self.local.items()
+                if extra is None or k in extra
+            }
         decode = self.f.decode
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals: dict[Any, list] = {}
+            kind = None
             for batch in batches:
+                kind = batch.column("label").type
                 labels = np.array(batch.column("label").to_pylist(), dtype=object)
                 points = decode(batch.column("f"))
                 for label in dict.fromkeys(labels):
@@ -297,7 +308,7 @@ class Means:
             if totals:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(list(totals)),
+                        pa.array(list(totals), kind),
                         pa.array([t[0] for t in totals.values()], pa.int64()),
                         pa.array([t[1].tolist() for t in totals.values()], pa.list_(pa.float64())),
                     ],
@@ -317,6 +328,7 @@ class Means:
         else:
             self.rows = self.rows.persist()
             try:
+                self._gather()
                 out = self._descend(self._start(), max_iter)
             finally:
                 self.rows.unpersist()
@@ -325,6 +337,19 @@ class Means:
         ordered = {k: out[k] for k in labels} | ({None: out[None]} if None in out else {})
         return ordered if self.labelled else {None: v for v in ordered.values()}
 
+    def _gather(self) -> None:
+        """Brings the points here if they are few."""
+        width = sum(int(np.prod(s)) * (1 + c) for s, c in self.kinds)
+        if self.rows.limit(LOCAL_NUMBERS // width + 1).count() * width > LOCAL_NUMBERS:
+            return
+        table = self.rows.toArrow()
+        labels = np.array(table.column("label").to_pylist(), dtype=object)
+        points = self.f.decode(table.column("f")) if len(table) else None
+        self.local = {}
+        for label in dict.fromkeys(labels):
+            at = np.array([v == label for v in labels])
+            self.local[label] = tuple(a[at] for a in points) if isinstance(points, tuple) else points[at]
+
     def _cast(self, point):
         parts = point if isinstance(point, tuple) else (point,)
         parts = tuple(a if c else np.real(a) for a, (_, c) in zip(parts, self.kinds, strict=True))
