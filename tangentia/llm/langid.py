@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 16, 6, 0.5, 7
 GRAMS = (1, 2, 3, 4)
 #: Share of a sample's rows that calibrates, and the quantile there that rejection allows to lose.
 CALIBRATION, REJECT_QUANTILE = 0.2, 0.002
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -104,7 +105,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.rows = _Rows()
-        self.scores = np.zeros((0, len(model.labels)))
+        self.scores = np.zeros((2 * WORDS_KEPT, len(model.labels)))
 
     def _learn(self) -> None:
         """Class scores of the words met since the last time."""
@@ -113,17 +114,20 @@ class Scorer:
             ids, owner = subwords(new)
             sums = [np.bincount(owner, self.model.table[ids, k], len(new)) for k in range(self.scores.shape[1])]
             grams = np.bincount(owner, minlength=len(new))
-            self.scores = np.concatenate([self.scores, np.stack(sums, axis=1) / grams[:, None]])
+            end = len(self.rows)
+            if end > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros((end, self.scores.shape[1]))])
+            self.scores[end - len(new) : end] = np.stack(sums, axis=1) / grams[:, None]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """A label and its calibrated probability for each text; ``und`` and 0 for one without letters."""
         out = []
-        for a in range(0, len(texts), 256):
+        for a in range(0, len(texts), 64):
             if len(self.rows) > WORDS_KEPT:
-                self.rows, self.scores = _Rows(), self.scores[:0]
+                self.rows = _Rows()
             found = [
                 np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
-                for words in (letters_of(t) if t else [] for t in texts[a : a + 256])
+                for words in (letters_of(t) if t else [] for t in texts[a : a + 64])
             ]
             self._learn()
             for at in found:
@@ -219,6 +223,16 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return train(sample["text"].tolist(), sample["lang"].tolist())
 
 
+def _scored(batches: Iterator[pa.Array], shared) -> Iterator[tuple[list[tuple[str, float]], Scorer]]:
+    """Predictions for each batch; no more than a slice of its texts is unpacked at a time."""
+    scorer = shared.value.scorer()
+    for batch in batches:
+        found: list[tuple[str, float]] = []
+        for a in range(0, len(batch), 256):
+            found += scorer.predict(batch.slice(a, 256).to_pylist())
+        yield found, scorer
+
+
 def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``documents`` with ``lang_pred``, ``score`` and ``rejected``, which replace columns so named.
 
@@ -230,17 +244,16 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
     own = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     df = documents.select(*[F.col(f"`{c}`") for c in own])
 
-    @F.pandas_udf("struct<lang_pred: string, score: double, rejected: boolean>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = shared.value.scorer()
-        for texts in batches:
-            found = scorer.predict(texts.tolist())
-            yield pd.DataFrame(
-                {
-                    "lang_pred": [f[0] for f in found],
-                    "score": [f[1] for f in found],
-                    "rejected": [f[0] == "und" or f[1] < scorer.model.threshold for f in found],
-                }
+    @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found, scorer in _scored(batches, shared):
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array([f[0] for f in found], pa.string()),
+                    pa.array([f[1] for f in found], pa.float64()),
+                    pa.array([f[0] == "und" or f[1] < scorer.model.threshold for f in found], pa.bool_()),
+                ],
+                ["lang_pred", "score", "rejected"],
             )
 
     name = "_langid"
@@ -270,12 +283,10 @@ def keep_identified(documents: DataFrame) -> DataFrame:
     model = fit(docs.where(~F.col("_held_out")).select("text", "lang"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = shared.value.scorer()
-        for texts in batches:
-            found = scorer.predict(texts.tolist())
-            yield pd.Series([f[0] != "und" and f[1] >= scorer.model.threshold for f in found])
+    @F.arrow_udf("boolean")
+    def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found, scorer in _scored(batches, shared):
+            yield pa.array([f[0] != "und" and f[1] >= scorer.model.threshold for f in found], pa.bool_())
 
     return documents.where(accepted(F.col("text")))
 
