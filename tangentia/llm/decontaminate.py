@@ -155,7 +155,9 @@ def decontaminate(
         part = F.slice(words, c["start"] + 1, c["len"])
         return (F.xxhash64(part) == c["w1"]) & (F.hash(part) == c["w2"])
 
-    docs = index.docs.select("doc_id", "key", tokens(F.col("text")).alias("words")).join(per_doc, "key", "left")
+    # the texts move once, unsorted, and are cut into words where they arrive
+    docs = index.docs.join(per_doc.hint("shuffle_hash"), "key", "left")
+    docs = docs.select("doc_id", "key", tokens(F.col("text")).alias("words"), "found")
     docs = docs.select("doc_id", "key", F.size("words").alias("n_words"), F.filter("found", holds).alias("hits"))
     spans = F.sort_array(F.transform("hits", lambda c: F.struct(c["start"].alias("a"), (c["start"] + c["len"]).alias("z"))))
     covered = F.aggregate(
