@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo
+from tangentia.sources import images as image_source
+from tangentia.streaming.covariance import windowed_covariance
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -31,23 +35,685 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-@query(
-    "scm_by_supplier",
-    """SELECT l_suppkey AS sample_id, count(*) AS n_obs,
-       round(avg(q*q), 6) AS s00, round(avg(q*d), 6) AS s01, round(avg(q*t), 6) AS s02,
-       round(avg(d*d), 6) AS s11, round(avg(d*t), 6) AS s12, round(avg(t*t), 6) AS s22
-FROM (SELECT l_suppkey, l_quantity/50 AS q, l_discount*10 AS d, l_tax*10 AS t FROM lineitem)
-GROUP BY l_suppkey""",
-)
-def _scm_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_suppkey").alias("sample_id"),
-        (F.col("l_quantity") / 50).alias("c0"),
-        (F.col("l_discount") * 10).alias("c1"),
-        (F.col("l_tax") * 10).alias("c2"),
+# -- inputs
+
+#: Channels of a supplier's observations, scaled to about 1.
+_LINES = "SELECT l_suppkey AS id, l_quantity/50 AS q, l_discount*10 AS d, l_tax*10 AS t, l_returnflag AS flag FROM lineitem"
+#: Observations of a user in order, and the same as a raster of users and days.
+_RASTER = """SELECT g.r, g.c, coalesce(e.a, 0) AS a, coalesce(e.b, 0) AS b FROM
+  (SELECT u.r, d.c FROM (SELECT DISTINCT user_id AS r FROM events) u, (SELECT unnest(range(0, 30)) AS c) d) g
+  LEFT JOIN (SELECT user_id AS r, datediff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) AS c,
+                    avg(value)/100 AS a, count(*)/5 AS b FROM events GROUP BY 1, 2) e ON e.r = g.r AND e.c = g.c"""
+_SHIFTED = f"SELECT r - (SELECT min(user_id) FROM events) AS r, c, a, b FROM ({_RASTER})"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_suppkey").alias("id"),
+        (F.col("l_quantity") / 50).alias("q"),
+        (F.col("l_discount") * 10).alias("d"),
+        (F.col("l_tax") * 10).alias("t"),
+        F.col("l_returnflag").alias("flag"),
     )
-    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    return x.groupBy("sample_id").agg(
-        F.count("*").alias("n_obs"),
-        *[F.round(F.avg(F.col(f"c{i}") * F.col(f"c{j}")), 6).alias(f"s{i}{j}") for i, j in pairs],
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("user_id").alias("id"), "ts", "event_id", (F.col("value") / 100).alias("v"), F.hour("ts").alias("h")
+    ).withColumn("h", F.col("h") / 24)
+
+
+def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value")
+    first = e.agg(F.to_date(F.min("ts")).alias("first"), F.min("user_id").alias("low"))
+    cells = e.join(F.broadcast(first)).groupBy(
+        (F.col("user_id") - F.col("low")).alias("r"), F.datediff(F.to_date("ts"), "first").cast("long").alias("c")
+    ).agg((F.avg("value") / 100).alias("a"), (F.count("*") / 5).alias("b"))
+    grid = cells.select("r").distinct().select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("c"))
+    return grid.join(cells, ["r", "c"], "left").fillna(0.0, ["a", "b"])
+
+
+def _frame(pixels: DataFrame) -> tuple[int, int]:
+    return images.extent(pixels)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.struct(F.col("embedding").cast("array<double>").alias("c0")).alias("f"), "label"
     )
+
+
+def _segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("c"), F.col("toxic").alias("gt"))
+
+
+def _rounded(df: DataFrame, entries: dict[str, int], *keep: str, part: str = "c0") -> DataFrame:
+    return df.select(*keep, *[F.round(F.get(F.col(f"f.{part}"), F.lit(i)), 6).alias(n) for n, i in entries.items()])
+
+
+_UPPER3 = {"s00": 0, "s01": 1, "s02": 2, "s11": 4, "s12": 5, "s22": 8}
+
+
+# -- estimators
+
+
+def _scm_sql(agg: str) -> str:
+    pairs = {"s00": "q, q", "s01": "q, d", "s02": "q, t", "s11": "d, d", "s12": "d, t", "s22": "t, t"}
+    def one(v: str) -> str:
+        x, y = v.split(", ")
+        return f"avg({x}*{y})" if agg == "avg" else f"covar_pop({x}, {y})"
+
+    cols = ", ".join(f"round({one(v)}, 6) AS {k}" for k, v in pairs.items())
+    return f"SELECT id AS sample_id, count(*) AS n_obs, {cols} FROM ({_LINES}) GROUP BY id"
+
+
+@query("scm_by_supplier", _scm_sql("avg"))
+def _scm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = estimate.covariance(_lines(spark, sf_dir), ["id"], ["q", "d", "t"])
+    return _rounded(f.withColumnsRenamed({"id": "sample_id", "n": "n_obs"}), _UPPER3, "sample_id", "n_obs")
+
+
+@query("centered_scm_by_supplier", _scm_sql("covar"))
+def _centered_scm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = estimate.covariance(_lines(spark, sf_dir), ["id"], ["q", "d", "t"], assume_centered=False)
+    return _rounded(f.withColumnsRenamed({"id": "sample_id", "n": "n_obs"}), _UPPER3, "sample_id", "n_obs")
+
+
+@query(
+    "complex_scm_by_supplier",
+    f"""SELECT id, round(avg(q*q + d*d), 6) AS re00, round(avg(q*t + d*q), 6) AS re01, round(avg(d*t - q*q), 6) AS im01,
+    round(avg(t*t + q*q), 6) AS re11 FROM ({_LINES}) GROUP BY id""",
+)
+def _complex_scm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = estimate.complex_covariance(_lines(spark, sf_dir), ["id"], [("q", "d"), ("t", "q")])
+    at = {"re00": ("re", 0), "re01": ("re", 1), "im01": ("im", 1), "re11": ("re", 3)}
+    return f.select("id", *[F.round(F.get(F.col(f"f.c0.{w}"), F.lit(i)), 6).alias(k) for k, (w, i) in at.items()])
+
+
+@query(
+    "mean_vector_by_supplier",
+    f"SELECT id, count(*) AS n, round(avg(q), 6) AS m0, round(avg(d), 6) AS m1, round(avg(t), 6) AS m2 FROM ({_LINES}) GROUP BY id",
+)
+def _mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(estimate.mean_vector(_lines(spark, sf_dir), ["id"], ["q", "d", "t"]), {"m0": 0, "m1": 1, "m2": 2}, "id", "n")
+
+
+@query(
+    "gaussian_mu_sigma_by_supplier",
+    f"""SELECT id, round(avg(q), 6) AS m0, round(avg(d), 6) AS m1, round(var_pop(q), 6) AS s00,
+    round(covar_pop(q, d), 6) AS s01, round(var_pop(d), 6) AS s11 FROM ({_LINES}) GROUP BY id""",
+)
+def _gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = estimate.gaussian(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    m = [F.round(F.get("f.c0", F.lit(i)), 6).alias(f"m{i}") for i in (0, 1)]
+    s = [F.round(F.get("f.c1", F.lit(i)), 6).alias(n) for n, i in (("s00", 0), ("s01", 1), ("s11", 3))]
+    return f.select("id", *m, *s)
+
+
+_ORDERED = """SELECT user_id AS id, value/100 AS v, hour(ts)/24 AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
+  count(*) OVER (PARTITION BY user_id) AS n FROM events"""
+
+
+@query("center_pixel_by_user", f"SELECT id, n, round(v, 6) AS x0, round(h, 6) AS x1 FROM ({_ORDERED}) WHERE i = n // 2")
+def _center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = estimate.center_observation(_events(spark, sf_dir), ["id"], ["v", "h"], ["ts", "event_id"])
+    return _rounded(f, {"x0": 0, "x1": 1}, "id", "n")
+
+
+@query("center_intensity_by_user", f"SELECT id, round(sqrt(v*v + h*h), 6) AS x0 FROM ({_ORDERED}) WHERE i = n // 2")
+def _center_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(estimate.center_intensity(_events(spark, sf_dir), ["id"], ["v", "h"], ["ts", "event_id"]), {"x0": 0}, "id")
+
+
+@query("intensity_vector_by_user", f"SELECT id, i, round(sqrt(v*v + h*h), 6) AS x FROM ({_ORDERED})")
+def _intensities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = estimate.intensities(_events(spark, sf_dir), ["id"], ["v", "h"], ["ts", "event_id"])
+    return f.select("id", F.posexplode("f.c0").alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("packed_samples_by_user", f"SELECT id, i, round(v, 6) AS v FROM ({_ORDERED})")
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples themselves as features."""
+    f = estimate.packed(_events(spark, sf_dir), ["id"], ["v"], ["ts", "event_id"])
+    return f.select("id", F.posexplode("f.c0").alias("i", "v")).select("id", F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v"))
+
+
+@query(
+    "gaussian_unit_scatter",
+    f"""SELECT id, round(m0, 6) AS m0, round(m1, 6) AS m1, round(s00/c, 6) AS s00, round(s01/c, 6) AS s01, round(s11/c, 6) AS s11, round(c, 6) AS tau
+    FROM (SELECT *, sqrt(s00*s11 - s01*s01) AS c FROM (SELECT id, avg(q) AS m0, avg(d) AS m1, var_pop(q) AS s00, covar_pop(q, d) AS s01, var_pop(d) AS s11
+    FROM ({_LINES}) GROUP BY id))""",
+)
+def _unit_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = estimate.gaussian(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    s = [F.get("f.c1", F.lit(i)) for i in (0, 1, 3)]
+    a, b, d, c = estimate.unit_determinant_2x2(*s)
+    return f.select(
+        "id", *[F.round(F.get("f.c0", F.lit(i)), 6).alias(f"m{i}") for i in (0, 1)],
+        *[F.round(x, 6).alias(n) for n, x in (("s00", a), ("s01", b), ("s11", d), ("tau", c))],
+    )
+
+
+def _tyler_sql(rounds: int) -> str:
+    sql = [f"WITH x AS ({_LINES}), s0 AS (SELECT id, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM x GROUP BY id)"]
+    sql.append(", t0 AS (SELECT id, 2*a/(a+e) AS a, 2*b/(a+e) AS b, 2*e/(a+e) AS e FROM s0)")
+    for k in range(rounds):
+        tau = "((e*q*q - 2*b*q*d + a*d*d)/(a*e - b*b)/2)"
+        sql.append(f", t{k + 1} AS (SELECT x.id, avg(q*q/{tau}) AS a, avg(q*d/{tau}) AS b, avg(d*d/{tau}) AS e FROM x JOIN t{k} USING (id) GROUP BY x.id)")
+    sql.append(f"SELECT id, round(a/sqrt(a*e - b*b), 5) AS s00, round(b/sqrt(a*e - b*b), 5) AS s01, round(e/sqrt(a*e - b*b), 5) AS s11 FROM t{rounds}")
+    return " ".join(sql)
+
+
+@query("tyler_2x2_5_rounds", _tyler_sql(5))
+def _tyler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tyler's fixed point with five rounds, each one aggregation over the observations."""
+    x = _lines(spark, sf_dir).select("id", "q", "d")
+    s = x.groupBy("id").agg(F.avg(F.col("q") * F.col("q")).alias("a"), F.avg(F.col("q") * F.col("d")).alias("b"), F.avg(F.col("d") * F.col("d")).alias("e"))
+    t = F.col("a") + F.col("e")
+    s = s.select("id", *[(2 * F.col(k) / t).alias(k) for k in "abe"])
+    for _ in range(5):
+        y = x.join(s, "id")
+        tau = (F.col("e") * F.col("q") * F.col("q") - 2 * F.col("b") * F.col("q") * F.col("d") + F.col("a") * F.col("d") * F.col("d")) / (
+            F.col("a") * F.col("e") - F.col("b") * F.col("b")
+        ) / 2
+        y = y.select("id", "q", "d", tau.alias("tau"))
+        s = y.groupBy("id").agg(*[F.avg(F.col(u) * F.col(v) / F.col("tau")).alias(k) for k, u, v in (("a", "q", "q"), ("b", "q", "d"), ("e", "d", "d"))])
+    a, b, e, _ = estimate.unit_determinant_2x2(F.col("a"), F.col("b"), F.col("e"))
+    return s.select("id", F.round(a, 5).alias("s00"), F.round(b, 5).alias("s01"), F.round(e, 5).alias("s11"))
+
+
+# -- distances and means of 2 x 2 covariances
+
+_COV2 = f"SELECT id, avg(q) AS m0, avg(d) AS m1, var_pop(q) AS a, covar_pop(q, d) AS b, var_pop(d) AS e FROM ({_LINES}) GROUP BY id"
+#: Every supplier against the supplier of the least id.
+_PAIRS2 = f"""SELECT y.id, x.m0 AS xm0, x.m1 AS xm1, x.a AS xa, x.b AS xb, x.e AS xe, y.m0 AS ym0, y.m1 AS ym1, y.a AS ya, y.b AS yb, y.e AS ye,
+  y.m0 - x.m0 AS u, y.m1 - x.m1 AS v, x.a*x.e - x.b*x.b AS dx, y.a*y.e - y.b*y.b AS dy
+  FROM ({_COV2}) y, (SELECT * FROM ({_COV2}) ORDER BY id LIMIT 1) x"""
+_TR = "((ye*xa - 2*yb*xb + ya*xe)/dy)"
+_LOGS = "(pow(ln({h} + sqrt(greatest({h}*{h} - {d}, 0))), 2) + pow(ln({d}/({h} + sqrt(greatest({h}*{h} - {d}, 0)))), 2))"
+
+
+def _gaussians2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    f = estimate.gaussian(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    base = f.orderBy("id").limit(1).select(F.col("f").alias("g"))
+    x, y = (distance.Sym2.of(F.col(f"{k}.c1")) for k in ("g", "f"))
+    delta = tuple(F.get("f.c0", F.lit(i)) - F.get("g.c0", F.lit(i)) for i in (0, 1))
+    return f.join(F.broadcast(base)), {"x": x, "y": y, "dx": delta}
+
+
+def _distance2(name: str, sql: str, fn: Callable) -> None:
+    @query(name, f"SELECT id, round({sql}, 6) AS dist FROM ({_PAIRS2})")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, parts = _gaussians2(spark, sf_dir)
+        return df.select("id", F.round(fn(**parts), 6).alias("dist"))
+
+
+_KL = f"{_TR} - 2 - ln(dx/dy)"
+_MAHA_Y = "(ye*u*u - 2*yb*u*v + ya*v*v)/dy"
+_MAHA_X = "(xe*u*u - 2*xb*u*v + xa*v*v)/dx"
+_MID = "((xa+ya)/2*(xe+ye)/2 - (xb+yb)/2*(xb+yb)/2)"
+_MAHA_MID = f"((xe+ye)/2*u*u - (xb+yb)*u*v + (xa+ya)/2*v*v)/{_MID}"
+_distance2("airm_2x2", "sqrt(" + _LOGS.format(h=f"({_TR}/2)", d="(dx/dy)") + ")", lambda x, y, dx: distance.affine_invariant_2x2(x, y))
+_distance2("kl_2x2", f"sqrt({_KL} + {_MAHA_Y} + 1e-12)", lambda x, y, dx: distance.kullback_leibler_2x2(x, y, dx))
+_distance2("kl_real_case_2x2", f"sqrt(({_KL} + {_MAHA_Y} + 1e-12)/2)", lambda x, y, dx: distance.alpha_2x2(x, y, 0, dx, real_case=True))
+_distance2("alpha_div_2x2", f"sqrt(abs((1 - sqrt(dx*dy)/{_MID}*exp(-0.25*{_MAHA_MID}))/0.25))", lambda x, y, dx: distance.alpha_2x2(x, y, 0.5, dx))
+_distance2("alpha_div_centered_2x2", f"sqrt(abs((1 - sqrt(dx*dy)/{_MID})/0.25))", lambda x, y, dx: distance.alpha_2x2(x, y, 0.5))
+_distance2(
+    "div_orth_2x2",
+    f"sqrt(pow(ln(1 + {_MAHA_X} + sqrt(pow(1 + {_MAHA_X}, 2) - 1)), 2) + "
+    + _LOGS.format(h="((ye*(xa+u*u/2) - 2*yb*(xb+u*v/2) + ya*(xe+v*v/2))/dy/2)", d="(((xa+u*u/2)*(xe+v*v/2) - pow(xb+u*v/2, 2))/dy)") + ")",
+    lambda x, y, dx: distance.orthogonal_2x2(x, y, dx),
+)
+_C = "sqrt(dy/dx)"
+_T = f"(({_C} + 1 + {_MAHA_X}/2)/(2*sqrt({_C})))"
+_distance2(
+    "div_scale_2x2",
+    f"sqrt(4*pow(ln({_T} + sqrt(greatest({_T}*{_T} - 1, 0))), 2) + pow(ln({_C}), 2) + " + _LOGS.format(h=f"({_C}*{_TR}/2)", d="1.0") + ")",
+    lambda x, y, dx: distance.scaling_2x2(x, y, dx),
+)
+
+
+@query("airm_by_kernel", f"SELECT id, round(sqrt({_LOGS.format(h=f'({_TR}/2)', d='(dx/dy)')}), 6) AS dist FROM ({_PAIRS2})")
+def _airm_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same distance through the Arrow kernel, which serves matrices of any size."""
+    bound = features.covariance(assume_centered=False).bind(2, 1)
+    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    base = bound.point(f.orderBy("id").limit(1).first()["f"])
+    return bound.distances_to(f, [base]).select("id", F.round(F.get("d", F.lit(0)), 6).alias("dist"))
+
+
+@query(
+    "mean_squared_pairwise_frobenius",
+    f"""SELECT round(avg(pow(x.a - y.a, 2) + 2*pow(x.b - y.b, 2) + pow(x.e - y.e, 2)), 9) AS msd FROM
+    (SELECT id, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM ({_LINES}) GROUP BY id) x,
+    (SELECT id, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM ({_LINES}) GROUP BY id) y""",
+)
+def _pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared Euclidean distance over all pairs, the zero diagonal included.
+
+    Twice the trace of the covariance of the vectors: no pair is formed.
+    """
+    f = estimate.covariance(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    entries = [F.var_pop(F.get("f.c0", F.lit(i))) for i in range(4)]
+    return f.agg(F.round(2 * sum(entries[1:], entries[0]), 9).alias("msd"))
+
+
+_FLAGGED = f"SELECT flag, id, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM ({_LINES}) GROUP BY flag, id"
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimate.covariance(_lines(spark, sf_dir), ["flag", "id"], ["q", "d"])
+
+
+def _mean_rows(spark: SparkSession, means: dict, digits: int = 6) -> DataFrame:
+    rows = [(k, *[round(float(x), digits) for x in (m[0, 0], m[0, 1], m[1, 1])]) for k, m in means.items()]
+    return spark.createDataFrame(rows, "flag string, s00 double, s01 double, s11 double")
+
+
+@query("kl1_mean_by_flag", f"SELECT flag, round(avg(a), 6) AS s00, round(avg(b), 6) AS s01, round(avg(e), 6) AS s11 FROM ({_FLAGGED}) GROUP BY flag")
+def _arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.covariance_div_alpha(alpha=1).bind(2, 1)
+    return _mean_rows(spark, bound.means(_flagged(spark, sf_dir), "flag"))
+
+
+@query(
+    "kl0_mean_by_flag",
+    f"""SELECT flag, round(e/(a*e - b*b), 6) AS s00, round(-b/(a*e - b*b), 6) AS s01, round(a/(a*e - b*b), 6) AS s11 FROM
+    (SELECT flag, avg(e/(a*e - b*b)) AS a, avg(-b/(a*e - b*b)) AS b, avg(a/(a*e - b*b)) AS e FROM ({_FLAGGED}) GROUP BY flag)""",
+)
+def _harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.covariance_div_alpha(alpha=0).bind(2, 1)
+    return _mean_rows(spark, bound.means(_flagged(spark, sf_dir), "flag"))
+
+
+@query("airm_mean_by_flag")
+def _karcher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.covariance().bind(2, 1)
+    return _mean_rows(spark, bound.means(_flagged(spark, sf_dir), "flag"))
+
+
+@query("alpha_mean_by_flag")
+def _alpha_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.covariance_div_alpha(alpha=0.5).bind(2, 1)
+    return _mean_rows(spark, bound.means(_flagged(spark, sf_dir), "flag"), 4)
+
+
+_TEXTURES = f"SELECT id, greatest(avg(q*q), 1e-9) AS t0, greatest(avg(d*d), 1e-9) AS t1 FROM ({_LINES}) GROUP BY id"
+
+
+def _textures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _lines(spark, sf_dir).groupBy("id").agg(*[F.greatest(F.avg(F.col(c) * F.col(c)), F.lit(1e-9)).alias(t) for c, t in (("q", "t0"), ("d", "t1"))])
+    return f.select("id", F.struct(F.array("t0", "t1").alias("c0")).alias("f"))
+
+
+@query("texture_geometric_mean", f"SELECT round(exp(avg(ln(t0))), 6) AS t0, round(exp(avg(ln(t1))), 6) AS t1 FROM ({_TEXTURES})")
+def _geometric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _textures(spark, sf_dir).agg(*[F.round(F.exp(F.avg(F.log(F.get("f.c0", F.lit(i))))), 6).alias(f"t{i}") for i in (0, 1)])
+
+
+@query(
+    "texture_distance",
+    f"""SELECT y.id, round(sqrt(pow(ln(y.t0/x.t0), 2) + pow(ln(y.t1/x.t1), 2)), 6) AS dist
+    FROM ({_TEXTURES}) y, (SELECT * FROM ({_TEXTURES}) ORDER BY id LIMIT 1) x""",
+)
+def _texture_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _textures(spark, sf_dir)
+    base = t.orderBy("id").limit(1).select(F.col("f.c0").alias("g"))
+    return t.join(F.broadcast(base)).select("id", F.round(distance.positive(F.col("g"), F.col("f.c0")), 6).alias("dist"))
+
+
+# -- classification and clustering
+
+_CENTRES = """SELECT label AS k, i, avg(x) AS m FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2"""
+_TO_CENTRES = f"""SELECT v.vec_id AS id, v.label, m.k, sqrt(sum(pow(v.x - m.m, 2))) AS d
+  FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) v JOIN ({_CENTRES}) m ON m.i = v.i GROUP BY 1, 2, 3"""
+
+
+def _mdm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, learn.Centroids]:
+    v = _vectors(spark, sf_dir)
+    p = v.select(F.size("f.c0")).first()[0]
+    return v, learn.MDM(features.mean_vector_euclidean().bind(p, 1)).fit(v)
+
+
+@query("mdm_embeddings_distances", f"SELECT id, k, round(d, 6) AS d FROM ({_TO_CENTRES})")
+def _mdm_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, model = _mdm(spark, sf_dir)
+    d = model.transform(v).select("id", F.posexplode("d").alias("k", "d"))
+    names = F.array(*[F.lit(c) for c in model.classes])
+    return d.select("id", F.get(names, F.col("k")).alias("k"), F.round("d", 6).alias("d"))
+
+
+@query("mdm_embeddings_predict", f"SELECT id, label, arg_min(k, struct_pack(d := round(d, 9), k := k)) AS prediction FROM ({_TO_CENTRES}) GROUP BY 1, 2")
+def _mdm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, model = _mdm(spark, sf_dir)
+    return model.predict(v).select("id", "label", "prediction")
+
+
+@query("mdm_embeddings_proba", f"SELECT id, k, round(exp(-d)/sum(exp(-d)) OVER (PARTITION BY id), 6) AS proba FROM ({_TO_CENTRES})")
+def _mdm_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, model = _mdm(spark, sf_dir)
+    d = model.predict_proba(v).select("id", F.posexplode("proba").alias("k", "proba"))
+    names = F.array(*[F.lit(c) for c in model.classes])
+    return d.select("id", F.get(names, F.col("k")).alias("k"), F.round("proba", 6).alias("proba"))
+
+
+@query(
+    "tangent_vectors_embeddings",
+    """SELECT id, i, round(x - avg(x) OVER (PARTITION BY i), 6) + 0.0 AS v FROM
+    (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)""",
+)
+def _tangent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    p = v.select(F.size("f.c0")).first()[0]
+    t = learn.TangentSpace(features.mean_vector_euclidean().bind(p, 1)).fit_transform(v)
+    return t.select("id", F.posexplode("v").alias("i", "v")).select("id", F.col("i").cast("long").alias("i"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+@query("tangent_vectors_covariance")
+def _tangent_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.covariance(assume_centered=False).bind(3, 1)
+    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d", "t"])
+    return learn.TangentSpace(bound).fit_transform(f).select("id", "v")
+
+
+@query("kmeans_embeddings")
+def _kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    p = v.select(F.size("f.c0")).first()[0]
+    model = learn.KMeans(features.mean_vector_euclidean().bind(p, 1), 4, "k-means++", n_init=1, max_iter=10, tol=1e-3).fit(v)
+    return model.predict(v).select("id", "prediction")
+
+
+@query("kmeans_covariance")
+def _kmeans_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.covariance(assume_centered=False).bind(3, 1)
+    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d", "t"])
+    return learn.KMeans(bound, 3, n_init=1, max_iter=10, tol=1e-3).fit_predict(f).select("id", "prediction")
+
+
+_SEEDED = """WITH v AS (SELECT label AS id, avg(embedding[1]) AS x, avg(embedding[2]) AS y FROM embeddings GROUP BY 1),
+  a AS (SELECT * FROM v ORDER BY id LIMIT 1),
+  b AS (SELECT v.* FROM v, a ORDER BY pow(v.x - a.x, 2) + pow(v.y - a.y, 2) DESC, v.id LIMIT 1)
+SELECT v.id, CASE WHEN pow(v.x - a.x, 2) + pow(v.y - a.y, 2) <= pow(v.x - b.x, 2) + pow(v.y - b.y, 2) THEN 0 ELSE 1 END AS k,
+  round(sqrt(least(pow(v.x - a.x, 2) + pow(v.y - a.y, 2), pow(v.x - b.x, 2) + pow(v.y - b.y, 2))), 6) AS d FROM v, a, b"""
+
+
+@query("farthest_first_seeds", _SEEDED)
+def _farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Farthest-first seeding from the row of the least id, and the assignment to both seeds, as expressions."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = e.groupBy(F.col("label").alias("id")).agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in (0, 1)]).alias("f"))
+    a = v.orderBy("id").limit(1).select(F.lit(0).alias("k"), "f")
+    far = v.join(F.broadcast(a.select(F.col("f").alias("g")))).select("id", "f", distance.squared_euclidean(F.col("g"), F.col("f")).alias("far"))
+    b = far.orderBy(F.col("far").desc(), "id").limit(1).select(F.lit(1).alias("k"), "f")
+    near = distance.to_centres(v, a.unionAll(b), distance.euclidean)
+    return near.select("id", distance.nearest(F.col("d")).alias("k"), F.round(F.array_min("d")["d"], 6).alias("d"))
+
+
+# -- rasters
+
+_WIN = """SELECT r, c, round(avg({x}) OVER w, 6) AS {n} FROM p"""
+
+
+def _window_sql(cols: dict[str, str], extra: str = "") -> str:
+    sums = ", ".join(f"avg({v}) AS {k}" for k, v in cols.items())
+    outs = ", ".join(f"round({k}, 6) AS {k}" for k in cols)
+    return f"""WITH p AS ({_SHIFTED}), s AS (SELECT max(r) AS h, max(c) AS w FROM p)
+    SELECT r, c, {outs} FROM (SELECT x.r, x.c, {sums} FROM p x JOIN p y ON y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1, s
+    WHERE x.r BETWEEN 1 AND s.h - 1 AND x.c BETWEEN 1 AND s.w - 1 {extra} GROUP BY 1, 2)"""
+
+
+@query("window_mean_raster", _window_sql({"m0": "y.a", "m1": "y.b"}))
+def _window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir)
+    return images.window_means(p, ["a", "b"], 3, *_frame(p)).select("r", "c", F.round("m0", 6).alias("m0"), F.round("m1", 6).alias("m1"))
+
+
+_SECOND = {"s00": "y.a*y.a", "s01": "y.a*y.b", "s11": "y.b*y.b"}
+
+
+@query("window_scm_raster", _window_sql(_SECOND))
+def _window_scm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir)
+    return _rounded(images.window_covariances(p, ["a", "b"], 3, *_frame(p)), {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
+
+
+@query("nonoverlap_window_scm_raster", _window_sql(_SECOND, "AND (x.r - 1) % 3 = 0 AND (x.c - 1) % 3 = 0"))
+def _window_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir)
+    bound = features.covariance().bind(2, 9)
+    f = images.window_features(p, ["a", "b"], bound, 3, *_frame(p), overlapping=False)
+    return _rounded(f, {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
+
+
+@query("masked_window_scm_raster", _window_sql(_SECOND, "AND x.b > 0"))
+def _window_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir).withColumn("mask", F.col("b") > 0)
+    f = images.window_features(p, ["a", "b"], features.covariance().bind(2, 9), 3, *_frame(p), mask=p)
+    return _rounded(f, {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
+
+
+@query("window_tyler_raster")
+def _window_tyler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir).withColumn("a", F.col("a") + F.col("r") % 7 + 1).withColumn("b", F.col("b") + F.col("c") % 5 + 0.5)
+    return images.window_features(p, ["a", "b"], features.covariance_texture().bind(2, 25), 5, *_frame(p)).select("r", "c", "f")
+
+
+@query(
+    "center_raster_by_column",
+    f"SELECT r, c, round(a - avg(a) OVER (PARTITION BY c), 6) + 0.0 AS a, round(b - avg(b) OVER (PARTITION BY c), 6) + 0.0 AS b FROM ({_SHIFTED})",
+)
+def _center_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = images.remove_mean(_raster(spark, sf_dir), ["a", "b"])
+    return p.select("r", "c", *[(F.round(x, 6) + F.lit(0.0)).alias(x) for x in ("a", "b")])
+
+
+_CROP = "(SELECT (max(r) + 1 - 12) // 2 AS r0, (max(c) + 1 - 12) // 2 AS c0 FROM p)"
+
+
+@query(
+    "crop_border_mask_raster",
+    f"""WITH p AS ({_SHIFTED}), k AS (SELECT p.r - s.r0 AS r, p.c - s.c0 AS c, CASE WHEN b > 0 THEN 1 ELSE 0 END - 1 AS label FROM p, {_CROP} s
+    WHERE p.r BETWEEN s.r0 AND s.r0 + 11 AND p.c BETWEEN s.c0 AND s.c0 + 11)
+    SELECT r, c, CASE WHEN r BETWEEN 2 AND 9 AND c BETWEEN 2 AND 9 THEN label ELSE -1 END AS label,
+    r BETWEEN 2 AND 9 AND c BETWEEN 2 AND 9 AND label >= 0 AS mask FROM k""",
+)
+def _crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir).withColumn("label", F.when(F.col("b") > 0, 1).otherwise(0))
+    p = image_source.prepare(p, ["a", "b"], crop=True, border=2, center=None, crop_size=12)
+    return images.build_mask(p, 12, 12, 2).select("r", "c", "label", "mask")
+
+
+@query(
+    "embed_labels_raster",
+    f"WITH p AS ({_SHIFTED}) SELECT r, c, CASE WHEN b > 0.5 THEN 1 ELSE -1 END AS k FROM p",
+)
+def _embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir)
+    return images.embed(p.where("b > 0.5").withColumn("k", F.lit(1)), *_frame(p))
+
+
+@query(
+    "pca_2band_raster",
+    f"""WITH p AS ({_SHIFTED}), m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS s, covar_pop(a, b) AS t, var_pop(b) AS u FROM p),
+    l AS (SELECT *, (s + u)/2 + sqrt(pow((s - u)/2, 2) + t*t) AS l FROM m)
+    SELECT r, c, round(pow((a - ma)*t + (b - mb)*(l - s), 2)/(t*t + pow(l - s, 2)), 5) + 0.0 AS sq FROM p, l""",
+)
+def _pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared first coordinates, which don't depend on a direction's sign."""
+    p = images.pca(_raster(spark, sf_dir), ["a", "b"], 1)
+    return p.select("r", "c", (F.round(F.col("pc0") * F.col("pc0"), 5) + F.lit(0.0)).alias("sq"))
+
+
+@query(
+    "spectrum_raster",
+    f"""SELECT round((s + u)/2 + sqrt(pow((s - u)/2, 2) + t*t), 6) AS l0, round((s + u)/2 - sqrt(pow((s - u)/2, 2) + t*t), 6) AS l1
+    FROM (SELECT var_pop(a) AS s, covar_pop(a, b) AS t, var_pop(b) AS u FROM ({_SHIFTED}))""",
+)
+def _spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, _ = images.spectrum(_raster(spark, sf_dir), ["a", "b"])
+    return spark.createDataFrame([(round(float(w[0]), 6), round(float(w[1]), 6))], "l0 double, l1 double")
+
+
+@query(
+    "pauli_raster",
+    f"""WITH g AS (SELECT r, c, abs(a - b) AS red, abs(b/2) AS green, abs(a + b) AS blue FROM ({_SHIFTED})),
+    m AS (SELECT min(least(red, green, blue)) AS low FROM g)
+    SELECT r, c, round(least(red - low, 1), 6) AS red, round(least(green - low, 1), 6) AS green, round(least(blue - low, 1), 6) AS blue FROM g, m""",
+)
+def _pauli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir).withColumns({"zero": F.lit(0.0), "half": F.col("b") / 2})
+    rgb = images.pauli(p, ("a", "zero"), ("half", "zero"), ("b", "zero"))
+    return rgb.select("r", "c", *[F.round(x, 6).alias(x) for x in ("red", "green", "blue")])
+
+
+@query("kmeans_datacube_raster")
+def _datacube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir)
+    return learn.kmeans_datacube(p, ["a", "b"], features.mean_vector_euclidean(), 3, 2, n_init=1, max_iter=5)[0]
+
+
+# -- scores
+
+_SEG = "SELECT doc_id AS id, quality AS c, toxic AS gt FROM labels"
+
+
+@query("contingency", f"SELECT c, gt, count(*) AS n FROM ({_SEG}) GROUP BY 1, 2")
+def _contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.contingency(_segmentation(spark, sf_dir))
+
+
+@query("segmentation_classes", f"SELECT DISTINCT k FROM (SELECT c AS k FROM ({_SEG}) UNION ALL SELECT gt FROM ({_SEG})) WHERE k >= 0")
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.classes(_segmentation(spark, sf_dir))
+
+
+@query("overall_accuracy", f"SELECT round(avg(CASE WHEN c = gt THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS oa FROM ({_SEG}) WHERE gt >= 0")
+def _oa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.overall_accuracy(_segmentation(spark, sf_dir)).select(F.round("oa", 9).alias("oa"))
+
+
+_IOU = f"""SELECT k, sum(CASE WHEN c = k AND gt = k THEN 1 ELSE 0 END) AS i, sum(CASE WHEN (c = k OR gt = k) AND gt >= 0 THEN 1 ELSE 0 END) AS u
+  FROM ({_SEG}), (SELECT DISTINCT k FROM (SELECT c AS k FROM ({_SEG}) UNION ALL SELECT gt FROM ({_SEG})) WHERE k >= 0) GROUP BY k"""
+
+
+@query("iou_per_class", f"SELECT k, i::BIGINT AS n_inter, u::BIGINT AS n_union, round(i::DOUBLE/nullif(u, 0), 9) AS iou FROM ({_IOU})")
+def _iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.iou_by_class(_segmentation(spark, sf_dir)).withColumn("iou", F.round("iou", 9))
+
+
+@query("mean_iou", f"SELECT round(avg(i::DOUBLE/nullif(u, 0)), 9) AS miou FROM ({_IOU})")
+def _miou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.mean_iou(_segmentation(spark, sf_dir)).select(F.round("miou", 9).alias("miou"))
+
+
+@query(
+    "adjusted_rand",
+    f"""WITH t AS (SELECT c, gt, count(*) AS n FROM ({_SEG}) WHERE c >= 0 AND gt >= 0 GROUP BY 1, 2),
+    i AS (SELECT sum(n*(n-1)/2) AS i, sum(n) AS n FROM t),
+    a AS (SELECT sum(s*(s-1)/2) AS a FROM (SELECT sum(n) AS s FROM t GROUP BY c)),
+    b AS (SELECT sum(s*(s-1)/2) AS b FROM (SELECT sum(n) AS s FROM t GROUP BY gt))
+    SELECT round((i - a*b/(n*(n-1)/2))/((a + b)/2 - a*b/(n*(n-1)/2)), 9)::DOUBLE AS ari FROM i, a, b""",
+)
+def _ari(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.adjusted_rand(_segmentation(spark, sf_dir)).select(F.round("ari", 9).alias("ari"))
+
+
+@query("adjusted_mutual_information")
+def _ami(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(evaluation.adjusted_mutual_information(_segmentation(spark, sf_dir)),)], "ami double")
+
+
+@query(
+    "tp_fp_fn_map",
+    f"SELECT id, CASE WHEN c = 1 AND gt = 1 THEN 3 WHEN c = 1 AND gt >= 0 THEN 2 WHEN gt = 1 THEN 1 ELSE 0 END AS outcome FROM ({_SEG})",
+)
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.true_false_map(_segmentation(spark, sf_dir), 1).select("id", "outcome")
+
+
+@query(
+    "assigned_segmentation",
+    f"""WITH t AS (SELECT c, gt, count(*) AS n FROM ({_SEG}) GROUP BY 1, 2),
+    s AS (SELECT coalesce(sum(n) FILTER (c = gt), 0) AS same, coalesce(sum(n) FILTER (c <> gt), 0) AS other FROM t)
+    SELECT id, CASE WHEN same >= other THEN c ELSE 1 - c END AS c FROM ({_SEG}), s""",
+)
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.assign(_segmentation(spark, sf_dir)).select("id", "c")
+
+
+@query("class_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def _class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("experiment_summary", f"SELECT flag, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std FROM (SELECT flag, id, avg(q) AS s FROM ({_LINES}) GROUP BY 1, 2) GROUP BY flag")
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _lines(spark, sf_dir).groupBy("flag", "id").agg(F.avg("q").alias("s"))
+    return montecarlo.summarize(each, "s", "flag").select("flag", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query(
+    "toeplitz",
+    "SELECT i, j, round(pow(0.5, abs(i - j)), 9) AS v FROM (SELECT unnest(range(0, 5)) AS i) a, (SELECT unnest(range(0, 5)) AS j) b",
+)
+def _toeplitz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tangentia.functions.generate import toeplitz
+
+    t = toeplitz(5, 0.5)
+    return spark.createDataFrame([(i, j, float(t[i, j])) for i in range(5) for j in range(5)], "i long, j long, v double")
+
+
+# -- robust features of equal length, and Monte-Carlo
+
+
+def _equal(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
+    """The first ``n`` observations of every user that has them, with three channels."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy("ts", "event_id")
+    e = _events(spark, sf_dir).withColumn("obs", F.row_number().over(w)).where(F.col("obs") <= n)
+    e = e.withColumn("w", F.col("v") * F.col("h") + F.col("event_id") % 7 / 7)
+    return e.where("id is not null").withColumn("have", F.max("obs").over(Window.partitionBy("id"))).where(F.col("have") == n).drop("have")
+
+
+def _feature_query(name: str, feature: features.Feature) -> None:
+    @query(f"feature_{name}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return feature.bind(3, 40).estimate(_equal(spark, sf_dir), ["id"], ["v", "h", "w"], ["obs"]).select("id", "f")
+
+
+for _name, _feature in {
+    "covariance_texture": features.covariance_texture(),
+    "tyler_location": features.location_covariance_texture_Tyler_constrained_scatter(),
+    "compound_unit_scatter": features.location_covariance_texture_constrained_scatter(max_iter=20),
+    "compound_unit_texture": features.location_covariance_texture_constrained_texture(max_iter=20, beta=0.1),
+    "gaussian_unit_texture": features.location_covariance_texture_Gaussian_constrained_texture(),
+    "subspace_scm": features.subspace_SCM(1),
+    "subspace_tau_uuh": features.subspace_tau_UUH(1),
+    "tau_uuh": features.tau_UUH(1),
+    "tau_uuh_riemannian": features.tau_UUH_RO(1, max_iter=20),
+}.items():
+    _feature_query(_name, _feature)
+
+
+@query("monte_carlo_scm")
+def _monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from tangentia.functions import generate
+
+    sigma = generate.covariance(3, np.random.default_rng(1))
+    bound = {"scm": features.covariance().bind(3, 200), "tyler": features.covariance_texture().bind(3, 200)}
+    unit = generate.unit_det(sigma)
+    truth = {"scm": sigma, "tyler": (unit[0], np.full(200, unit[1]))}
+    return montecarlo.monte_carlo(spark, truth, lambda rng: generate.gaussian(sigma, 200, rng), bound, 50, seed=1)
+
+
+@query(
+    "windowed_scm_events",
+    """SELECT date_trunc('day', ts) AS window_start, count(*) AS n, round(avg(value*value)/10000, 6) AS s00 FROM events GROUP BY 1""",
+)
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", (F.col("value") / 100).alias("v"))
+    return _rounded(windowed_covariance(e, ["v"]), {"s00": 0}, "window_start", "n")
