@@ -104,6 +104,8 @@ _COMMON = frozenset(
     "both following provided person above one the obtain including charge conditions without general public work free time "
     "source later option any law rights form form part terms subject code file".split()
 )
+#: Names that are enough for a piece to be classified; of other licence words it takes two.
+_NAMES = frozenset("gpl lgpl agpl mpl bsd cc0 unlicense".split())
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]")
 
 
@@ -229,18 +231,23 @@ def pieces(paragraph: str) -> Iterator[str]:
             yield " ".join(words[at : at + WINDOW])
 
 
+def _may_name(text: str, model: Model) -> bool:
+    """Whether a text has the words without which none of its pieces is confirmed."""
+    words = model.vocabulary.intersection(_WORD.findall(text.lower()))
+    return len(words) >= 2 or not _NAMES.isdisjoint(words)
+
+
 def scan(text: str | None, model: Model) -> tuple[list[str], int, int, float]:
     """Families found (sorted), paragraphs read, paragraphs confirmed, highest probability among them."""
     found, read, hits, best = set(), 0, 0, 0.0
-    may = len(model.vocabulary.intersection(_WORD.findall(text.lower() if text else ""))) >= 2
+    may = _may_name(text or "", model)
     for paragraph in paragraphs(text or ""):
         read += 1
         before = hits
         if not may:
             continue
         for piece in pieces(paragraph):
-            # a piece that names a family has two licence words at least
-            if len(model.vocabulary.intersection(_WORD.findall(piece.lower()))) < 2:
+            if not _may_name(piece, model):
                 if piece is paragraph:
                     break
                 continue
