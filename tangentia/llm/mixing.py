@@ -107,7 +107,7 @@ def mix(
         "source_size",
         "target",
         F.greatest(F.ceil(F.col("docs") / bucket_docs), F.lit(1)).alias("buckets"),
-        F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).alias("epochs"),
+        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("epochs"),
     ).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
 
     docs = base.join(plan, base["source"].eqNullSafe(plan["of"])).drop("of")
