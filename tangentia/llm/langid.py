@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Most labelled rows the model is fitted on, and their most characters together.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 16_000_000
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 16, 6, 0.5, 7
+BUCKETS, DIM, EPOCHS, STEPS, RATE, SEED = 1 << 15, 16, 6, 12_000, 0.5, 7
 #: Lengths of the n-grams, in bytes.
 GRAMS = (1, 2, 3, 4)
 #: Share of a sample's rows that calibrates, and the quantile there that rejection allows to lose.
@@ -168,8 +168,9 @@ def train(texts: list[str], langs: list[str]) -> Model:
     order = rng.permutation(len(rows))
     held = order[: int(len(rows) * CALIBRATION)] if len(rows) >= 20 else order[:0]
     fit = order[len(held) :]
-    steps, total = 0, max(1, EPOCHS * len(fit))
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(fit))))  # a small sample is gone through more often
+    steps, total = 0, max(1, epochs * len(fit))
+    for _ in range(epochs):
         for k in rng.permutation(fit):
             bucket, share, y = rows[k]
             rate = RATE * (1 - steps / total)
