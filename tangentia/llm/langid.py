@@ -121,6 +121,8 @@ class Scorer:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """A label and its calibrated probability for each text; ``und`` and 0 for one without letters."""
+        if not self.model.labels:
+            return [("und", 0.0)] * len(texts)
         out = []
         for a in range(0, len(texts), 64):
             if len(self.rows) > WORDS_KEPT:
@@ -131,7 +133,7 @@ class Scorer:
             ]
             self._learn()
             for at in found:
-                if not len(at) or not self.model.labels:
+                if not len(at):
                     out.append(("und", 0.0))
                     continue
                 p = _softmax((self.scores[at].mean(axis=0) + self.model.bias) / self.model.temperature)
