@@ -63,6 +63,10 @@ class Geometry:
     def egrad2rgrad(self, x, g):
         return self.proj(x, g)
 
+    def ehess2rhess(self, x, g, h, u):
+        """Of a flat geometry the Euclidean Hessian."""
+        return self.proj(x, h)
+
     def exp(self, x, u):
         return x + u
 
@@ -75,6 +79,20 @@ class Geometry:
     def transport(self, x, y, u):
         return self.proj(y, u)
 
+    def pair_mean(self, x, y):
+        """The point halfway from x to y."""
+        u = self.log(x, y)
+        return self.exp(x, tuple(a / 2 for a in u) if isinstance(u, tuple) else u / 2)
+
+    @property
+    def dim(self) -> int:
+        """Real dimension."""
+        return len(self.frame(self.rand(np.random.default_rng(0))))
+
+    @property
+    def typical_dist(self) -> float:
+        return float(np.sqrt(self.dim))
+
     def zero(self, x):
         return np.zeros_like(x)
 
@@ -212,6 +230,10 @@ class PositiveDefinite(Geometry):
     def egrad2rgrad(self, x, g):
         return x @ hermitian_part(g) @ x
 
+    def ehess2rhess(self, x, g, h, u):
+        """Riemannian Hessian along u from the Euclidean gradient g and the Euclidean Hessian h along u."""
+        return x @ hermitian_part(h) @ x + hermitian_part(u @ hermitian_part(g) @ x)
+
     def _between(self, x, y, f):
         r, ir = sqrtm(x), invsqrtm(x)
         return hermitian_part(r @ spectral(hermitian_part(ir @ y @ ir), f) @ r)
@@ -260,6 +282,10 @@ class UnitDeterminant(PositiveDefinite):
     def egrad2rgrad(self, x, g):
         return self.proj(x, super().egrad2rgrad(x, g))
 
+    def ehess2rhess(self, x, g, h, u):
+        # determinant 1 is totally geodesic, so the Hessian is that of all matrices, projected
+        return self.proj(x, super().ehess2rhess(x, g, h, u))
+
     def exp(self, x, u):
         return unit_det(super().exp(x, u))[0]
 
@@ -295,6 +321,9 @@ class Grassmann(Geometry):
     def proj(self, x, u):
         return u - x @ (herm(x) @ u)
 
+    def ehess2rhess(self, x, g, h, u):
+        return self.proj(x, h) - u @ (herm(x) @ g)
+
     def exp(self, x, u):
         w, s, vh = np.linalg.svd(u, full_matrices=False)
         y = x @ (herm(vh) * np.cos(s)[..., None, :]) @ vh + (w * np.sin(s)[..., None, :]) @ vh
@@ -361,6 +390,11 @@ class Product(Geometry):
             r / w if w else np.zeros_like(r) for r, w in zip(self._each("egrad2rgrad", x, g), self.weights, strict=True)
         )
 
+    def ehess2rhess(self, x, g, h, u):
+        """Divided by the weights, as the gradient; for parts that have one."""
+        each = self._each("ehess2rhess", x, g, h, u)
+        return tuple(r / w if w else np.zeros_like(r) for r, w in zip(each, self.weights, strict=True))
+
     def exp(self, x, u):
         return self._each("exp", x, u)
 

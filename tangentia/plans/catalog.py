@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo
+from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo, pairs
 from tangentia.sources import images as image_source
 from tangentia.streaming.covariance import windowed_covariance
 
@@ -298,6 +298,19 @@ def _pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.round(2 * sum(entries[1:], entries[0]), 9).alias("msd"))
 
 
+@query(
+    "mean_squared_pairwise_airm",
+    f"""SELECT round(avg(CASE WHEN id = xid THEN 0 ELSE {_LOGS.format(h=f'({_TR}/2)', d='(dx/dy)')} END), 6) AS msd FROM
+    (SELECT y.id, x.id AS xid, x.a AS xa, x.b AS xb, x.e AS xe, y.a AS ya, y.b AS yb, y.e AS ye, x.a*x.e - x.b*x.b AS dx, y.a*y.e - y.b*y.b AS dy
+    FROM ({_COV2}) y, ({_COV2}) x)""",
+)
+def _pairwise_airm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a geometry without such moments, in blocks."""
+    bound = features.covariance(assume_centered=False).bind(2, 1)
+    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    return spark.createDataFrame([(round(pairs.mean_squared_distances(f, bound)[0], 6),)], "msd double")
+
+
 _FLAGGED = f"SELECT flag, id, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM ({_LINES}) GROUP BY flag, id"
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangentia.operators import images
+from tangentia.operators import evaluation, images
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,17 @@ def save_segmentation(labels: DataFrame, path: str) -> None:
     labels.select("r", "c", "k").write.mode("overwrite").parquet(path)
 
 
+def evaluate_and_save(labels: DataFrame, truth: DataFrame, path: str, normalize: bool = False) -> dict[str, float]:
+    """Write ``(r, c, k)`` with clusters renamed to the classes they match, and return the scores.
+
+    ``truth`` has ``(r, c, label)``; pixels without a label count for nothing.
+    """
+    rows = labels.join(truth.select("r", "c", F.col("label").alias("gt")), ["r", "c"], "left").withColumn("gt", F.coalesce("gt", F.lit(-1)))
+    named = evaluation.assign(rows, "k", "gt", normalize, out="k")
+    save_segmentation(named, path)
+    return evaluation.evaluate(rows, "k", "gt", normalize)
+
+
 def result_path(root: str, name: str, now: dt.datetime | None = None) -> str:
     """``<root>/results/<name>/<time>``, for a run's outputs."""
     return f"{root}/results/{name}/{(now or dt.datetime.now()):%Y-%m-%d_%H-%M-%S}"

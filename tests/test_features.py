@@ -198,3 +198,15 @@ def test_empty_and_packed(spark, samples):
     assert _bound(features.covariance(), samples.where("id < 0"))[1].count() == 0
     packed = estimate.packed(samples, ["id"], ["a", "b", "c"], ["obs"])
     np.testing.assert_allclose(np.array(packed.where("id = 1").first()["f"]["c0"]).reshape(P, N), _matrix(samples, 1))
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_all_pairs(samples, block):
+    from tangentia.operators import pairs
+
+    b, df = _bound(features.covariance_texture(), samples)
+    points = [b.point(r["f"]) for r in df.orderBy("id").collect()]
+    want = np.array([[b.distances(x, y) for y in points] for x in points])
+    np.testing.assert_allclose(pairs.mean_squared_distances(df, b, block=block), (want**2).mean(axis=(0, 1)), rtol=1e-6)
+    got = pairs.distances(df, b, block=block).toPandas().pivot(index="a", columns="b", values="d").to_numpy()
+    np.testing.assert_allclose(got, want[:, :, 0], atol=1e-6)

@@ -137,3 +137,38 @@ def test_spectral_functions():
     np.testing.assert_allclose(mx.log_det(unit), 0, atol=1e-10)
     np.testing.assert_allclose(unit * c[:, None, None], a)
     np.testing.assert_allclose(mx.sym(a) + mx.skew(a), a)
+
+
+@pytest.mark.parametrize("make", [SMOOTH[i] for i in (0, 1, 2, 3, 4, 5)])
+@pytest.mark.parametrize("cplx", [False, True])
+def test_hessians_by_differences_of_the_cost(make, cplx):
+    """<u, Hess u> is the second derivative of the cost along a geodesic."""
+    g, rng = make(cplx), np.random.default_rng(9)
+    x = g.rand(rng)
+    a = rng.standard_normal(np.shape(x)) + (1j * rng.standard_normal(np.shape(x)) if g.complex_valued else 0)
+
+    def cost(y):
+        return 0.5 * np.real(np.conj(a) * y).sum() ** 2 if not isinstance(g, geo.Grassmann) else 0.5 * np.real(np.trace(mx.herm(y) @ m @ y))
+
+    if isinstance(g, geo.Grassmann):
+        m = mx.hermitian_part(a @ mx.herm(a))
+        grad, hess = (lambda y: m @ y), (lambda y, u: m @ u)
+    else:
+        grad, hess = (lambda y: np.real(np.conj(a) * y).sum() * a), (lambda y, u: np.real(np.conj(a) * u).sum() * a)
+    u = g.rand_tangent(x, rng)
+    got = float(g.inner(x, u, g.ehess2rhess(x, grad(x), hess(x, u), u)))
+    h = 1e-4
+    want = (cost(g.exp(x, h * u)) - 2 * cost(x) + cost(g.exp(x, -h * u))) / h**2
+    assert got == pytest.approx(float(want), rel=1e-3, abs=1e-4)
+
+
+def test_dimensions_and_halfway_points():
+    assert geo.PositiveDefinite(3).dim == 6 and geo.PositiveDefinite(3, True).dim == 9
+    assert geo.UnitDeterminant(3).dim == 5 and geo.UnitProduct(4).dim == 3
+    assert geo.Grassmann(5, 2).dim == 6 and geo.Positive(4).typical_dist == 2
+    rng = np.random.default_rng(10)
+    for make in SMOOTH:
+        g = make(False)
+        x, y = g.rand(rng), g.rand(rng)
+        m = g.pair_mean(x, y)
+        assert float(g.dist(x, m)) == pytest.approx(float(g.dist(m, y)), rel=1e-5)

@@ -75,6 +75,13 @@ def test_source_and_sink(spark, pixels, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == H * W
 
 
+def test_evaluating_and_saving(spark, pixels, tmp_path):
+    swapped = pixels.select("r", "c", (2 - F.col("label")).alias("k"))
+    truth = pixels.select("r", "c", (F.col("label") - 1).alias("label"))
+    assert source.evaluate_and_save(swapped, truth, f"{tmp_path}/seg")["oa"] == 1.0
+    assert spark.read.parquet(f"{tmp_path}/seg").join(truth, ["r", "c"]).where("k <> label").count() == 0
+
+
 def test_pca(pixels):
     x = _array(pixels).reshape(-1, 2)
     q = np.linalg.eigh(np.cov(x.T, bias=True))[1][:, ::-1]
