@@ -232,6 +232,25 @@ class Feature:
         return self.means(df, None, f_col).get(None)
 
 
+def gather(feature: Feature, df: DataFrame, key: str, f_col: str = "f") -> tuple[np.ndarray, Any] | None:
+    """Keys and points of all rows if they are at most ``LOCAL_NUMBERS`` numbers together, else None."""
+    width = sum(int(np.prod(s)) * (1 + c) for s, c in feature.kinds)
+    rows = df.select(F.col(key).alias("k"), F.col(f_col).alias("f"))
+    table = rows.limit(LOCAL_NUMBERS // width + 1).toArrow()
+    if len(table) * width > LOCAL_NUMBERS:
+        return None
+    keys = np.array(table.column("k").to_pylist(), dtype=object)
+    return keys, feature.decode(table.column("f")) if len(table) else None
+
+
+def by_label(labels: np.ndarray, points) -> dict[Any, Any]:
+    out = {}
+    for label in dict.fromkeys(labels):
+        at = np.array([v == label for v in labels])
+        out[label] = tuple(a[at] for a in points) if isinstance(points, tuple) else points[at]
+    return out
+
+
 def _len(x) -> int:
     return len(x[0]) if isinstance(x, tuple) else len(x)
 
@@ -267,14 +286,19 @@ def _unreal(v: np.ndarray, kinds: list[tuple[tuple[int, ...], bool]], one: bool)
 
 
 class Means:
-    def __init__(self, feature: Feature, df: DataFrame, label_col: str | None, f_col: str):
+    """Means of the labels of a DataFrame, or of points at hand (a dict of label to points)."""
+
+    def __init__(self, feature: Feature, df: DataFrame | dict[Any, Any], label_col: str | None = None, f_col: str = "f"):
         self.f, self.g, self.kinds = feature, feature.geometry, feature.kinds
         self.one = not isinstance(self.g, geo.Product)
+        self.labelled, self.rows, self.local = True, None, None
+        if isinstance(df, dict):
+            self.local = df
+            return
         self.rows = df.select(
             (F.col(label_col) if label_col else F.lit(0)).alias("label"), F.col(f_col).alias("f")
         ).where(F.col("f").isNotNull())
         self.labelled = label_col is not None
-        self.local: dict[Any, Any] | None = None
         self.label_type = self.rows.schema["label"].dataType.simpleString()
 
     def sums(self, fn: Callable[[Any, Any], np.ndarray], extra: dict | None = None) -> dict[Any, tuple[int, np.ndarray]]:
@@ -325,6 +349,8 @@ class Means:
         if additive is not None:
             stat, back = additive
             out = {k: back(s / n) for k, (n, s) in self.sums(lambda x, _: stat(x)).items()}
+        elif self.local is not None:
+            out = self._descend(self._start(), max_iter)
         else:
             self.rows = self.rows.persist()
             try:
@@ -339,16 +365,9 @@ class Means:
 
     def _gather(self) -> None:
         """Brings the points here if they are few."""
-        width = sum(int(np.prod(s)) * (1 + c) for s, c in self.kinds)
-        if self.rows.limit(LOCAL_NUMBERS // width + 1).count() * width > LOCAL_NUMBERS:
-            return
-        table = self.rows.toArrow()
-        labels = np.array(table.column("label").to_pylist(), dtype=object)
-        points = self.f.decode(table.column("f")) if len(table) else None
-        self.local = {}
-        for label in dict.fromkeys(labels):
-            at = np.array([v == label for v in labels])
-            self.local[label] = tuple(a[at] for a in points) if isinstance(points, tuple) else points[at]
+        found = gather(self.f, self.rows, "label")
+        if found is not None:
+            self.local = by_label(*found)
 
     def _cast(self, point):
         parts = point if isinstance(point, tuple) else (point,)

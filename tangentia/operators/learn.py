@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tangentia.functions import checks
 from tangentia.operators import images
-from tangentia.operators.features import Feature
+from tangentia.operators.features import Feature, Means, by_label, gather
 
 
 def _nearest(classes: list, d: str = "d") -> Column:
@@ -130,8 +130,10 @@ class KMeans:
         x = features.select(self.id_col, "f").persist()
         try:
             best, criteria = None, []
+            here = gather(self.feature, x, self.id_col)
             for start in range(self.n_init):
-                model = self._lloyd(x, self.initial(x, start))
+                first = self.initial(x, start)
+                model = self._lloyd(x, first) if here is None or here[1] is None else self._lloyd_here(here[1], first)
                 criteria.append(model.criteria[0])
                 if best is None or model.criteria[0][-1] < best.criteria[0][-1]:
                     best = model
@@ -140,6 +142,22 @@ class KMeans:
         best.criteria = criteria
         return best
 
+    def _lloyd_here(self, x, points: list) -> KMeansModel:
+        """The same rounds over few points, on the driver."""
+        g, values, delta, it, used = self.feature.geometry, [], np.inf, 0, points
+        n = len(x[0]) if isinstance(x, tuple) else len(x)
+        for it in range(1, self.max_iter + 1):
+            d = np.stack([np.broadcast_to(g.dist(m, x), (n,)) for m in points], axis=1)
+            value, used = float((d.min(axis=1) ** 2).sum()), points
+            if values:
+                delta = abs(values[-1] - value) / values[-1] if values[-1] else 0.0
+            values.append(value)
+            if value == 0 or delta < self.tol or it == self.max_iter:
+                break
+            means = Means(self.feature, by_label(d.argmin(axis=1), x)).run(1000)
+            points = [means.get(k, old) for k, old in enumerate(points)]
+        return KMeansModel(self.feature, list(range(len(used))), used, it, float(delta), [values])
+
     def _lloyd(self, x: DataFrame, points: list) -> KMeansModel:
         values, delta, it, used = [], np.inf, 0, points
         for it in range(1, self.max_iter + 1):

@@ -184,6 +184,14 @@ def test_kmeans(samples):
         learn.KMeans(b, 0)
 
 
+def test_kmeans_here_and_there_agree(samples, monkeypatch):
+    b, df = _bound(features.covariance(False), samples)
+    here = learn.KMeans(b, 2, n_init=1, max_iter=4).fit(df)
+    monkeypatch.setattr(learn, "gather", lambda *a: None)
+    there = learn.KMeans(b, 2, n_init=1, max_iter=4).fit(df)
+    np.testing.assert_allclose(here.criteria[0], there.criteria[0], rtol=1e-6)
+
+
 def test_monte_carlo_and_samples(spark):
     sigma = np.eye(2)
     df = montecarlo.monte_carlo(spark, {"scm": sigma}, lambda rng: generate.gaussian(sigma, 100, rng), {"scm": features.covariance().bind(2, 100)}, 20, 1)
