@@ -78,12 +78,7 @@ class Model:
     threshold: float
 
     def scorer(self) -> Scorer:
-        """A scorer that tasks of this process share, with the words it has met."""
-        key = zlib.crc32(self.table.tobytes())
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(self)
-        return _SCORERS[key]
+        return Scorer(self)
 
 
 class _Rows(dict):
@@ -142,9 +137,6 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)

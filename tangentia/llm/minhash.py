@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def _signed(digest: bytes) -> tuple[int, int]:
 
 def _chunks(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``most`` bytes of text."""
-    sizes = [len(x) if x else 0 for x in batch.column("text").to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += n

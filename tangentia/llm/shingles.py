@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 #: Entries after which a per-process word cache is emptied (bounds memory).
-WORD_CACHE_LIMIT = 400_000
+WORD_CACHE_LIMIT = 150_000
 
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93],
