@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -49,7 +50,7 @@ SCOPES = {"li": ("ul", "ol", "menu"), "td": ("table",), "th": ("table",), "tr":
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?:(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<odd>[^<>]*)>)",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -98,6 +99,7 @@ def parse(page: str) -> list[Node]:
     nodes = [Node("body", -1)]
     # open elements: (name, node or None if inline, dropped, in a link)
     stack: list[tuple[str, int | None, bool, bool]] = []
+    opened: Counter[str] = Counter()
     run = _Run()
     at, n = 0, len(page)
 
@@ -131,9 +133,12 @@ def parse(page: str) -> list[Node]:
         """Ends the open elements from ``depth`` on."""
         if any(node is not None for _, node, _, _ in stack[depth:]):
             flush()
+        opened.subtract(x[0] for x in stack[depth:])
         del stack[depth:]
 
     def open_at(names: tuple[str, ...], barriers: tuple[str, ...]) -> int:
+        if not any(opened[x] for x in names):
+            return -1
         for d in range(len(stack) - 1, -1, -1):
             if stack[d][0] in names:
                 return d
@@ -162,8 +167,9 @@ def parse(page: str) -> list[Node]:
             continue
         if name in ("html", "body"):
             continue
-        words, hidden, label = _attributes(m["attrs"]) if m["attrs"] else ((), False, None)
-        if name in RAW and not m["attrs"].endswith("/"):
+        attrs = m["attrs"] or m["odd"] or ""
+        words, hidden, label = _attributes(attrs) if attrs else ((), False, None)
+        if name in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
@@ -185,6 +191,7 @@ def parse(page: str) -> list[Node]:
         gone = dropped() or hidden or name in DROPPED
         if name in INLINE:
             stack.append((name, None, gone, linked() or name == "a"))
+            opened[name] += 1
             continue
         flush()
         parent = block()
@@ -193,6 +200,7 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(name, parent, words, label=label))
             node = len(nodes) - 1
         stack.append((name, node, gone, linked()))
+        opened[name] += 1
     if at < n:
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z/!]", rest)
@@ -232,6 +240,7 @@ def features(nodes: list[Node], i: int) -> list[str]:
         return out
     out = [
         f"tag:{node.tag}",
+        f"path:{nodes[node.parent].tag if node.parent >= 0 else ''}>{node.tag}",
         f"size:{_level(node.size, 1, 40, 150, 600, 2000)}",
         f"links:{_level(node.all_linked / max(1, node.size), 0.05, 0.3, 0.7)}",
         f"long:{_level(node.size / max(1, node.runs), 20, 60, 150)}",

@@ -8,10 +8,11 @@ named divisions, roles, or nothing at all.  ``data-content`` marks what is
 from __future__ import annotations
 
 import random
+import re
 
 from tangentia.llm.html import Node
 
-PAGES, SEED = 600, 5
+PAGES, SEED = 1500, 5
 _SYLLABLES = "an be cor de el fi gra ho in jo ka lu mo na or pe qui ra se ti un ve wa zen ing tion der que ent".split()
 _NAMES = {
     "menu": "menu navbar nav navigation topnav breadcrumb breadcrumbs toolbar tabs links skip toc main-nav mega-menu".split(),
@@ -146,8 +147,8 @@ class _Page:
 
     def article(self) -> str:
         out = [f"<h1>{self.words(2, 9)}</h1>"] if self.r.random() < 0.85 else []
-        kind = self.r.random()
-        for _ in range(self.r.randint(1, 9) if kind > 0.2 else self.r.randint(1, 30)):
+        kind, bare = self.r.random(), self.r.random() < 0.12
+        for _ in range(1 if kind > 0.9 else self.r.randint(1, 9) if kind > 0.2 else self.r.randint(1, 30)):
             x = self.r.random()
             if kind < 0.06:
                 out.append(f"<p>{self.plain()}</p>")
@@ -169,9 +170,11 @@ class _Page:
                 out.append("<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(2)) + "</table>")
             else:
                 out.append(f"<p><b>{self.words(3, 9)}.<br>{self.prose()}")
-            if self.r.random() < 0.08:
+            if not bare and self.r.random() < 0.08:
                 out.append(self.r.choice((self.advert, self.share, self.notice, self.sidebar, self.form))())
         inner = "".join(out)
+        if bare:  # nothing around the article but the body
+            return re.sub(r"<(p|h1|h2|ul|div|blockquote|pre|table)>", r'<\1 data-content="1">', inner)
         if self.r.random() < 0.3:
             inner = self.part("content", inner, 1) if self.r.random() < 0.5 else f'<section data-content="1">{inner}</section>'
         if self.r.random() < 0.12:
