@@ -42,7 +42,7 @@ ENDINGS = CLASSES - 1 - OWN
 ADDED = 0.1
 NOISE, STEPS, RATE, SEED = 10, 160, 0.05, 11
 #: Distinct words a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 200_000
 
 
 def ending_class(word: bytes) -> int:
@@ -122,6 +122,13 @@ def _words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, so that no more than some hundred texts are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -130,7 +137,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"]
         )
 
-    for batch in batches:
+    for batch in _texts(batches):
         for text in batch.column("text").to_pylist():
             counts.update(_words(text))
             if len(counts) >= COUNTED:
@@ -171,7 +178,7 @@ def _trigrams(shared):
         head = shared.value
         ids, classes = _Ids(head), head_classes(head)
         total = np.zeros(CLASSES**3, dtype=np.int64)
-        for batch in batches:
+        for batch in _texts(batches):
             codes, held = [], 0
             for text in batch.column("text").to_pylist():
                 codes.append(_codes(classes[ids.of(_words(text))]))
@@ -202,7 +209,7 @@ def _score(shared):
         ids, classes, table = _Ids(s.head), head_classes(s.head), s.model.log10_table().ravel()
         n = len(s.head)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _texts(batches):
             out = {k: [] for k in ("row", "n_tokens", "known", "base", "score", "rare", "times")}
             for text in batch.column("text").to_pylist():
                 words = _words(text)
