@@ -25,8 +25,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    return minhash.keep_distinct(docs)
+    """One document of each group of near duplicates (a Jaccard of 0.8 or more) stays, the one with the smallest id."""
+    return minhash.keep_distinct(docs, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

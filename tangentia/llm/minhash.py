@@ -21,6 +21,7 @@ Nothing depends on how many copies a text has:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from tangentia.llm.common import components, written
 from tangentia.llm.shingles import WordHashes, jaccard_counts, mix, shingle_set
 
-PERMUTATIONS, ROWS, WIDTH = 176, 8, 5
+PERMUTATIONS, WIDTH = 176, 5
+#: Most probability with which a pair at the threshold may share no band.
+MISSED = 1e-6
 #: Members and shingles of a block; a family within one block is one group.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
 #: Standard deviations of the signature's estimate below the threshold at which a pair is not confirmed on its sets.
@@ -58,7 +61,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def missed(percent: int, rows: int) -> float:
+    """Probability that a pair at the threshold shares no band of ``rows`` values."""
+    return (1 - (percent / 100) ** rows) ** (2 * PERMUTATIONS // rows)
+
+
+def rows_for(percent: int) -> int:
+    """The longest bands that miss a pair at the threshold seldom enough: 8 values at 85, 6 at 80."""
+    return next((r for r in range(16, 1, -1) if missed(percent, r) <= MISSED), 1)
+
+
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """64-bit bucket keys, one for each band of ``rows`` values."""
     bands = sig.shape[1] // rows
     out = np.empty((len(sig), bands), dtype=np.uint64)
@@ -88,8 +101,8 @@ def _chunks(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[int,
         yield start, len(sizes)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text binary) -> (doc_id, n_shingles, h1, h2, bands)."""
+def _sketch(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text binary) -> (doc_id, n_shingles, h1, h2, bands of ``rows`` values)."""
     hashes = WordHashes()
     for batch in batches:
         for a, z in _chunks(batch):
@@ -97,7 +110,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = batch.column("text").slice(a, z - a).to_pylist()
             sets = [shingle_set(hashes.of((t or b"").lower().split()), WIDTH) for t in texts]
             some = [k for k, s in enumerate(sets) if len(s)]
-            keys = band_keys(signatures([sets[k] for k in some])).view(np.int64)
+            keys = band_keys(signatures([sets[k] for k in some]), rows).view(np.int64)
             per = keys.shape[1]
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
             offsets[1:][some] = per
@@ -238,7 +251,7 @@ def near_duplicates(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
     )
     sketch = written(
-        docs.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch"
+        docs.mapInArrow(partial(_sketch, rows_for(percent)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch"
     )
     classes = written(
         sketch.where("doc_id is not null and n_shingles > 0")

@@ -51,3 +51,10 @@ def test_pipeline_of_nothing(spark, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_of_the_tables_takes_pairs_from_080_on(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert kept == set(components(rows, 80).values()) < set(components(rows).values())
