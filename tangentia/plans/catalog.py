@@ -677,23 +677,51 @@ def _toeplitz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, j, float(t[i, j])) for i in range(5) for j in range(5)], "i long, j long, v double")
 
 
-# -- robust features of equal length, and Monte-Carlo
+# -- robust features of whole users or of blocks of equal length, and Monte-Carlo
 
+#: Observations of a block; the point of a feature with textures has one for each.
+BLOCK = 40
 
-def _equal(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
-    """The first ``n`` observations of every user that has them, with three channels."""
+
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every observation of every user, with three channels."""
+    e = _events(spark, sf_dir).where("id is not null")
+    return e.withColumn("w", F.col("v") * F.col("h") + F.col("event_id") % 7 / 7)
+
+
+def _blocks(samples: DataFrame, n: int = BLOCK) -> DataFrame:
+    """Users cut into consecutive blocks of ``n`` observations, as columns ``block`` and ``obs`` (from 0).
+
+    The last block is a user's last ``n`` observations, so it shares some with
+    the block before unless the user's number is a multiple of ``n``.  A user
+    of fewer has one block, which goes round the observations until it is full.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("id").orderBy("ts", "event_id")
-    e = _events(spark, sf_dir).withColumn("obs", F.row_number().over(w)).where(F.col("obs") <= n)
-    e = e.withColumn("w", F.col("v") * F.col("h") + F.col("event_id") % 7 / 7)
-    return e.where("id is not null").withColumn("have", F.max("obs").over(Window.partitionBy("id"))).where(F.col("have") == n).drop("have")
+    w = Window.partitionBy("id")
+    s = samples.withColumns({"_i": F.row_number().over(w.orderBy("ts", "event_id")) - 1, "_m": F.count("*").over(w)})
+    own, last = F.floor(F.col("_i") / n), F.ceil(F.col("_m") / n) - 1
+
+    def seat(block, obs):
+        return F.struct(block.cast("int").alias("block"), obs.cast("int").alias("obs"))
+
+    none = F.array().cast("array<struct<block: int, obs: int>>")
+    full = F.concat(
+        F.when(own < last, F.array(seat(own, F.col("_i") - own * n))).otherwise(none),
+        F.when(F.col("_i") >= F.col("_m") - n, F.array(seat(last, F.col("_i") - F.col("_m") + n))).otherwise(none),
+    )
+    round_ = F.transform(F.sequence(F.col("_i").cast("long"), F.lit(n - 1).cast("long"), F.col("_m")), lambda x: seat(F.lit(0), x))
+    seats = F.when(F.col("_m") >= n, full).otherwise(round_)
+    return s.withColumn("_seat", F.explode(seats)).select(*samples.columns, "_seat.*")
 
 
 def _feature_query(name: str, feature: features.Feature) -> None:
     @query(f"feature_{name}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return feature.bind(3, 40).estimate(_equal(spark, sf_dir), ["id"], ["v", "h", "w"], ["obs"]).select("id", "f")
+        users, bound = _users(spark, sf_dir), feature.bind(3, BLOCK)
+        if feature.needs_order:
+            return bound.estimate(_blocks(users), ["id", "block"], ["v", "h", "w"], ["obs"]).select("id", "block", "f")
+        return bound.estimate(users, ["id"], ["v", "h", "w"], ["ts", "event_id"]).select("id", "f")
 
 
 for _name, _feature in {
