@@ -31,6 +31,8 @@ DROPPED = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "template"))
+#: Elements that can stand in a head; any other start tag, and text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: Elements within a block of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q "
@@ -54,6 +56,8 @@ _TAG = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Attributes of a self-closed tag: the slash isn't the end of a value without quotes.
+_CLOSED = re.compile(r"""(?:^|[\s"'])[^\s"'=]*/\s*$""")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -124,6 +128,8 @@ def parse(page: str) -> list[Node]:
             run = _Run()
 
     def add(text: str) -> None:
+        if stack and stack[-1][0] == "head" and text and not text.isspace():
+            close(len(stack) - 1)
         if text and not dropped():
             run.parts.append(text)
             if linked():
@@ -165,11 +171,19 @@ def parse(page: str) -> list[Node]:
             if d >= 0 and (name not in INLINE or all(x[1] is None for x in stack[d:])):
                 close(d)
             continue
+        if name not in IN_HEAD and name != "html" and opened["head"]:
+            close(open_at(("head",), ()))
         if name in ("html", "body"):
             continue
         attrs = m["attrs"] or m["odd"] or ""
         words, hidden, label = _attributes(attrs) if attrs else ((), False, None)
-        if name in RAW and not attrs.endswith("/"):
+        shut = name in DROPPED and attrs.endswith("/") and _CLOSED.search(attrs[-200:]) is not None
+        if shut and name in RAW:  # a slash doesn't count where the element's own end tag comes next
+            after = re.compile(rf"<(/?){name}\b", re.I).search(page, at)
+            shut = after is None or not after[1]
+        if shut:
+            continue
+        if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue

@@ -198,7 +198,10 @@ class _Page:
             side = self.sidebar()
             body = f'<div class="{self.r.choice(("wrapper", "container", "row", "layout", "page"))}">{body + side if self.r.random() < 0.6 else side + body}</div>'
         self.r.shuffle(before)
-        return f'<html><head><title>{self.words(2, 5)}</title></head><body>{"".join(before)}{body}{"".join(after)}</body></html>'
+        title = self.words(2, 5)
+        start = self.r.choice(("</head><body>", "</head><body>", "</head><body>", "<body>", ""))  # the tags are optional
+        empty = self.r.choice(("", "", "", '<svg class="icon"/>', "<canvas/>"))
+        return f'<html><head><title>{title}</title>{start}{empty}{"".join(before)}{body}{"".join(after)}</body></html>'
 
 
 def pages(n: int = PAGES, seed: int = SEED) -> list[str]:

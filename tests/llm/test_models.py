@@ -198,3 +198,22 @@ def test_extraction_over_rows(spark):
     got = sorted(map(tuple, html.extract(df).collect()), key=repr)
     assert got == sorted([(1, "http://x", TEXT, len(TEXT)), (2, None, "", 0), (None, "u", "", 0), (1, "http://x", TEXT, len(TEXT))], key=repr)
     assert html.extract(df.where("page_id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("start", ["</head><body>", "<body>", "", "<meta charset=utf-8><link rel=x href=/y/><script src='a.js'/><body>", "<template><p>no</template><body>"])
+def test_optional_head_end_loses_nothing(start):
+    assert "</head><body>" in PAGE
+    page = PAGE.replace("</head><body>", start)
+    assert html.main_text(page, html.default_model()) == TEXT
+    assert [n.text for n in html.parse("<head><title>T</title>Words <p>More")[1:] if n.tag == "#"] == ["Words", "More"]
+
+
+def test_self_closed_dropped_elements_swallow_nothing():
+    def runs(page):
+        return [n.text for n in html.parse(page) if n.tag == "#"]
+
+    for empty in ("<svg/>", '<svg class="i" />', "<canvas/>", "<iframe src='x'/>", '<script src="x"/>', "<object hidden/>"):
+        assert runs(f"<div>{empty}<p>One</p></div><p>Two</p>") == ["One", "Two"], empty
+        assert html.main_text(PAGE.replace("<body>", f"<body>{empty}"), html.default_model()) == TEXT, empty
+    assert runs("<svg><title/><text>no</text></svg><p>One</p>") == ["One"]
+    assert runs("<script src=x/>var no</script><object data=/x/>no</object><script/>no</script><p>One</p>") == ["One"]
