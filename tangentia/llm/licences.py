@@ -39,11 +39,15 @@ TEMPLATES = {
     "MIT": [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
         "under the MIT License",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
         "under the BSD 3-Clause License",
         "under the BSD 2-Clause License",
     ],
@@ -89,6 +93,35 @@ TEMPLATES = {
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+        "under the ISC License",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "under the zlib License",
+    ],
+    "BSL-1.0": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so',
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "under the Boost Software License, Version 1.0",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "under the Eclipse Public License 2.0",
+    ],
+    "EUPL": [
+        'Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the "Licence"); You may not use this work except in compliance with the Licence.',
+        "under the European Union Public Licence, version 1.2",
+    ],
+    "Artistic": [
+        "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed. The intent is that the Copyright Holder maintains some artistic control over the development of that Package while still keeping the Package available as open source and free software.",
+        "under the Artistic License 2.0",
     ],
 }
 _LEADS = ("Licensed", "Released", "Distributed", "Published", "This work is licensed", "This project is released", "Available", "The code is licensed", "Content is available", "All files are")
@@ -106,6 +139,14 @@ _COMMON = frozenset(
 )
 #: Names that are enough for a piece to be classified; of other licence words it takes two.
 _NAMES = frozenset("gpl lgpl agpl mpl bsd cc0 unlicense".split())
+#: SPDX identifiers, by family; the longest beginning counts.
+SPDX = {
+    "apache-2.0": "Apache-2.0", "mit": "MIT", "bsd-": "BSD", "0bsd": "BSD", "gpl-": "GPL", "lgpl-": "LGPL", "agpl-": "AGPL",
+    "mpl-2.0": "MPL-2.0", "cc-by-": "CC-BY", "cc-by-sa-": "CC-BY-SA", "cc-by-nc-": "CC-BY-NC", "cc-by-nd-": "CC-BY-ND", "cc0-": "CC0",
+    "unlicense": "Unlicense", "isc": "ISC", "zlib": "Zlib", "bsl-1.0": "BSL-1.0", "epl-": "EPL", "eupl-": "EUPL", "artistic-": "Artistic",
+}
+_TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*(.*)", re.I)
+_IDENTIFIER = re.compile(r"[a-z0-9][a-z0-9.\-]*", re.I)
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]")
 
 
@@ -151,6 +192,9 @@ def _examples(rng: random.Random, n: int) -> list[tuple[str, str]]:
             words = text.split()
         else:
             words = [w for w in text.split() if rng.random() > 0.06]
+            if len(words) > WINDOW and rng.random() < 0.5:  # as long paragraphs are read
+                at = rng.randrange(len(words) - WINDOW + 1)
+                words = words[at : at + WINDOW]
         words = prose(rng.choice((0, 0, 0, 4, 15))) + words + prose(rng.choice((0, 0, 0, 6, 30)))
         out.append((" ".join(words), family))
         miss = prose(rng.randint(2, 40))
@@ -162,7 +206,7 @@ def _examples(rng: random.Random, n: int) -> list[tuple[str, str]]:
     return out
 
 
-def train(n: int = 2500, rounds: int = 4, rate: float = 0.5) -> Model:
+def train(n: int = 4000, rounds: int = 4, rate: float = 0.5) -> Model:
     rng = random.Random(SEED)
     families = [*TEMPLATES, "unknown"]
     data = [(_ids(ngrams(t)), families.index(f)) for t, f in _examples(rng, n)]
@@ -213,6 +257,12 @@ def overlap(paragraph: str, family: str) -> float:
     return best
 
 
+def confirmed(paragraph: str, family: str) -> bool:
+    """Whether the paragraph has enough in common with the family, and no more with another one."""
+    own = overlap(paragraph, family)
+    return own >= LEAST_OVERLAP and all(overlap(paragraph, f) <= own for f in _template_grams())
+
+
 def paragraphs(text: str) -> Iterator[str]:
     """Lines, and runs of lines between blank ones where they are more than one."""
     for block in re.split(r"\n[^\S\n]*\n", text):
@@ -231,6 +281,28 @@ def pieces(paragraph: str) -> Iterator[str]:
             yield " ".join(words[at : at + WINDOW])
 
 
+def tagged(paragraph: str) -> set[str]:
+    """Families of the SPDX expressions in a paragraph; identifiers of other licences give none."""
+    found = set()
+    for expression in _TAGGED.findall(paragraph):
+        exception = open_ = False
+        for x in re.findall(r"[()]|[^\s()]+", expression):
+            word = x.lower()
+            if word in ("or", "and", "with", "(", ")"):
+                exception, open_ = word == "with", False
+                continue
+            if open_:  # an expression ends where two words follow each other
+                break
+            open_ = True
+            name = _IDENTIFIER.match(word)
+            if name is None:
+                break
+            begin = max((b for b in SPDX if name[0] == b or (b[-1] == "-" and name[0].startswith(b))), key=len, default="")
+            if begin and not exception:
+                found.add(SPDX[begin])
+    return found
+
+
 def _may_name(text: str, model: Model) -> bool:
     """Whether a text has the words without which none of its pieces is confirmed."""
     words = model.vocabulary.intersection(_WORD.findall(text.lower()))
@@ -241,9 +313,13 @@ def scan(text: str | None, model: Model) -> tuple[list[str], int, int, float]:
     """Families found (sorted), paragraphs read, paragraphs confirmed, highest probability among them."""
     found, read, hits, best = set(), 0, 0, 0.0
     may = _may_name(text or "", model)
+    tags = _TAGGED.search(text or "") is not None
     for paragraph in paragraphs(text or ""):
         read += 1
         before = hits
+        if tags and (names := tagged(paragraph)):
+            found |= names
+            hits, best = before + 1, 1.0
         if not may:
             continue
         for piece in pieces(paragraph):
@@ -253,7 +329,7 @@ def scan(text: str | None, model: Model) -> tuple[list[str], int, int, float]:
                 continue
             p = model.probabilities(piece)
             k = int(p.argmax())
-            if model.families[k] == "unknown" or p[k] < model.threshold or overlap(piece, model.families[k]) < LEAST_OVERLAP:
+            if model.families[k] == "unknown" or p[k] < model.threshold or not confirmed(piece, model.families[k]):
                 continue
             found.add(model.families[k])
             hits = before + 1

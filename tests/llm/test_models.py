@@ -217,3 +217,29 @@ def test_self_closed_dropped_elements_swallow_nothing():
         assert html.main_text(PAGE.replace("<body>", f"<body>{empty}"), html.default_model()) == TEXT, empty
     assert runs("<svg><title/><text>no</text></svg><p>One</p>") == ["One"]
     assert runs("<script src=x/>var no</script><object data=/x/>no</object><script/>no</script><p>One</p>") == ["One"]
+
+
+@pytest.mark.parametrize(
+    "line, families",
+    [
+        ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-3.0-only", ["GPL"]),
+        ("/* SPDX-License-Identifier: (MIT OR LGPL-2.1-or-later) */", ["LGPL", "MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL"]),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0", ["CC-BY-SA"]),
+        ("SPDX-License-Identifier: Beerware", []),
+        ('The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability.', ["MIT"]),
+        ("This software is provided by the regents and contributors ``as is'' and any express or implied warranties, including, but not limited to, the implied warranties of merchantability are disclaimed.", ["BSD"]),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that this permission notice appear in all copies.", ["ISC"]),
+        ("This code is available under the zlib license.", ["Zlib"]),
+        ("Use is subject to the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("All of it is released under the Eclipse Public License v2.0", ["EPL"]),
+        ("You may use it under the European Union Public Licence (EUPL) v1.2", ["EUPL"]),
+        ("It is distributed under the Artistic License 2.0, like Perl.", ["Artistic"]),
+    ],
+)
+def test_licence_wordings_that_are_no_templates(line, families):
+    model = licences.default_model()
+    assert licences.scan(line, model)[0] == families
+    assert licences.scan(f"{prose(60, 3)}\n{line}\n{prose(40, 4)}", model)[0] == families
