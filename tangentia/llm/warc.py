@@ -8,7 +8,8 @@ payload is asked for.  Predicates on ``record_type`` and other header columns
 
 Paths may be of any file system that pyarrow opens (``file:``, ``hdfs:``, ``s3:``,
 ``gs:``); archives are written to the shared folder of the session, each by one
-task attempt under a name of its own, and only committed files are read.
+task attempt under a name of its own.  Every committed job leaves a manifest of its
+files; where a folder has manifests, the files of all of them are read and no others.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,7 +46,8 @@ from tangentia.llm.common import shared_dir
 ROTATE_BYTES = 256 << 20
 #: Payloads from this size on are stored once.
 LEAST_DEDUP_BYTES = 1000
-_COMMIT = "_committed.json"
+#: Manifests are ``_committed-<job>.json``.
+_COMMIT = "_committed-"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Column, WARC header and how to read it.
 _HEADERS = {
@@ -81,9 +84,17 @@ def _digest_header(hexed: str) -> str:
 
 
 def _digest_hex(header: str | None) -> str | None:
-    if not header or not header.startswith("sha1:"):
+    """Bare hex of a SHA-1 label in base32 or hex, of any case; null for any other digest."""
+    kind, _, value = (header or "").strip().partition(":")
+    if kind.lower() != "sha1":
         return None
-    return base64.b32decode(header[5:]).hex()
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
+def _long(header: str | None) -> int | None:
+    return int(header) if header and re.fullmatch(r"-?[0-9]{1,18}", header.strip()) else None
 
 
 def _clean(value: str) -> str:
@@ -115,17 +126,21 @@ class WarcSource(DataSource):
         return WarcReader(self.options, [f.name for f in schema.fields])
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options, [f.name for f in schema.fields])
+        return WarcWriter(self.options, overwrite)
 
 
 class WarcWriter(DataSourceWriter):
-    """Writes rows (page_id, url, record_type, refers_to, digest, payload) as records, each gzipped on its own."""
+    """Writes rows (page_id, url, record_type, refers_to, digest, payload) as records, each gzipped on its own.
 
-    def __init__(self, options: dict, names: list[str]):
-        self.path = options["path"]
+    A job's files count once its manifest is written.  ``overwrite`` then removes
+    the manifests and archives that were there before, so what a reader meets in
+    between is both, never neither.
+    """
+
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
         self.rotate = int(options.get("rotate_bytes", ROTATE_BYTES))
         self.gzip = options.get("gzip", "true").lower() == "true"
-        self.names = names
 
     def write(self, rows: Iterator) -> _Written:
         where, root = open_fs(self.path)
@@ -150,7 +165,7 @@ class WarcWriter(DataSourceWriter):
         uri = row["url"]
         headers = {
             "WARC-Type": row["record_type"],
-            "WARC-Record-ID": f"<{uuid.uuid4().urn}>",
+            "WARC-Record-ID": self._record_id(row["page_id"], row["record_type"], row["digest"]),
             "WARC-Date": "1970-01-01T00:00:00Z",
             **({} if uri is None else {"WARC-Target-URI": _clean(uri)}),
             "WARC-Payload-Digest": _digest_header(row["digest"]),
@@ -158,7 +173,11 @@ class WarcWriter(DataSourceWriter):
             **({} if row["page_id"] is None else {"Page-ID": str(row["page_id"])}),
         }
         if row["record_type"] == "revisit":
-            headers |= {"WARC-Profile": _PROFILE, "Refers-To-Page-ID": str(row["refers_to"])}
+            headers |= {
+                "WARC-Profile": _PROFILE,
+                "WARC-Refers-To": self._record_id(row["refers_to"], "response", row["digest"]),
+                "Refers-To-Page-ID": str(row["refers_to"]),
+            }
             data = record_bytes(headers, b"")
         else:
             data = record_bytes(headers | {"Content-Type": "text/html; charset=utf-8"}, payload)
@@ -167,12 +186,22 @@ class WarcWriter(DataSourceWriter):
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
         return z.compress(data) + z.flush()
 
+    def _record_id(self, page_id: int | None, kind: str, digest: str) -> str:
+        """An id that a revisit can name without having met the response: of the job, page and payload."""
+        if page_id is None:
+            return f"<{uuid.uuid4().urn}>"
+        return f"<{uuid.uuid5(uuid.UUID(self.job), f'{kind}/{page_id}/{digest}').urn}>"
+
     def commit(self, messages: list[_Written | None]) -> None:
         where, root = open_fs(self.path)
         where.create_dir(root, recursive=True)
+        before = [i for i in _listed(where, root) if _is_archive(i.path) or _is_manifest(i.path)] if self.overwrite else []
         files = sorted(f for m in messages if m for f in m.files)
-        with where.open_output_stream(f"{root}/{_COMMIT}") as out:
+        with where.open_output_stream(f"{root}/{_COMMIT}{self.job}.json") as out:
             out.write(json.dumps(files).encode())
+        gone = [i.path for i in before if i.base_name not in files]
+        for path in sorted(gone, key=lambda x: not _is_manifest(x)):
+            where.delete_file(path)
 
     def abort(self, messages: list[_Written | None]) -> None:
         where, root = open_fs(self.path)
@@ -181,6 +210,21 @@ class WarcWriter(DataSourceWriter):
                 where.delete_file(f"{root}/{f}")
 
 
+def _listed(where: fs.FileSystem, root: str) -> list[fs.FileInfo]:
+    """The files below a folder, or the one file a path names."""
+    if where.get_file_info(root).type == fs.FileType.Directory:
+        return where.get_file_info(fs.FileSelector(root, recursive=True))
+    return [where.get_file_info(root)]
+
+
+def _is_archive(path: str) -> bool:
+    return path.endswith((".warc", ".warc.gz"))
+
+
+def _is_manifest(path: str) -> bool:
+    return re.search(rf"(^|/){_COMMIT}[0-9a-f]+\.json$", path) is not None
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
         self.path, self.names = options["path"], names
@@ -201,11 +245,15 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[_File]:
         where, root = open_fs(self.path)
-        if where.get_file_info(f"{root}/{_COMMIT}").type == fs.FileType.File:
-            with where.open_input_stream(f"{root}/{_COMMIT}") as f:
-                return [_File(f"{root}/{name}") for name in json.loads(f.read())] or [_File("")]
-        found = where.get_file_info(fs.FileSelector(root, recursive=True)) if where.get_file_info(root).type == fs.FileType.Directory else where.get_file_info([root])
-        return [_File(i.path) for i in found if i.path.endswith((".warc", ".warc.gz"))] or [_File("")]
+        found = _listed(where, root)
+        jobs = [i.path for i in found if _is_manifest(i.path)]
+        paths = [i.path for i in found if _is_archive(i.path)]
+        if jobs:
+            paths = []
+            for job in jobs:
+                with where.open_input_stream(job) as f:
+                    paths += [f"{job.rpartition('/')[0]}/{name}" for name in json.loads(f.read())]
+        return [_File(p) for p in sorted(paths)] or [_File("")]
 
     def passes(self, values: dict) -> bool:
         return all((values[c] in x) if how == "in" else ((values[c] is None) == x) for c, how, x in self.tests)
@@ -222,7 +270,7 @@ class WarcReader(DataSourceReader):
                 if not self.passes(values):
                     continue
                 if wants:
-                    values["payload"] = block() if values["record_type"] == "response" else None
+                    values["payload"] = None if values["record_type"] == "revisit" else block()
                     held += len(values["payload"] or b"")
                 rows.append(values)
                 if len(rows) >= 4096 or held >= 32 << 20:
@@ -241,7 +289,7 @@ class WarcReader(DataSourceReader):
 def header_values(headers: dict[str, str]) -> dict:
     out: dict = {c: headers.get(h.lower()) for c, h in _HEADERS.items()}
     for c in _LONGS:
-        out[c] = None if out[c] is None else int(out[c])
+        out[c] = _long(out[c])
     out["payload_digest"] = _digest_hex(out["payload_digest"])
     return out
 
@@ -289,13 +337,18 @@ def records(stream) -> Iterator[tuple[dict[str, str], object]]:
             raise ValueError(f"no WARC record where one should begin: {line[:40]!r}")
         headers = {}
         while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8").partition(":")
+            name, _, value = line.decode("utf-8", errors="replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        n, taken = int(headers.get("content-length", "0")), []
+        n, taken = _long(headers.get("content-length", "0")), []
+        if not line or n is None or n < 0:
+            raise ValueError("a record's headers end early or give no length")
 
         def block(n=n, taken=taken) -> bytes:
             if not taken:
-                taken.append(stream.read(n))
+                data = stream.read(n)
+                if len(data) < n:
+                    raise ValueError(f"a record ends early: {len(data)} of {n} bytes")
+                taken.append(data)
             return taken[0]
 
         yield headers, block
@@ -341,7 +394,9 @@ def archive_pages(
     records with equal payloads of at least ``least_bytes``, that with the largest
     id is a response and the others are revisits of it; shorter payloads are all
     responses.  Rows with a null id are responses and never referred to, rows
-    that repeat the largest id are responses too.  A null url is left out.
+    that repeat the largest id are responses too (and carry the same record
+    id, as page and payload are the same).  A null url is left out.  What was
+    written to ``path`` before stays; revisits refer to records of the same call.
     """
     register(pages.sparkSession)
     rows = pages.select(
@@ -360,8 +415,9 @@ def archive_pages(
         .where("copies > 1")
         .select("digest", "kept")
     )
-    # the payloads move once, unsorted; a digest of very many pages is one the engine may split
-    rows = rows.join(kept.hint("shuffle_hash"), "digest", "left")
+    # the payloads move once, unsorted; small ones, of which very many may be equal, meet no digest and are spread by row
+    rows = rows.withColumn("_at", F.when(large, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string")))
+    rows = rows.join(kept.withColumnRenamed("digest", "_at").hint("shuffle_hash"), "_at", "left")
     revisit = large & F.col("page_id").isNotNull() & (F.col("kept") > F.col("page_id"))
     rows = rows.select(
         "page_id",

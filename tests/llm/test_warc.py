@@ -78,3 +78,56 @@ def test_broken_archives_are_errors():
         list(warc.records(io.BytesIO(b"junk\r\n")))
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(good[:-6])))
+    for cut in (1, 3, 6, 20, len(good) - 5):
+        for packed in (False, True):
+            data = gzip.compress(good)[:-cut] if packed and cut > 8 else good[: len(good) - cut - 4]
+            stream = warc._members(io.BytesIO(data)) if packed and cut > 8 else io.BytesIO(data)
+            with pytest.raises((ValueError, EOFError)):
+                for _, block in warc.records(stream):
+                    block()
+
+
+def test_second_write_and_overwrite(spark, tmp_path):
+    _, pages = _pages(spark)
+    path = str(tmp_path / "a")
+    warc.archive_pages(pages.where("page_id in (3, 4)"), path)
+    warc.archive_pages(pages.where("page_id = 10"), path)
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).select("page_id").collect()) == [3, 4, 10]
+    (tmp_path / "a" / "part-0.warc").write_bytes(b"left by a job that died")
+    assert warc.read_archives(spark, path).count() == 3
+    row = spark.createDataFrame([(7, "u", "response", None, "00" * 20, b"z")], "page_id long, url string, record_type string, refers_to long, digest string, payload binary")
+    row.write.format("warc").mode("overwrite").option("path", path).save()
+    assert [r["page_id"] for r in warc.read_archives(spark, path).collect()] == [7]
+    assert len([p for p in (tmp_path / "a").iterdir() if "warc" in p.name and not p.name.startswith(".")]) == 1
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    _, pages = _pages(spark)
+    warc.archive_pages(pages, str(tmp_path), gzip="false")
+    named, ids = [], set()
+    for p in tmp_path.iterdir():
+        if p.suffix == ".warc":
+            with p.open("rb") as f:
+                for h, _ in warc.records(f):
+                    if h["warc-type"] == "revisit":
+                        named.append((h["warc-refers-to"], h["refers-to-page-id"]))
+                    else:
+                        ids.add((h["warc-record-id"], h.get("page-id")))
+    assert len(named) == 3 and set(named) <= ids
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Digests in hex or of other kinds, headers that aren't UTF-8, and records other than responses."""
+    sha = hashlib.sha1(b"abc").hexdigest()
+    parts = [
+        warc.record_bytes({"WARC-Type": "resource", "WARC-Payload-Digest": f"SHA1:{sha.upper()}"}, b"abc"),
+        warc.record_bytes({"WARC-Type": "conversion", "WARC-Payload-Digest": "md5:zzz", "Page-ID": "x"}, b"def"),
+        b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\xe9\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n",
+        warc.record_bytes({"WARC-Type": "metadata", "WARC-Payload-Digest": "sha1:???"}, b""),
+    ]
+    (tmp_path / "x.warc").write_bytes(b"".join(parts))
+    got = {r["record_type"]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got["resource"]["payload_digest"] == sha and bytes(got["resource"]["payload"]) == b"abc"
+    assert got["conversion"]["payload_digest"] is None and got["conversion"]["page_id"] is None
+    assert bytes(got["conversion"]["payload"]) == b"def" and bytes(got["response"]["payload"]) == b"hi"
+    assert got["response"]["target_uri"].startswith("http://a/") and got["metadata"]["payload_digest"] is None
