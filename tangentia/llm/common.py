@@ -15,17 +15,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir``, or the one the context was given.
 
-    Where the session names none (local tests), one of our own is set once.
+    Where there is neither, a local session (tests) gets one of its own; a
+    cluster is refused, as its executors share no folder of the driver.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="tangentia-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
     return _OWN_DIRS[app]
 
 
@@ -44,17 +46,36 @@ def _content(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], count: str, most: int, spread: str) -> DataFrame:
+    """Left join of ``rows`` with ``one``, which has a row for each key, without a task for all rows of a frequent key.
+
+    ``one[count]`` is at least the number of ``rows`` of its key.  Keys with more than ``most`` are
+    broadcast, of which there are no more than all counts over ``most``; their rows are
+    dealt by ``spread`` as well.  Key and ``count`` columns of ``one`` are not added.
+    """
+    added = [c for c in one.columns if c not in (*keys, count)]
+    frequent = one.where(F.col(count) > most).select(*keys, F.struct(*added).alias("_frequent"))
+    others = one.where(F.col(count) <= most).select(*keys, F.lit(0).alias("_deal"), F.struct(*added).alias("_other"))
+    x = rows.join(F.broadcast(frequent), keys, "left")
+    deal = F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(65_536)).cast("int"))
+    x = x.withColumn("_deal", deal).join(others, [*keys, "_deal"], "left")
+    return x.select(*rows.columns, *[F.coalesce(F.col(f"_frequent.{c}"), F.col(f"_other.{c}")).alias(c) for c in added])
+
+
+#: Neighbours from which a node counts as frequent, and the most of such nodes (which are broadcast).
+HUB, HUBS = 1_000, 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, label)``.
 
     Alternating large-star and small-star rounds; every round is a
     constant number of aggregates and joins over at most as many rows as there
-    are edges, so a node with very many neighbours is never gathered in one
-    place.  ``label`` is the smallest node of the component.  Nodes without an
+    are edges.  A node with very many neighbours is a broadcast row of the joins
+    (:func:`join_one`), so its edges are never gathered in one place.
+    ``label`` is the smallest node of the component.  Nodes without an
     edge to another node are not returned; null ends and loops are ignored.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
     e = (
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -63,14 +84,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = written(e, "edges")
     before = _content(e)
     for _ in range(max_rounds if before[0] else 0):
+        hub = max(HUB, 2 * before[0] // HUBS)
         # large star: every larger neighbour of u is tied to the least node around u
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_one(both.where("v > u"), least, ["u"], "n", hub, "v")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours are tied to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "u")
+            join_one(large, low, ["u"], "n", hub, "v")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionAll(low.select("u", F.col("m").alias("v")))

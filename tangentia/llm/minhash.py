@@ -11,9 +11,11 @@ Nothing depends on how many copies a text has:
 * documents of equal sets become one *class* (its smallest id stands for it);
 * the classes of a bucket are tied to the smallest class in it, which gives
   families of candidates without listing pairs;
-* each family is compared inside one group while it is small; a larger one
-  is cut into blocks and every pair of blocks is a group of its own, so
-  no group holds more than two blocks;
+* each family is compared inside one group while it fits in a block;
+* of larger families, first every class meets the smallest class of each of its
+  buckets, in groups of a block; then the buckets whose classes are still in different
+  components are compared bucket by bucket.  A bucket larger than a block is cut into
+  blocks, and every pair of them is a group of its own;
 * a group prefilters by signature, confirms on the full sets, skips pairs that
   are already connected, and returns a spanning forest, not pairs.
 """
@@ -30,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.common import components, written
+from tangentia.llm.common import HUBS, components, join_one, written
 from tangentia.llm.shingles import WordHashes, jaccard_counts, mix, shingle_set
 
 PERMUTATIONS, WIDTH = 176, 5
 #: Most probability with which a pair at the threshold may share no band.
 MISSED = 1e-6
+#: Rows of equal sets above which their class is broadcast to them instead of meeting them by its key.
+COPIES = 100_000
 #: Members and shingles of a block; a family within one block is one group.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
 #: Standard deviations of the signature's estimate below the threshold at which a pair is not confirmed on its sets.
@@ -102,7 +106,7 @@ def _chunks(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[int,
 
 
 def _sketch(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text binary) -> (doc_id, n_shingles, h1, h2, bands of ``rows`` values)."""
+    """(doc_id, text binary, t) -> (doc_id, t, n_shingles, h1, h2, bands of ``rows`` values)."""
     hashes = WordHashes()
     for batch in batches:
         for a, z in _chunks(batch):
@@ -118,17 +122,18 @@ def _sketch(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.cast(pa.int64()),
+                    batch.column("t").slice(a, z - a),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([x[0] for x in h], pa.int64()),
                     pa.array([x[1] for x in h], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys.ravel())),
                 ],
-                ["doc_id", "n_shingles", "h1", "h2", "bands"],
+                ["doc_id", "t", "n_shingles", "h1", "h2", "bands"],
             )
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, family, h1, h2, text binary) -> (rep, family, sig binary, set binary) of the rows that have the class's set."""
+    """(class, family, h1, h2, text binary) -> (class, family, sig binary, set binary) of the rows that have the class's set."""
     hashes = WordHashes()
     for batch in batches:
         for a, z in _chunks(batch):
@@ -142,12 +147,12 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = (signatures([sets[k] for k in keep]) >> np.uint64(24)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part["rep"][k] for k in keep], pa.int64()),
+                    pa.array([part["class"][k] for k in keep], pa.int64()),
                     pa.array([part["family"][k] for k in keep], pa.int64()),
                     pa.array([x.tobytes() for x in sig], pa.binary()),
                     pa.array([sets[k].tobytes() for k in keep], pa.binary()),
                 ],
-                ["rep", "family", "sig", "members"],
+                ["class", "family", "sig", "members"],
             )
 
 
@@ -214,110 +219,165 @@ def _linker(percent: int):
         at, group = None, {}
         for batch in batches:
             part = batch.to_pydict()
-            for key, rep, sig, members in zip(
-                zip(part["family"], part["i"], part["j"], strict=True), part["rep"], part["sig"], part["members"], strict=True
+            for key, name, sig, members in zip(
+                zip(part["group"], part["i"], part["j"], strict=True), part["class"], part["sig"], part["members"], strict=True
             ):
                 if key != at:
                     if len(group) > 1:
                         yield out(group)
                     at, group = key, {}
-                group[rep] = (sig, members)
+                group[name] = (sig, members)
         if len(group) > 1:
             yield out(group)
 
     return run
 
 
-def near_duplicates(
-    documents: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    percent: int = 85,
-    block_docs: int = BLOCK_DOCS,
-    block_shingles: int = BLOCK_SHINGLES,
-) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``documents``.
+def _linked(groups: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
+    """Links ``(a, b)`` of ``groups`` (group, i, j, class), each compared in one place, as a written table."""
+    moved = groups.join(sets.select("class", "sig", "members"), "class")
+    found = (
+        moved.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_linker(percent), "a long, b long")
+    )
+    return written(found, tag)
 
-    Two documents are linked if 100 * |A & B| >= percent * |A | B| on their sets
-    of distinct 5-word shingles; ``component_id`` is the smallest id reachable
-    over links and ``kept`` marks the document that carries it.
 
-    Null or empty texts have ``n_shingles`` 0 and are linked with nothing.  A
-    row with a null id is linked with nothing either: its component is null and
-    it is kept.  Rows that repeat an id with the same text all get the same
-    result; an id with different texts is judged for each text.
+def _block_pairs(rows: DataFrame, crowd: DataFrame) -> DataFrame:
+    """``(group, i, j, class)``: every class of a group with the pairs of its block and each block, ``crowd`` (group, blocks) tells how many.
+
+    The pair of a block with itself comes with every other pair.
     """
-    docs = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
-    )
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")
+    x = rows.join(crowd, "group").select("*", own, other).where("own <> x or blocks = 1")
+    return x.select("group", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "class")
+
+
+def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """``(doc_id, t, n_shingles, component_id, kept)`` of ``docs`` (doc_id, text binary, t), ``t`` being any long of the row."""
     sketch = written(
-        docs.mapInArrow(partial(_sketch, rows_for(percent)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch"
+        docs.mapInArrow(
+            partial(_sketch, rows_for(percent)), "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<long>"
+        ),
+        "sketch",
     )
-    classes = written(
+    classes = (
         sketch.where("doc_id is not null and n_shingles > 0")
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "classes",
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     )
-    seats = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = seats.groupBy("bucket").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").drop("top")
-    ties = seats.join(crowded.hint("shuffle_hash"), "bucket").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    families = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("family"))
-    families = written(families.join(classes.select("rep", "h1", "h2", "n"), "rep"), "families")
+    classes = written(classes, "classes")
+    # a class goes by its smallest id, or where an id has several texts, by its fingerprint
+    shared = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep", F.lit(True).alias("shared"))
+    if shared.limit(1).count():
+        name = F.when(F.col("shared"), F.xxhash64("h1", "h2")).otherwise(F.col("rep"))
+        classes = written(classes.join(shared, "rep", "left").withColumn("class", name).drop("shared"), "classes")
+    else:
+        classes = classes.withColumn("class", F.col("rep"))
+    seats = classes.select("class", F.explode("bands").alias("bucket"))
+    crowded = seats.groupBy("bucket").agg(F.min("class").alias("b"), F.max("class").alias("top")).where("b < top").drop("top")
+    ties = seats.join(crowded.hint("shuffle_hash"), "bucket").where("class <> b").select(F.col("class").alias("a"), "b")
+    families = components(ties).select(F.col("node").alias("class"), F.col("label").alias("family"))
+    families = written(families.join(classes.select("class", "rep", "h1", "h2", "n"), "class"), "families")
 
-    crowd = families.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    crowd = crowd.select(
-        "family",
-        F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"),
-    )
     # the texts move once, at any size, unsorted
     sets = written(
-        docs.join(families.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
-        .select(F.col("doc_id").alias("rep"), "family", "h1", "h2", "text")
-        .mapInArrow(_full_sets, "rep long, family long, sig binary, members binary"),
+        docs.select("doc_id", "text")
+        .join(families.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
+        .select("class", "family", "h1", "h2", "text")
+        .mapInArrow(_full_sets, "class long, family long, sig binary, members binary"),
         "sets",
     )
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # a row goes to the pair of its block with each block; the pair of a block with itself comes with every other pair
-    groups = (
-        sets.join(crowd, "family")
-        .select("*", own.cast("int").alias("own"), other.alias("x"))
-        .where("own <> x or blocks = 1")
-        .select("family", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "rep", "sig", "members", "blocks")
-    )
-    found = (
-        groups.repartition("family", "i", "j")
-        .sortWithinPartitions("family", "i", "j")
-        .mapInArrow(_linker(percent), "a long, b long")
-    )
-    found = written(found, "links")
-    linked = components(found).select(F.col("node").alias("rep"), F.col("label").alias("component"))
-    named = classes.select("h1", "h2", "rep").join(linked, "rep", "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("component")
+    crowd = families.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
+    crowd = written(crowd.select("family", blocks.alias("blocks")), "crowd")
+    small = families.join(crowd.where("blocks = 1"), "family").select(
+        F.col("family").alias("group"), F.lit(0).alias("i"), F.lit(0).alias("j"), "class"
     )
+    found = _linked(small, sets, percent, "links")
+    if crowd.where("blocks > 1").limit(1).count():
+        large = written(families.join(crowd.where("blocks > 1"), "family", "left_semi").select("class", "n"), "large")
+        seats = written(seats.join(large, "class").join(crowded, "bucket"), "seats")
+        stars = seats.where("class <> b").groupBy("class", "b").agg(F.first("n").alias("n"))
+        arms = stars.groupBy("b").agg(
+            F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
+        )
+        arm = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("i")
+        members = stars.select("class", "b").join(arms, "b").select(F.col("b").alias("group"), arm, F.lit(0).alias("j"), "class")
+        centres = arms.select(
+            F.col("b").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.col("b").alias("class")
+        )
+        first = _linked(members.unionByName(centres), sets, percent, "links")
+        so_far = components(first).select(F.col("node").alias("class"), "label")
+        open_ = seats.join(so_far, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        of = open_.groupBy("bucket").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("docs"), F.sum("n").alias("shingles")
+        )
+        of = of.where("low < high").select(F.col("bucket").alias("group"), blocks.alias("blocks"))
+        rest = _block_pairs(seats.select(F.col("bucket").alias("group"), "class"), of)
+        found = found.unionAll(first).unionAll(_linked(rest, sets, percent, "links"))
+    linked = components(found).select(F.col("node").alias("class"), "label")
+    named = classes.select("h1", "h2", "class", "rep", "copies").join(linked, "class", "left")
+    named = named.withColumn("label", F.coalesce("label", "class"))
+    # a component's smallest id
+    ids = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k"))
+    several = ids.where("k > 1").drop("k")
+    named = named.join(several, "label", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"), "copies")
     # texts without words meet no class; a key of their own spreads them
     left = sketch.select(
         "doc_id",
+        "t",
         "n_shingles",
         F.coalesce("h1", F.xxhash64("doc_id")).alias("h1"),
         F.coalesce("h2", F.lit(0)).alias("h2"),
         F.col("h1").isNotNull().alias("has"),
     )
     has = F.col("has") & F.col("doc_id").isNotNull()
-    return left.join(named, ["h1", "h2"], "left").select(
+    copies = max(COPIES, (classes.agg(F.sum("copies")).first()[0] or 0) // HUBS)
+    return join_one(left, named, ["h1", "h2"], "copies", copies, "doc_id").select(
         "doc_id",
+        "t",
         "n_shingles",
         F.when(has, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(has, F.col("component") == F.col("doc_id")).otherwise(F.lit(True)).alias("kept"),
     )
 
 
+def near_duplicates(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    percent: int = 85,
+    block_docs: int = BLOCK_DOCS,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``documents``.
+
+    Two documents are linked if 100 * |A & B| >= percent * |A | B| on their sets
+    of distinct 5-word shingles; ``component_id`` is the smallest id reachable
+    over links and ``kept`` marks the document that carries it.
+
+    Null or empty texts have ``n_shingles`` 0 and are linked with nothing.  A
+    row with a null id is linked with nothing either: its component is null and
+    it is kept.  Rows that repeat an id with the same text all get the same
+    result; an id with different texts is judged for each text.
+    """
+    docs = documents.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("t")
+    )
+    return _judged(docs, percent, block_docs, block_shingles).drop("t")
+
+
 def keep_distinct(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """The rows of ``documents`` that stand for their near duplicates, with its own columns only.
 
-    An id with different texts, one of which goes, goes as a whole; rows with a null id stay.
+    An id with different texts is judged for each; rows with a null id or no text stay,
+    and so do all rows that repeat the id and text of one that stays.
     """
-    found = near_duplicates(documents.select(id_col, text_col), id_col, text_col, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone.hint("shuffle_hash"), documents[id_col] == gone["_gone"], "left_anti")
+    docs = documents.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("t")
+    )
+    found = _judged(docs, percent, BLOCK_DOCS, BLOCK_SHINGLES)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t")).distinct()
+    same = (documents[id_col].cast("long") == gone["_gone"]) & (F.xxhash64(documents[text_col]) == gone["_t"])
+    return documents.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -6,9 +6,9 @@ of their keys.  A source whose target is above its size gives complete epochs
 first; the rest of its target is filled by the documents at the front, whose
 sizes are summed up to the budget.
 
-The running sum is never taken over a whole source in one task: keys fall into
-buckets in key order, whose number follows the source's documents; bucket sums
-find the one bucket where the budget ends, and only that is sorted.
+The running sum is never taken over a whole source in one task: quantiles of
+a source's actual keys cut it into buckets, whose sums find the one
+where the budget ends; that is cut again until it is small, and only then sorted.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tangentia.llm.common import written
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
-#: Documents a bucket holds, about.
-BUCKET_DOCS = 2_000
+#: Documents up to which the bucket where a budget ends is sorted, and the buckets of one cut.
+BUCKET_DOCS, CUTS = 2_000, 64
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -69,6 +69,48 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
+def _edges(docs: DataFrame, plan: DataFrame, bucket_docs: int) -> DataFrame:
+    """``plan`` with the range (low, high] of keys in which each source's budget ends, and the size ``before`` it.
+
+    A source stays as it is once its range holds no more than ``bucket_docs`` documents or can't be cut
+    further (equal keys); ``high`` is null where the budget takes the whole source.
+    """
+    edges = plan.select(
+        "*", F.lit(-1.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("before"),
+        (F.col("docs") > bucket_docs).alias("open"), F.col("docs").alias("left"),
+    )
+    own = edges.columns
+    while edges.where("open").limit(1).count():
+        live = docs.join(edges.where("open"), docs["source"].eqNullSafe(edges["of"]))
+        live = live.where("key > low and key <= high").select("of", "key", "size", "budget", "before")
+        cuts = live.groupBy("of").agg(
+            F.percentile_approx("key", [k / CUTS for k in range(1, CUTS)], 4096).alias("cuts")
+        ).withColumnRenamed("of", "name")
+        placed = live.join(cuts, live["of"].eqNullSafe(cuts["name"]))
+        placed = placed.withColumn("k", F.size(F.filter("cuts", lambda x: x < F.col("key"))))
+        sums = placed.groupBy("of", "budget", "before", "k").agg(
+            F.sum("size").alias("s"), F.count("*").alias("n"), F.max("key").alias("top")
+        )
+        # at most CUTS rows of a source
+        upto = Window.partitionBy("of").orderBy("k")
+        z = F.col("before") + F.sum("s").over(upto)
+        sums = sums.select("of", "budget", "k", "s", "n", "top", z.alias("z"), F.coalesce(F.lag("top").over(upto), F.lit(-1.0)).alias("under"))
+        ends = sums.where("z > budget").groupBy("of").agg(
+            F.min(F.struct("k", "top", "under", (F.col("z") - F.col("s")).alias("before"), "n")).alias("e")
+        ).withColumnRenamed("of", "name")
+        went = F.col("open") & F.col("e").isNotNull()
+        edges = edges.join(ends, edges["of"].eqNullSafe(ends["name"]), "left").select(
+            *plan.columns,
+            F.when(went, F.greatest("low", "e.under")).otherwise(F.col("low")).alias("low"),
+            F.when(went, F.col("e.top")).when(~F.col("open"), F.col("high")).alias("high"),
+            F.when(went, F.col("e.before")).otherwise(F.col("before")).alias("before"),
+            (went & (F.col("e.n") > bucket_docs) & (F.col("e.n") < F.col("left"))).alias("open"),
+            F.when(went, F.col("e.n")).otherwise(F.col("left")).alias("left"),
+        )
+        edges = written(edges.select(*own), "edges")
+    return edges
+
+
 def mix(
     documents: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -105,29 +147,19 @@ def mix(
     plan = plan.select(
         F.col("source").alias("of"),
         "source_size",
+        "docs",
         "target",
-        F.greatest(F.ceil(F.col("docs") / bucket_docs), F.lit(1)).alias("buckets"),
         F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("epochs"),
     ).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
 
-    docs = base.join(plan, base["source"].eqNullSafe(plan["of"])).drop("of")
-    docs = docs.withColumn("bucket", F.floor(F.col("buckets") * (1 - F.exp(-F.col("key")))))
-    sums = docs.groupBy("source", "bucket", "budget").agg(F.sum("size").alias("s"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    ends = (
-        sums.withColumn("z", F.sum("s").over(upto))
-        .where("z > budget")
-        .groupBy("source")
-        .agg(F.min(F.struct("bucket", (F.col("z") - F.col("s")).alias("before"))).alias("e"))
-        .select(F.col("source").alias("of"), F.col("e.bucket").alias("last"), F.col("e.before").alias("before"))
-    )
-    ends = written(ends, "ends")
-    docs = docs.join(ends, docs["source"].eqNullSafe(ends["of"]), "left").drop("of")
-    whole = docs.where("last is null or bucket <> last").withColumn(
-        "once", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(F.lit(0))
-    )
+    ends = _edges(base, plan, bucket_docs).drop("docs", "open", "left")
+    docs = base.join(ends, base["source"].eqNullSafe(ends["of"])).drop("of")
+    within = (F.col("key") > F.col("low")) & (F.col("key") <= F.coalesce("high", F.lit(-1.0)))
+    # below the range, or in a source that is taken as a whole
+    under = F.col("high").isNull() | (F.col("key") <= F.col("low"))
+    whole = docs.where(~within).withColumn("once", F.when(under, F.col("size")).otherwise(F.lit(0)))
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    edge = docs.where("bucket = last").withColumn("z", F.col("before") + F.sum("size").over(inside))
+    edge = docs.where(within).withColumn("z", F.col("before") + F.sum("size").over(inside))
     room = F.col("budget") - (F.col("z") - F.col("size"))
     edge = edge.withColumn("once", F.greatest(F.least(F.col("size"), room), F.lit(0))).drop("z")
     return whole.unionByName(edge).select(

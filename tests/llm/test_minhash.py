@@ -34,7 +34,7 @@ def _result(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("block", [512, 16, 3])
 def test_components_equal_brute_force(spark, corpus, block):
     """Also where families are cut into blocks."""
     docs = documents(spark, corpus).withColumn("component_id", F.lit(-1)).withColumn("bucket", F.lit("x")).repartition(5)
@@ -60,6 +60,30 @@ def test_nulls_and_repeats(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1]
 
 
+def test_an_id_with_several_texts(spark):
+    """Each text is judged: its links are found though its class shares its smallest id with another, and it doesn't go with the other."""
+    a, b, c = (prose(120, 70 + k) for k in range(3))
+    rows = [(9, a), (9, b), (20, a + " tail"), (21, b + " tail"), (5, c), (9, c), (30, "")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got[20, len(shingles(rows[2][1]))] == got[21, len(shingles(rows[3][1]))] == 9
+    kept = minhash.keep_distinct(documents(spark, [*rows, (1, a), (9, a)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (9, b), (5, c), (30, "")])
+
+
+def test_chained_families_compare_buckets(spark):
+    """Long chains of neighbours that are alike, ends that are not, and blocks far smaller than the chain."""
+    rng = random.Random(8)
+    w, rows = prose(150, 77, 5000).split(), []
+    for k in range(90):
+        at = rng.randrange(len(w))
+        w = [*w[:at], f"n{k}", *w[at + rng.choice((1, 1, 4)) :]]
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, " ".join(prose(60, 78).split() + prose(40, 300 + k).split())) for k in range(40)]
+    got, want = _result(minhash.near_duplicates(documents(spark, rows), block_docs=8)), components(rows)
+    assert {i: x[1] for i, x in got.items()} == want
+    assert 1 < len(set(want.values())) < len(rows)
+
+
 def test_min_max_values_estimate_the_similarity():
     rng = np.random.default_rng(0)
     errors = []
@@ -79,7 +103,10 @@ def test_shingles_follow_the_definition():
         assert len(shingle_set(h.of(words))) == len(shingles(text))
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("hub", [1000, 5])
+def test_connected_components(spark, monkeypatch, hub):
+    """Also where nodes with many neighbours are broadcast."""
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000, k) for k in range(1001, 1400)] + [(None, 1), (3, 3)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -70,6 +70,27 @@ def test_better_documents_come_first(spark):
     assert share[True] > share[False]
 
 
+def test_ranges_of_low_weights_and_equal_keys_are_cut(spark):
+    """Documents of weight 0.05 only, of mixed weights, and of one id: what is sorted in one place stays small where keys differ."""
+    rows = [(i, "1234 5 678 9", "low") for i in range(3000)] + [(10_000 + i, "abc 5" if i % 3 else "1 2 3 4 5", "mixed") for i in range(3000)]
+    rows += [(None, f"w{i}", "one") for i in range(500)]
+    docs = documents(spark, rows)
+    base = docs.select(F.col("source"), mixing.size_of(F.col("text")).alias("size"), (-F.log(F.rand(3)) / mixing.quality_of(F.col("text"))).alias("key"))
+    base = base.withColumn("key", F.when(F.col("source") == "one", F.lit(1.0)).otherwise(F.col("key"))).cache()
+    plan = base.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    plan = plan.withColumn("budget", (F.col("source_size") * 0.6).cast("long"))
+    for bucket in (200, 20):
+        got = {r["of"]: r for r in mixing._edges(base, plan, bucket).collect()}
+        keys = {s: [(r["key"], r["size"]) for r in base.where(F.col("source") == s).collect()] for s in got}
+        for s, r in got.items():
+            inside = [x for x in keys[s] if r["low"] < x[0] <= r["high"]]
+            before = sum(x[1] for x in keys[s] if x[0] <= r["low"])
+            assert before == r["before"] <= r["budget"] < before + sum(x[1] for x in inside)
+            assert len(inside) <= (bucket if s != "one" else 500)
+    one = mixing.mix(docs, bucket_docs=50).toPandas()
+    assert abs(one.groupby("source").taken.sum() - one.groupby("source").target.first()).max() <= 0.5
+
+
 def test_nothing(spark):
     assert mixing.mix(documents(spark, [(1, "a")]).where("doc_id < 0")).count() == 0
     r = mixing.mix(documents(spark, [(1, None)])).first()
