@@ -1,7 +1,8 @@
 """Scoring texts with a log-bilinear language model trained by noise-contrastive estimation in numpy.
 
 Tokens are words and an end.  A token's probability is that of its class after
-the classes of the two tokens before it, times its share of the class:
+the classes of the two tokens before it, times that of the word in its class
+after the class of the token before it:
 
 * the most frequent words and the end are classes of their own; all other words
   fall into classes by their endings;
@@ -9,9 +10,15 @@ the classes of the two tokens before it, times its share of the class:
   for each place, a class scores by its product with it plus a bias.  It is
   trained on the class trigrams of *all* training texts, counted by the
   cluster, against noise drawn from the class unigrams;
+* inside a class, each of the ``INNER`` most frequent words has a vector of its own
+  and scores by its product with the context's vector plus a bias, trained on the
+  (class before, word) counts of all training texts against noise from the
+  class's own words;
 * batched matrix products then give the normalised log-probability of
-  every class after every context, a table that scoring looks up;
-* shares come from the counts of all training words with 0.1 added, one unseen
+  every class after every context, and of every such word in its class, tables that
+  scoring looks up;
+* these words share what their counts give them of the class together; the share of a rarer
+  word comes from the counts of all training words with 0.1 added, one unseen
   word to a class.
 
 Words beyond a fixed number of frequent ones are not known to every task: their
@@ -41,6 +48,12 @@ CLASSES, OWN, DIM = 128, 87, 24
 ENDINGS = CLASSES - 1 - OWN
 ADDED = 0.1
 NOISE, STEPS, RATE, SEED = 10, 160, 0.05, 11
+#: Words with vectors of their own inside their class, their least count, the size of these, and the steps of their training.
+INNER, INNER_LEAST, INNER_DIM, INNER_STEPS = 16_384, 5, 16, 80
+#: Weight of the pull of these vectors to 0, in tokens.
+PULL = 10.0
+#: Bins of a word's hash, by which words of equal count are told apart at the end of the frequent ones.
+BINS = 4_096
 #: Distinct words a task counts before it hands them on.
 COUNTED = 200_000
 
@@ -118,6 +131,65 @@ def train_nce(cells: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> Mode
     return Model(**p)
 
 
+@dataclass
+class Inside:
+    """Words of a class after the class before: ``before`` has a vector for each class, ``out`` and ``bias`` one for each word."""
+
+    before: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+
+    def log10_table(self, classes: np.ndarray) -> np.ndarray:
+        """``[c1, w]``: log10 of the probability of word w among the words of its class (``classes[w]``), normalised."""
+        scores = self.before @ self.out.T + self.bias
+        for c in np.unique(classes):
+            of = np.flatnonzero(classes == c)
+            part = scores[:, of] - scores[:, of].max(axis=1, keepdims=True)
+            scores[:, of] = (part - np.log(np.exp(part).sum(axis=1, keepdims=True))) / np.log(10)
+        return scores.astype(np.float32)
+
+
+def train_inside(counts: np.ndarray, classes: np.ndarray, steps: int = INNER_STEPS) -> Inside:
+    """Fit on ``counts[c1, w]`` of words w of ``classes`` by noise-contrastive estimation.
+
+    Noise are draws from the words of the same class in proportion to their counts,
+    ``NOISE`` for each token seen, in expectation.
+    """
+    rng = np.random.default_rng(SEED)
+    words = counts.shape[1]
+    total = counts.sum(axis=0) + ADDED
+    of_class = np.zeros(CLASSES)
+    np.add.at(of_class, classes, total)
+    noise = (total / of_class[classes]).astype(np.float32)  # of the words of a class
+    seen_class = np.zeros((CLASSES, CLASSES))
+    np.add.at(seen_class.T, classes, counts.T)
+    scale = max(1.0, float(counts.sum()))
+    expected = (NOISE * seen_class[:, classes] / scale).astype(np.float32) * noise
+    seen = (counts / scale).astype(np.float32)
+    p = {
+        "before": rng.normal(0, 0.05, (CLASSES, INNER_DIM)).astype(np.float32),
+        "out": rng.normal(0, 0.05, (words, INNER_DIM)).astype(np.float32),
+        "bias": np.log(noise),
+    }
+    prior = np.log(NOISE * noise)
+    first = {k: np.zeros_like(v) for k, v in p.items()}
+    second = {k: np.zeros_like(v) for k, v in p.items()}
+    # a vector moves little where its cells are few: gradients are those of the mean log-likelihood, with a small pull to 0
+    pull = PULL / scale
+    for step in range(1, steps + 1):
+        margin = p["before"] @ p["out"].T + p["bias"] - prior
+        true = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+        g = expected * true - seen * (1 - true)
+        grad = {"before": g @ p["out"] + pull * p["before"], "out": g.T @ p["before"] + pull * p["out"], "bias": g.sum(axis=0)}
+        rate = RATE * (1 - (step - 1) / steps)
+        for k, v in grad.items():
+            first[k] = 0.9 * first[k] + 0.1 * v
+            second[k] = 0.99 * second[k] + 0.01 * v * v
+            m, q = first[k] / (1 - 0.9**step), second[k] / (1 - 0.99**step)
+            p[k] = (p[k] - rate * m / (np.sqrt(q) + 1e-8)).astype(np.float32)
+    return Inside(**p)
+
+
 def _words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
@@ -173,23 +245,38 @@ def _codes(classes: np.ndarray) -> np.ndarray:
     return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
 
-def _trigrams(shared):
+def _cells(shared, inner: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of class trigrams, and after them (from ``CLASSES ** 3`` on) of (class before, inner word)."""
         head = shared.value
         ids, classes = _Ids(head), head_classes(head)
         total = np.zeros(CLASSES**3, dtype=np.int64)
+        pairs = np.zeros(CLASSES * inner, dtype=np.int64)
         for batch in _texts(batches):
-            codes, held = [], 0
+            codes, places, held = [], [], 0
+
+            def count(codes=codes, places=places) -> None:
+                nonlocal total, pairs
+                if codes:
+                    total += np.bincount(np.concatenate(codes), minlength=len(total))
+                    pairs += np.bincount(np.concatenate(places), minlength=len(pairs))[: len(pairs)]
+                    codes.clear()
+                    places.clear()
+
             for text in batch.column("text").to_pylist():
-                codes.append(_codes(classes[ids.of(_words(text))]))
+                at = ids.of(_words(text))
+                c = classes[at]
+                codes.append(_codes(c))
+                own = np.flatnonzero((at < inner) & (at >= OWN))
+                places.append(np.where(own > 0, c[own - 1], 0) * inner + at[own])
                 held += len(codes[-1])
                 if held > 2_000_000:
-                    total += np.bincount(np.concatenate(codes), minlength=len(total))
-                    codes, held = [], 0
-            if codes:
-                total += np.bincount(np.concatenate(codes), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+                    count()
+                    held = 0
+            count()
+        for start, counts in ((0, total), (CLASSES**3, pairs)):
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at + start), pa.array(counts[at])], ["cell", "n"])
 
     return run
 
@@ -198,23 +285,37 @@ def _trigrams(shared):
 class Scoring:
     head: list[bytes]
     base: np.ndarray  # base log10 of each frequent word
-    share: np.ndarray  # log10 of each frequent word's share of its class
+    share: np.ndarray  # log10 of each frequent word's share of its class; of the inner words, of all inner words' share
     end_base: float
     model: Model
+    inside: Inside | None
+
+    @property
+    def inner(self) -> int:
+        return 0 if self.inside is None else len(self.inside.bias)
+
+    def inner_table(self) -> np.ndarray:
+        """``[c1, w]`` of the inner words; words that are classes of their own have log10(1)."""
+        if self.inside is None:
+            return np.zeros((CLASSES, 0), dtype=np.float32)
+        return self.inside.log10_table(head_classes(self.head)[: self.inner])
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Scoring = shared.value
         ids, classes, table = _Ids(s.head), head_classes(s.head), s.model.log10_table().ravel()
-        n = len(s.head)
+        n, inner, words_table = len(s.head), s.inner, s.inner_table().ravel()
         row = TaskContext.get().partitionId() << 40
         for batch in _texts(batches):
             out = {k: [] for k in ("row", "n_tokens", "known", "base", "score", "rare", "times")}
             for text in batch.column("text").to_pylist():
                 words = _words(text)
                 at = ids.of(words)
-                score = float(table[_codes(classes[at])].astype(np.float64).sum())
+                c = classes[at]
+                score = float(table[_codes(c)].astype(np.float64).sum())
+                own = np.flatnonzero(at < inner)
+                score += float(words_table[np.where(own > 0, c[own - 1], 0) * inner + at[own]].astype(np.float64).sum())
                 frequent = at[at < n]
                 rare = Counter(words[i] for i in np.flatnonzero(at >= n))
                 out["row"].append(row)
@@ -243,21 +344,50 @@ def _score(shared):
     return run
 
 
-def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``documents``.
+def frequent_words(vocabulary: DataFrame, most: int = 0) -> tuple[list[bytes], np.ndarray]:
+    """At most ``most`` (``HEAD``) words of the written table (token, c) with the highest counts, highest first, and these.
 
-    Learns from the rows whose crc32 of the id as text isn't 0 modulo ``folds``.
-    Null texts count as empty (their end is a token all the same), a null id as
-    the id ''.  Rows that repeat an id are scored, and learnt from, each on its own.
-    With nothing to learn from, every token's base is log10(1) = 0.
+    A histogram of the counts finds where to stop, so no task or driver sorts more than is
+    kept: first octaves of the count, then the counts of the octave where the
+    room ends, then bins of a hash among the words of the last count.
     """
-    spark = documents.sparkSession
-    docs = documents.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).cast("binary").alias("text"),
-        (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0).alias("held_out"),
-    )
-    training = docs.where(~F.col("held_out")).select("text")
+    most = most or HEAD
+    words = vocabulary.where(F.octet_length("token") <= HEAD_BYTES)
+    octave = F.floor(F.log2("c") * 16)
+    bin_ = F.pmod(F.xxhash64("token"), F.lit(BINS))
+    taken, chosen = 0, F.lit(False)
+    within = F.lit(True)
+    for level, downward in ((octave, True), (F.col("c"), True), (bin_, False)):
+        rows = words.where(within).groupBy(level.alias("k")).count().collect()
+        stop = None
+        for k, n in sorted(((r["k"], r["count"]) for r in rows), reverse=downward):
+            if taken + n > most:
+                stop = k
+                break
+            taken += n
+        if stop is None:
+            chosen = chosen | within
+            break
+        chosen = chosen | (within & ((level > stop) if downward else (level < stop)))
+        within = within & (level == stop)
+    top = words.where(chosen).select("token", "c").toArrow()
+    pairs = sorted(zip(top.column("token").to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in pairs], np.array([c for _, c in pairs], dtype=np.float64)
+
+
+@dataclass
+class Fitted:
+    scoring: Scoring
+    vocabulary: DataFrame  # (token, c), written
+    train_tokens: int
+    whole: float  # N + ADDED * (V + 1)
+    room: np.ndarray  # of each class, what its words' counts and the added come to
+    ends: int
+
+
+def fit(training: DataFrame) -> Fitted:
+    """Learn from all rows of ``training`` (text binary)."""
+    spark = training.sparkSession
     vocabulary = written(
         training.mapInArrow(_count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "vocabulary"
     )
@@ -265,12 +395,10 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = words + ends, distinct + (ends > 0)
     whole = n + ADDED * (v + 1)
-    top = vocabulary.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.col("c").desc(), "token").limit(HEAD).toArrow()
-    head, counts = top.column("token").to_pylist(), np.array(top.column("c").to_pylist(), dtype=np.float64)
+    head, counts = frequent_words(vocabulary)
 
     # sums of the classes by ending, over all words but those that are classes of their own
-    ending = (F.crc32(F.substring("token", -2, 2)) % ENDINGS + 1 + OWN).cast("int").alias("class")
-    sums = {r["class"]: (r["n"], r["v"]) for r in vocabulary.groupBy(ending).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    sums = {r["class"]: (r["n"], r["v"]) for r in vocabulary.groupBy(_ending()).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     inside = np.zeros((CLASSES, 2))
     for k, pair in sums.items():
         inside[k] = pair
@@ -280,12 +408,46 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = head_classes(head)[: len(head)]
     share = np.log10((counts + ADDED) / room[classes]) if len(head) else counts
     share[:OWN] = 0.0
+    inner = min(INNER, max(OWN, int((counts >= INNER_LEAST).sum())), len(head))
+    together = np.zeros(CLASSES)
+    np.add.at(together, classes[OWN:inner], counts[OWN:inner] + ADDED)
+    share[OWN:inner] = np.log10(together[classes[OWN:inner]] / room[classes[OWN:inner]])
 
     known = spark.sparkContext.broadcast(head)
-    cells = training.mapInArrow(_trigrams(known), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    model = train_nce(cells.column("cell").to_numpy(), cells.column("n").to_numpy())
+    cells = training.mapInArrow(_cells(known, inner), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, times = cells.column("cell").to_numpy(), cells.column("n").to_numpy()
+    trigram = cell < CLASSES**3
+    model = train_nce(cell[trigram], times[trigram])
+    pairs = np.zeros(CLASSES * inner)
+    pairs[cell[~trigram] - CLASSES**3] = times[~trigram]
+    words_inside = train_inside(pairs.reshape(CLASSES, inner), classes[:inner]) if inner > OWN else None
     end_base = float(np.log10((ends + ADDED) / whole))
-    scoring = spark.sparkContext.broadcast(Scoring(head, np.log10((counts + ADDED) / whole), share, end_base, model))
+    scoring = Scoring(head, np.log10((counts + ADDED) / whole), share, end_base, model, words_inside)
+    return Fitted(scoring, vocabulary, n, whole, room, ends)
+
+
+def _ending():
+    """The class of a word that isn't one of the frequent, as a column."""
+    return (F.crc32(F.substring("token", -2, 2)) % ENDINGS + 1 + OWN).cast("int").alias("class")
+
+
+def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``documents``.
+
+    Learns from the rows whose crc32 of the id as text isn't 0 modulo ``folds``.
+    Null texts count as empty (their end is a token all the same), a null id as
+    the id ''.  Rows that repeat an id are scored, and learnt from, each on its own.
+    With nothing to learn from, every token's base is log10(1) = 0.
+    """
+    spark = documents.sparkSession
+    docs = documents.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).cast("binary").alias("text"),
+        (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0).alias("held_out"),
+    )
+    fitted = fit(docs.where(~F.col("held_out")).select("text"))
+    vocabulary, n, whole, room, ends, ending = fitted.vocabulary, fitted.train_tokens, fitted.whole, fitted.room, fitted.ends, _ending()
+    scoring = spark.sparkContext.broadcast(fitted.scoring)
     texts = written(
         docs.mapInArrow(
             _score(scoring),

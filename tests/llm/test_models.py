@@ -44,6 +44,77 @@ def test_language_model_base_by_brute_force(spark, monkeypatch, head):
     assert lm.score_texts(docs.where("doc_id < 0")).count() == 0
 
 
+def _log10_token(f: lm.Fitted, counts: dict, class_of, c2: int, c1: int, word) -> float:
+    """Probability of one token, from the model's parameters alone."""
+    s, m = f.scoring, f.scoring.model
+    c = 0 if word is None else class_of(word)
+    z = [float((m.place2[c2] + m.place1[c1]) @ m.out[k] + m.bias[k]) for k in range(lm.CLASSES)]
+    p = math.exp(z[c] - max(z)) / sum(math.exp(x - max(z)) for x in z)
+    if word is None or (word in s.head and s.head.index(word) < lm.OWN):
+        return math.log10(p)
+    inner = s.head[: s.inner]
+    room = sum(n for w, n in counts.items() if class_of(w) == c) + 0.1 * (sum(class_of(w) == c for w in counts) + 1)
+    if word in inner:
+        mates = [k for k, w in enumerate(inner) if k >= lm.OWN and class_of(w) == c]
+        e = {k: math.exp(float(s.inside.before[c1] @ s.inside.out[k] + s.inside.bias[k])) for k in mates}
+        together = sum(counts[inner[k]] + 0.1 for k in mates)
+        return math.log10(p * together / room * e[inner.index(word)] / sum(e.values()))
+    return math.log10(p * (counts.get(word, 0) + 0.1) / room)
+
+
+@pytest.mark.parametrize(("head", "inner"), [(200_000, 16_384), (250, 150), (40, 20)])
+def test_language_model_score_by_brute_force(spark, monkeypatch, head, inner):
+    """Every score equals the sum over tokens of the saved model, and the probabilities of all words add to 1."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "INNER", inner)
+    rows = [(i, prose(90, i, 500)) for i in range(40)] + [(500, None), (501, "Unseen words the of É"), (None, "the w1")]
+    docs = documents(spark, rows)
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    counts = Counter(w for i, t in rows if not fold(i) for w in _tokens(t) if w is not None)
+    train = spark.createDataFrame([(t.encode() if t else None,) for i, t in rows if not fold(i)], "text binary")
+    f = lm.fit(train)
+    assert f.scoring.head == sorted(f.scoring.head, key=lambda w: (-counts[w], w)) and len(f.scoring.head) <= head
+    assert min((counts[w] for w in f.scoring.head), default=1) >= max((c for w, c in counts.items() if w not in f.scoring.head), default=0)
+    own = set(f.scoring.head[: lm.OWN])
+    class_of = lambda w: 1 + f.scoring.head.index(w) if w in own else lm.ending_class(w)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs).collect()}
+    for i, t in rows[::6] + rows[-3:]:
+        c2 = c1 = 0
+        total = 0.0
+        for w in _tokens(t):
+            total += _log10_token(f, counts, class_of, c2, c1, w)
+            c2, c1 = c1, 0 if w is None else class_of(w)
+        assert got[i] == pytest.approx(total, rel=1e-4), i
+    for c2, c1 in ((0, 0), (3, 100)):
+        mass = sum(10 ** _log10_token(f, counts, class_of, c2, c1, w) for w in [*counts, None])
+        unseen = sum(10 ** _log10_token(f, counts, class_of, c2, c1, w) for w in (b"\xff" + bytes([k, j]) for k in range(20) for j in range(5)))
+        assert 0.9 < mass < 1.0 and unseen > 0
+
+
+def test_words_inside_a_class_follow_the_class_before():
+    rng = np.random.default_rng(1)
+    classes = np.full(40, 90)
+    counts = np.zeros((lm.CLASSES, 40))
+    for c1 in (5, 6):  # after 5 the first half, after 6 the second
+        counts[c1] = rng.poisson(200, 40) * (np.arange(40) // 20 == c1 - 5)
+    table = 10.0 ** lm.train_inside(counts, classes).log10_table(classes)
+    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
+    assert table[5, :20].sum() > 0.95 and table[6, 20:].sum() > 0.95 and 0.2 < table[7, :20].sum() < 0.8
+
+
+def test_frequent_words_are_the_most_frequent(spark):
+    rng = np.random.default_rng(2)
+    for top in (3, 5000):
+        counts = {f"w{k}": int(c) for k, c in enumerate(rng.integers(1, top, 3000))}
+        vocabulary = spark.createDataFrame([(w.encode(), c) for w, c in counts.items()], "token binary, c long")
+        for most in (1, 500, 2900, 4000):
+            head, c = lm.frequent_words(vocabulary, most)
+            assert len(head) <= most and len(set(head)) == len(head)
+            assert len(head) >= min(most, 3000) - (3 if most > 1 else 1)
+            rest = max((n for w, n in counts.items() if w.encode() not in set(head)), default=0)
+            assert all(n >= rest for n in c)
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(0)
     cells = np.unique(rng.integers(0, lm.CLASSES**3, 3000))
