@@ -1,36 +1,40 @@
 """Quality rules by distribution divergence, in built-in expressions only.
 
 Each text is reduced to two histograms: the classes of its characters
-and its most common function words.  Both are compared with references for
+and the most common words.  Both are compared with references for
 each language by the Jensen-Shannon distance (base 2, so 0 to 1), and the
 nearest language counts.  A text far from every language is rejected, but only
-if it is long enough for its histogram to be steady.
+if it is long enough for its histogram to be steady, and only if some reference
+is of its script.
 
-All measures are computed inside the row: no shuffle, no join, no Python.
+The references are learnt from the labelled rows of the corpus itself, all of
+them: sums of character classes and counts of short words for each
+language.  So what is prose is what the corpus calls a language, in any script;
+source code is rejected where no rows are labelled as such.
+
+All measures are computed inside the row: no join, no Python.  Learning the
+references is one pass of sums and one of word counts, of which a row for each language
+comes back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Shares of the classes lower, upper, digit, non-ASCII, punctuation, symbol, other among the characters of words.
+#: Classes of the characters of words.
 CHAR_CLASSES = ("lower", "upper", "digit", "wide", "punct", "symbol", "other")
-CHAR_REFERENCES = {
-    "en": (0.945, 0.025, 0.006, 0.001, 0.022, 0.0005, 0.0005),
-    "de": (0.900, 0.055, 0.006, 0.015, 0.023, 0.0005, 0.0005),
-    "fr": (0.910, 0.022, 0.006, 0.038, 0.023, 0.0005, 0.0005),
-    "es": (0.920, 0.025, 0.006, 0.025, 0.023, 0.0005, 0.0005),
-}
-#: Rounded shares of the most common function words in running prose; the rest is one more class.
-WORD_REFERENCES = {
-    "en": {"the": 0.055, "of": 0.030, "and": 0.027, "to": 0.024, "in": 0.019, "a": 0.019, "is": 0.011, "that": 0.010},
-    "de": {"der": 0.032, "die": 0.030, "und": 0.027, "in": 0.017, "den": 0.012, "von": 0.010, "zu": 0.010, "das": 0.010},
-    "fr": {"de": 0.045, "la": 0.028, "le": 0.024, "et": 0.022, "les": 0.019, "des": 0.016, "en": 0.013, "un": 0.011},
-    "es": {"de": 0.060, "la": 0.037, "que": 0.030, "el": 0.026, "en": 0.025, "y": 0.024, "a": 0.020, "los": 0.016},
-}
+WIDE = CHAR_CLASSES.index("wide")
+#: Words of a language's reference, and the most characters of such a word (it has no A-Z, digit or mark).
+COMMON_WORDS, COMMON_LENGTH, COMMON_WORD = 8, 5, r"^[^\x00-\x60\x7B-\x7F]+$"
+#: Labelled rows that a language needs for a reference, and their least share of all labelled rows.
+LEAST_ROWS, LEAST_SHARE = 10, 0.001
+#: A reference is of a text's script if their shares of non-ASCII characters differ by no more.
+SCRIPT_GAP = 0.5
 #: Least characters in words, and words, from which the two rules apply.
 LEAST_CHARS, LEAST_WORDS = 400, 100
 #: A text is rejected if its character distance is above the first, or its character and word distances both above the others.
@@ -38,6 +42,14 @@ MOST_CHARS_JS, BOTH_CHARS_JS, BOTH_WORDS_JS = 0.24, 0.20, 0.20
 LEAST_BASE_WORDS, MOST_REPEAT_PERCENT = 50, 50
 
 
+@dataclass(frozen=True)
+class Reference:
+    """A language's shares of the character classes, and of its common words, most common first."""
+
+    chars: tuple[float, ...]
+    words: tuple[tuple[str, float], ...]
+
+
 def _fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that ``df`` doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -66,16 +78,10 @@ def _removed(text: str, kind: str) -> Column:
     return F.regexp_replace(text, kind, "")
 
 
-#: All reference words, the most common first.
-_COMMON = sorted(
-    {w for q in WORD_REFERENCES.values() for w in q}, key=lambda w: (-max(q.get(w, 0) for q in WORD_REFERENCES.values()), w)
-)
-
-
-def _left_over(words: str) -> Column:
+def _left_over(words: str, common: list[str]) -> Column:
     """Sizes of an array of common words as each of them is taken away in turn."""
     steps = F.aggregate(
-        F.array(*[F.lit(w) for w in _COMMON]),
+        F.array(*[F.lit(w) for w in common]).cast("array<string>"),
         F.struct(F.col(words).alias("rest"), F.array().cast("array<int>").alias("sizes")),
         lambda acc, w: F.struct(
             F.array_remove(acc["rest"], w).alias("rest"), F.array_append(acc["sizes"], F.size(acc["rest"])).alias("sizes")
@@ -85,13 +91,71 @@ def _left_over(words: str) -> Column:
     return steps
 
 
+def capital(word: str) -> str:
+    """The word at the beginning of a sentence; words beginning with a letter outside ASCII stay."""
+    return word[0].upper() + word[1:] if "a" <= word[0] <= "z" else word
+
+
+def _classed(df: DataFrame, chars: str, steps: list[str], out: str) -> DataFrame:
+    """``df`` with an array ``out`` of the counts of the character classes of column ``chars``, class after class taken away."""
+    kinds = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[^\x00-\x7F]+", r"[.,;:!?'\"()\-]+", "[#*$%&|<>]+")
+    every = [chars, *steps]
+    for before, after, kind in zip(every, steps, kinds, strict=False):
+        df = df.select("*", _removed(before, kind).alias(after))
+    sizes = [F.length(a) - F.length(b) for a, b in zip(every, steps, strict=False)]
+    return df.withColumn(out, F.array(*sizes, F.length(steps[-1]))).drop(*steps)
+
+
+def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[Reference]:
+    """References of the languages that ``documents`` has enough labelled rows of, by name of the language.
+
+    Rows with a null text or language, and texts without words, tell nothing.
+    """
+    rows = documents.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+    )
+    steps = [f"c{k}" for k in range(1, 7)]
+    chars = _classed(rows.select("lang", _removed("text", SPACE).alias("c")), "c", steps, "classes")
+    chars = chars.where(F.length("c") > 0).groupBy("lang").agg(
+        F.count("*").alias("rows"), *[F.sum(F.get("classes", F.lit(k))).alias(f"n{k}") for k in range(len(CHAR_CLASSES))]
+    )
+    words = rows.select("lang", F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
+    short = F.length("word") <= COMMON_LENGTH
+    counts = words.groupBy("lang", F.when(short, F.col("word")).alias("word")).agg(F.count("*").alias("n"))
+    best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    top = counts.where(F.col("word").rlike(COMMON_WORD)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= COMMON_WORDS)
+    listed = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top"))
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("n_words"))
+    every = chars.collect()
+    most = sum(r["rows"] for r in every)
+    texts = {r["lang"]: r for r in sums.join(listed, "lang", "left").collect()}
+    out = []
+    for r in sorted(every, key=lambda r: r["lang"].encode()):
+        if r["rows"] >= LEAST_ROWS and r["rows"] >= LEAST_SHARE * most:
+            n = [r[f"n{k}"] for k in range(len(CHAR_CLASSES))]
+            t = texts[r["lang"]]
+            common = tuple((x["word"], x["n"] / t["n_words"]) for x in t["top"] or ())
+            out.append(Reference(tuple(x / sum(n) for x in n), common))
+    return out
+
+
+def _rest(reference: Reference) -> float:
+    """Share of all other words."""
+    return max(1.0 - sum(p for _, p in reference.words), 0.0)
+
+
 def measure(
-    documents: DataFrame, text_col: str = "text", out: str = "quality", carry: list[str] | None = None
+    documents: DataFrame,
+    references: list[Reference],
+    text_col: str = "text",
+    out: str = "quality",
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """The columns ``carry`` of ``documents`` (all by default) with a struct ``out`` of measures and verdicts.
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    chars_js, words_js (double, null for a text without words), base_failed,
+    chars_js, words_js (double, null for a text without words and where no
+    reference is of its script), base_failed,
     kept (boolean).  A null text counts as an empty one: no words, all counts
     0, base_failed.
     """
@@ -100,10 +164,10 @@ def measure(
     repeated, chars_js, words_js, failed, count, lines, distinct_lines, counts = _fresh(
         documents, "_repeated", "_chars_js", "_words_js", "_failed", "_n", "_lines", "_distinct_lines", "_counts"
     )
-    (stop,) = _fresh(documents, "_stop")
     keep = [F.col(f"`{x}`") for x in (documents.columns if carry is None else carry)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    known = [v for x in _COMMON for v in (x, x.capitalize())]
+    vocabulary = sorted({v for r in references for v, _ in r.words}, key=lambda v: (-max(dict(r.words).get(v, 0) for r in references), v))
+    known = [v for x in vocabulary for v in (x, capital(x))]
     n = F.size(w)
 
     # every step uses columns of the one before more than once, so none is computed twice
@@ -113,13 +177,7 @@ def measure(
         _removed(text, SPACE).alias(c),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(ln),
     )
-    # characters of words, class after class taken away
-    df = df.select("*", _removed(c, "[a-z]+").alias(c1))
-    df = df.select("*", _removed(c1, "[A-Z]+").alias(c2))
-    df = df.select("*", _removed(c2, "[0-9]+").alias(c3))
-    df = df.select("*", _removed(c3, r"[^\x00-\x7F]+").alias(c4))
-    df = df.select("*", _removed(c4, r"[.,;:!?'\"()\-]+").alias(c5))
-    df = df.select("*", _removed(c5, "[#*$%&|<>]+").alias(c6))
+    df = _classed(df, c, [c1, c2, c3, c4, c5, c6], classes)
     nothing = F.array().cast("array<bigint>")
     df = df.select(
         *keep,
@@ -127,10 +185,7 @@ def measure(
         n.alias(count),
         F.size(ln).alias(lines),
         F.size(F.array_distinct(ln)).alias(distinct_lines),
-        F.array(
-            *[(F.length(a) - F.length(b)) for a, b in ((c, c1), (c1, c2), (c2, c3), (c3, c4), (c4, c5), (c5, c6))],
-            F.length(c6),
-        ).alias(classes),
+        classes,
         # fingerprints of the 3-word windows, by position
         F.when(
             n >= 3,
@@ -141,9 +196,9 @@ def measure(
         )
         .otherwise(nothing)
         .alias(h),
-        F.transform(F.filter(w, lambda x: x.isin(known)), F.lower).alias(common),
+        F.transform(F.filter(w, lambda x: x.isin(known)) if known else F.array().cast("array<string>"), F.lower).alias(common),
     )
-    df = df.withColumn(counts, _left_over(common)).drop(common)
+    df = df.withColumn(counts, _left_over(common, vocabulary)).drop(common)
     n = F.col(count)
     # windows in order of fingerprint, for the texts that repeat one; equal neighbours are repeats
     pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
@@ -161,13 +216,17 @@ def measure(
     df = df.withColumn(p, F.sort_array(F.transform(again, lambda x: x["i"]))).drop(s)
     gaps = F.transform(p, lambda x, k: F.when(k == 0, 3).otherwise(F.least(x - F.get(p, k - 1), F.lit(3))))
 
-    def word_shares(reference: dict[str, float]) -> Column:
-        at = [_COMMON.index(v) for v in reference]
+    def word_shares(reference: Reference) -> Column:
+        at = [vocabulary.index(v) for v, _ in reference.words]
         own = [F.get(counts, F.lit(k)) - F.get(counts, F.lit(k + 1)) for k in at]
-        return F.transform(F.array(*own, n - sum(own[1:], own[0])), lambda x: x / n)
+        return F.transform(F.array(*own, sum((-x for x in own), n)), lambda x: x / n)
+
+    wide = F.get(classes, F.lit(WIDE)) / F.col(length)
 
     def nearest(distances: list[Column]) -> Column:
-        return F.when(n > 0, F.round(F.least(*distances), 6))
+        """Of the references of the text's script."""
+        fit = [F.when(F.abs(wide - r.chars[WIDE]) <= SCRIPT_GAP, d) for r, d in zip(references, distances, strict=True)]
+        return F.when(n > 0, F.round(F.least(*fit) if len(fit) > 1 else fit[0], 6)) if fit else F.lit(None).cast("double")
 
     df = df.select(
         *keep,
@@ -177,30 +236,18 @@ def measure(
         distinct_lines,
         classes,
         F.aggregate(gaps, F.lit(0), lambda a, x: a + x).alias(repeated),
-        nearest(
-            [
-                js_distance(F.transform(classes, lambda x: x / F.col(length)), list(q))
-                for q in CHAR_REFERENCES.values()
-            ]
-        ).alias(chars_js),
-        nearest(
-            [js_distance(word_shares(q), [*q.values(), 1 - sum(q.values())]) for q in WORD_REFERENCES.values()]
-        ).alias(words_js),
-    )
-    # a filter on the verdict must not be pushed below this step, which would compute all above anew for each use
-    df = df.withColumns(
-        {
-            failed: (n < LEAST_BASE_WORDS) | (100 * F.col(repeated) > MOST_REPEAT_PERCENT * n),
-            stop: F.monotonically_increasing_id(),
-        }
+        nearest([js_distance(F.transform(classes, lambda x: x / F.col(length)), list(r.chars)) for r in references]).alias(chars_js),
+        nearest([js_distance(word_shares(r), [*(p for _, p in r.words), _rest(r)]) for r in references]).alias(words_js),
     )
+    df = df.withColumn(failed, (n < LEAST_BASE_WORDS) | (100 * F.col(repeated) > MOST_REPEAT_PERCENT * n))
     chars, words = F.coalesce(chars_js, F.lit(0.0)), F.coalesce(words_js, F.lit(0.0))
     far = (F.col(length) >= LEAST_CHARS) & (
         (chars > MOST_CHARS_JS) | ((n >= LEAST_WORDS) & (chars > BOTH_CHARS_JS) & (words > BOTH_WORDS_JS))
     )
+    # the verdict comes out of a generator, below which no filter on it can be pushed: that would compute all above anew for each use
     return df.select(
         *keep,
-        F.struct(
+        F.explode(F.array(F.struct(
             n.cast("long").alias("n_words"),
             F.col(length).cast("long").alias("word_chars"),
             F.get(classes, F.lit(5)).cast("long").alias("n_symbols"),
@@ -209,21 +256,34 @@ def measure(
             F.col(chars_js).alias("chars_js"),
             F.col(words_js).alias("words_js"),
             F.col(failed).alias("base_failed"),
-            (~F.col(failed) & ~far & (F.col(stop) >= 0)).alias("kept"),
-        ).alias(out),
+            (~F.col(failed) & ~far).alias("kept"),
+        ))).alias(out),
     )
 
 
-def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    references: list[Reference] | None = None,
+) -> DataFrame:
     """One row for each row of ``documents``: ``doc_id`` and the fields of :func:`measure`.
 
-    Rows that repeat an id, and rows with a null id, are each judged on their own.
+    References are learnt from ``documents`` unless given.  Rows that repeat an
+    id, and rows with a null id, are each judged on their own.
     """
+    if references is None:
+        references = learn(documents, text_col, lang_col)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return measure(docs, carry=["doc_id"]).select("doc_id", "quality.*")
+    return measure(docs, references, carry=["doc_id"]).select("doc_id", "quality.*")
 
 
-def keep_good(documents: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(
+    documents: DataFrame, text_col: str = "text", lang_col: str = "lang", references: list[Reference] | None = None
+) -> DataFrame:
     """The rows of ``documents`` that the rules keep, with its own columns only."""
+    if references is None:
+        references = learn(documents, text_col, lang_col)
     (q,) = _fresh(documents, "quality")
-    return measure(documents, text_col, q).where(F.col(f"{q}.kept")).drop(q)
+    return measure(documents, references, text_col, q).where(F.col(f"{q}.kept")).drop(q)

@@ -61,30 +61,21 @@ FROM d LEFT JOIN q USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-def _distance(p: list[str], q: list[float]) -> str:
-    def term(x: str, m: str) -> str:
-        return f"(CASE WHEN {x} > 0 THEN {x} * log2({x} / ({m})) ELSE 0 END)"
-
-    parts = []
-    for x, y in zip(p, q, strict=True):
-        m = f"({x} + {y}) / 2"
-        parts.append(f"({term(x, m)} + {term(repr(float(y)), m)}) / 2")
-    return f"sqrt(greatest({' + '.join(parts)}, 0))"
+def _js(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of shares of one length."""
+    m = f"(({p})[k] + ({q})[k]) / 2"
+    half = [f"(CASE WHEN ({x})[k] > 0 THEN ({x})[k] * log2(({x})[k] / ({m})) ELSE 0 END)" for x in (p, q)]
+    return f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda k: ({half[0]} + {half[1]}) / 2)), 0))"
 
 
 def quality() -> str:
-    kinds = ("[a-z]", "[A-Z]", "[0-9]", r"[^\x00-\x7F]", r"[.,;:!?''\"()\-]", "[#*$%&|<>]")
-    counts = [f"length(regexp_replace(c, '[^{k[1:-1]}]+', '', 'g'))" for k in kinds]
-    counts[3] = r"length(regexp_replace(c, '[\x00-\x7F]+', '', 'g'))"
-    shares = ", ".join(f"{x} / length(c)::DOUBLE AS c{i}" for i, x in enumerate(counts))
-    chars = ", ".join(_distance([f"c{i}" for i in range(7)], list(q)) for q in _q.CHAR_REFERENCES.values())
-    words = []
-    for q in _q.WORD_REFERENCES.values():
-        p = [f"(len(list_filter(w, lambda x: x IN ('{v}', '{v.capitalize()}'))) / n::DOUBLE)" for v in q]
-        words.append(_distance([*p, f"(1 - ({' + '.join(p)}))"], [*q.values(), 1 - sum(q.values())]))
+    kinds = ("a-z", "A-Z", "0-9", None, r".,;:!?''\"()\-", "#*$%&|<>")
+    counts = [
+        r"length(regexp_replace(c, '[\x00-\x7F]+', '', 'g'))" if k is None else f"length(regexp_replace(c, '[^{k}]+', '', 'g'))" for k in kinds
+    ]
     return rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+  SELECT doc_id, lang, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
          regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS c
   FROM documents
 ), g AS (
@@ -96,25 +87,49 @@ WITH d AS (
     SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS x
     FROM g JOIN (SELECT doc_id, k FROM g GROUP BY 1, 2 HAVING count(*) > 1) m ON m.doc_id = g.doc_id AND m.k = g.k
   ) GROUP BY 1
-), f AS (
-  SELECT d.doc_id, len(w) AS n, w, length(c) AS word_chars, {shares},
+), f0 AS (
+  SELECT d.doc_id, d.lang, text, len(w) AS n, w, length(c) AS word_chars, [{", ".join(counts)}] AS own,
          len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}'))) AS lines,
          len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS own_lines,
-         {counts[5]} AS n_symbols, coalesce(n_repeat_words, 0) AS n_repeat_words
+         coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN r ON r.doc_id = d.doc_id
-), e AS (SELECT *, greatest(1 - c0 - c1 - c2 - c3 - c4 - c5, 0) AS c6 FROM f),
-j AS (
-  SELECT *, CASE WHEN n > 0 THEN round(least({chars}), 6) END AS chars_js,
-         CASE WHEN n > 0 THEN round(least({", ".join(words)}), 6) END AS words_js,
-         n < {_q.LEAST_BASE_WORDS} OR 100 * n_repeat_words > {_q.MOST_REPEAT_PERCENT} * n AS base_failed
-  FROM e
+), f AS (SELECT *, list_append(own, (word_chars - list_sum(own))::BIGINT) AS classes FROM f0),
+lc AS (
+  SELECT lang, count(*) AS docs, {", ".join(f"sum(classes[{k}]) AS n{k}" for k in range(1, 8))}
+  FROM f WHERE lang IS NOT NULL AND text IS NOT NULL AND word_chars > 0 GROUP BY lang
+), lw AS (
+  SELECT lang, v, count(*) AS n FROM (SELECT lang, unnest(w) AS v FROM f WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY 1, 2
+), lt AS (
+  SELECT lang, list(v ORDER BY k) AS v, list(n ORDER BY k) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, v) AS k FROM lw
+    WHERE length(v) <= {_q.COMMON_LENGTH} AND regexp_matches(v, '{_q.COMMON_WORD}')
+  ) WHERE k <= {_q.COMMON_WORDS} GROUP BY lang
+), ls AS (SELECT lang, sum(n) AS words FROM lw GROUP BY lang),
+q AS (
+  SELECT lc.lang, list_transform([{", ".join(f"n{k}" for k in range(1, 8))}], lambda x: x::DOUBLE / ({" + ".join(f"n{k}" for k in range(1, 8))})) AS chars,
+         coalesce(lt.v, []) AS v, list_transform(coalesce(lt.n, []), lambda x: x::DOUBLE / words) AS shares
+  FROM lc JOIN ls USING (lang) LEFT JOIN lt USING (lang)
+  WHERE docs >= {_q.LEAST_ROWS} AND docs >= {_q.LEAST_SHARE} * (SELECT sum(docs) FROM lc)
+), p AS (
+  SELECT doc_id, list_transform(classes, lambda x: x::DOUBLE / word_chars) AS c, q.chars,
+         list_append(shares, greatest(1.0 - coalesce(list_sum(shares), 0), 0)) AS s, n,
+         list_transform(v, lambda x: len(list_filter(w, lambda y: y = x OR y = upper(x[1]) || x[2:] AND x[1] BETWEEN 'a' AND 'z'))) AS own
+  FROM f, q WHERE n > 0
+), m AS (
+  SELECT doc_id, c, chars, s, list_transform(list_append(own, n - coalesce(list_sum(own), 0)::BIGINT), lambda x: x::DOUBLE / n) AS o
+  FROM p WHERE abs(c[4] - chars[4]) <= {_q.SCRIPT_GAP}
+), j AS (
+  SELECT doc_id, round(min({_js("c", "chars")}), 6) AS chars_js, round(min({_js("o", "s")}), 6) AS words_js FROM m GROUP BY doc_id
+), e AS (
+  SELECT f.*, chars_js, words_js, n < {_q.LEAST_BASE_WORDS} OR 100 * n_repeat_words > {_q.MOST_REPEAT_PERCENT} * n AS base_failed
+  FROM f LEFT JOIN j ON j.doc_id = f.doc_id
 )
-SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, classes[6]::BIGINT AS n_symbols,
        (lines - own_lines)::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        chars_js, words_js, base_failed,
        NOT base_failed AND NOT (word_chars >= {_q.LEAST_CHARS} AND coalesce(chars_js, 0) > {_q.BOTH_CHARS_JS}
          AND (chars_js > {_q.MOST_CHARS_JS} OR (n >= {_q.LEAST_WORDS} AND words_js > {_q.BOTH_WORDS_JS}))) AS kept
-FROM j
+FROM e
 """
 
 

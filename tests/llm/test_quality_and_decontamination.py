@@ -40,19 +40,65 @@ def test_base_measures_by_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+ENGLISH = "The cat sat on the mat and the dog was in the house of a friend, which is to say that it was there."
+RUSSIAN = "Кошка сидела на окне и смотрела как во дворе играют дети, а собака спала под столом и не хотела никуда идти. Что же делать?"
+PYTHON = "def add(self, x, y):\n    if x is None or y[0] != 3:\n        return {'a': x[1:], 'b': (y ** 2) % 7}\n    for i in range(len(self._rows)):\n        self.total += self._rows[i] * (x - y) / 2.0\n"
+
+
+def _written(base, n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(base.split()) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+
+
+def _corpus(spark, rows):
+    """Rows (doc_id, text, lang) among fifteen each of labelled English and Russian prose."""
+    full = [(i, t, lang, "s", 0) for i, t, lang in rows]
+    full += [(1000 + k, _written(ENGLISH, 300, k), "en", "s", 0) for k in range(15)]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+
+
 def test_verdicts_and_filter(spark):
-    english = ("The cat sat on the mat and the dog was in the house of a friend, which is to say that it was there. " * 1).strip()
-    rng = random.Random(0)
-    good = " ".join(rng.choice(english.split()) + ("." if rng.random() < 0.1 else "") for _ in range(400))
+    good = _written(ENGLISH, 400, 0)
     marked = " ".join(w + "###" for w in good.split())
-    rows = [(1, good), (2, marked), (3, good.upper().replace(" ", "!! ")), (None, good), (1, good)]
-    docs = documents(spark, rows).withColumn("_stop", F.lit(0)).withColumn("quality", F.lit("x"))
+    rows = [(1, good, "en"), (2, marked, "en"), (3, good.upper().replace(" ", "!! "), None), (None, good, None), (1, good, "en"), (4, None, "en")]
+    docs = _corpus(spark, rows).withColumn("_stop", F.lit(0)).withColumn("quality", F.lit("x"))
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 1), (True, 0)]
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect() if (r["doc_id"] or 0) < 1000)
+    assert ids == [(False, 1), (False, 1), (True, 0)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate explode")
     assert quality.quality_rules(docs.where("doc_id < 0")).count() == 0
 
 
+def test_other_scripts(spark):
+    """A script without a reference has no verdict; with labelled rows of it, its junk is told from its prose."""
+    junk = " ".join(w + "$$#" for w in _written(RUSSIAN, 200, 3).split())
+    rows = [(1, _written(RUSSIAN, 200, 1), None), (2, junk, None), (3, PYTHON * 8, None)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(_corpus(spark, rows)).collect()}
+    assert got[1]["kept"] and got[1]["chars_js"] is None and got[1]["words_js"] is None
+    assert not got[3]["kept"]
+    more = [(2000 + k, _written(RUSSIAN, 200, 50 + k), "ru") for k in range(15)] + [(3000 + k, _written(PYTHON, 300, k), "py") for k in range(15)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(_corpus(spark, rows + more)).collect()}
+    assert got[1]["kept"] and got[1]["chars_js"] < 0.1 and not got[2]["kept"]
+    assert all(got[i]["kept"] for i, _, _ in more) and got[3]["chars_js"] < 0.2
+
+
+def test_references_by_brute_force(spark):
+    rows = [(k, _written(ENGLISH if k % 2 else RUSSIAN, 30 + k, k), ("en", "ru")[k % 2 == 0]) for k in range(30)] + [(99, None, "en"), (98, "", "en"), (97, "zz", "rare"), (96, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.learn(docs)
+    assert len(got) == 2
+    for ref, lang in zip(got, ("en", "ru"), strict=True):
+        words = [w for _, t, x in rows if x == lang for w in space_words(t)]
+        chars = "".join(words)
+        n = Counter(w for w in words if len(w) <= 5 and re.fullmatch(r"[^\x00-\x60\x7B-\x7F]+", w))
+        assert [w for w, _ in ref.words] == sorted(n, key=lambda w: (-n[w], w))[:8]
+        assert all(abs(p - n[w] / len(words)) < 1e-12 for w, p in ref.words)
+        wide = sum(c > "\x7f" for c in chars) / len(chars)
+        assert abs(ref.chars[3] - wide) < 1e-12 and abs(sum(ref.chars) - 1) < 1e-12
+
+
 def test_js_distance_is_a_distance(spark):
     df = spark.createDataFrame([([0.5, 0.5, 0.0],), ([0.0, 0.0, 1.0],)], "p array<double>")
     d = [r[0] for r in df.select(quality.js_distance(F.col("p"), [0.5, 0.5, 0.0])).collect()]
