@@ -192,29 +192,44 @@ def train(texts: list[str], langs: list[str]) -> Model:
 
 
 def sample_of(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> pd.DataFrame:
-    """At most about ``rows`` labelled rows (text, lang), the same number for each language as far as there are.
-
-    Chosen by a hash of the text, so the choice doesn't depend on partitions,
-    and only as many rows as keep the whole below ``chars`` characters.
+    """At most ``rows`` labelled rows (text, lang) of at most ``chars`` characters, about as many for each language as far as there are.
+
+    ``documents`` (id, text, lang).  A hash of id and text gives every row its place, so the choice
+    doesn't depend on partitions; the first places of each language are taken.  Both limits hold
+    before any text is brought to the driver: first only places and lengths are, of
+    about as many rows as are wanted.  Of rows that repeat id and text one is taken.  Texts longer than a
+    language's share of the characters are passed over.  Languages beyond the ``rows``
+    with the most rows have no place.
     """
-    labelled = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean")).orderBy("lang").collect()
+    place = F.xxhash64("id", "text")
+    labelled = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
+        "text", "lang", F.length("text").alias("size"), place.alias("place")
+    )
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    sizes = sorted(sizes.orderBy(F.col("n").desc(), "lang").limit(rows).collect(), key=lambda r: r["lang"])
     if not sizes:
         return pd.DataFrame({"text": [], "lang": []})
-    each = max(1, rows // len(sizes))
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = None
-    for r in sizes:
-        share = min(1.0, each / r["n"], chars / len(sizes) / max(1.0, r["mean"] * r["n"]))
-        this = (F.col("lang") == r["lang"]) & (place < share)
-        chosen = this if chosen is None else chosen | this
-    picked = labelled.where(chosen).select("text", "lang").toPandas()
-    return picked.sort_values(["lang", "text"], ignore_index=True)
-
-
-def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    each, most = max(1, rows // len(sizes)), chars // len(sizes)
+    spread = F.pmod("place", F.lit(1 << 30)) / float(1 << 30)
+    share = {r["lang"]: min(1.0, 1.2 * each / r["n"] + 20 / r["n"], 1.2 * most / max(1.0, r["mean"] * r["n"]) + 20 / r["n"]) for r in sizes}
+    shares = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
+    near = labelled.where((spread < F.element_at(shares, F.col("lang"))) & (F.col("size") <= most))
+    places = near.select("lang", "place", "size", spread.alias("s")).distinct().orderBy("s", "place").limit(2 * rows + 40 * len(sizes)).toPandas()
+    last: dict = {}
+    for lang, part in places.groupby("lang"):
+        part = part.sort_values(["s", "place"])
+        fits = part[(np.arange(len(part)) < each) & (part["size"].cumsum() <= most)]
+        last |= {int(x): lang for x in fits["place"]}
+    if not last:
+        return pd.DataFrame({"text": [], "lang": []})
+    wanted = documents.sparkSession.createDataFrame([(x, lang) for x, lang in last.items()], "place long, lang string")
+    picked = near.join(F.broadcast(wanted), ["place", "lang"], "left_semi").groupBy("place", "lang").agg(F.first("text").alias("text"))
+    return picked.select("text", "lang").toPandas().sort_values(["lang", "text"], ignore_index=True)
+
+
+def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Train on a bounded sample of the rows with a text and a label."""
-    sample = sample_of(documents.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    sample = sample_of(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
     return train(sample["text"].tolist(), sample["lang"].tolist())
 
 
@@ -275,7 +290,7 @@ def identify(documents: DataFrame) -> DataFrame:
 def keep_identified(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that the model accepts, with its own columns only."""
     docs = documents.withColumn("_held_out", held_out())
-    model = fit(docs.where(~F.col("_held_out")).select("text", "lang"))
+    model = fit(docs.where(~F.col("_held_out")).select("doc_id", "text", "lang"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

@@ -129,19 +129,50 @@ def mix(
     a source meets its target to the word.  A null text has size 0; null sources
     are one source; rows that repeat an id and text are taken one after the other.
     """
+    base = _drawn(documents, seed, id_col, text_col, source_col, [])
+    return _taken(written(base, "sizes"), None, weights, cap, bucket_docs)
+
+
+def take(
+    documents: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    cap: int = CAP,
+    seed: str = SEED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    bucket_docs: int = BUCKET_DOCS,
+) -> DataFrame:
+    """The rows of ``documents`` of which :func:`mix` takes words, with all their columns and ``taken`` (which replaces one so named).
+
+    Texts don't move but for those in the ranges where the budgets end.
+    """
+    own = [c for c in documents.columns if c.lower() != "taken"]
+    base = written(_drawn(documents, seed, id_col, text_col, source_col, []), "sizes")
+    rows = _drawn(documents, seed, id_col, text_col, source_col, own)
+    out = _taken(base, rows, weights, cap, bucket_docs).where("taken > 0")
+    return out.select(*[F.col(f"_own.`{c}`").alias(c) for c in own], "taken")
+
+
+def _drawn(documents: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, own: list[str]) -> DataFrame:
+    """``(doc_id, source, size, key, tie)``, and the columns ``own`` as a struct ``_own`` if there are any."""
     text = F.col(text_col)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), ident)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    base = written(
-        documents.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            size_of(text).alias("size"),
-            (-F.log(u) / quality_of(text)).alias("key"),
-            F.md5(F.coalesce(text, F.lit(""))).alias("tie"),
-        ),
-        "sizes",
+    drawn = F.struct(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        size_of(text).alias("size"),
+        (-F.log(u) / quality_of(text)).alias("key"),
+        F.md5(F.coalesce(text, F.lit(""))).alias("tie"),
     )
+    kept = [F.struct(*[F.col(f"`{c}`") for c in own]).alias("_own")] if own else []
+    # out of a generator, below which no filter is pushed: that would draw anew for each use
+    return documents.select(*kept, F.inline(F.array(drawn)))
+
+
+def _taken(base: DataFrame, rows: DataFrame | None, weights: tuple[int, ...], cap: int, bucket_docs: int) -> DataFrame:
+    """``rows`` (``base`` if there are none) with what the mix takes, the budgets' ends being found in ``base``."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = written(targets(sizes, weights, cap), "targets")
     plan = plan.select(
@@ -153,7 +184,8 @@ def mix(
     ).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
 
     ends = _edges(base, plan, bucket_docs).drop("docs", "open", "left")
-    docs = base.join(ends, base["source"].eqNullSafe(ends["of"])).drop("of")
+    rows = base if rows is None else rows
+    docs = rows.join(ends, rows["source"].eqNullSafe(ends["of"])).drop("of")
     within = (F.col("key") > F.col("low")) & (F.col("key") <= F.coalesce("high", F.lit(-1.0)))
     # below the range, or in a source that is taken as a whole
     under = F.col("high").isNull() | (F.col("key") <= F.col("low"))
@@ -163,6 +195,7 @@ def mix(
     room = F.col("budget") - (F.col("z") - F.col("size"))
     edge = edge.withColumn("once", F.greatest(F.least(F.col("size"), room), F.lit(0))).drop("z")
     return whole.unionByName(edge).select(
+        *[c for c in rows.columns if c == "_own"],
         "doc_id",
         "source",
         "size",

@@ -91,6 +91,19 @@ def test_ranges_of_low_weights_and_equal_keys_are_cut(spark):
     assert abs(one.groupby("source").taken.sum() - one.groupby("source").target.first()).max() <= 0.5
 
 
+def test_rows_of_the_mix_carry_their_texts(spark, corpus):
+    docs = documents(spark, corpus).withColumn("taken", F.lit("clash")).withColumn("key", F.lit(0)).withColumn("_x y", F.lit(1)).repartition(4)
+    for bucket in (2000, 3):
+        got = mixing.take(docs, bucket_docs=bucket)
+        assert got.columns == [c for c in docs.columns if c != "taken"] + ["taken"]
+        texts = {(r["doc_id"], r["source"], r["text"]) for r in docs.collect()}
+        assert {(r["doc_id"], r["source"], r["text"]) for r in got.collect()} <= texts
+        want = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "source").agg(F.sum("taken").alias("t"), F.count("*").alias("n"))
+        have = got.groupBy("doc_id", "source").agg(F.sum("taken").alias("t"), F.count("*").alias("n"))
+        assert sorted(map(tuple, have.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert mixing.take(docs.where("doc_id < 0")).count() == 0
+
+
 def test_nothing(spark):
     assert mixing.mix(documents(spark, [(1, "a")]).where("doc_id < 0")).count() == 0
     r = mixing.mix(documents(spark, [(1, None)])).first()

@@ -1,6 +1,7 @@
 """Language model, language identification, licences, pages."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -164,10 +165,54 @@ def test_language_identification(spark):
 
 
 def test_sample_is_bounded_and_fixed(spark):
-    docs = spark.createDataFrame([(f"text {i}", "en" if i % 3 else "fr") for i in range(3000)], "text string, lang string")
+    rows = [(i, f"text {i}", "en" if i % 3 else "fr") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
     one = langid.sample_of(docs, rows=200)
-    assert 100 < len(one) < 300
+    assert 150 < len(one) <= 200 and set(one["lang"].value_counts()) <= set(range(70, 101))
     assert one.equals(langid.sample_of(docs.repartition(7), rows=200))
+    assert langid.sample_of(docs, chars=500)["text"].str.len().sum() <= 500
+    # a text that repeats in very many rows, and texts that are too long by themselves
+    more = [(7, "again", "en")] * 5000 + [(5000 + i, "again", "en") for i in range(5000)] + [(20_000 + i, "x" * 5000, "fr") for i in range(50)]
+    two = langid.sample_of(spark.createDataFrame(more, docs.schema).unionAll(docs), rows=200, chars=4000)
+    assert len(two) <= 200 and two["text"].str.len().sum() <= 4000 and set(two["lang"]) == {"en", "fr"}
+
+
+def test_predictions_by_brute_force():
+    """The score of a text from the model's table by the definition: n-grams hashed one by one, words averaged, softmax."""
+    texts = [_language(lang, 25, i) for i, lang in enumerate(["en", "fr", "de"] * 30)]
+    model = langid.train(texts, ["en", "fr", "de"] * 30)
+
+    def buckets(word):
+        b = f"<{word}>".encode()
+        out = [zlib.crc32(b) % langid.BUCKETS]
+        for n in range(1, 5):
+            for at in range(len(b) - n + 1):
+                h = 2_166_136_261
+                for x in b[at : at + n]:
+                    h = (h * 16_777_619 & 0xFFFFFFFF) ^ x
+                out.append((h ^ (h >> 15)) % langid.BUCKETS)
+        return out
+
+    given = [*texts[:12], "Élan vital, straße 12 x", "a", "", None, "12 34", texts[0] * 40]
+    for text, (label, score) in zip(given, model.scorer().predict(given), strict=True):
+        words = langid.letters_of(text or "")
+        if not words:
+            assert (label, score) == ("und", 0.0)
+            continue
+        z = np.mean([np.mean([model.table[b] for b in buckets(w)], axis=0) for w in words], axis=0) + model.bias
+        e = np.exp(z / model.temperature - (z / model.temperature).max())
+        assert label == model.labels[int(e.argmax())] and score == pytest.approx(float(e.max() / e.sum()), rel=1e-4)
+
+
+def test_held_out_rows_of_the_tables(spark):
+    """Accuracy on rows whose labels weren't seen."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("needs the shared tables")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
+    right, n = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 100 and right >= 0.98 * n
 
 
 def test_rejection_of_unsure_texts():

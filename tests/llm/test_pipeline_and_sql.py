@@ -6,7 +6,7 @@ import pytest
 from helpers import components
 
 import corpus_pipeline
-from tangentia.llm import registry
+from tangentia.llm import langid, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the shared tables")
@@ -30,20 +30,42 @@ def test_there_is_a_query_for_every_operator():
     assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
 
 
-def test_stages_keep_columns_and_take_effect(spark):
+def _by_sql(tmp_path, docs, name):
+    """The registered SQL of a query over ``docs`` as ``documents``."""
+    path = f"{tmp_path}/{name}.parquet"
+    docs.toPandas().to_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
+    return con.execute(registry.oracle_sql()[name]).fetchdf()
+
+
+def test_stages_keep_columns_and_take_effect(spark, tmp_path):
+    """Every stage against what decides it: predictions, SQL over its own input, or all pairs of documents."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, SF).cache()
         assert kept.columns == docs.columns, name
         before, after = {r["doc_id"] for r in docs.select("doc_id").collect()}, {r["doc_id"] for r in kept.select("doc_id").collect()}
         assert after <= before
-        if name == "near_dedup":
+        if name == "language":
+            assert after == {r["doc_id"] for r in langid.identify(docs).where("not rejected").collect()}
+        elif name == "quality":
+            want = _by_sql(tmp_path, docs, "op2_divergence")
+            assert after == set(want[want.kept].doc_id) < before
+        elif name == "near_dedup":
             rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-            assert after == set(components(rows).values())
+            assert after == set(components(rows, 80).values()) < before
+        elif name == "decontaminate":
+            want = _by_sql(tmp_path, docs, "op4_decontaminate")
+            assert after == set(want[~want.contaminated].doc_id) < before
         docs = kept
-    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
-    assert set(mixed["doc_id"]) <= after and (mixed["taken"] > 0).all()
-    assert sorted(mixed["doc_id"]) == sorted(corpus_pipeline.run(spark, SF).toPandas()["doc_id"])
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert mixed.columns == [*docs.columns, "taken"]
+    want = _by_sql(tmp_path, docs, "op7_mix")
+    want = {r.doc_id: r.taken for r in want.itertuples() if r.taken > 0}
+    assert {r["doc_id"]: r["taken"] for r in mixed.collect()} == want
+    assert {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, SF).collect()} == want
 
 
 def test_pipeline_of_nothing(spark, tmp_path):
