@@ -8,7 +8,6 @@ return the columns of ``documents``; each works on all that the one before kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tangentia.llm import decontaminate, langid, minhash, mixing, quality
 from tangentia.llm.common import written
@@ -35,8 +34,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of which it takes words, and how many."""
-    return mixing.mix(docs).where(F.col("taken") > 0)
+    """The mix: documents of which it takes words, with all their columns, and how many words of each (``taken``, repeats counted)."""
+    return mixing.take(docs)
 
 
 STAGES = [
@@ -47,7 +46,8 @@ STAGES = [
     ("mix", mix),
 ]
 
-#: The language stage is a trained model, which SQL can't state; tests hold the stages against brute force.
+#: The language stage is a trained model, which SQL can't state; tests hold every other stage against brute force or its SQL,
+#: and the language stage against the operator's query.
 ORACLE_SQL = None
 
 
