@@ -95,7 +95,8 @@ WITH d AS (
   FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 ), f AS (SELECT *, list_append(own, (word_chars - list_sum(own))::BIGINT) AS classes FROM f0),
 lc AS (
-  SELECT lang, count(*) AS docs, {", ".join(f"sum(classes[{k}]) AS n{k}" for k in range(1, 8))}
+  SELECT lang, count(*) AS docs,
+         {", ".join(f"quantile_disc(floor({_q.SHARE_STEPS} * (classes[{k}] / word_chars::DOUBLE)), 0.5) + 0.5 AS n{k}" for k in range(1, 8))}
   FROM f WHERE lang IS NOT NULL AND text IS NOT NULL AND word_chars > 0 GROUP BY lang
 ), lw AS (
   SELECT lang, v, count(*) AS n FROM (SELECT lang, unnest(w) AS v FROM f WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY 1, 2

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -91,12 +92,16 @@ def test_references_by_brute_force(spark):
     assert len(got) == 2
     for ref, lang in zip(got, ("en", "ru"), strict=True):
         words = [w for _, t, x in rows if x == lang for w in space_words(t)]
-        chars = "".join(words)
         n = Counter(w for w in words if len(w) <= 5 and re.fullmatch(r"[^\x00-\x60\x7B-\x7F]+", w))
         assert [w for w, _ in ref.words] == sorted(n, key=lambda w: (-n[w], w))[:8]
         assert all(abs(p - n[w] / len(words)) < 1e-12 for w, p in ref.words)
-        wide = sum(c > "\x7f" for c in chars) / len(chars)
-        assert abs(ref.chars[3] - wide) < 1e-12 and abs(sum(ref.chars) - 1) < 1e-12
+        shares = []
+        for c in ["".join(space_words(t)) for _, t, x in rows if x == lang]:
+            if c:
+                kinds = [sum("a" <= x <= "z" for x in c), sum("A" <= x <= "Z" for x in c), sum(x.isdigit() for x in c), sum(x > "\x7f" for x in c), sum(x in ".,;:!?'\"()-" for x in c), sum(x in "#*$%&|<>" for x in c)]
+                shares.append([math.floor(1000 * (k / len(c))) for k in (*kinds, len(c) - sum(kinds))])
+        medians = [sorted(x)[math.ceil(len(x) / 2) - 1] + 0.5 for x in zip(*shares, strict=True)]
+        assert ref.chars == pytest.approx([m / sum(medians) for m in medians])
 
 
 def test_js_distance_is_a_distance(spark):
