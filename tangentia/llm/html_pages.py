@@ -139,6 +139,21 @@ class _Page:
     def form(self) -> str:
         return f'<form class="{self.r.choice(_NAMES["form"])}" data-content="0"><label>{self.words(1, 3)}</label><input name="q"><p>{self.sentences(1, 2)}</p><button>{self.word()}</button></form>'
 
+    def signup(self) -> str:
+        """A call to sign up, in an element that need be no form."""
+        call = self.r.choice((self.sentences(1, 2), f"<p>{self.sentences(1, 2)}</p>", f"<h3>{self.words(2, 5)}</h3>", f"{self.words(2, 5).capitalize()}!", f"{self.words(3, 6).capitalize()}!"))
+        return self.part("form", call + self.r.choice(("", '<input type="email" name="e">')) + self.r.choice(("", f"<button>{self.word()}</button>")))
+
+    def items(self) -> str:
+        """A list of an article, of short items or of sentences."""
+        tag, how = self.r.choice(("ul", "ol", "ol")), self.r.random()
+        inner = [self.words(1, 12) if how < 0.5 else self.sentences(1, 2) if how < 0.85 else f"<p>{self.sentences(1, 2)}</p>" for _ in range(self.r.randint(2, 6))]
+        return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in inner) + f"</{tag}>"
+
+    def figure(self) -> str:
+        caption = self.r.choice((self.words(2, 9), self.sentences(1, 2), f"{self.words(3, 7).capitalize()}. {self.word()}: {self.word()}"))
+        return f'<figure{self.r.choice(("", ""," class=image"))}><img src="/x.png" alt="x"><figcaption>{caption}</figcaption></figure>'
+
     def footer(self) -> str:
         return self.part("footer", self.r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentences(1, 2)}", self.links(3, 7) + f"<p>&copy; 20{self.r.randint(10, 24)} {self.words(1, 3)}</p>", f"<p>{self.sentences(1, 3)}</p>")))
 
@@ -160,8 +175,12 @@ class _Page:
                 out.append(self.prose())
             elif x < 0.82:
                 out.append(f"<h2>{self.words(1, 6)}</h2>")
-            elif x < 0.87:
-                out.append("<ul>" + "".join(f"<li>{self.words(1, 12)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>")
+            elif x < 0.86:
+                out.append(self.items())
+            elif x < 0.875:
+                out.append(self.figure())
+            elif x < 0.885:
+                out.append("<dl>" + "".join(f"<dt>{self.words(1, 3)}</dt><dd>{self.r.choice((self.words(2, 9), self.sentences(1, 2)))}</dd>" for _ in range(self.r.randint(1, 5))) + "</dl>")
             elif x < 0.90:
                 out.append(f"<blockquote>{self.sentences(1, 3)}</blockquote>")
             elif x < 0.93:
@@ -170,11 +189,11 @@ class _Page:
                 out.append("<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(2)) + "</table>")
             else:
                 out.append(f"<p><b>{self.words(3, 9)}.<br>{self.prose()}")
-            if not bare and self.r.random() < 0.08:
-                out.append(self.r.choice((self.advert, self.share, self.notice, self.sidebar, self.form))())
+            if not bare and self.r.random() < 0.16:
+                out.append(self.r.choice((self.advert, self.share, self.notice, self.sidebar, self.form, self.signup, self.signup))())
         inner = "".join(out)
         if bare:  # nothing around the article but the body
-            return re.sub(r"<(p|h1|h2|ul|div|blockquote|pre|table)>", r'<\1 data-content="1">', inner)
+            return re.sub(r"<(p|h1|h2|ul|ol|dl|figure|div|blockquote|pre|table)>", r'<\1 data-content="1">', inner)
         if self.r.random() < 0.3:
             inner = self.part("content", inner, 1) if self.r.random() < 0.5 else f'<section data-content="1">{inner}</section>'
         if self.r.random() < 0.12:
@@ -188,15 +207,27 @@ class _Page:
             return self.part("content", inner, 1)
         return f'<div data-content="1">{inner}</div>'
 
+    def table(self) -> str:
+        """A page laid out by a table, as they once were: a cell of links, a cell of text, a line below."""
+        links = "<br>".join(f'<a href="{self.word()}">{self.words(1, 2)}</a>' for _ in range(self.r.randint(2, 8)))
+        text = (f"<h2>{self.words(2, 6)}</h2>" if self.r.random() < 0.7 else "") + "".join(self.prose() for _ in range(self.r.randint(1, 6)))
+        cells = [f'<td{self.r.choice(("", " width=120", " class=menu"))} data-content="0">{links}</td>', f'<td data-content="1">{text}</td>']
+        if self.r.random() < 0.3:
+            cells.reverse()
+        below = self.r.choice(("p", "div", "center"))
+        return f'<table><tr>{"".join(cells)}</tr></table><{below} data-content="0"><font size=1>Copyright {self.r.randint(1996, 2024)} &copy; {self.words(1, 4)}</font></{below}>'
+
     def page(self) -> str:
-        before = [f() for f in (self.header, self.menu, self.notice, self.advert, self.form) if self.r.random() < 0.5]
-        after = [f() for f in (self.share, self.comments, self.sidebar, self.advert, self.notice, self.form) if self.r.random() < 0.35]
+        before = [f() for f in (self.header, self.menu, self.notice, self.advert, self.form, self.signup) if self.r.random() < 0.5]
+        after = [f() for f in (self.share, self.comments, self.sidebar, self.advert, self.notice, self.form, self.signup) if self.r.random() < 0.35]
         if self.r.random() < 0.85:
             after.append(self.footer())
         body = self.article()
         if self.r.random() < 0.3:
             side = self.sidebar()
             body = f'<div class="{self.r.choice(("wrapper", "container", "row", "layout", "page"))}">{body + side if self.r.random() < 0.6 else side + body}</div>'
+        if self.r.random() < 0.08:
+            before, body, after = [], self.table(), []
         self.r.shuffle(before)
         title = self.words(2, 5)
         start = self.r.choice(("</head><body>", "</head><body>", "</head><body>", "<body>", ""))  # the tags are optional

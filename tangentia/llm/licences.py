@@ -56,16 +56,26 @@ TEMPLATES = {
         "under the GNU General Public License, version 3",
         "under the GNU General Public License, version 2",
         "under the GPL version 3",
+        "the GPLv2",
+        "the GPLv3",
+        "GPLv3 license",
+        "GPL v2",
+        "GPL v3",
     ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "under the GNU Lesser General Public License, version 3",
         "under the LGPL version 2.1",
+        "the LGPLv3",
+        "LGPL v2.1",
+        "LGPL v3",
     ],
     "AGPL": [
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "under the GNU Affero General Public License, version 3",
         "under the AGPL version 3",
+        "the AGPLv3",
+        "AGPL v3",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -132,20 +142,20 @@ _NEAR_MISSES = (
     "The general public was free to attend the foundation.", "Conditions may apply; version 2.0 follows.",
     "This work was done under the direction of the author.", "No warranty is given for the goods.",
 )
-_COMMON = frozenset(
-    "the and for with this that under from any may not can all are was one you have has been will its use which other either "
-    "both following provided person above one the obtain including charge conditions without general public work free time "
-    "source later option any law rights form form part terms subject code file".split()
-)
-#: Names that are enough for a piece to be classified; of other licence words it takes two.
-_NAMES = frozenset("gpl lgpl agpl mpl bsd cc0 unlicense".split())
 #: SPDX identifiers, by family; the longest beginning counts.
 SPDX = {
     "apache-2.0": "Apache-2.0", "mit": "MIT", "bsd-": "BSD", "0bsd": "BSD", "gpl-": "GPL", "lgpl-": "LGPL", "agpl-": "AGPL",
     "mpl-2.0": "MPL-2.0", "cc-by-": "CC-BY", "cc-by-sa-": "CC-BY-SA", "cc-by-nc-": "CC-BY-NC", "cc-by-nd-": "CC-BY-ND", "cc0-": "CC0",
     "unlicense": "Unlicense", "isc": "ISC", "zlib": "Zlib", "bsl-1.0": "BSL-1.0", "epl-": "EPL", "eupl-": "EUPL", "artistic-": "Artistic",
 }
+#: Names after ``License:`` that are no SPDX identifiers, without a version.
+NAMED = {
+    "apache": "Apache-2.0", "bsd": "BSD", "gpl": "GPL", "lgpl": "LGPL", "agpl": "AGPL", "mpl": "MPL-2.0", "cc-by": "CC-BY", "cc-by-sa": "CC-BY-SA",
+    "cc-by-nc": "CC-BY-NC", "cc-by-nd": "CC-BY-ND", "cc0": "CC0", "bsl": "BSL-1.0", "epl": "EPL", "eupl": "EUPL", "artistic": "Artistic",
+}
 _TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*(.*)", re.I)
+_DECLARED = re.compile(r"\blicen[cs]e\s*[:=][ \t]*[\"'(]?(?:the[ \t]+)?([a-z0-9][a-z0-9.\-]*)(?![\w:/])", re.I)
+_VERSION = re.compile(r"[-_]?v?[0-9][0-9.]*(?:-only|-or-later)?$|-$")
 _IDENTIFIER = re.compile(r"[a-z0-9][a-z0-9.\-]*", re.I)
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]")
 
@@ -156,6 +166,11 @@ def ngrams(text: str) -> list[str]:
     return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
 
 
+def _pairs(text: str) -> set[str]:
+    w = _WORD.findall(text.lower())
+    return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+
+
 def _ids(grams: list[str]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(g) & (BUCKETS - 1) for g in grams], dtype=np.int64))
 
@@ -167,7 +182,11 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
-    vocabulary: frozenset[str]  # words of templates that ordinary prose hardly has
+    grams: dict[str, list[frozenset[str]]]  # word pairs of the templates, by family
+
+    def __post_init__(self) -> None:
+        self.pairs = frozenset(g for of in self.grams.values() for t in of for g in t)
+        self.least = min((len(t) for of in self.grams.values() for t in of), default=0)
 
     def probabilities(self, paragraph: str) -> np.ndarray:
         ids = _ids(ngrams(paragraph))
@@ -176,20 +195,28 @@ class Model:
         return e / e.sum()
 
 
-def _examples(rng: random.Random, n: int) -> list[tuple[str, str]]:
-    """Paragraphs made from the templates by rule, with lost and foreign words, and others that name no family."""
+def _examples(rng: random.Random, n: int, templates: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """Paragraphs made from the templates by rule, with lost and foreign words, and others that name no family.
+
+    Those are prose, near misses, and the templates' own words out of their order, as texts
+    of other licences have them.
+    """
     syllables = "an be cor de el fi gra ho in jo ka lu mo na or pe qui ra se ti un ve wa zen ing tion der que ent the of and".split()
 
     def prose(k: int) -> list[str]:
         return ["".join(rng.choices(syllables, k=rng.choice((1, 1, 2, 3)))) for _ in range(k)]
 
     out = []
+    bag = [w for ts in templates.values() for t in ts for w in t.split()]
     for _ in range(n):
-        family = rng.choice(list(TEMPLATES))
-        text = rng.choice(TEMPLATES[family])
-        if text.startswith("under "):
-            text = f"{rng.choice(_LEADS)} {text}{rng.choice(('.', '', '. All rights reserved.'))}"
-            words = text.split()
+        family = rng.choice(list(templates))
+        text = rng.choice(templates[family])
+        if text.startswith(("under ", "the ")) or len(text.split()) <= 2:
+            if not text.startswith("under "):
+                text = f"under {rng.choice(('', 'the ')) if not text.startswith('the ') else ''}{text}"
+            if rng.random() < 0.8:
+                text = f"{rng.choice(_LEADS)} {text}{rng.choice(('.', '', '. All rights reserved.'))}"
+            words = text.removeprefix("under ").split() if rng.random() < 0.2 else text.split()
         else:
             words = [w for w in text.split() if rng.random() > 0.06]
             if len(words) > WINDOW and rng.random() < 0.5:  # as long paragraphs are read
@@ -200,16 +227,19 @@ def _examples(rng: random.Random, n: int) -> list[tuple[str, str]]:
         miss = prose(rng.randint(2, 40))
         if rng.random() < 0.4:
             miss = rng.choice(_NEAR_MISSES).split() + miss[: rng.randint(0, 12)]
-        elif rng.random() < 0.3:
+        elif rng.random() < 0.15:
+            miss = rng.choices(bag, k=rng.randint(4, 40))
+        elif rng.random() < 0.4:
             miss += rng.choice(_LEADS).split() + ["under"] + prose(rng.randint(1, 4))
         out.append((" ".join(miss), "unknown"))
     return out
 
 
-def train(n: int = 4000, rounds: int = 4, rate: float = 0.5) -> Model:
+def train(n: int = 16000, rounds: int = 5, rate: float = 0.5, templates: dict[str, list[str]] | None = None) -> Model:
+    templates = TEMPLATES if templates is None else templates
     rng = random.Random(SEED)
-    families = [*TEMPLATES, "unknown"]
-    data = [(_ids(ngrams(t)), families.index(f)) for t, f in _examples(rng, n)]
+    families = [*templates, "unknown"]
+    data = [(_ids(ngrams(t)), families.index(f)) for t, f in _examples(rng, n, templates)]
     cut = len(data) * 4 // 5
     w, b = np.zeros((BUCKETS, len(families))), np.zeros(len(families))
     for r in range(rounds):
@@ -232,9 +262,8 @@ def train(n: int = 4000, rounds: int = 4, rate: float = 0.5) -> Model:
     temperature = min(np.geomspace(0.5, 10, 31), key=lambda t: -np.log(np.maximum(soft(t)[np.arange(len(y)), y], 1e-12)).mean())
     unknown = soft(temperature)[y == len(families) - 1, :-1].max(axis=1)
     threshold = max(0.5, float(np.quantile(unknown, 1 - MOST_FALSE)))
-    common = {x for t in _NEAR_MISSES for x in _WORD.findall(t.lower())} - {"license", "software", "copyright", "warranty"}
-    words = {x for ts in TEMPLATES.values() for t in ts for x in _WORD.findall(t.lower()) if len(x) > 2 or x == "cc"} - common - _COMMON
-    return Model(families, w, b, float(temperature), threshold, frozenset(words))
+    grams = {f: [frozenset(_pairs(t)) for t in ts] for f, ts in templates.items()}
+    return Model(families, w, b, float(temperature), threshold, grams)
 
 
 @lru_cache(maxsize=1)
@@ -242,25 +271,20 @@ def default_model() -> Model:
     return train()
 
 
-@lru_cache(maxsize=1)
-def _template_grams() -> dict[str, list[frozenset[str]]]:
-    return {f: [frozenset(g for g in ngrams(t) if " " in g) for t in ts] for f, ts in TEMPLATES.items()}
-
-
-def overlap(paragraph: str, family: str) -> float:
-    """Largest share of word pairs that the paragraph has in common with a template of the family, of the smaller of both."""
-    own = {g for g in ngrams(paragraph) if " " in g}
+def overlap(own: set[str], family: str, model: Model) -> float:
+    """Largest share of the word pairs ``own`` that they have in common with a template of the family, of the smaller of both."""
     best = 0.0
-    for grams in _template_grams()[family]:
+    for grams in model.grams[family]:
         if own and grams:
             best = max(best, len(own & grams) / min(len(own), len(grams)))
     return best
 
 
-def confirmed(paragraph: str, family: str) -> bool:
+def confirmed(paragraph: str, family: str, model: Model) -> bool:
     """Whether the paragraph has enough in common with the family, and no more with another one."""
-    own = overlap(paragraph, family)
-    return own >= LEAST_OVERLAP and all(overlap(paragraph, f) <= own for f in _template_grams())
+    pairs = _pairs(paragraph)
+    own = overlap(pairs, family, model)
+    return own >= LEAST_OVERLAP and all(overlap(pairs, f, model) <= own for f in model.grams)
 
 
 def paragraphs(text: str) -> Iterator[str]:
@@ -303,33 +327,49 @@ def tagged(paragraph: str) -> set[str]:
     return found
 
 
-def _may_name(text: str, model: Model) -> bool:
-    """Whether a text has the words without which none of its pieces is confirmed."""
-    words = model.vocabulary.intersection(_WORD.findall(text.lower()))
-    return len(words) >= 2 or not _NAMES.isdisjoint(words)
+def declared(paragraph: str) -> set[str]:
+    """Families named right after ``License:``, by SPDX identifier or short name; other names give none."""
+    found = set()
+    for name in _DECLARED.findall(paragraph):
+        name = name.lower().rstrip(".")
+        bare = _VERSION.sub("", name)
+        family = SPDX.get(name) or NAMED.get(bare) or SPDX.get(bare)
+        begin = max((b for b in SPDX if b[-1] == "-" and name.startswith(b)), key=len, default="")
+        if family or begin:
+            found.add(family or SPDX[begin])
+    return found
+
+
+def may_be_confirmed(text: str, model: Model) -> bool:
+    """False only for texts that no template can confirm: they have too few word pairs of any.
+
+    A template confirms by half of its own or the text's pairs, whichever are fewer, so
+    half of the lesser of the text's pairs and the shortest template's must be pairs of templates.
+    """
+    own = _pairs(text)
+    return len(own & model.pairs) >= max(1, LEAST_OVERLAP * min(len(own), model.least))
 
 
 def scan(text: str | None, model: Model) -> tuple[list[str], int, int, float]:
     """Families found (sorted), paragraphs read, paragraphs confirmed, highest probability among them."""
     found, read, hits, best = set(), 0, 0, 0.0
-    may = _may_name(text or "", model)
     tags = _TAGGED.search(text or "") is not None
+    names = _DECLARED.search(text or "") is not None
     for paragraph in paragraphs(text or ""):
         read += 1
         before = hits
-        if tags and (names := tagged(paragraph)):
-            found |= names
+        told = (tagged(paragraph) if tags else set()) | (declared(paragraph) if names else set())
+        if told:
+            found |= told
             hits, best = before + 1, 1.0
-        if not may:
-            continue
         for piece in pieces(paragraph):
-            if not _may_name(piece, model):
-                if piece is paragraph:
-                    break
+            if not may_be_confirmed(piece, model):
+                if piece is paragraph and model.pairs.isdisjoint(_pairs(paragraph)):
+                    break  # nor can any part of it
                 continue
             p = model.probabilities(piece)
             k = int(p.argmax())
-            if model.families[k] == "unknown" or p[k] < model.threshold or not confirmed(piece, model.families[k]):
+            if model.families[k] == "unknown" or p[k] < model.threshold or not confirmed(piece, model.families[k], model):
                 continue
             found.add(model.families[k])
             hits = before + 1
