@@ -464,6 +464,23 @@ class _Divergences(Product):
     def dist(self, x, y):
         return getattr(self, f"div_{self.divergence}")(x, y)
 
+    def squared_gradient(self, x, y, second: bool = False):
+        """Euclidean gradient of the squared divergence in its first argument (or its second), for Re trace(u^H g)."""
+        name, one, two = self.divergence, (x, y), (y, x)
+        real = name.endswith("_real")
+        base = name.removesuffix("_real").removesuffix("_sym")
+        if "_sym" in name:
+            both = [self._one_gradient(base, real, *one, second), self._one_gradient(base, real, *two, not second)]
+            return tuple((a + b) / 2 for a, b in zip(*both, strict=True))
+        return self._one_gradient(base, real, *one, second)
+
+    def _one_gradient(self, base: str, real: bool, x, y, second: bool):
+        if base == "alpha" and self.alpha in (0, 1):
+            base, x, y, second = ("kl", x, y, second) if self.alpha == 0 else ("kl", y, x, not second)
+            scale = 0.5 if real else 1.0
+            return tuple(scale * g for g in self.grad_kl(x, y, second))
+        return self.grad_alpha(x, y, second, real) if base == "alpha" else getattr(self, f"grad_{base}")(x, y, second)
+
     def div_alpha_sym(self, x, y):
         return np.sqrt((self.div_alpha(x, y) ** 2 + self.div_alpha(y, x) ** 2) / 2)
 
@@ -492,6 +509,54 @@ def _scale_squared(m1, s1, m2, s2):
     return 4 * path**2 + (p - 1) * log_c**2 + frobenius(log) ** 2
 
 
+def _inverse_outer(s, d):
+    """s^-1, s^-1 d and its outer product with itself."""
+    i = np.linalg.inv(s)
+    v = (i @ _col(d))[..., 0]
+    return i, v, _outer(v)
+
+
+def _log_between(a, b):
+    """b^-1/2 log(b^-1/2 a b^-1/2) b^-1/2, and the same times the inverse of the inner matrix."""
+    r = invsqrtm(b)
+    m = hermitian_part(r @ a @ r)
+    return hermitian_part(r @ logm(m) @ r), hermitian_part(r @ spectral(m, lambda w: np.log(w) / w) @ r)
+
+
+def _slope(u):
+    """arccosh(u) / sqrt(u^2 - 1), which is 1 at u = 1."""
+    v = np.maximum(u, 1.0)
+    root = np.sqrt(np.maximum(v * v - 1, 0))
+    return np.where(root > 1e-7, np.arccosh(v) / np.where(root > 1e-7, root, 1.0), 1.0)
+
+
+def _orth_gradient(m1, s1, m2, s2, second):
+    d = m2 - m1
+    _, v, vv = _inverse_outer(s1, d)
+    c = _slope(1 + _quadratic(d, s1))
+    at_two, at_one = _log_between(s1 + _outer(d) / 2, s2)
+    pull = 4 * _col(c) * v + 2 * (at_one @ _col(d))[..., 0]
+    if second:
+        return pull, -2 * at_two
+    return -pull, 2 * at_one - 2 * _mat(c) * vv
+
+
+def _scale_gradient(m1, s1, m2, s2, second):
+    p = s1.shape[-1]
+    d = m2 - m1
+    i1, v, vv = _inverse_outer(s1, d)
+    log_c = (log_det(s2) - log_det(s1)) / p
+    root, q = np.exp(log_c / 2), _quadratic(d, s1)
+    k = 8 * _slope((root + (1 + q / 2) / root) / 2)
+    by_log, by_q = (root - (1 + q / 2) / root) / 4, 1 / (4 * root)
+    at_two, at_one = _log_between(s1, s2)
+    pull = _col(2 * k * by_q) * v
+    volume = _mat((k * by_log - 2 * log_c) / p)
+    if second:
+        return pull, volume * np.linalg.inv(s2) - 2 * at_two
+    return -pull, 2 * at_one - volume * i1 - _mat(k * by_q) * vv
+
+
 class GaussianIG(_Divergences):
     """Gaussians (mean, covariance) with their information geometry; divergences are not symmetric."""
 
@@ -546,6 +611,28 @@ class GaussianIG(_Divergences):
         kl = np.real(trace(s)) + _quadratic(y[0] - x[0], y[1]) - self.p - (log_det(x[1]) - log_det(y[1]))
         return np.sqrt(np.maximum(kl, 0) + 1e-12)
 
+    def grad_orth(self, x, y, second=False):
+        return _orth_gradient(x[0], x[1], y[0], y[1], second)
+
+    def grad_scale(self, x, y, second=False):
+        return _scale_gradient(x[0], x[1], y[0], y[1], second)
+
+    def grad_kl(self, x, y, second=False):
+        i, v, vv = _inverse_outer(y[1], y[0] - x[0])
+        if second:
+            return 2 * v, i - i @ x[1] @ i - vv
+        return -2 * v, i - np.linalg.inv(x[1])
+
+    def grad_alpha(self, x, y, second=False, real=False):
+        a = self.alpha
+        i, v, vv = _inverse_outer((1 - a) * x[1] + a * y[1], y[0] - x[0])
+        w, own, sign = (a, y[1], -1) if second else (1 - a, x[1], 1)
+        scale = self._integral(x, y)
+        scale = np.sqrt(scale) / 2 if real else scale
+        scale = -scale * np.sign((1 - self._integral(x, y)) / (a * (1 - a)) + 1e-300) / (a * (1 - a))
+        slope = w * (np.linalg.inv(own) - i + a * (1 - a) * vv)
+        return _col(scale) * (sign * 2 * a * (1 - a) * v), _mat(scale) * slope
+
     def _integral(self, x, y):
         a = self.alpha
         m = (1 - a) * x[1] + a * y[1]
@@ -581,6 +668,9 @@ class CovarianceAlpha(Geometry):
     def dist(self, x, y):
         return self.gauss.dist(self._pair(x), self._pair(y))
 
+    def squared_gradient(self, x, y):
+        return self.gauss.squared_gradient(self._pair(x), self._pair(y))[1]
+
     def inner(self, x, u, v):
         return self.base.inner(x, u, v)
 
@@ -689,6 +779,31 @@ class CompoundUnitTextures(_Compound):
         maha = np.real((np.conj(d) * (np.linalg.inv(m).sum(axis=-3) @ _col(d))[..., 0]).sum(axis=-1))
         return logs - a * (1 - a) * maha
 
+    def grad_kl(self, x, y, second=False):
+        i, v, vv = _inverse_outer(y[1], y[0] - x[0])
+        ratio, load = (x[2] / y[2]).sum(axis=-1), (1 / y[2]).sum(axis=-1)
+        t = np.real(trace(i @ x[1]))
+        if second:
+            q = _quadratic(y[0] - x[0], y[1])
+            return 2 * _col(load) * v, self.n * i - _mat(ratio) * (i @ x[1] @ i) - _mat(load) * vv, -(x[2] * _col(t) + _col(q)) / y[2] ** 2
+        return -2 * _col(load) * v, _mat(ratio) * i - self.n * np.linalg.inv(x[1]), _col(t) / y[2]
+
+    def log_integral_gradient(self, x, y, second=False):
+        """Of :meth:`log_integral`, in its first argument or its second."""
+        a, d = self.alpha, y[0] - x[0]
+        s1, s2 = (p[2][..., None, None] * p[1][..., None, :, :] for p in (x, y))
+        i, v, vv = _inverse_outer((1 - a) * s1 + a * s2, d[..., None, :])
+        w, own, sign = (a, y, -1) if second else (1 - a, x, 1)
+        t = own[2]
+        bend = a * (1 - a) * vv - i
+        scatter = w * (self.n * np.linalg.inv(own[1]) + (t[..., None, None] * bend).sum(axis=-3))
+        return sign * 2 * a * (1 - a) * v.sum(axis=-2), scatter, w * np.real(trace(bend @ own[1][..., None, :, :]))
+
+    def grad_alpha(self, x, y, second=False, real=False):
+        sign = np.sign(self.log_integral(x, y)) * (0.5 if real else 1.0)
+        m, s, t = self.log_integral_gradient(x, y, second)
+        return _col(sign) * m, _mat(sign) * s, _col(sign) * t
+
     def div_alpha(self, x, y):
         if self.alpha in (0, 1):
             return self.div_kl(*((x, y) if self.alpha == 0 else (y, x)))
@@ -734,6 +849,16 @@ class CompoundTriangle(_Divergences):
     def _with_textures(self, d, x, y):
         return np.sqrt(self.w[0] * d**2 + self.w[1] * self.textures.dist(x[2], y[2]) ** 2)
 
+    def _gradient_with_textures(self, gauss, x, y, second):
+        t = 2 * (np.log(x[2]) - np.log(y[2]))
+        return self.w[0] * gauss[0], self.w[0] * gauss[1], self.w[1] * (-t / y[2] if second else t / x[2])
+
+    def grad_orth(self, x, y, second=False):
+        return self._gradient_with_textures(self.gauss.grad_orth(x[:2], y[:2], second), x, y, second)
+
+    def grad_scale(self, x, y, second=False):
+        return self._gradient_with_textures(self.gauss.grad_scale(x[:2], y[:2], second), x, y, second)
+
     def div_orth(self, x, y):
         return self._with_textures(self.gauss.div_orth(x[:2], y[:2]), x, y)
 

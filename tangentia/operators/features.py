@@ -222,9 +222,8 @@ class Feature:
         """Frechet mean of every label (one label None without ``label_col``), in order of the labels.
 
         Closed forms take one pass over the rows; geometries with a logarithm
-        a pass for each step of a fixed-step descent; others a pass for each
-        gradient, by central differences along an orthonormal frame, and one for
-        each line search.  Only sums leave the workers.
+        a pass for each step of a fixed-step descent; divergences a pass for each
+        gradient, in closed form, and one for each line search.  Only sums leave the workers.
         """
         return Means(self, df, label_col, f_col).run(max_iter)
 
@@ -404,7 +403,7 @@ class Means:
         return start
 
     def _descend(self, at: dict[Any, Any], max_iter: int) -> dict[Any, Any]:
-        return self._by_logs(at, max_iter) if self.g.has_log else self._by_differences(at, max_iter)
+        return self._by_logs(at, max_iter) if self.g.has_log else self._by_gradients(at, max_iter)
 
     def _by_logs(self, at: dict[Any, Any], max_iter: int) -> dict[Any, Any]:
         g, open_, rate = self.g, dict(at), 1.0
@@ -422,53 +421,48 @@ class Means:
                 at[label] = open_[label] = g.exp(open_[label], moved)
         return at
 
-    def _by_differences(self, at: dict[Any, Any], max_iter: int, h: float = 1e-5) -> dict[Any, Any]:
+    def _by_gradients(self, at: dict[Any, Any], max_iter: int) -> dict[Any, Any]:
         g, open_, steps = self.g, dict(at), dict.fromkeys(at, 1.0)
+        width = objective_width(g)
 
         def scaled(u, a):
             return tuple(a * x for x in u) if isinstance(u, tuple) else a * u
 
-        def total(u, v):
-            return tuple(x + y for x, y in zip(u, v, strict=True)) if isinstance(u, tuple) else u + v
-
         def costs(x, points):
             return np.concatenate([objective_terms(g, m, x) for m in points], axis=1)
 
-        width = objective_width(g)
+        def slopes(x, m):
+            return np.concatenate([objective_terms(g, m, x), *[_real(u) for u in objective_gradients(g, m, x)]], axis=1)
+
         for _ in range(max_iter):
             if not open_:
                 break
-            frames = {k: g.frame(m) for k, m in open_.items()}
-            probes = {k: [m, *[g.retract(m, scaled(e, s * h)) for e in frames[k] for s in (1, -1)]] for k, m in open_.items()}
-            got = self.sums(costs, probes)
-            tries, slopes, now = {}, {}, {}
-            for k, (n, s) in got.items():
-                f = objective(g, s.reshape(-1, width), n)
-                grad = (f[1::2] - f[2::2]) / (2 * h)
-                size = float(np.linalg.norm(grad))
-                if size <= max(self.f.least_gradient, 1e-9):
+            tries, falls, now = {}, {}, {}
+            for k, (n, s) in self.sums(slopes, dict(open_)).items():
+                parts = np.split(s[width:], width)
+                euclidean = combined(g, s[:width], [_unreal(v, self.kinds, self.one) for v in parts], n)
+                d = g.egrad2rgrad(open_[k], euclidean)
+                size = float(g.norm(open_[k], d))
+                if not size > max(self.f.least_gradient, 1e-9):
                     open_.pop(k)
                     continue
-                d = None
-                for c, e in zip(grad, frames[k], strict=True):
-                    d = scaled(e, -c) if d is None else total(d, scaled(e, -c))
                 ts = [steps[k] * 2 / size * 0.5**j for j in range(10)]
-                tries[k] = (ts, [g.retract(open_[k], scaled(d, t)) for t in ts])
-                slopes[k], now[k] = size * size, float(f[0])
+                tries[k] = (ts, [g.retract(open_[k], scaled(d, -t)) for t in ts])
+                falls[k], now[k] = size * size, float(objective(g, s[None, :width], n)[0])
             if not tries:
                 continue
             got = self.sums(costs, {k: t[1] for k, t in tries.items()})
             for k, (n, s) in got.items():
                 f = objective(g, s.reshape(-1, width), n)
                 ts, points = tries[k]
-                ok = [j for j in range(len(ts)) if f[j] <= now[k] - 1e-4 * ts[j] * slopes[k]]
+                ok = [j for j in range(len(ts)) if f[j] <= now[k] - 1e-4 * ts[j] * falls[k]]
                 best = min(ok, key=lambda j: f[j]) if ok else int(np.argmin(f))
                 if not f[best] < now[k]:
                     steps[k] *= 0.5**10
                     if steps[k] < 1e-8:
                         open_.pop(k)
                     continue
-                steps[k] = min(4.0, ts[best] * np.sqrt(slopes[k]))
+                steps[k] = min(4.0, ts[best] * np.sqrt(falls[k]))
                 at[k] = open_[k] = points[best]
         return at
 
@@ -492,6 +486,28 @@ def objective_terms(g, m, x) -> np.ndarray:
     return np.stack(terms, axis=1)
 
 
+def objective_gradients(g, m, x) -> list:
+    """Euclidean gradients at ``m`` of the columns of :func:`objective_terms`."""
+    m = _tile(m, _len(x))
+    if not _mixes_exponents(g):
+        return [g.squared_gradient(m, x)]
+    half = 0.5 if "real" in g.divergence else 1.0
+
+    def one(y, z, second: bool):
+        i = half * np.exp(half * g.log_integral(y, z))
+        return tuple(i.reshape(-1, *[1] * (u.ndim - 1)) * u for u in g.log_integral_gradient(y, z, second))
+
+    return [one(m, x, False), one(x, m, True)] if "sym" in g.divergence else [one(m, x, False)]
+
+
+def combined(g, terms: np.ndarray, gradients: list, n: int):
+    """Gradient of :func:`objective` from the sums of terms and of their gradients."""
+    weights = -1 / np.maximum(terms, 1e-300) / len(terms) if _mixes_exponents(g) else np.full(1, 1 / (2 * n))
+    many = [u if isinstance(u, tuple) else (u,) for u in gradients]
+    out = tuple(sum(w * a for w, a in zip(weights, parts, strict=True)) for parts in zip(*many, strict=True))
+    return out if isinstance(gradients[0], tuple) else out[0]
+
+
 def objective(g, sums: np.ndarray, n: int) -> np.ndarray:
     """Half the mean squared distance; for compound alpha divergences minus the logarithm of the mean integral."""
     if not _mixes_exponents(g):

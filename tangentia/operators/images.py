@@ -1,9 +1,10 @@
 """Images as one row for each pixel, ``(r, c, channels..., label)``: crops, borders, centring, masks, windows, PCA.
 
-Windows are centre-indexed, odd and full.  Algebraic features of overlapping
-windows come from running sums along rows and then columns, so the cost of a
-pixel grows with the side of the window, not its area, and no pixel is copied.
-Other features explode each pixel to the windows that hold it.
+Windows are centre-indexed, odd and full: one that reaches over the edge, or that
+holds a pixel without a row or with a null channel, has no feature, however it is computed.
+Algebraic features of overlapping windows come from sliding sums along rows
+and then columns, so the cost of a pixel grows with the side of the window,
+not its area, and no pixel is copied.  Other features explode each pixel to the windows that hold it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangentia.functions import checks
+from tangentia.operators import estimate
 
 
 def extent(pixels: DataFrame) -> tuple[int, int]:
@@ -64,32 +66,49 @@ def full_windows(height: int, width: int, size: int, overlapping: bool = True) -
     return full if overlapping else full & ((F.col("r") - h) % size == 0) & ((F.col("c") - h) % size == 0)
 
 
-def _window_sums(pixels: DataFrame, values: dict[str, Column], size: int, height: int, width: int) -> DataFrame:
-    """Sums of ``values`` over the full windows, by rows and then columns."""
+def _present(pixels: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Pixels with all their channels."""
+    return pixels.dropna(subset=list(channels)) if channels else pixels
+
+
+def _window_sums(
+    pixels: DataFrame, values: dict[str, Column], size: int, height: int, width: int, centres: DataFrame | None = None
+) -> DataFrame:
+    """Sums of ``values`` over the full windows, by rows and then columns; of those centred at ``centres`` (r, c) if given.
+
+    Between both passes, only the sums that a window of a centre is made of go on.
+    """
     h = size // 2
     along_row = Window.partitionBy("r").orderBy("c").rangeBetween(-h, h)
     along_column = Window.partitionBy("c").orderBy("r").rangeBetween(-h, h)
-    x = pixels.select("r", "c", *[v.alias(k) for k, v in values.items()])
-    x = x.select("r", "c", *[F.sum(k).over(along_row).alias(k) for k in values])
-    x = x.select("r", "c", *[F.sum(k).over(along_column).alias(k) for k in values])
-    return x.where(full_windows(height, width, size))
+    x = pixels.select("r", "c", F.lit(1).alias("_n"), *[v.alias(k) for k, v in values.items()])
+    names = ["_n", *values]
+    # a centre without a pixel is not full, so it is enough to sum at the pixels
+    x = x.select("r", "c", *[F.sum(k).over(along_row).alias(k) for k in names]).where(F.col("_n") == size)
+    if centres is not None:
+        centres = centres.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct()
+        near = centres.select(F.explode(F.sequence(F.col("r") - h, F.col("r") + h)).alias("r"), "c").distinct()
+        x = x.join(near, ["r", "c"], "left_semi")
+    x = x.select("r", "c", *[F.sum(k).over(along_column).alias(k) for k in names])
+    x = x.where((F.col("_n") == size * size) & full_windows(height, width, size)).drop("_n")
+    return x if centres is None else x.join(centres, ["r", "c"], "left_semi")
 
 
 def window_means(pixels: DataFrame, channels: Sequence[str], size: int, height: int, width: int) -> DataFrame:
     """``(r, c, m0, m1, ...)``: mean of every channel over each full window."""
-    sums = _window_sums(pixels, {f"m{i}": F.col(x) for i, x in enumerate(channels)}, size, height, width)
+    sums = _window_sums(_present(pixels, channels), {f"m{i}": F.col(x) for i, x in enumerate(channels)}, size, height, width)
     return sums.select("r", "c", *[(F.col(f"m{i}") / (size * size)).alias(f"m{i}") for i in range(len(channels))])
 
 
 def window_covariances(
-    pixels: DataFrame, channels: Sequence[str], size: int, height: int, width: int, assume_centered: bool = True
+    pixels: DataFrame, channels: Sequence[str], size: int, height: int, width: int, assume_centered: bool = True, centres: DataFrame | None = None
 ) -> DataFrame:
-    """``(r, c, n, f struct<c0>)``: sample covariance of each full window, row-major."""
+    """``(r, c, n, f struct<c0>)``: sample covariance of each full window (centred at ``centres``, if given), row-major."""
     p, n = len(channels), size * size
     values = {f"s{i}_{j}": F.col(channels[i]) * F.col(channels[j]) for i in range(p) for j in range(i, p)}
     if not assume_centered:
         values |= {f"m{i}": F.col(x) for i, x in enumerate(channels)}
-    sums = _window_sums(pixels, values, size, height, width)
+    sums = _window_sums(_present(pixels, channels), values, size, height, width, centres)
 
     def entry(i: int, j: int) -> Column:
         i, j = min(i, j), max(i, j)
@@ -103,13 +122,14 @@ def window_covariances(
 def exploded_windows(
     pixels: DataFrame, channels: Sequence[str], size: int, height: int, width: int, overlapping: bool = True, centres: DataFrame | None = None
 ) -> DataFrame:
-    """Observations ``(r, c, obs_idx, channels)`` of each full window centred at (r, c), row-major within it.
+    """Observations ``(r, c, obs_idx, channels)`` of each window centred at (r, c) within the frame, row-major within it.
 
     ``centres`` (r, c) keeps the windows of a mask; they are filtered before anything is estimated.
+    A window that lacks pixels has fewer observations: :func:`window_features` passes it over.
     """
     h = size // 2
     shifts = F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("obs_idx")
-    x = pixels.select(F.col("r").alias("_r"), F.col("c").alias("_c"), *channels, shifts)
+    x = _present(pixels, channels).select(F.col("r").alias("_r"), F.col("c").alias("_c"), *channels, shifts)
     x = x.select(
         (F.col("_r") - F.floor(F.col("obs_idx") / size) + h).cast("long").alias("r"),
         (F.col("_c") - F.col("obs_idx") % size + h).cast("long").alias("c"),
@@ -120,14 +140,16 @@ def exploded_windows(
 
 
 def window_features(pixels: DataFrame, channels: Sequence, feature, size: int, height: int, width: int, overlapping: bool = True, mask: DataFrame | None = None) -> DataFrame:
-    """``(r, c, n, f)`` of a bound feature over every full window; ``mask`` rows (r, c, mask) keep centres."""
+    """``(r, c, n, f)`` of a bound feature over every full window; ``mask`` rows (r, c, mask) keep centres, before estimation."""
     centres = None if mask is None else mask.where("mask").select("r", "c")
     flat = [c for pair in channels for c in pair] if feature.complex_valued else list(channels)
     if overlapping and not feature.complex_valued and feature.name in ("covariance", "covariance_euclidean") and feature.built_in:
-        out = window_covariances(pixels, flat, size, height, width)
-        return out if centres is None else out.join(centres, ["r", "c"], "left_semi")
+        return window_covariances(pixels, flat, size, height, width, centres=centres)
     seen = exploded_windows(pixels, flat, size, height, width, overlapping, centres)
-    return feature.estimate(seen, ["r", "c"], channels, ["obs_idx"])
+    full = F.col("n") == size * size
+    if feature.complex_built_in if feature.complex_valued else feature.built_in:
+        return feature.estimate(seen, ["r", "c"], channels, ["obs_idx"]).where(full)
+    return feature.estimate_packed(estimate.packed(seen, ["r", "c"], flat, ["obs_idx"]).where(full), ["r", "c"])
 
 
 def embed(labels: DataFrame, height: int, width: int, k_col: str = "k") -> DataFrame:

@@ -1,4 +1,6 @@
 import itertools
+import math
+import time
 
 import numpy as np
 import pytest
@@ -47,6 +49,27 @@ def test_rand_index_by_pairs(spark):
     assert abs(ev.adjusted_mutual_information(df)) < 0.2
 
 
+def _expected(x, y, n):
+    """By the definition, every overlap."""
+    lg = math.lgamma
+    total = 0.0
+    for k in range(max(1, x + y - n), min(x, y) + 1):
+        p = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
+        total += k / n * math.log(n * k / (x * y)) * math.exp(p)
+    return total
+
+
+def test_chance_term_of_mutual_information():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 60, 1000, 30_000):
+        for _ in range(25):
+            x, y = (int(v) for v in rng.integers(1, n + 1, 2))
+            assert ev._expected_term(x, y, n) == pytest.approx(_expected(x, y, n), rel=1e-7, abs=1e-10), (x, y, n)
+    began = time.time()
+    assert abs(ev._expected_term(4 * 10**10, 3 * 10**10, 10**11)) < 1e-9
+    assert time.time() - began < 5
+
+
 def test_assignment_is_best():
     rng = np.random.default_rng(2)
     for n, m in ((3, 3), (2, 4), (4, 5), (1, 1)):

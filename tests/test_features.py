@@ -218,3 +218,30 @@ def test_all_pairs(samples, block):
     np.testing.assert_allclose(pairs.mean_squared_distances(df, b, block=block), (want**2).mean(axis=(0, 1)), rtol=1e-6)
     got = pairs.distances(df, b, block=block).toPandas().pivot(index="a", columns="b", values="d").to_numpy()
     np.testing.assert_allclose(got, want[:, :, 0], atol=1e-6)
+
+
+@pytest.mark.parametrize(
+    "feature",
+    [
+        features.covariance_div_alpha(alpha=0.5), features.covariance_div_alpha(alpha=0.3, symmetrize=True, real_case=True),
+        features.location_covariance_orth_triangle(), features.location_covariance_scale_triangle(), features.location_covariance_div_alpha(alpha=0.33),
+    ],
+    ids=lambda f: f.name,
+)
+def test_means_of_many_channels_are_stationary(spark, feature):
+    """p = 20 in seconds: the gradient of the mean squared divergence vanishes at the mean."""
+    import time
+
+    rng, p, n = np.random.default_rng(6), 20, 60
+    base = np.eye(p) + 0.3
+    bound = feature.bind(p, n)
+    points = [bound.estimation(np.linalg.cholesky(base) @ rng.standard_normal((p, n)) + rng.standard_normal((p, 1)) * 0.3) for _ in range(12)]
+    many = tuple(np.stack(z) for z in zip(*points, strict=True)) if isinstance(points[0], tuple) else np.stack(points)
+    began = time.time()
+    mean = features.Means(bound, {0: many}).run(1000)[0]
+    assert time.time() - began < 20
+    g = bound.geometry
+    at = tuple(np.broadcast_to(a, (12, *a.shape)) for a in mean) if isinstance(mean, tuple) else np.broadcast_to(mean, (12, *mean.shape))
+    slope = g.squared_gradient(at, many)
+    slope = tuple(a.mean(axis=0) / 2 for a in slope) if isinstance(slope, tuple) else slope.mean(axis=0) / 2
+    assert float(g.norm(mean, g.egrad2rgrad(mean, slope))) < 1e-4

@@ -172,3 +172,35 @@ def test_dimensions_and_halfway_points():
         x, y = g.rand(rng), g.rand(rng)
         m = g.pair_mean(x, y)
         assert float(g.dist(x, m)) == pytest.approx(float(g.dist(m, y)), rel=1e-5)
+
+
+def _gradient_spaces():
+    for cplx in (False, True):
+        for name in ("orth", "scale", "kl", "orth_sym", "scale_sym", "alpha", "alpha_real", "alpha_sym", "alpha_sym_real"):
+            for alpha in (0, 0.3, 1) if name.startswith("alpha") else (0.5,):
+                yield geo.GaussianIG(3, cplx, name, alpha)
+                if not name.startswith(("orth", "scale")):
+                    yield geo.CovarianceAlpha(3, cplx, name, alpha)
+                    yield geo.CompoundUnitTextures(3, 4, cplx, name, alpha)
+                elif name in ("orth", "scale"):
+                    yield geo.CompoundTriangle(3, 4, cplx, (2, 0.5), name)
+
+
+def test_gradients_of_divergences_equal_differences():
+    """Closed forms against central differences along a frame, for every divergence, real and complex."""
+    rng = np.random.default_rng(5)
+    seen = 0
+    for g in _gradient_spaces():
+        x, y = g.rand(rng), g.rand(rng)
+        batch = tuple(a[None] for a in x) if isinstance(x, tuple) else x[None]
+        other = tuple(a[None] for a in y) if isinstance(y, tuple) else y[None]
+        got = g.squared_gradient(batch, other)
+        got = tuple(a[0] for a in got) if isinstance(got, tuple) else got[0]
+        r = g.egrad2rgrad(x, got)
+        for e in g.frame(x):
+            h = 1e-5
+            up, down = (g.retract(x, tuple(s * h * a for a in e) if isinstance(e, tuple) else s * h * e) for s in (1, -1))
+            want = (g.dist(up, y) ** 2 - g.dist(down, y) ** 2) / (2 * h)
+            assert g.inner(x, r, e) == pytest.approx(float(want), rel=2e-4, abs=2e-5), (type(g).__name__, getattr(g, "divergence", ""))
+            seen += 1
+    assert seen > 500

@@ -35,6 +35,30 @@ def test_windows_equal_slices(pixels, size):
         np.testing.assert_allclose(np.reshape(v, (2, 2)), w.T @ w / len(w), atol=1e-10)
 
 
+@pytest.mark.parametrize("how", ["row", "null"])
+def test_windows_with_missing_pixels_have_no_feature(spark, pixels, how):
+    """The same windows by sliding sums and exploded, of pixels without a row and with a null channel."""
+    gone = ((F.col("r") == 0) & (F.col("c") == 0)) | ((F.col("r") == 4) & (F.col("c") == 7))
+    holes = pixels.where(~gone) if how == "row" else pixels.withColumn("b", F.when(~gone, F.col("b")))
+    x = _array(pixels)
+    want = {(r, c) for r in range(1, H - 1) for c in range(1, W - 1) if not (r == c == 1) and not (abs(r - 4) < 2 and abs(c - 7) < 2)}
+    mask = pixels.withColumn("mask", (F.col("r") + F.col("c")) % 3 == 0)
+    for feature in (features.covariance(), features.user_defined("scm", lambda v: v @ v.T / v.shape[1], features.geo.PositiveDefinite(2))):
+        got = images.window_features(holes, ["a", "b"], feature.bind(2, 9), 3, H, W)
+        got = {(r["r"], r["c"]): (r["n"], r["f"]["c0"]) for r in got.collect()}
+        assert set(got) == want, feature.name
+        for (r, c), (n, v) in got.items():
+            w = x[r - 1 : r + 2, c - 1 : c + 2].reshape(-1, 2)
+            assert n == 9
+            np.testing.assert_allclose(np.reshape(v, (2, 2)), w.T @ w / 9, atol=1e-10)
+        masked = images.window_features(holes, ["a", "b"], feature.bind(2, 9), 3, H, W, mask=mask)
+        assert {(r["r"], r["c"]) for r in masked.collect()} == {k for k in want if sum(k) % 3 == 0}
+        assert {tuple(r["f"]["c0"]) for r in masked.collect()} <= {tuple(v) for _, v in got.values()}
+    assert images.window_means(holes, ["a", "b"], 3, H, W).count() == len(want)
+    tiny = spark.createDataFrame([(0, 0, 1.0, 0.0), (1, 1, 1.0, 0.0), (2, 2, 1.0, 0.0)], "r int, c int, a double, b double")
+    assert images.window_features(tiny, ["a", "b"], features.covariance().bind(2, 9), 3, 3, 3).count() == 0
+
+
 def test_windows_apart_and_masked(pixels):
     apart = images.exploded_windows(pixels, ["a"], 3, H, W, overlapping=False).select("r", "c").distinct()
     assert {(r["r"], r["c"]) for r in apart.collect()} == {(r, c) for r in (1, 4, 7) for c in (1, 4, 7)}
