@@ -55,7 +55,9 @@ def join_one(rows: DataFrame, one: DataFrame, keys: list[str], count: str, most:
     """
     added = [c for c in one.columns if c not in (*keys, count)]
     frequent = one.where(F.col(count) > most).select(*keys, F.struct(*added).alias("_frequent"))
-    others = one.where(F.col(count) <= most).select(*keys, F.lit(0).alias("_deal"), F.struct(*added).alias("_other"))
+    # 0, but not as a constant, which would be taken out of the join's keys
+    nought = F.pmod(F.col(count).cast("int"), F.lit(1)).alias("_deal")
+    others = one.where(F.col(count) <= most).select(*keys, nought, F.struct(*added).alias("_other"))
     x = rows.join(F.broadcast(frequent), keys, "left")
     deal = F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(65_536)).cast("int"))
     x = x.withColumn("_deal", deal).join(others, [*keys, "_deal"], "left")
