@@ -187,6 +187,15 @@ class Feature:
 
         return self._with(df, f_col, out, "array<double>", run)
 
+    def component_distances_to(self, df: DataFrame, point, f_col: str = "f", out: str = "d") -> DataFrame:
+        """``out array<double>``: total distance from ``point`` to the row's point, then those of the parts of a product, unweighted."""
+        g = self.geometry
+
+        def run(x) -> pa.Array:
+            return _lists(np.stack([np.broadcast_to(d, (_len(x),)) for d in g.dists(point, x)], axis=1))
+
+        return self._with(df, f_col, out, "array<double>", run)
+
     def distances(self, x, y) -> list[float]:
         """Total distance, then those of the parts of a product, unweighted."""
         return [float(d) for d in self.geometry.dists(x, y)]
@@ -633,9 +642,9 @@ def covariance_div_alpha(assume_centered: bool = True, real_case: bool = False,
     )
 
 
-def covariance_texture(weights=None, least_gradient: float = 1e-8) -> Feature:
+def covariance_texture(weights=None, least_gradient: float = 1e-8, **options) -> Feature:
     return Feature(
-        "covariance_texture", estimators.tyler,
+        "covariance_texture", lambda x: estimators.tyler(x, **options),
         lambda p, n, c: geo.Product([geo.UnitDeterminant(p, c), geo.Positive(n)], weights or (1 / p, 1 / n)),
         least_gradient=least_gradient, needs_order=True,
     )
@@ -672,8 +681,8 @@ def location_covariance_texture_Gaussian_constrained_scatter(weights=(1, 1, 1))
     return _three("location_covariance_texture_Gaussian_constrained_scatter", estimators.gaussian_unit_scatter, "scatter", weights)
 
 
-def location_covariance_texture_Tyler_constrained_scatter(weights=(1, 1, 1)) -> Feature:  # noqa: N802
-    return _three("location_covariance_texture_Tyler_constrained_scatter", estimators.joint_tyler, "scatter", weights)
+def location_covariance_texture_Tyler_constrained_scatter(weights=(1, 1, 1), **options) -> Feature:  # noqa: N802
+    return _three("location_covariance_texture_Tyler_constrained_scatter", lambda x: estimators.joint_tyler(x, **options), "scatter", weights)
 
 
 def location_covariance_texture_constrained_scatter(max_iter: int = 30_000, information_geometry: bool = True, solver: str = "steepest", weights=(1, 1, 1)) -> Feature:
@@ -731,8 +740,8 @@ def subspace_SCM(k: int, assume_centered: bool = True, least_gradient: float = 1
     )
 
 
-def subspace_tau_UUH(k: int, estimate_sigma: bool = False) -> Feature:  # noqa: N802
-    return Feature("subspace_tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma)[1], lambda p, n, c: geo.Grassmann(p, k, c))
+def subspace_tau_UUH(k: int, estimate_sigma: bool = False, **options) -> Feature:  # noqa: N802
+    return Feature("subspace_tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma, **options)[1], lambda p, n, c: geo.Grassmann(p, k, c))
 
 
 def subspace_tau_UUH_RO(k: int, estimate_sigma: bool = False, **options) -> Feature:  # noqa: N802
@@ -747,8 +756,8 @@ def _tau_u(name: str, estimator: Callable, k: int, weights) -> Feature:
     )
 
 
-def tau_UUH(k: int, estimate_sigma: bool = False, weights=None) -> Feature:  # noqa: N802
-    return _tau_u("tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma), k, weights)
+def tau_UUH(k: int, estimate_sigma: bool = False, weights=None, **options) -> Feature:  # noqa: N802
+    return _tau_u("tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma, **options), k, weights)
 
 
 def tau_UUH_RO(k: int, estimate_sigma: bool = False, weights=None, **options) -> Feature:  # noqa: N802

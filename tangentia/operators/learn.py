@@ -95,15 +95,18 @@ class KMeansModel(Centroids):
 class KMeans:
     """Lloyd's algorithm with a feature's distance and mean.
 
-    Starts from random rows, or with ``init="k-means++"`` from the rows farthest from
-    those chosen so far.  Ends when the criterion (sum of squared distances)
+    Starts from random rows, with ``init="k-means++"`` from the rows farthest from
+    those chosen so far, or from the rows of the ids that ``init`` lists.  Ends when the criterion (sum of squared distances)
     changes by less than ``tol`` of itself; a criterion of 0 has converged.  An
     emptied cluster keeps its centroid, so cluster ids are stable.
     """
 
-    def __init__(self, feature: Feature, n_clusters: int = 2, init: str = "random", n_init: int = 10, max_iter: int = 100, tol: float = 1e-4, seed: int = 0, id_col: str = "id"):
+    def __init__(self, feature: Feature, n_clusters: int = 2, init: str | Sequence = "random", n_init: int = 10, max_iter: int = 100, tol: float = 1e-4, seed: int = 0, id_col: str = "id"):
         checks.positive("n_clusters", n_clusters)
-        checks.one_of("init", init, ("random", "k-means++"))
+        if isinstance(init, str):
+            checks.one_of("init", init, ("random", "k-means++"))
+        elif len(init) != n_clusters:
+            raise ValueError("one id for each cluster")
         self.feature, self.k, self.init, self.n_init = feature, n_clusters, init, n_init
         self.max_iter, self.tol, self.seed, self.id_col = max_iter, tol, seed, id_col
 
@@ -114,10 +117,14 @@ class KMeans:
         """k distinct rows, chosen by a hash of their ids: the same for any partitioning."""
         return self._points(x.orderBy(F.xxhash64(F.lit(f"{self.seed}/{start}"), F.col(self.id_col)), self.id_col).limit(k).select("f").collect())
 
-    def initial(self, x: DataFrame, start: int = 0) -> list:
+    def initial(self, x: DataFrame, start: int = 0, first=None) -> list:
+        """Points to start from; with ``first`` the farthest-first choice begins at the row of that id."""
+        if not isinstance(self.init, str):
+            rows = {r["k"]: r for r in x.where(F.col(self.id_col).isin(list(self.init))).select(F.col(self.id_col).alias("k"), "f").collect()}
+            return self._points([rows[k] for k in self.init])
         if self.init == "random":
             return self._random(x, self.k, start)
-        points = self._random(x, 1, start)
+        points = self._random(x, 1, start) if first is None else self._points(x.where(F.col(self.id_col) == first).select("f").collect())
         while len(points) < self.k:
             d = self.feature.distances_to(x, points)
             far = d.agg(F.max_by("f", F.struct(F.array_min("d"), -F.xxhash64(self.id_col)))).first()[0]
@@ -189,7 +196,7 @@ def kmeans_datacube(
     window_size: int,
     n_clusters: int,
     mask: DataFrame | None = None,
-    init: str = "random",
+    init: str | Sequence = "random",
     n_init: int = 1,
     max_iter: int = 20,
     tol: float = 1e-2,
@@ -223,12 +230,12 @@ class HyperparametersKMeans:
     crop_image: bool = False
     n_experiments: int = 1
     pca: bool = False
-    nb_bands_to_select: int | None = None
+    n_components: int | None = None
     mask: bool = True
     border_size: int = 0
     window_size: int = 7
     feature: Any = None
-    init: str = "random"
+    init: str | Sequence = "random"
     n_init: int = 10
     max_iter: int = 100
     tol: float = 1e-4
@@ -238,8 +245,8 @@ def cluster_image(pixels: DataFrame, channels: Sequence[str], n_clusters: int, s
     """``(r, c, k)`` in the full frame for an image with ground truth; a feature ``"euclidean"`` clusters the pixels themselves."""
     height, width = images.extent(pixels)
     if settings.pca:
-        pixels = images.pca(pixels, channels, settings.nb_bands_to_select or len(channels))
-        channels = [f"pc{i}" for i in range(settings.nb_bands_to_select or len(channels))]
+        pixels = images.pca(pixels, channels, settings.n_components or len(channels))
+        channels = [f"pc{i}" for i in range(settings.n_components or len(channels))]
     mask = images.build_mask(pixels, height, width, settings.border_size, label) if settings.mask else None
     if settings.feature == "euclidean":
         from tangentia.operators.features import center_euclidean

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tangentia.functions import estimators
+from tangentia.functions import geometry as geo
 from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo, pairs
 from tangentia.sources import images as image_source
 from tangentia.streaming.covariance import windowed_covariance
@@ -41,9 +46,12 @@ def oracle_sql() -> dict[str, str]:
 _LINES = "SELECT l_suppkey AS id, l_quantity/50 AS q, l_discount*10 AS d, l_tax*10 AS t, l_returnflag AS flag FROM lineitem"
 #: Observations of a user in order, and the same as a raster of users and days.
 _RASTER = """SELECT g.r, g.c, coalesce(e.a, 0) AS a, coalesce(e.b, 0) AS b FROM
-  (SELECT u.r, d.c FROM (SELECT DISTINCT user_id AS r FROM events) u, (SELECT unnest(range(0, 30)) AS c) d) g
+  (SELECT u.r, d.c FROM (SELECT DISTINCT user_id AS r FROM events) u, (SELECT unnest(range(0, (SELECT datediff('day', min(ts)::DATE, max(ts)::DATE) + 1 FROM events))) AS c) d) g
   LEFT JOIN (SELECT user_id AS r, datediff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) AS c,
                     avg(value)/100 AS a, count(*)/5 AS b FROM events GROUP BY 1, 2) e ON e.r = g.r AND e.c = g.c"""
+#: Only the pixels there are, so with holes.
+_HOLES = """SELECT user_id - (SELECT min(user_id) FROM events) AS r, datediff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) AS c,
+  avg(value)/100 AS a, count(*)/5 AS b FROM events GROUP BY 1, 2"""
 _SHIFTED = f"SELECT r - (SELECT min(user_id) FROM events) AS r, c, a, b FROM ({_RASTER})"
 
 
@@ -63,13 +71,21 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("h", F.col("h") / 24)
 
 
-def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' days as pixels; days without an event are missing."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value")
     first = e.agg(F.to_date(F.min("ts")).alias("first"), F.min("user_id").alias("low"))
-    cells = e.join(F.broadcast(first)).groupBy(
+    return e.join(F.broadcast(first)).groupBy(
         (F.col("user_id") - F.col("low")).alias("r"), F.datediff(F.to_date("ts"), "first").cast("long").alias("c")
     ).agg((F.avg("value") / 100).alias("a"), (F.count("*") / 5).alias("b"))
-    grid = cells.select("r").distinct().select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("c"))
+
+
+def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with zeros for the missing pixels."""
+    cells = _holes(spark, sf_dir)
+    days = cells.agg(F.max("c").alias("last"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("c")
+    grid = cells.select("r").distinct().join(F.broadcast(days)).select("r", every)
     return grid.join(cells, ["r", "c"], "left").fillna(0.0, ["a", "b"])
 
 
@@ -282,6 +298,76 @@ def _airm_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound.distances_to(f, [base]).select("id", F.round(F.get("d", F.lit(0)), 6).alias("dist"))
 
 
+def _swapped(sql: str) -> str:
+    """An expression of x and y with their parts exchanged."""
+    other = {"x": "y", "y": "x"}
+    sql = re.sub(r"\b([xy])(a|b|e|m0|m1)\b", lambda m: other[m[1]] + m[2], sql)
+    return re.sub(r"\bd([xy])\b", lambda m: "d" + other[m[1]], sql)
+
+
+def _integral(a: float, centred: bool = False) -> str:
+    """What alpha divergences integrate: the product of powers of both densities."""
+    m = {k: f"({1 - a}*x{k} + {a}*y{k})" for k in "abe"}
+    det = f"({m['a']}*{m['e']} - {m['b']}*{m['b']})"
+    maha = f"({m['e']}*u*u - 2*{m['b']}*u*v + {m['a']}*v*v)/{det}"
+    return f"pow(dx, {1 - a})*pow(dy, {a})/{det}" + ("" if centred else f"*exp(-{a * (1 - a)}*{maha})")
+
+
+def _alpha(a: float, real: bool = False, centred: bool = False) -> str:
+    """A squared alpha divergence."""
+    i = f"sqrt({_integral(a, centred)})" if real else _integral(a, centred)
+    return f"abs((1 - {i})/{a * (1 - a)})"
+
+
+def _kernel2(name: str, squared: str, feature: features.Feature, symmetric: bool = False) -> None:
+    """A divergence through the Arrow kernel of a feature, which serves any size, against its expression for two channels."""
+    sql = f"(({squared}) + ({_swapped(squared)}))/2" if symmetric else squared
+
+    @query(f"kernel_{name}", f"SELECT id, round(sqrt({sql}), 6) AS dist FROM ({_PAIRS2})")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound = feature.bind(2, 1)
+        f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"])
+        base = bound.point(f.orderBy("id").limit(1).first()["f"])
+        return bound.distances_to(f, [base]).select("id", F.round(F.get("d", F.lit(0)), 6).alias("dist"))
+
+
+_ORTH = f"pow(ln(1 + {_MAHA_X} + sqrt(pow(1 + {_MAHA_X}, 2) - 1)), 2) + " + _LOGS.format(
+    h="((ye*(xa+u*u/2) - 2*yb*(xb+u*v/2) + ya*(xe+v*v/2))/dy/2)", d="(((xa+u*u/2)*(xe+v*v/2) - pow(xb+u*v/2, 2))/dy)"
+)
+_SCALE = f"4*pow(ln({_T} + sqrt(greatest({_T}*{_T} - 1, 0))), 2) + pow(ln({_C}), 2) + " + _LOGS.format(h=f"({_C}*{_TR}/2)", d="1.0")
+_kernel2("orth_triangle", _ORTH, features.location_covariance_orth_triangle())
+_kernel2("scale_triangle", _SCALE, features.location_covariance_scale_triangle())
+_kernel2("kl", f"{_KL} + {_MAHA_Y} + 1e-12", features.location_covariance_div_alpha(alpha=0))
+_kernel2("kl_reversed", _swapped(f"{_KL} + {_MAHA_Y} + 1e-12"), features.location_covariance_div_alpha(alpha=1))
+_kernel2("kl_real", f"({_KL} + {_MAHA_Y} + 1e-12)/2", features.location_covariance_div_alpha(alpha=0, real_case=True))
+_kernel2("kl_symmetric", f"{_KL} + {_MAHA_Y} + 1e-12", features.location_covariance_div_alpha(alpha=0, symmetrize=True), symmetric=True)
+_kernel2("alpha", _alpha(0.3), features.location_covariance_div_alpha(alpha=0.3))
+_kernel2("alpha_real", _alpha(0.3, real=True), features.location_covariance_div_alpha(alpha=0.3, real_case=True))
+_kernel2("alpha_symmetric", _alpha(0.3), features.location_covariance_div_alpha(alpha=0.3, symmetrize=True), symmetric=True)
+_kernel2(
+    "alpha_symmetric_real", _alpha(0.3, real=True), features.location_covariance_div_alpha(alpha=0.3, symmetrize=True, real_case=True), symmetric=True
+)
+_kernel2("covariance_alpha", _alpha(0.3, centred=True), features.covariance_div_alpha(assume_centered=False, alpha=0.3))
+_kernel2("covariance_kl", f"{_KL} + 1e-12", features.covariance_div_alpha(assume_centered=False, alpha=0))
+
+
+@query("kernel_unit_determinant", "SELECT id, round(sqrt(" + _LOGS.format(h=f"({_C}/({_C}*{_C})*{_TR}*({_C})*({_C})/2)", d="1.0") + f"), 6) AS dist FROM ({_PAIRS2})")
+def _unit_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of scatters of determinant 1, an estimator and a geometry of the caller's own."""
+    unit = features.user_defined("unit_scatter", lambda x: estimators.gaussian_unit_scatter(x)[1], geo.UnitDeterminant(2)).bind(2, 1)
+    f = unit.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    base = unit.point(f.orderBy("id").limit(1).first()["f"])
+    return unit.distances_to(f, [base]).select("id", F.round(F.get("d", F.lit(0)), 6).alias("dist"))
+
+
+@query("tyler_by_estimator", _tyler_sql(5))
+def _tyler_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same five rounds through the estimator, which serves any number of channels."""
+    bound = features.user_defined("tyler", lambda x: estimators.tyler(x, tol=-1, max_iter=5)[0], geo.UnitDeterminant(2)).bind(2, 1)
+    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    return f.select("id", *[F.round(F.get("f.c0", F.lit(i)), 5).alias(n) for n, i in (("s00", 0), ("s01", 1), ("s11", 3))])
+
+
 @query(
     "mean_squared_pairwise_frobenius",
     f"""SELECT round(avg(pow(x.a - y.a, 2) + 2*pow(x.b - y.b, 2) + pow(x.e - y.e, 2)), 9) AS msd FROM
@@ -339,13 +425,48 @@ def _harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mean_rows(spark, bound.means(_flagged(spark, sf_dir), "flag"))
 
 
-@query("airm_mean_by_flag")
-def _karcher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = features.covariance().bind(2, 1)
+def _logs2(source: str, mean: str, key: str) -> str:
+    """Logarithms (la, lb, le) at the mean of the same key of 2 x 2 matrices (a, b, e)."""
+    t, s = "(t)", "sqrt(greatest(t*t - r, 0))"
+    k = f"(CASE WHEN {s} > 1e-7*{t} THEN (ln({t} + {s}) - ln({t} - {s}))/(2*{s}) ELSE 1/{t} END)"
+    return f"""SELECT *, ln(r)/2*ma + {k}*(a - t*ma) AS la, ln(r)/2*mb + {k}*(b - t*mb) AS lb, ln(r)/2*me + {k}*(e - t*me) AS le
+    FROM (SELECT *, (me*a - 2*mb*b + ma*e)/(ma*me - mb*mb)/2 AS t, (a*e - b*b)/(ma*me - mb*mb) AS r FROM {source} JOIN {mean} USING ({key}))"""
+
+
+def _karcher(source: str, key: str, name: str, rounds: int) -> str:
+    """CTEs ``name0``.. of the geometric means (ma, mb, me) of ``source`` (key, a, b, e), by fixed steps from the arithmetic means."""
+    ctes = [f"{name}0 AS MATERIALIZED (SELECT {key}, avg(a) AS ma, avg(b) AS mb, avg(e) AS me FROM {source} GROUP BY {key})"]
+    for i in range(rounds):
+        ctes.append(f"""{name}{i + 1} AS MATERIALIZED (SELECT {key}, exp(w)*(ch*ma + sh*(ga - w*ma)) AS ma, exp(w)*(ch*mb + sh*(gb - w*mb)) AS mb, exp(w)*(ch*me + sh*(ge - w*me)) AS me
+        FROM (SELECT *, (exp(x) + exp(-x))/2 AS ch, CASE WHEN x > 1e-7 THEN (exp(x) - exp(-x))/2/x ELSE 1 END AS sh
+        FROM (SELECT *, sqrt(greatest(w*w - y, 0)) AS x FROM (SELECT *, (me*ga - 2*mb*gb + ma*ge)/(ma*me - mb*mb)/2 AS w, (ga*ge - gb*gb)/(ma*me - mb*mb) AS y
+        FROM (SELECT {key}, any_value(ma) AS ma, any_value(mb) AS mb, any_value(me) AS me, avg(la) AS ga, avg(lb) AS gb, avg(le) AS ge
+        FROM ({_logs2(source, f"{name}{i}", key)}) GROUP BY {key})))))""")
+    return ", ".join(ctes)
+
+
+@query(
+    "airm_mean_by_flag",
+    f"""WITH s AS MATERIALIZED ({_FLAGGED}), {_karcher("s", "flag", "m", 12)}
+    SELECT flag, round(ma, 6) AS s00, round(mb, 6) AS s01, round(me, 6) AS s11 FROM m12""",
+)
+def _geometric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.covariance(least_gradient=1e-11).bind(2, 1)
     return _mean_rows(spark, bound.means(_flagged(spark, sf_dir), "flag"))
 
 
-@query("alpha_mean_by_flag")
+def _alpha_mean_sql(a: float, rounds: int) -> str:
+    """The stationary point: the inverse mean is the weighted mean of the inverses of the mixtures with it."""
+    ctes = [f"s AS MATERIALIZED ({_FLAGGED}), m0 AS MATERIALIZED (SELECT flag, avg(a) AS ma, avg(b) AS mb, avg(e) AS me FROM s GROUP BY flag)"]
+    for i in range(rounds):
+        ctes.append(f"""m{i + 1} AS MATERIALIZED (SELECT flag, ie/(ia*ie - ib*ib) AS ma, -ib/(ia*ie - ib*ib) AS mb, ia/(ia*ie - ib*ib) AS me
+        FROM (SELECT flag, sum(w*ze/z)/sum(w) AS ia, -sum(w*zb/z)/sum(w) AS ib, sum(w*za/z)/sum(w) AS ie
+        FROM (SELECT *, za*ze - zb*zb AS z, pow(ma*me - mb*mb, {1 - a})*pow(a*e - b*b, {a})/(za*ze - zb*zb) AS w
+        FROM (SELECT *, {1 - a}*ma + {a}*a AS za, {1 - a}*mb + {a}*b AS zb, {1 - a}*me + {a}*e AS ze FROM s JOIN m{i} USING (flag))) GROUP BY flag))""")
+    return f"WITH {', '.join(ctes)} SELECT flag, round(ma, 4) AS s00, round(mb, 4) AS s01, round(me, 4) AS s11 FROM m{rounds}"
+
+
+@query("alpha_mean_by_flag", _alpha_mean_sql(0.5, 40))
 def _alpha_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = features.covariance_div_alpha(alpha=0.5).bind(2, 1)
     return _mean_rows(spark, bound.means(_flagged(spark, sf_dir), "flag"), 4)
@@ -422,26 +543,91 @@ def _tangent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.posexplode("v").alias("i", "v")).select("id", F.col("i").cast("long").alias("i"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
-@query("tangent_vectors_covariance")
+_COVS = f"SELECT id, 0 AS g, a, b, e FROM ({_COV2})"
+
+
+@query(
+    "tangent_vectors_covariance",
+    f"""WITH s AS MATERIALIZED ({_COVS}), {_karcher("s", "g", "m", 12)}
+    SELECT id, round(la, 6) + 0.0 AS v0, round(lb, 6) + 0.0 AS v1, round(le, 6) + 0.0 AS v2 FROM ({_logs2("s", "m12", "g")})""",
+)
 def _tangent_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = features.covariance(assume_centered=False).bind(3, 1)
-    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d", "t"])
-    return learn.TangentSpace(bound).fit_transform(f).select("id", "v")
+    bound = features.covariance(assume_centered=False, least_gradient=1e-11).bind(2, 1)
+    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    v = learn.TangentSpace(bound).fit_transform(f)
+    return v.select("id", *[(F.round(F.get("v", F.lit(i)), 6) + F.lit(0.0)).alias(f"v{i}") for i in range(3)])
+
+
+def _lloyd_sql(vectors: str, seeds: str, rounds: int) -> str:
+    """CTEs of Lloyd's rounds over ``vectors`` (id, i, x) from ``seeds`` (k, i, m); the last, ``a``, has (id, k)."""
+    ctes = [f"v AS MATERIALIZED ({vectors}), c0 AS MATERIALIZED ({seeds})"]
+    for r in range(rounds + 1):
+        name = f"a{r}" if r < rounds else "a"
+        ctes.append(f"""{name} AS MATERIALIZED (SELECT id, arg_min(k, struct_pack(d := d, k := k)) AS k
+        FROM (SELECT v.id, c.k, sum(pow(v.x - c.m, 2)) AS d FROM v JOIN c{r} c ON c.i = v.i GROUP BY 1, 2) GROUP BY id)""")
+        if r < rounds:
+            ctes.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce(n.m, c.m) AS m FROM c{r} c LEFT JOIN
+            (SELECT a.k, v.i, avg(v.x) AS m FROM v JOIN a{r} a ON a.id = v.id GROUP BY 1, 2) n ON n.k = c.k AND n.i = c.i)""")
+    return ", ".join(ctes)
 
 
-@query("kmeans_embeddings")
+_EMBEDDED = "SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"
+
+
+@query(
+    "kmeans_embeddings",
+    "WITH " + _lloyd_sql(_EMBEDDED, "SELECT s.k, v.i, v.x AS m FROM v JOIN (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings QUALIFY k < 4) s USING (id)", 5)
+    + " SELECT id, k AS prediction FROM a",
+)
 def _kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the four rows of the least ids, six assignments and the means between them."""
     v = _vectors(spark, sf_dir)
     p = v.select(F.size("f.c0")).first()[0]
-    model = learn.KMeans(features.mean_vector_euclidean().bind(p, 1), 4, "k-means++", n_init=1, max_iter=10, tol=1e-3).fit(v)
-    return model.predict(v).select("id", "prediction")
+    seeds = [r["id"] for r in v.select("id").orderBy("id").limit(4).collect()]
+    model = learn.KMeans(features.mean_vector_euclidean().bind(p, 1), 4, seeds, n_init=1, max_iter=6, tol=0).fit(v)
+    return model.predict(v).select("id", F.col("prediction").cast("long").alias("prediction"))
+
 
+def _kmeans_airm_sql(clusters: int, rounds: int) -> str:
+    ctes = [f"s AS MATERIALIZED ({_COV2})"]
+    ctes.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS k, a AS ma, b AS mb, e AS me FROM s QUALIFY k < {clusters})")
+    dist = _LOGS.format(h="((me*a - 2*mb*b + ma*e)/(ma*me - mb*mb)/2)", d="((a*e - b*b)/(ma*me - mb*mb))")
+    for r in range(rounds + 1):
+        name = f"a{r}" if r < rounds else "z"
+        ctes.append(f"{name} AS MATERIALIZED (SELECT id, any_value(a) AS a, any_value(b) AS b, any_value(e) AS e, arg_min(k, struct_pack(d := d, k := k)) AS k FROM (SELECT s.*, k, {dist} AS d FROM s, c{r}) GROUP BY id)")
+        if r < rounds:
+            ctes.append(_karcher(f"a{r}", "k", f"m{r}_", 12))
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.ma, c.ma) AS ma, coalesce(m.mb, c.mb) AS mb, coalesce(m.me, c.me) AS me FROM c{r} c LEFT JOIN m{r}_12 m USING (k))")
+    return f"WITH {', '.join(ctes)} SELECT id, k AS prediction FROM z"
 
-@query("kmeans_covariance")
+
+@query("kmeans_covariance", _kmeans_airm_sql(3, 2))
 def _kmeans_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound = features.covariance(assume_centered=False).bind(3, 1)
-    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d", "t"])
-    return learn.KMeans(bound, 3, n_init=1, max_iter=10, tol=1e-3).fit_predict(f).select("id", "prediction")
+    """Covariances by the affine-invariant distance and their geometric means, from the three suppliers of the least ids."""
+    bound = features.covariance(assume_centered=False, least_gradient=1e-11).bind(2, 1)
+    f = bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"])
+    seeds = [r["id"] for r in f.select("id").orderBy("id").limit(3).collect()]
+    model = learn.KMeans(bound, 3, seeds, n_init=1, max_iter=3, tol=0).fit(f)
+    return model.predict(f).select("id", F.col("prediction").cast("long").alias("prediction"))
+
+
+@query(
+    "kmeans_farthest_first",
+    f"""WITH v AS MATERIALIZED ({_EMBEDDED}), s0 AS MATERIALIZED (SELECT min(id) AS id FROM v),
+    s1 AS MATERIALIZED (SELECT id FROM (SELECT v.id, sum(pow(v.x - w.x, 2)) AS d FROM v JOIN v w ON w.i = v.i JOIN s0 ON s0.id = w.id GROUP BY 1) ORDER BY d DESC LIMIT 1),
+    s2 AS MATERIALIZED (SELECT id FROM (SELECT id, min(d) AS d FROM (SELECT v.id, s.id AS s, sum(pow(v.x - w.x, 2)) AS d FROM v JOIN v w ON w.i = v.i
+    JOIN (SELECT id FROM s0 UNION ALL SELECT id FROM s1) s ON s.id = w.id GROUP BY 1, 2) GROUP BY id) ORDER BY d DESC LIMIT 1)
+    SELECT id, k::BIGINT AS k FROM (SELECT id, 0 AS k FROM s0 UNION ALL SELECT id, 1 FROM s1 UNION ALL SELECT id, 2 FROM s2)""",
+)
+def _farthest_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that K-means starts from: each the farthest from those before, the first being the row of the least id."""
+    v = _vectors(spark, sf_dir)
+    p = v.select(F.size("f.c0")).first()[0]
+    first = v.agg(F.min("id")).first()[0]
+    bound = features.mean_vector_euclidean().bind(p, 1)
+    points = learn.KMeans(bound, 3, "k-means++", n_init=1).initial(v, first=first)
+    near = bound.distances_to(v, points).select("id", F.posexplode("d").alias("k", "d")).where("d = 0")
+    return near.groupBy("k").agg(F.min("id").alias("id")).select("id", F.col("k").cast("long").alias("k"))
 
 
 _SEEDED = """WITH v AS (SELECT label AS id, avg(embedding[1]) AS x, avg(embedding[2]) AS y FROM embeddings GROUP BY 1),
@@ -476,6 +662,13 @@ def _window_sql(cols: dict[str, str], extra: str = "") -> str:
     WHERE x.r BETWEEN 1 AND s.h - 1 AND x.c BETWEEN 1 AND s.w - 1 {extra} GROUP BY 1, 2)"""
 
 
+def _holes_sql(cols: dict[str, str]) -> str:
+    """Windows all of whose pixels are there."""
+    sums = ", ".join(f"round(avg({v}), 6) AS {k}" for k, v in cols.items())
+    return f"""WITH p AS ({_HOLES}) SELECT x.r, x.c, {sums} FROM p x JOIN p y ON y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1
+    GROUP BY 1, 2 HAVING count(*) = 9"""
+
+
 @query("window_mean_raster", _window_sql({"m0": "y.a", "m1": "y.b"}))
 def _window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _raster(spark, sf_dir)
@@ -506,10 +699,41 @@ def _window_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(f, {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
 
 
-@query("window_tyler_raster")
+@query("window_scm_holes_raster", _holes_sql({"s00": "y.a*y.a", "s01": "y.a*y.b", "s11": "y.b*y.b"}))
+def _window_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _holes(spark, sf_dir)
+    f = images.window_features(p, ["a", "b"], features.covariance().bind(2, 9), 3, *_frame(p))
+    return _rounded(f, {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
+
+
+@query("window_mean_holes_raster", _holes_sql({"m0": "y.a", "m1": "y.b"}))
+def _window_mean_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the path that copies pixels to windows."""
+    p = _holes(spark, sf_dir)
+    f = images.window_features(p, ["a", "b"], features.mean_vector_euclidean().bind(2, 9), 3, *_frame(p))
+    return f.select("r", "c", *[F.round(F.get("f.c0", F.lit(i)), 6).alias(f"m{i}") for i in (0, 1)])
+
+
+_TYLER_RASTER = f"""WITH p AS MATERIALIZED (SELECT r, c, a + r % 7 + 1 AS a, b + c % 5 + 0.5 AS b FROM ({_SHIFTED})), s AS (SELECT max(r) AS h, max(c) AS w FROM p),
+  o AS MATERIALIZED (SELECT x.r, x.c, y.a AS q, y.b AS d FROM p x JOIN p y ON y.r BETWEEN x.r - 2 AND x.r + 2 AND y.c BETWEEN x.c - 2 AND x.c + 2, s
+  WHERE x.r BETWEEN 2 AND s.h - 2 AND x.c BETWEEN 2 AND s.w - 2)"""
+
+
+def _tyler_windows_sql(rounds: int) -> str:
+    sql = [_TYLER_RASTER, ", t0 AS (SELECT r, c, 2*a/(a+e) AS a, 2*b/(a+e) AS b, 2*e/(a+e) AS e FROM (SELECT r, c, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM o GROUP BY 1, 2))"]
+    for k in range(rounds):
+        tau = "((e*q*q - 2*b*q*d + a*d*d)/(a*e - b*b)/2)"
+        sql.append(f", t{k + 1} AS MATERIALIZED (SELECT r, c, avg(q*q/{tau}) AS a, avg(q*d/{tau}) AS b, avg(d*d/{tau}) AS e FROM o JOIN t{k} USING (r, c) GROUP BY r, c)")
+    sql.append(f" SELECT r, c, round(a/sqrt(a*e - b*b), 4) AS s00, round(b/sqrt(a*e - b*b), 4) + 0.0 AS s01, round(e/sqrt(a*e - b*b), 4) AS s11 FROM t{rounds}")
+    return "".join(sql)
+
+
+@query("window_tyler_raster", _tyler_windows_sql(6))
 def _window_tyler(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _raster(spark, sf_dir).withColumn("a", F.col("a") + F.col("r") % 7 + 1).withColumn("b", F.col("b") + F.col("c") % 5 + 0.5)
-    return images.window_features(p, ["a", "b"], features.covariance_texture().bind(2, 25), 5, *_frame(p)).select("r", "c", "f")
+    return images.window_features(p, ["a", "b"], features.covariance_texture(tol=-1, max_iter=6).bind(2, 25), 5, *_frame(p)).select(
+        "r", "c", *[(F.round(F.get("f.c0", F.lit(i)), 4) + F.lit(0.0)).alias(n) for n, i in (("s00", 0), ("s01", 1), ("s11", 3))]
+    )
 
 
 @query(
@@ -580,10 +804,79 @@ def _pauli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rgb.select("r", "c", *[F.round(x, 6).alias(x) for x in ("red", "green", "blue")])
 
 
-@query("kmeans_datacube_raster")
+_WINDOWED = f"""SELECT r, c, r*(SELECT max(c) + 1 FROM ({_SHIFTED})) + c AS id, m0, m1 FROM ({_window_sql({"m0": "y.a", "m1": "y.b"}).replace("round(m0, 6)", "m0").replace("round(m1, 6)", "m1")})"""
+_SEEDS2 = "SELECT s.k, v.i, v.x AS m FROM v JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT min(id) AS id FROM v UNION ALL SELECT max(id) FROM v)) s USING (id)"
+
+
+@query(
+    "kmeans_datacube_raster",
+    f"WITH w AS MATERIALIZED ({_WINDOWED}), " + _lloyd_sql("SELECT id, 0 AS i, m0 AS x FROM w UNION ALL SELECT id, 1, m1 FROM w", _SEEDS2, 4)
+    + " SELECT r, c, k::INTEGER AS k FROM w JOIN a USING (id)",
+)
 def _datacube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows clustered from the first and the last of them."""
     p = _raster(spark, sf_dir)
-    return learn.kmeans_datacube(p, ["a", "b"], features.mean_vector_euclidean(), 3, 2, n_init=1, max_iter=5)[0]
+    height, width = _frame(p)
+    seeds = [width + 1, (height - 2) * width + width - 2]
+    return learn.kmeans_datacube(p, ["a", "b"], features.mean_vector_euclidean(), 3, 2, init=seeds, n_init=1, max_iter=5, tol=0)[0]
+
+
+@query(
+    "cluster_image_raster",
+    f"WITH w AS MATERIALIZED (SELECT r, c, a, b, r*(SELECT max(c) + 1 FROM ({_SHIFTED})) + c AS id FROM ({_SHIFTED})), "
+    + _lloyd_sql("SELECT id, 0 AS i, a AS x FROM w UNION ALL SELECT id, 1, b FROM w", _SEEDS2, 3)
+    + " SELECT r, c, k::INTEGER AS k FROM w JOIN a USING (id)",
+)
+def _cluster_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image clustered by its settings, here pixel by pixel."""
+    p = _raster(spark, sf_dir).withColumn("label", F.lit(1))
+    height, width = _frame(p)
+    settings = learn.HyperparametersKMeans(feature="euclidean", mask=False, init=[0, height * width - 1], n_init=1, max_iter=4, tol=0)
+    return learn.cluster_image(p, ["a", "b"], 2, settings)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session's executors share; only a local session gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tangentia-")
+    return f"{root.rstrip('/')}/tangentia/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "named_image_raster",
+    f"""WITH p AS (SELECT r, c, a, b, CASE WHEN b > 0.5 THEN 2 ELSE 1 END AS label FROM ({_SHIFTED})), {_CROP.replace("12", "15").replace("(SELECT", "k AS (SELECT", 1)},
+    q AS (SELECT p.r - r0 AS r, p.c - c0 AS c, a, b, label - 1 AS label FROM p, k WHERE p.r BETWEEN r0 AND r0 + 14 AND p.c BETWEEN c0 AND c0 + 14)
+    SELECT r, c, CASE WHEN r BETWEEN 1 AND 13 AND c BETWEEN 1 AND 13 THEN label ELSE -1 END AS label,
+    round(a - avg(a) OVER w, 6) + 0.0 AS b0, round(b - avg(b) OVER w, 6) + 0.0 AS b1, round(a*199 + b - avg(a*199 + b) OVER w, 6) + 0.0 AS b199
+    FROM q WINDOW w AS (PARTITION BY c)""",
+)
+def _named_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene of 200 bands written under its name, then loaded: cropped, its border blanked, centred by column."""
+    band = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.when(i == 0, F.col("a")).otherwise(F.col("a") * (i - 1) * F.when(i == 1, 0).otherwise(i / (i - 1)) + F.col("b")))
+    root = _scratch(spark, "scenes")
+    scene = _raster(spark, sf_dir).select("r", "c", band.alias("x"), F.when(F.col("b") > 0.5, 2).otherwise(1).alias("label"))
+    scene.write.parquet(f"{root}/Indian_Pines.parquet")
+    p = image_source.Dataset("Indian_Pines", root).load(spark, crop=True, border=1, center="column", crop_size=15)
+    return p.select("r", "c", "label", *[(F.round(x, 6) + F.lit(0.0)).alias(x) for x in ("b0", "b1", "b199")])
+
+
+@query(
+    "saved_segmentation_raster",
+    f"""WITH p AS (SELECT r, c, CASE WHEN b > 0.5 THEN 1 ELSE 0 END AS k, CASE WHEN a > 0 THEN 0 ELSE 1 END AS label FROM ({_SHIFTED})),
+    t AS (SELECT coalesce(sum(CASE WHEN k = label THEN 1 ELSE 0 END), 0) AS same, coalesce(sum(CASE WHEN k <> label THEN 1 ELSE 0 END), 0) AS other FROM p)
+    SELECT r, c, (CASE WHEN same >= other THEN k ELSE 1 - k END)::INTEGER AS k FROM p, t""",
+)
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels renamed to the classes they match, written and read back."""
+    p = _raster(spark, sf_dir)
+    path = _scratch(spark, "segmentation")
+    labels = p.select("r", "c", F.when(F.col("b") > 0.5, 1).otherwise(0).alias("k"))
+    truth = p.select("r", "c", F.when(F.col("a") > 0, 0).otherwise(1).alias("label"))
+    image_source.evaluate_and_save(labels, truth, path)
+    return spark.read.parquet(path)
 
 
 # -- scores
@@ -632,9 +925,19 @@ def _ari(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.adjusted_rand(_segmentation(spark, sf_dir)).select(F.round("ari", 9).alias("ari"))
 
 
-@query("adjusted_mutual_information")
+@query(
+    "adjusted_mutual_information",
+    f"""WITH t AS (SELECT c, gt, count(*)::DOUBLE AS k FROM ({_SEG}) WHERE c >= 0 AND gt >= 0 GROUP BY 1, 2),
+    n AS (SELECT sum(k) AS n FROM t), a AS (SELECT c, sum(k) AS x FROM t GROUP BY c), b AS (SELECT gt, sum(k) AS y FROM t GROUP BY gt),
+    mi AS (SELECT sum(k/n*ln(n*k/(x*y))) AS mi FROM t JOIN a USING (c) JOIN b USING (gt), n),
+    h AS (SELECT ((SELECT -sum(x/n*ln(x/n)) FROM a, n) + (SELECT -sum(y/n*ln(y/n)) FROM b, n))/2 AS h),
+    o AS (SELECT x, y, n, unnest(range(greatest(1, x + y - n)::BIGINT, least(x, y)::BIGINT + 1))::DOUBLE AS k FROM a, b, n),
+    e AS (SELECT sum(k/n*ln(n*k/(x*y))*exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1)
+      - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS e FROM o)
+    SELECT round((mi - e)/(h - e), 7) + 0.0 AS ami FROM mi, h, e""",
+)
 def _ami(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(evaluation.adjusted_mutual_information(_segmentation(spark, sf_dir)),)], "ami double")
+    return spark.createDataFrame([(round(evaluation.adjusted_mutual_information(_segmentation(spark, sf_dir)), 7) + 0.0,)], "ami double")
 
 
 @query(

@@ -35,12 +35,12 @@ class Dataset:
         self.info, self.path = REGISTRY[name], f"{root}/{name}.parquet"
         self.channels = [f"b{i}" for i in range(self.info.bands)]
 
-    def load(self, spark: SparkSession, crop: bool = False, border: int = 0, center: str | None = "column", bands: int | None = None) -> DataFrame:
+    def load(self, spark: SparkSession, crop: bool = False, border: int = 0, center: str | None = "column", bands: int | None = None, crop_size: int = 30) -> DataFrame:
         """Pixels ``(r, c, channels, label)``: cropped, border labels blanked, centred, reduced by PCA, as asked."""
         raw = spark.read.parquet(self.path)
         if "x" in raw.columns:
             raw = raw.select("r", "c", *[F.get("x", F.lit(i)).alias(b) for i, b in enumerate(self.channels)], "label")
-        return prepare(raw, self.channels, crop, border, center, bands)
+        return prepare(raw, self.channels, crop, border, center, bands, crop_size)
 
 
 def prepare(pixels: DataFrame, channels: list[str], crop: bool = False, border: int = 0, center: str | None = "column", bands: int | None = None, crop_size: int = 30) -> DataFrame:
