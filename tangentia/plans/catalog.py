@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tangentia.functions import estimators
@@ -1018,27 +1018,240 @@ def _blocks(samples: DataFrame, n: int = BLOCK) -> DataFrame:
     return s.withColumn("_seat", F.explode(seats)).select(*samples.columns, "_seat.*")
 
 
-def _feature_query(name: str, feature: features.Feature) -> None:
+_USERS = """SELECT id, i, m, v, h, v*h + w AS w FROM (SELECT user_id AS id, value/100 AS v, hour(ts)/24 AS h, event_id % 7 / 7 AS w,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events WHERE user_id IS NOT NULL)"""
+#: The same blocks as of :func:`_blocks`.
+_BLOCKED = f"""SELECT id, i // {BLOCK} AS block, i % {BLOCK} AS obs, v, h, w FROM ({_USERS}) WHERE m >= {BLOCK} AND i // {BLOCK} < (m + {BLOCK - 1}) // {BLOCK} - 1
+  UNION ALL SELECT id, (m + {BLOCK - 1}) // {BLOCK} - 1, i - m + {BLOCK}, v, h, w FROM ({_USERS}) WHERE m >= {BLOCK} AND i >= m - {BLOCK}
+  UNION ALL SELECT id, 0, unnest(range(i, {BLOCK}, m)), v, h, w FROM ({_USERS}) WHERE m < {BLOCK}"""
+#: Entries of a symmetric 3 x 3 matrix: a b c, d e, f.
+_ENTRIES = {"s00": 0, "s01": 1, "s02": 2, "s11": 4, "s12": 5, "s22": 8}
+_DET3 = "(a*(d*f - e*e) - b*(b*f - c*e) + c*(b*e - c*d))"
+
+
+def _quadratic3(x: str, y: str, z: str) -> str:
+    """Quadratic form of the inverse of the matrix a..f."""
+    return f"(((d*f - e*e)*{x}*{x} + (a*f - c*c)*{y}*{y} + (a*d - b*b)*{z}*{z} + 2*(c*e - b*f)*{x}*{y} + 2*(b*e - c*d)*{x}*{z} + 2*(b*c - a*e)*{y}*{z})/{_DET3})"
+
+
+def _moments3(x: str, y: str, z: str, weight: str = "1", agg: str = "avg") -> str:
+    pairs = {"a": (x, x), "b": (x, y), "c": (x, z), "d": (y, y), "e": (y, z), "f": (z, z)}
+    return ", ".join(f"{agg}({u}*{v}*{weight}) AS {k}" for k, (u, v) in pairs.items())
+
+
+_SIX = {"s00": "a", "s01": "b", "s02": "c", "s11": "d", "s12": "e", "s22": "f"}
+
+
+def _with_textures_sql(tables: str, last: str, tau: str, mean: bool = False) -> str:
+    """Scatter of determinant 1 and the textures that go with it, a row for each observation."""
+    names = ", ".join(f"round({v}/pow({_DET3}, 1.0/3), 4) + 0.0 AS {k}" for k, v in _SIX.items())
+    mu = ", ".join(f"round(m{i}, 4) + 0.0 AS m{i}" for i in range(3)) + ", " if mean else ""
+    return f"WITH o AS MATERIALIZED ({_BLOCKED}), {tables} SELECT id, block::INTEGER AS block, obs::INTEGER AS obs, {mu}{names}, round({tau}*pow({_DET3}, 1.0/3), 4) AS tau FROM {last}"
+
+
+def _tyler3_sql(rounds: int) -> str:
+    ctes = [f"t0 AS MATERIALIZED (SELECT id, block, 3*a/(a+d+f) AS a, 3*b/(a+d+f) AS b, 3*c/(a+d+f) AS c, 3*d/(a+d+f) AS d, 3*e/(a+d+f) AS e, 3*f/(a+d+f) AS f FROM (SELECT id, block, {_moments3('v', 'h', 'w')} FROM o GROUP BY 1, 2))"]
+    for k in range(rounds):
+        ctes.append(f"x{k} AS MATERIALIZED (SELECT o.*, {_quadratic3('v', 'h', 'w')}/3 AS tau FROM o JOIN t{k} USING (id, block))")
+        ctes.append(f"t{k + 1} AS MATERIALIZED (SELECT id, block, {_moments3('v', 'h', 'w', '1/tau')} FROM x{k} GROUP BY 1, 2)")
+    return _with_textures_sql(", ".join(ctes), f"x{rounds - 1} JOIN t{rounds} USING (id, block)", "tau")
+
+
+def _joint_tyler3_sql(rounds: int) -> str:
+    centred = ("(v - m0)", "(h - m1)", "(w - m2)")
+    cov = "var_pop(v) AS a, covar_pop(v, h) AS b, covar_pop(v, w) AS c, var_pop(h) AS d, covar_pop(h, w) AS e, var_pop(w) AS f"
+    ctes = [f"t0 AS MATERIALIZED (SELECT id, block, avg(v) AS m0, avg(h) AS m1, avg(w) AS m2, {cov} FROM o GROUP BY 1, 2)"]
+    least = f"greatest({_quadratic3(*centred)}/3, 1e-10)"
+    for k in range(rounds):
+        ctes.append(f"w{k} AS MATERIALIZED (SELECT o.*, a, b, c, d, e, f, 1/sqrt({least}) AS q FROM o JOIN t{k} USING (id, block))" if k == 0 else f"w{k} AS MATERIALIZED (SELECT o.*, a, b, c, d, e, f, 1/sqrt(tau) AS q FROM o JOIN y{k - 1} USING (id, block, obs) JOIN t{k} USING (id, block))")
+        ctes.append(f"m{k} AS MATERIALIZED (SELECT id, block, sum(v*q)/sum(q) AS m0, sum(h*q)/sum(q) AS m1, sum(w*q)/sum(q) AS m2 FROM w{k} GROUP BY 1, 2)")
+        ctes.append(f"y{k} AS MATERIALIZED (SELECT id, block, obs, {least} AS tau FROM w{k} JOIN m{k} USING (id, block))")
+        ctes.append(f"t{k + 1} AS MATERIALIZED (SELECT id, block, any_value(m0) AS m0, any_value(m1) AS m1, any_value(m2) AS m2, {_moments3(*centred, '1/tau')} FROM o JOIN y{k} USING (id, block, obs) JOIN m{k} USING (id, block) GROUP BY 1, 2)")
+    return _with_textures_sql(", ".join(ctes), f"o JOIN t{rounds} USING (id, block)", least, mean=True)
+
+
+def _projector3(source: str) -> str:
+    """Projector (a..f) on the first eigenvector of the matrices a..f of ``source``: the eigenvalues by the cubic's cosines, then Lagrange's formula."""
+    square = {"a": "a*a + b*b + c*c", "b": "a*b + b*d + c*e", "c": "a*c + b*e + c*f", "d": "b*b + d*d + e*e", "e": "b*c + d*e + e*f", "f": "c*c + e*e + f*f"}
+    entry = {k: f"({v} - (l2 + l3)*{k}{' + l2*l3' if k in 'adf' else ''})/((l1 - l2)*(l1 - l3))" for k, v in square.items()}
+    return f"""SELECT * EXCLUDE (a, b, c, d, e, f, q, p, g, l1, l2, l3), {", ".join(f"{v} AS {k}" for k, v in entry.items())} FROM (SELECT *, 3*q - l1 - l3 AS l2
+    FROM (SELECT *, q + 2*p*cos(g) AS l1, q + 2*p*cos(g + 2*pi()/3) AS l3 FROM (SELECT *, acos(greatest(-1, least(1, ((a-q)*((d-q)*(f-q) - e*e) - b*(b*(f-q) - c*e) + c*(b*e - c*(d-q)))/(p*p*p)/2)))/3 AS g
+    FROM (SELECT *, sqrt(((a-q)*(a-q) + (d-q)*(d-q) + (f-q)*(f-q) + 2*(b*b + c*c + e*e))/6) AS p FROM (SELECT *, (a + d + f)/3 AS q FROM ({source}))))))"""
+
+
+_PROJECTED = ", ".join(f"round({v}, 4) + 0.0 AS {k}" for k, v in _SIX.items())
+
+
+def _tau_subspace_sql(rounds: int, observations: str, key: str, tau: bool) -> str:
+    """Rounds of textures and then the projector on the first direction of the weighted moments, over channels tenfold."""
+    ctes = [f"o AS MATERIALIZED (SELECT * REPLACE (10*v AS v, 10*h AS h, 10*w AS w) FROM ({observations}))"]
+    ctes.append("p0 AS MATERIALIZED (" + _projector3(f"SELECT {key}, {_moments3('v', 'h', 'w')} FROM o GROUP BY {key}") + ")")
+    for k in range(rounds):
+        ctes.append(f"x{k} AS MATERIALIZED (SELECT o.*, greatest(a*v*v + d*h*h + f*w*w + 2*(b*v*h + c*v*w + e*h*w) - 1, 1e-10) AS tau FROM o JOIN p{k} USING ({key}))")
+        ctes.append(f"p{k + 1} AS MATERIALIZED (" + _projector3(f"SELECT {key}, {_moments3('v', 'h', 'w', 'tau/(1 + tau)', 'sum')} FROM x{k} GROUP BY {key}") + ")")
+    if not tau:
+        return f"WITH {', '.join(ctes)} SELECT id, {_PROJECTED} FROM p{rounds}"
+    return f"WITH {', '.join(ctes)} SELECT id, block::INTEGER AS block, obs::INTEGER AS obs, round(tau, 4) AS tau, {_PROJECTED} FROM x{rounds - 1} JOIN p{rounds} USING (id, block)"
+
+
+def _tenfold(samples: DataFrame) -> DataFrame:
+    return samples.withColumns({c: 10 * F.col(c) for c in ("v", "h", "w")})
+
+
+def _blocks_of(spark: SparkSession, sf_dir: str, feature: features.Feature, tenfold: bool = False) -> DataFrame:
+    users = _users(spark, sf_dir)
+    return feature.bind(3, BLOCK).estimate(_blocks(_tenfold(users) if tenfold else users), ["id", "block"], ["v", "h", "w"], ["obs"])
+
+
+#: Added before rounding where values lie on a grid of decimal fractions, of which many would be ties.
+_OFF_GRID = 3.1415926e-8
+
+
+def _by_observation(f: DataFrame, textures: str, entries: dict[str, Column], digits: int = 4, off: float = 0.0) -> DataFrame:
+    """A row for each observation of a block, with its texture and the block's other numbers."""
+    out = f.select("id", "block", *[(F.round(v + F.lit(off), digits) + F.lit(0.0)).alias(k) for k, v in entries.items()], F.posexplode(textures).alias("obs", "tau"))
+    return out.withColumn("tau", F.round("tau", 4))
+
+
+def _scatter_of(part: str) -> dict[str, Column]:
+    return {k: F.get(f"f.{part}", F.lit(i)) for k, i in _ENTRIES.items()}
+
+
+def _projector_of(part: str) -> dict[str, Column]:
+    return {k: F.get(f"f.{part}", F.lit(i // 3)) * F.get(f"f.{part}", F.lit(i % 3)) for k, i in _ENTRIES.items()}
+
+
+def _mean3() -> dict[str, Column]:
+    return {f"m{i}": F.get("f.c0", F.lit(i)) for i in range(3)}
+
+
+@query("feature_covariance_texture", _tyler3_sql(6))
+def _f_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six rounds of Tyler's estimator for every block."""
+    return _by_observation(_blocks_of(spark, sf_dir, features.covariance_texture(tol=-1, max_iter=6)), "f.c1", _scatter_of("c0"))
+
+
+@query("feature_tyler_location", _joint_tyler3_sql(4))
+def _f_tyler_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rounds of location and scatter together."""
+    f = _blocks_of(spark, sf_dir, features.location_covariance_texture_Tyler_constrained_scatter(tol=-1, max_iter=4))
+    return _by_observation(f, "f.c2", _mean3() | _scatter_of("c1"))
+
+
+@query(
+    "feature_gaussian_unit_texture",
+    f"""SELECT id, block::INTEGER AS block, obs::INTEGER AS obs, 1.0::DOUBLE AS tau, {", ".join(f"round(avg({x}) OVER k + {_OFF_GRID}, 6) + 0.0 AS m{i}" for i, x in enumerate("vhw"))},
+    {", ".join(f"round(covar_pop({x}, {y}) OVER k + {_OFF_GRID}, 6) + 0.0 AS {n}" for n, x, y in (("s00", "v", "v"), ("s01", "v", "h"), ("s02", "v", "w"), ("s11", "h", "h"), ("s12", "h", "w"), ("s22", "w", "w")))}
+    FROM ({_BLOCKED}) WINDOW k AS (PARTITION BY id, block)""",
+)
+def _f_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _blocks_of(spark, sf_dir, features.location_covariance_texture_Gaussian_constrained_texture())
+    return _by_observation(f, "f.c2", _mean3() | _scatter_of("c1"), 6, _OFF_GRID)
+
+
+@query("feature_subspace_scm", f"SELECT id, {_PROJECTED} FROM ({_projector3(f'SELECT id, {_moments3(chr(118), chr(104), chr(119))} FROM ({_USERS}) GROUP BY id')})")
+def _f_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projectors on the first direction, which don't depend on its sign."""
+    f = features.subspace_SCM(1).bind(3, 1).estimate(_users(spark, sf_dir), ["id"], ["v", "h", "w"], ["ts", "event_id"])
+    return f.select("id", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in _projector_of("c0").items()])
+
+
+@query("feature_subspace_tau_uuh", _tau_subspace_sql(4, _USERS, "id", tau=False))
+def _f_subspace_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = features.subspace_tau_UUH(1, tol=-1, max_iter=4).bind(3, 1)
+    f = bound.estimate(_tenfold(_users(spark, sf_dir)), ["id"], ["v", "h", "w"], ["ts", "event_id"])
+    return f.select("id", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in _projector_of("c0").items()])
+
+
+@query("feature_tau_uuh", _tau_subspace_sql(4, _BLOCKED, "id, block", tau=True))
+def _f_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_observation(_blocks_of(spark, sf_dir, features.tau_UUH(1, tol=-1, max_iter=4), tenfold=True), "f.c0", _projector_of("c1"))
+
+
+def _feature_query(name: str, feature: features.Feature, tenfold: bool = False) -> None:
     @query(f"feature_{name}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        users, bound = _users(spark, sf_dir), feature.bind(3, BLOCK)
         if feature.needs_order:
-            return bound.estimate(_blocks(users), ["id", "block"], ["v", "h", "w"], ["obs"]).select("id", "block", "f")
-        return bound.estimate(users, ["id"], ["v", "h", "w"], ["ts", "event_id"]).select("id", "f")
-
-
-for _name, _feature in {
-    "covariance_texture": features.covariance_texture(),
-    "tyler_location": features.location_covariance_texture_Tyler_constrained_scatter(),
-    "compound_unit_scatter": features.location_covariance_texture_constrained_scatter(max_iter=20),
-    "compound_unit_texture": features.location_covariance_texture_constrained_texture(max_iter=20, beta=0.1),
-    "gaussian_unit_texture": features.location_covariance_texture_Gaussian_constrained_texture(),
-    "subspace_scm": features.subspace_SCM(1),
-    "subspace_tau_uuh": features.subspace_tau_UUH(1),
-    "tau_uuh": features.tau_UUH(1),
-    "tau_uuh_riemannian": features.tau_UUH_RO(1, max_iter=20),
-}.items():
-    _feature_query(_name, _feature)
+            return _blocks_of(spark, sf_dir, feature, tenfold).select("id", "block", "f")
+        users = _tenfold(_users(spark, sf_dir)) if tenfold else _users(spark, sf_dir)
+        return feature.bind(3, BLOCK).estimate(users, ["id"], ["v", "h", "w"], ["ts", "event_id"]).select("id", "f")
+
+
+#: Riemannian descents, whose end is a stationary point and no formula; tests hold them to that.
+for _name, _feature, _ten in (
+    ("compound_unit_scatter", features.location_covariance_texture_constrained_scatter(max_iter=20), False),
+    ("compound_unit_texture", features.location_covariance_texture_constrained_texture(max_iter=20, beta=0.1), False),
+    ("compound_triangle", features.location_covariance_texture_constrained_texture_triangle(max_iter=20, beta=0.1), False),
+    ("compound_div_alpha", features.location_covariance_texture_constrained_texture_div_alpha(max_iter=20, beta=0.1), False),
+    ("subspace_tau_uuh_riemannian", features.subspace_tau_UUH_RO(1, max_iter=20), True),
+    ("tau_uuh_riemannian", features.tau_UUH_RO(1, max_iter=20), True),
+):
+    _feature_query(_name, _feature, _ten)
+
+
+# -- compound Gaussians with textures of product 1: an estimator of the caller's own, and the kernels of their geometries
+
+def _own_compound(x):
+    """Mean, covariance and the observations' norms scaled to product 1."""
+    import numpy as np
+
+    mu, sigma = estimators.gaussian(x)
+    tau = np.maximum(np.linalg.norm(x, axis=0), 1e-3)
+    return mu, sigma, tau / np.exp(np.log(tau).mean())
+
+
+_COMPOUND = f"""WITH o AS MATERIALIZED (SELECT id, block, obs, v, h, ln(greatest(sqrt(v*v + h*h), 1e-3)) AS l FROM ({_BLOCKED})),
+  t AS MATERIALIZED (SELECT id, block, obs, exp(l - avg(l) OVER (PARTITION BY id, block)) AS tau FROM o),
+  g AS MATERIALIZED (SELECT id, block, avg(v) AS m0, avg(h) AS m1, var_pop(v) AS a, covar_pop(v, h) AS b, var_pop(h) AS e FROM o GROUP BY 1, 2),
+  z AS MATERIALIZED (SELECT y.id, y.block, x.m0 AS xm0, x.m1 AS xm1, x.a AS xa, x.b AS xb, x.e AS xe, y.a AS ya, y.b AS yb, y.e AS ye, y.m0 - x.m0 AS u, y.m1 - x.m1 AS v,
+    x.a*x.e - x.b*x.b AS dx, y.a*y.e - y.b*y.b AS dy FROM g y, (SELECT * FROM g ORDER BY id, block LIMIT 1) x),
+  w AS MATERIALIZED (SELECT y.id, y.block, x.tau AS xt, y.tau AS yt FROM t y JOIN (SELECT * FROM t WHERE (id, block) IN (SELECT (id, block) FROM g ORDER BY id, block LIMIT 1)) x USING (obs))"""
+
+
+def _compound_kernel(name: str, sql: str, space: geo.Geometry) -> None:
+    @query(f"kernel_{name}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound = features.user_defined("own_compound", _own_compound, space).bind(2, BLOCK)
+        f = bound.estimate(_blocks(_users(spark, sf_dir)), ["id", "block"], ["v", "h"], ["obs"])
+        base = bound.point(f.orderBy("id", "block").limit(1).first()["f"])
+        return bound.distances_to(f, [base]).select("id", "block", F.round(F.get("d", F.lit(0)), 5).alias("dist"))
+
+
+_compound_kernel(
+    "compound_triangle",
+    f"{_COMPOUND}, s AS (SELECT id, block, sum(pow(ln(xt/yt), 2)) AS s FROM w GROUP BY 1, 2) SELECT id, block::INTEGER AS block, round(sqrt(2*({_ORTH}) + 0.5*s), 5) AS dist FROM z JOIN s USING (id, block)",
+    geo.CompoundTriangle(2, BLOCK, False, (2, 0.5), "orth"),
+)
+_compound_kernel(
+    "compound_kl",
+    f"""{_COMPOUND}, s AS (SELECT id, block, sum(xt/yt) AS r, sum(1/yt) AS n FROM w GROUP BY 1, 2)
+    SELECT id, block::INTEGER AS block, round(sqrt(abs(r*{_TR} + n*{_MAHA_Y} - {2 * BLOCK} - {BLOCK}*ln(dx/dy))), 5) AS dist FROM z JOIN s USING (id, block)""",
+    geo.CompoundUnitTextures(2, BLOCK, False, "alpha", 0),
+)
+_MIXED = {k: f"(0.7*xt*x{k} + 0.3*yt*y{k})" for k in "abe"}
+_compound_kernel(
+    "compound_alpha",
+    f"""{_COMPOUND}, s AS (SELECT id, block, sum(ln({_MIXED["a"]}*{_MIXED["e"]} - {_MIXED["b"]}*{_MIXED["b"]})) AS l,
+      sum(({_MIXED["e"]}*u*u - 2*{_MIXED["b"]}*u*v + {_MIXED["a"]}*v*v)/({_MIXED["a"]}*{_MIXED["e"]} - {_MIXED["b"]}*{_MIXED["b"]})) AS q FROM w JOIN z USING (id, block) GROUP BY 1, 2)
+    SELECT id, block::INTEGER AS block, round(sqrt(abs({BLOCK}*(0.7*ln(dx) + 0.3*ln(dy)) - l - 0.21*q)), 5) AS dist FROM z JOIN s USING (id, block)""",
+    geo.CompoundUnitTextures(2, BLOCK, False, "alpha", 0.3),
+)
+
+
+@query(
+    "component_distances",
+    f"""{_COMPOUND}, s AS (SELECT id, block, sqrt(sum(pow(ln(xt/yt), 2))) AS d3 FROM w GROUP BY 1, 2),
+    d AS (SELECT id, block, sqrt(u*u + v*v) AS d1, sqrt({_LOGS.format(h=f"({_TR}/2)", d="(dx/dy)")}) AS d2, d3 FROM z JOIN s USING (id, block))
+    SELECT id, block::INTEGER AS block, round(sqrt(d1*d1 + 2*d2*d2 + 0.25*d3*d3), 5) AS d0, round(d1, 5) AS d1, round(d2, 5) AS d2, round(d3, 5) AS d3 FROM d""",
+)
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted distance of a product, and the distances of its parts."""
+    parts = [geo.Euclidean(2), geo.PositiveDefinite(2), geo.UnitProduct(BLOCK)]
+    bound = features.user_defined("own_product", _own_compound, parts, (1, 2, 0.25)).bind(2, BLOCK)
+    f = bound.estimate(_blocks(_users(spark, sf_dir)), ["id", "block"], ["v", "h"], ["obs"])
+    base = bound.point(f.orderBy("id", "block").limit(1).first()["f"])
+    d = bound.component_distances_to(f, base)
+    return d.select("id", "block", *[F.round(F.get("d", F.lit(i)), 5).alias(f"d{i}") for i in range(4)])
 
 
 @query("monte_carlo_scm")
