@@ -33,10 +33,14 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tangentia.plans import kernels  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tangentia.plans import kernels  # noqa: F401
+
     return dict(_SQL)
 
 
