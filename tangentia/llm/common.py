@@ -42,6 +42,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes a table of :func:`written` that nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _content(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -101,8 +108,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionAll(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = written(small, "edges")
+        old, e = e, written(small, "edges")
         after = _content(e)
+        forget(old)
         if after == before:
             break
         before = after

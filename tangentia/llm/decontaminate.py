@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.common import lower_az, written
+from tangentia.llm.common import HUBS, join_one, lower_az, written
 
 #: What separates words once A-Z is lower-cased: all of ASCII but 0-9 and a-z.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Most characters of a benchmark whose terms and windows are broadcast; a larger one is joined by shuffles.
 BROADCAST_CHARS = 4_000_000
+#: On the way of shuffles: occurrences of a term above which it is broadcast, and the parts that its postings are dealt to.
+OFTEN, PARTS = 1_000_000, 16
 
 
 def tokens(text: Column) -> Column:
@@ -62,13 +64,30 @@ class Index:
 
     def counts(self, terms: DataFrame) -> DataFrame:
         """``(term, n)``: occurrences of the given terms in all documents."""
-        every = self.docs.select(F.explode(tokens(F.col("text"))).alias("term"))
-        return every.join(self._side(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("n"))
-
-    def postings(self, terms: DataFrame) -> DataFrame:
-        """``(term, key, pos)`` of the given terms, as a written table."""
+        every, wanted = self.docs.select(F.explode(tokens(F.col("text"))).alias("term")), terms.select("term").distinct()
+        if self.small:
+            return every.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("n"))
+        # words are counted where they are before any is moved
+        return every.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term")
+
+    def postings(self, terms: DataFrame, counts: DataFrame) -> DataFrame:
+        """``(term, key, pos)`` of the given terms, as a written table; ``counts`` (term, n) tells which are frequent."""
         every = self.docs.select("key", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-        return written(every.join(self._side(terms.select("term").distinct()), "term").distinct(), "postings")
+        wanted = terms.select("term").distinct()
+        if self.small:
+            return written(every.join(F.broadcast(wanted), "term").distinct(), "postings")
+        wanted = wanted.join(counts.select("term", "n"), "term").withColumn("wanted", F.lit(True))
+        most = max(OFTEN, (counts.agg(F.sum("n")).first()[0] or 0) // HUBS)
+        found = join_one(every, wanted, ["term"], "n", most, "key").where("wanted")
+        return written(found.select("term", "key", "pos").distinct(), "postings")
+
+    def meet(self, postings: DataFrame, side: DataFrame) -> DataFrame:
+        """Postings with the rows of ``side`` of their term; a frequent term's are dealt to several tasks."""
+        if self.small:
+            return postings.join(F.broadcast(side), "term")
+        dealt = postings.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+        every = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        return dealt.join(every, ["term", "_part"]).drop("_part")
 
 
 def _is_small(benchmark: DataFrame, text_col: str) -> bool:
@@ -114,10 +133,10 @@ def phrase_hits(
     second = rarest.where(F.size("r") > 1).select(
         "w1", "w2", "len", F.col("r")[1]["term"].alias("term"), F.col("r")[1]["off"].alias("off")
     )
-    postings = index.postings(first.unionAll(second))
+    postings = index.postings(first.unionAll(second), rarity)
 
     def shifted(side: DataFrame) -> DataFrame:
-        found = postings.join(index._side(side), "term")
+        found = index.meet(postings, side)
         return found.select("key", (F.col("pos") - F.col("off")).alias("start"), "w1", "w2", "len")
 
     alone = rarest.where(F.size("r") == 1).select("w1", "w2")
@@ -215,19 +234,20 @@ def proximity_matches(
 
     ``pos`` is a place of the item's rarest term with each of its next rarest
     (``terms`` of them together, fewer if the item has fewer) within ``slop``
-    words.  Items with a term among them that no document has don't match.
+    words.  Terms that no document has don't count: an altered copy of an item, in
+    which a word was changed, is found by the others.
     """
     index = Index(documents, id_col, text_col, _is_small(benchmark, item_text_col))
     every = benchmark.select(
         F.col(item_col).alias("item_id"), F.explode(F.array_distinct(tokens(F.col(item_text_col)))).alias("term")
     )
     rarity = written(index.counts(every), "rarity")
-    ranked = every.join(index._side(rarity), "term", "left").groupBy("item_id").agg(
-        F.slice(F.array_sort(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))), 1, terms).alias("r")
+    ranked = every.join(index._side(rarity), "term").groupBy("item_id").agg(
+        F.slice(F.array_sort(F.collect_set(F.struct("n", "term"))), 1, terms).alias("r")
     )
-    ranked = written(ranked.where(F.col("r")[0]["n"] > 0).select("item_id", F.posexplode("r").alias("rank", "x"), F.size("r").alias("of")), "ranked")
+    ranked = written(ranked.select("item_id", F.posexplode("r").alias("rank", "x"), F.size("r").alias("of")), "ranked")
     ranked = ranked.select("item_id", "rank", "of", F.col("x.term").alias("term"))
-    placed = index.postings(ranked).join(index._side(ranked), "term").select("key", "item_id", "rank", "of", "pos")
+    placed = index.meet(index.postings(ranked, rarity), ranked).select("key", "item_id", "rank", "of", "pos")
     cell = (F.col("pos") / (slop + 1)).cast("long")
     heads = placed.where("rank = 0").select(
         "key", "item_id", "of", F.col("pos").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")

@@ -134,6 +134,7 @@ def _hits(text, items):
 def test_decontamination_by_brute_force(spark, monkeypatch, small):
     if not small:
         monkeypatch.setattr(dec, "BROADCAST_CHARS", -1)
+        monkeypatch.setattr(dec, "OFTEN", 3)  # so that frequent terms go their own way
     items = [(1, prose(40, 50)), (2, "Alpha beta"), (10, prose(12, 51)), (11, prose(12, 51)), (3, ""), (4, None), (5, "the the the"), (None, prose(15, 52)), (6, "Ünï code")]
     long = prose(3000, 60)
     rows = [
@@ -159,8 +160,10 @@ def test_decontamination_of_nothing(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2]
 
 
-def test_proximity(spark):
+def test_proximity(spark, monkeypatch):
     docs = documents(spark, [(1, "red w w w green w blue"), (2, "red " + "w " * 50 + "green blue"), (3, "blue green red red")])
     items = spark.createDataFrame([(7, "green blue red"), (8, "purple red"), (9, "green")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["pos"]) for r in dec.proximity_matches(docs, items, slop=6).collect()}
-    assert {(d, i) for d, i, _ in got} == {(1, 7), (3, 7), (1, 9), (2, 9), (3, 9)}
+    assert {(d, i) for d, i, _ in got} == {(1, 7), (3, 7), (1, 9), (2, 9), (3, 9), (1, 8), (2, 8), (3, 8)}
+    monkeypatch.setattr(dec, "BROADCAST_CHARS", -1)
+    assert {tuple(r) for r in dec.proximity_matches(docs, items, slop=6).collect()} == got
