@@ -276,7 +276,9 @@ def _cells(shared, inner: int):
             count()
         for start, counts in ((0, total), (CLASSES**3, pairs)):
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at + start), pa.array(counts[at])], ["cell", "n"])
+            for a in range(0, len(at), 65_536):
+                part = at[a : a + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(part + start), pa.array(counts[part])], ["cell", "n"])
 
     return run
 

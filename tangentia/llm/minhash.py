@@ -11,11 +11,12 @@ Nothing depends on how many copies a text has:
 * documents of equal sets become one *class* (its smallest id stands for it);
 * the classes of a bucket are tied to the smallest class in it, which gives
   families of candidates without listing pairs;
-* each family is compared inside one group while it fits in a block;
-* of larger families, first every class meets the smallest class of each of its
-  buckets, in groups of a block; then the buckets whose classes are still in different
-  components are compared bucket by bucket.  A bucket larger than a block is cut into
-  blocks, and every pair of them is a group of its own;
+* each family is compared inside one group while it fits in a block; a larger one
+  is cut into blocks, and every pair of them is a group of its own, as long as a
+  class thereby goes to no more groups than it has buckets;
+* of families so large that this would send more, first every class meets the
+  smallest class of each of its buckets, in groups of a block; then the buckets whose
+  classes are still in different components are compared bucket by bucket, in blocks;
 * a group prefilters by signature, confirms on the full sets, skips pairs that
   are already connected, and returns a spanning forest, not pairs.
 """
@@ -243,13 +244,14 @@ def _linked(groups: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataF
 
 
 def _block_pairs(rows: DataFrame, crowd: DataFrame) -> DataFrame:
-    """``(group, i, j, class)``: every class of a group with the pairs of its block and each block, ``crowd`` (group, blocks) tells how many.
+    """``(group, i, j, class)``: every class of a group with the pairs of its block and each block.
 
-    The pair of a block with itself comes with every other pair.
+    ``crowd`` (group, docs, blocks) has the sizes; rows of other groups are left out.  The pair of a block with itself comes with every other pair.
     """
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")
-    x = rows.join(crowd, "group").select("*", own, other).where("own <> x or blocks = 1")
+    rows = join_one(rows, crowd, ["group"], "docs", COPIES, "class").where("blocks is not null")
+    x = rows.select("*", own, other).where("own <> x or blocks = 1")
     return x.select("group", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "class")
 
 
@@ -269,7 +271,8 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
     classes = written(classes, "classes")
     # a class goes by its smallest id, or where an id has several texts, by its fingerprint
     shared = classes.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep", F.lit(True).alias("shared"))
-    if shared.limit(1).count():
+    several = shared.limit(1).count() > 0
+    if several:
         name = F.when(F.col("shared"), F.xxhash64("h1", "h2")).otherwise(F.col("rep"))
         classes = written(classes.join(shared, "rep", "left").withColumn("class", name).drop("shared"), "classes")
     else:
@@ -290,14 +293,21 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
     )
     crowd = families.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
-    crowd = written(crowd.select("family", blocks.alias("blocks")), "crowd")
-    small = families.join(crowd.where("blocks = 1"), "family").select(
-        F.col("family").alias("group"), F.lit(0).alias("i"), F.lit(0).alias("j"), "class"
-    )
-    found = _linked(small, sets, percent, "links")
+    crowd = written(crowd.select("family", "docs", blocks.alias("blocks")), "crowd")
+    seats = seats.join(crowded, "bucket")
     if crowd.where("blocks > 1").limit(1).count():
-        large = written(families.join(crowd.where("blocks > 1"), "family", "left_semi").select("class", "n"), "large")
-        seats = written(seats.join(large, "class").join(crowded, "bucket"), "seats")
+        # families of which a class goes to fewer groups by its buckets than by its family's blocks
+        cut = families.select("class", "n", "family").join(crowd.where("blocks > 1"), "family")
+        seats = written(seats.join(cut.select("class", "n", "family"), "class"), "seats")
+        sent = seats.groupBy("family").agg(F.count("*").alias("sent"))
+        vast = crowd.join(sent, "family").where(F.col("docs") * F.col("blocks") > F.col("sent")).select("family")
+        vast = written(vast, "vast")
+    else:
+        vast = crowd.where("blocks > 1").select("family")
+    whole = crowd.join(vast, "family", "left_anti").select(F.col("family").alias("group"), "docs", "blocks")
+    found = _linked(_block_pairs(families.select(F.col("family").alias("group"), "class"), whole), sets, percent, "links")
+    if vast.limit(1).count():
+        seats = seats.join(vast, "family", "left_semi")
         stars = seats.where("class <> b").groupBy("class", "b").agg(F.first("n").alias("n"))
         arms = stars.groupBy("b").agg(
             F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")
@@ -313,16 +323,19 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
         of = open_.groupBy("bucket").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("docs"), F.sum("n").alias("shingles")
         )
-        of = of.where("low < high").select(F.col("bucket").alias("group"), blocks.alias("blocks"))
+        of = of.where("low < high").select(F.col("bucket").alias("group"), "docs", blocks.alias("blocks"))
         rest = _block_pairs(seats.select(F.col("bucket").alias("group"), "class"), of)
         found = found.unionAll(first).unionAll(_linked(rest, sets, percent, "links"))
     linked = components(found).select(F.col("node").alias("class"), "label")
     named = classes.select("h1", "h2", "class", "rep", "copies").join(linked, "class", "left")
     named = named.withColumn("label", F.coalesce("label", "class"))
-    # a component's smallest id
-    ids = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k"))
-    several = ids.where("k > 1").drop("k")
-    named = named.join(several, "label", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"), "copies")
+    copies = max(COPIES, (classes.agg(F.sum("copies")).first()[0] or 0) // HUBS)
+    if several:  # labels needn't be ids
+        ids = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k"))
+        named = join_one(named, ids, ["label"], "k", copies, "class")
+    else:
+        named = named.withColumn("component", F.col("label"))
+    named = named.select("h1", "h2", "component", "copies")
     # texts without words meet no class; a key of their own spreads them
     left = sketch.select(
         "doc_id",
@@ -333,7 +346,6 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
         F.col("h1").isNotNull().alias("has"),
     )
     has = F.col("has") & F.col("doc_id").isNotNull()
-    copies = max(COPIES, (classes.agg(F.sum("copies")).first()[0] or 0) // HUBS)
     return join_one(left, named, ["h1", "h2"], "copies", copies, "doc_id").select(
         "doc_id",
         "t",

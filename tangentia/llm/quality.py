@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tangentia.llm.common import written
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Classes of the characters of words.
@@ -123,7 +125,7 @@ def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang")
     )
     words = rows.select("lang", F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
     short = F.length("word") <= COMMON_LENGTH
-    counts = words.groupBy("lang", F.when(short, F.col("word")).alias("word")).agg(F.count("*").alias("n"))
+    counts = written(words.groupBy("lang", F.when(short, F.col("word")).alias("word")).agg(F.count("*").alias("n")), "words")
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     top = counts.where(F.col("word").rlike(COMMON_WORD)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= COMMON_WORDS)
     listed = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top"))
