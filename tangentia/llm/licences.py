@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -160,15 +162,17 @@ _IDENTIFIER = re.compile(r"[a-z0-9][a-z0-9.\-]*", re.I)
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]")
 
 
-def ngrams(text: str) -> list[str]:
-    """Words and pairs of words, lower-cased."""
-    w = _WORD.findall(text.lower())
-    return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
-def _pairs(text: str) -> set[str]:
-    w = _WORD.findall(text.lower())
-    return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+def ngrams(words: list[str]) -> list[str]:
+    """Words and pairs of words."""
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def _pairs(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:], strict=False))
 
 
 def _ids(grams: list[str]) -> np.ndarray:
@@ -182,14 +186,19 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
-    grams: dict[str, list[frozenset[str]]]  # word pairs of the templates, by family
+    grams: dict[str, list[frozenset[tuple[str, str]]]]  # word pairs of the templates, by family
 
     def __post_init__(self) -> None:
-        self.pairs = frozenset(g for of in self.grams.values() for t in of for g in t)
-        self.least = min((len(t) for of in self.grams.values() for t in of), default=0)
-
-    def probabilities(self, paragraph: str) -> np.ndarray:
-        ids = _ids(ngrams(paragraph))
+        every = [t for of in self.grams.values() for t in of]
+        self.sizes = [len(t) for t in every]
+        #: First word of a pair, second word, templates that have it.
+        self.index: dict[str, dict[str, list[int]]] = {}
+        for k, t in enumerate(every):
+            for x, y in t:
+                self.index.setdefault(x, {}).setdefault(y, []).append(k)
+
+    def probabilities(self, words: list[str]) -> np.ndarray:
+        ids = _ids(ngrams(words))
         z = (self.weights[ids].sum(axis=0) / max(1.0, len(ids)) ** 0.5 + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
@@ -239,7 +248,7 @@ def train(n: int = 16000, rounds: int = 5, rate: float = 0.5, templates: dict[st
     templates = TEMPLATES if templates is None else templates
     rng = random.Random(SEED)
     families = [*templates, "unknown"]
-    data = [(_ids(ngrams(t)), families.index(f)) for t, f in _examples(rng, n, templates)]
+    data = [(_ids(ngrams(words_of(t))), families.index(f)) for t, f in _examples(rng, n, templates)]
     cut = len(data) * 4 // 5
     w, b = np.zeros((BUCKETS, len(families))), np.zeros(len(families))
     for r in range(rounds):
@@ -262,7 +271,7 @@ def train(n: int = 16000, rounds: int = 5, rate: float = 0.5, templates: dict[st
     temperature = min(np.geomspace(0.5, 10, 31), key=lambda t: -np.log(np.maximum(soft(t)[np.arange(len(y)), y], 1e-12)).mean())
     unknown = soft(temperature)[y == len(families) - 1, :-1].max(axis=1)
     threshold = max(0.5, float(np.quantile(unknown, 1 - MOST_FALSE)))
-    grams = {f: [frozenset(_pairs(t)) for t in ts] for f, ts in templates.items()}
+    grams = {f: [frozenset(_pairs(words_of(t))) for t in ts] for f, ts in templates.items()}
     return Model(families, w, b, float(temperature), threshold, grams)
 
 
@@ -271,7 +280,7 @@ def default_model() -> Model:
     return train()
 
 
-def overlap(own: set[str], family: str, model: Model) -> float:
+def overlap(own: set[tuple[str, str]], family: str, model: Model) -> float:
     """Largest share of the word pairs ``own`` that they have in common with a template of the family, of the smaller of both."""
     best = 0.0
     for grams in model.grams[family]:
@@ -280,29 +289,60 @@ def overlap(own: set[str], family: str, model: Model) -> float:
     return best
 
 
-def confirmed(paragraph: str, family: str, model: Model) -> bool:
-    """Whether the paragraph has enough in common with the family, and no more with another one."""
-    pairs = _pairs(paragraph)
+def confirmed(words: list[str], family: str, model: Model) -> bool:
+    """Whether the words have enough in common with the family, and no more with another one."""
+    pairs = _pairs(words)
     own = overlap(pairs, family, model)
     return own >= LEAST_OVERLAP and all(overlap(pairs, f, model) <= own for f in model.grams)
 
 
-def paragraphs(text: str) -> Iterator[str]:
-    """Lines, and runs of lines between blank ones where they are more than one."""
+def paragraphs(text: str) -> Iterator[tuple[str, list[str]]]:
+    """Lines, and runs of lines between blank ones where they are more than one, with their words."""
     for block in re.split(r"\n[^\S\n]*\n", text):
         lines = [line for line in block.split("\n") if line.strip()]
-        yield from lines
+        words = [words_of(line) for line in lines]
+        yield from zip(lines, words, strict=True)
         if len(lines) > 1:
-            yield " ".join(lines)
+            yield " ".join(lines), [w for of in words for w in of]
 
 
-def pieces(paragraph: str) -> Iterator[str]:
-    """The paragraph, and if it is long, its overlapping windows of ``WINDOW`` words."""
-    yield paragraph
-    words = paragraph.split()
-    if len(words) > WINDOW:
-        for at in range(0, len(words) - WINDOW // 2, WINDOW // 2):
-            yield " ".join(words[at : at + WINDOW])
+def ranges_of(paragraph: str, words: list[str]) -> list[tuple[int, int]]:
+    """The paragraph as a range of its words, and if it is long, those of its overlapping windows of ``WINDOW`` strings between spaces."""
+    out = [(0, len(words))]
+    strings = paragraph.split()
+    if len(strings) > WINDOW:
+        ends = [0, *accumulate(len(words_of(x)) for x in strings)]
+        out += [(ends[at], ends[min(at + WINDOW, len(strings))]) for at in range(0, len(strings) - WINDOW // 2, WINDOW // 2)]
+    return out
+
+
+def pieces(paragraph: str, words: list[str], model: Model) -> Iterator[list[str]]:
+    """The words of a paragraph and of its windows, as far as a template may confirm them.
+
+    A template confirms by half of its own or the piece's pairs, whichever are fewer; the
+    places of the templates' pairs tell which pieces have so many of one.  Nothing that would be confirmed is left out.
+    """
+    index = model.index
+    hits = []
+    for i, (x, y) in enumerate(zip(words, words[1:], strict=False)):
+        second = index.get(x)
+        if second is not None and y in second:
+            hits.append(i)
+    if not hits:
+        return
+    for a, z in ranges_of(paragraph, words):
+        if bisect_left(hits, z - 1) == bisect_left(hits, a):
+            continue
+        piece = words[a:z]
+        own = _pairs(piece)
+        counts: dict[int, int] = {}
+        for x, y in own:
+            second = index.get(x)
+            if second is not None:
+                for k in second.get(y, ()):
+                    counts[k] = counts.get(k, 0) + 1
+        if any(n >= LEAST_OVERLAP * min(len(own), model.sizes[k]) for k, n in counts.items()):
+            yield piece
 
 
 def tagged(paragraph: str) -> set[str]:
@@ -340,33 +380,19 @@ def declared(paragraph: str) -> set[str]:
     return found
 
 
-def may_be_confirmed(text: str, model: Model) -> bool:
-    """False only for texts that no template can confirm: they have too few word pairs of any.
-
-    A template confirms by half of its own or the text's pairs, whichever are fewer, so
-    half of the lesser of the text's pairs and the shortest template's must be pairs of templates.
-    """
-    own = _pairs(text)
-    return len(own & model.pairs) >= max(1, LEAST_OVERLAP * min(len(own), model.least))
-
-
 def scan(text: str | None, model: Model) -> tuple[list[str], int, int, float]:
     """Families found (sorted), paragraphs read, paragraphs confirmed, highest probability among them."""
     found, read, hits, best = set(), 0, 0, 0.0
     tags = _TAGGED.search(text or "") is not None
     names = _DECLARED.search(text or "") is not None
-    for paragraph in paragraphs(text or ""):
+    for paragraph, words in paragraphs(text or ""):
         read += 1
         before = hits
         told = (tagged(paragraph) if tags else set()) | (declared(paragraph) if names else set())
         if told:
             found |= told
             hits, best = before + 1, 1.0
-        for piece in pieces(paragraph):
-            if not may_be_confirmed(piece, model):
-                if piece is paragraph and model.pairs.isdisjoint(_pairs(paragraph)):
-                    break  # nor can any part of it
-                continue
+        for piece in pieces(paragraph, words, model):
             p = model.probabilities(piece)
             k = int(p.argmax())
             if model.families[k] == "unknown" or p[k] < model.threshold or not confirmed(piece, model.families[k], model):

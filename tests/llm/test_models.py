@@ -404,19 +404,26 @@ def test_licence_wordings_that_are_no_templates(line, families):
     assert licences.scan(f"{prose(60, 3)}\n{line}\n{prose(40, 4)}", model)[0] == families
 
 
-def test_gate_loses_nothing_that_can_be_confirmed():
-    """A piece that the gate holds back is confirmed for no family."""
+def test_pieces_leave_out_nothing_that_can_be_confirmed():
+    """Paragraphs and windows that aren't pieces are confirmed for no family."""
     import random
 
     model, rng = licences.default_model(), random.Random(4)
-    words = [w for ts in licences.TEMPLATES.values() for t in ts for w in t.split()]
-    held = 0
-    for k in range(3000):
-        piece = " ".join(rng.choices(words, k=rng.randint(1, 12)) if k % 2 else prose(rng.randint(1, 12), k).split() + rng.choice(list(NOTICES.values())).split()[: k % 7])
-        if not licences.may_be_confirmed(piece, model):
-            held += 1
-            assert not any(licences.confirmed(piece, f, model) for f in model.grams)
-    assert held > 300
+    words = [w for ts in licences.TEMPLATES.values() for t in ts for w in licences.words_of(t)]
+    left = kept = 0
+    for k in range(1500):
+        text = prose(rng.randint(0, 40), k).split() + rng.choices(words, k=rng.randint(1, 12)) + licences.words_of(rng.choice(list(NOTICES.values())))[: k % 7]
+        text = text if k % 3 else text + licences.words_of(rng.choice(licences.TEMPLATES["MIT"])) + prose(k % 30, k).split()
+        found = [tuple(p) for p in licences.pieces(" ".join(text), text, model)]
+        every = [text] + [text[a : a + 16] for a in range(0, len(text) - 8, 8) if len(text) > 16]
+        assert [text[a:z] for a, z in licences.ranges_of(" ".join(text), text)] == every
+        for piece in every:
+            if tuple(piece) in found:
+                kept += 1
+            else:
+                left += 1
+                assert not any(licences.confirmed(piece, f, model) for f in model.grams)
+    assert left > 1000 and kept > 300
 
 
 def test_families_left_out_are_seldom_taken_for_others():
