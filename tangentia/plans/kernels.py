@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tangentia.functions import estimators
 from tangentia.functions import geometry as geo
 from tangentia.functions import matrix as mx
+from tangentia.functions.solvers import descend
 from tangentia.operators import features, learn, pairs
 from tangentia.plans.catalog import (
     _BLOCKED, _COMPOUND, _COV2, _EMBEDDED, _LINES, _LOGS, _PAIRS2, _TR, _USERS, BLOCK, _blocks, _karcher, _lines, _lloyd_sql, _moments3, _own_compound,
@@ -300,3 +301,67 @@ def _complex_tyler(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bound.estimate(_lines(spark, sf_dir), ["id"], _CHANNELS)
     at = {"re00": ("re", 0), "re01": ("re", 1), "im01": ("im", 1), "re11": ("re", 3)}
     return _rounded(f, ["id"], {k: F.get(F.col(f"f.c0.{w}"), F.lit(i)) for k, (w, i) in at.items()}, 5)
+
+
+# -- metrics of the information geometries, descents
+
+_WTR = "((xe*(ya-xa) - 2*xb*(yb-xb) + xa*(ye-xe))/dx)"
+_WDET = "(((ya-xa)*(ye-xe) - pow(yb-xb, 2))/dx)"
+#: Squared affine-invariant norm at x of the difference y - x.
+_NORM_S = f"(pow({_WTR}, 2) - 2*{_WDET})"
+
+
+def _gaussian_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms in the metric of Gaussians at the supplier of the least id of the others' differences from it."""
+    lines, plain = _lines(spark, sf_dir), features.location_covariance_orth_triangle().bind(2, 1)
+    m, s = plain.point(plain.estimate(lines, ["id"], ["q", "d"]).orderBy("id").limit(1).first()["f"])
+    g = geo.GaussianIG(2)
+
+    def norm(x: np.ndarray) -> np.ndarray:
+        mu, sigma = estimators.gaussian(x)
+        return np.array([g.norm((m, s), (mu - m, sigma - s))])
+
+    f = features.user_defined("norms", norm, geo.Euclidean(1)).bind(2, 1).estimate(lines, ["id"], ["q", "d"])
+    return f.select("id", F.round(F.get("f.c0", F.lit(0)), 5).alias("norm"))
+
+
+query("information_norm", f"SELECT id, round(sqrt(2*(xe*u*u - 2*xb*u*v + xa*v*v)/dx + {_NORM_S}), 5) AS norm FROM ({_PAIRS2})")(_gaussian_norm)
+
+
+@query(
+    "compound_norms",
+    f"""{_COMPOUND}, s AS (SELECT id, block, sum(1/tau) AS load, sum(pow((tau - 1)/tau, 2)) AS tt, sum((tau - 1)/tau) AS t1, sum(tau*tau/(1 + tau)) AS w, sum(pow((tau - 1)/(1 + tau), 2)) AS r FROM t GROUP BY 1, 2),
+    y AS (SELECT g.*, s.* EXCLUDE (id, block), a*e - b*b AS z, 0.8*m0 - 0.6*m1 AS side FROM g JOIN s USING (id, block))
+    SELECT id, block::INTEGER AS block, round(2*load*(e*m0*m0 - 2*b*m0*m1 + a*m1*m1)/z + {BLOCK}*(pow((a + e)/z, 2) - 2/z) + 2*(tt - t1*t1/{BLOCK}), 4) AS compound,
+    round(r + 2*w*side*side, 4) AS subspace FROM y""",
+)
+def _compound_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared norms in the metrics of compound Gaussians and of low-rank ones, of tangents that the block gives."""
+    g, sub, u = geo.CompoundUnitTextures(2, BLOCK), geo.RobustSubspaceIG(BLOCK, 2, 1), np.array([[0.6], [0.8]])
+
+    def norms(x: np.ndarray) -> np.ndarray:
+        mu, sigma, tau = point = _own_compound(x)
+        tangent = (mu, np.eye(2), g.parts[2].proj(tau, tau - 1))
+        side = sub.parts[1].proj(u, mu[:, None])
+        return np.array([g.inner(point, tangent, tangent), sub.inner((tau, u), (tau - 1, side), (tau - 1, side))])
+
+    _, f = _blocks2(spark, sf_dir, "norms", norms, geo.Euclidean(2))
+    return f.select("id", "block", *[F.round(F.get("f.c0", F.lit(i)), 4).alias(n) for i, n in enumerate(("compound", "subspace"))])
+
+
+def _minimum(name: str, solver: str) -> None:
+    @query(name, f"SELECT id, round(a, 4) AS s00, round(b, 4) + 0.0 AS s01, round(e, 4) AS s11 FROM ({_COV2})")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Descent from the identity to the covariance nearest to the supplier's: its own."""
+        g = geo.PositiveDefinite(2)
+
+        def least(x: np.ndarray) -> np.ndarray:
+            s = estimators.scm(x, assume_centered=False)
+            return descend(g, lambda y: float(g.dist(y, s)) ** 2 / 2, lambda y: -g.log(y, s), np.eye(2), solver, 500, np.inf, 1e-9, 1e-14).point
+
+        bound = features.user_defined(name, least, g).bind(2, 1)
+        return _rounded(bound.estimate(_lines(spark, sf_dir), ["id"], ["q", "d"]), ["id"], _of("c0", _SYM), 4)
+
+
+_minimum("steepest_descent", "steepest")
+_minimum("conjugate_descent", "conjugate")
