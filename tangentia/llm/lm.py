@@ -44,7 +44,7 @@ from tangentia.llm.common import written
 #: Words known to every task, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 200_000, 64
 #: Classes: the end (0), ``OWN`` frequent words, and endings.
-CLASSES, OWN, DIM = 128, 87, 24
+CLASSES, OWN, DIM = 128, 87, 48
 ENDINGS = CLASSES - 1 - OWN
 ADDED = 0.1
 NOISE, STEPS, RATE, SEED = 10, 160, 0.05, 11
