@@ -50,7 +50,7 @@ ADDED = 0.1
 NOISE, STEPS, RATE, SEED = 10, 160, 0.05, 11
 #: Words with vectors of their own inside their class, their least count, the size of these, and the steps of their training.
 INNER, INNER_LEAST, INNER_DIM, INNER_STEPS = 16_384, 5, 16, 80
-#: Weight of the pull of these vectors to 0, in tokens.
+#: Weight of the pull of vectors to 0, in tokens.
 PULL = 10.0
 #: Bins of a word's hash, by which words of equal count are told apart at the end of the frequent ones.
 BINS = 4_096
@@ -122,6 +122,8 @@ def train_nce(cells: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> Mode
         for name, c in (("place2", c2), ("place1", c1)):
             grad[name] = np.zeros((CLASSES, DIM), dtype=np.float32)
             np.add.at(grad[name], c, gh)
+        for name in ("place2", "place1", "out"):
+            grad[name] = grad[name] + PULL / total * p[name]
         rate = RATE * (1 - (step - 1) / steps)
         for k, v in grad.items():
             first[k] = 0.9 * first[k] + 0.1 * v
