@@ -10,10 +10,10 @@ from tangentia.functions import estimators
 from tangentia.functions import geometry as geo
 from tangentia.functions import matrix as mx
 from tangentia.functions.solvers import descend
-from tangentia.operators import features, learn, pairs
+from tangentia.operators import features, images, learn, montecarlo, pairs
 from tangentia.plans.catalog import (
-    _BLOCKED, _COMPOUND, _COV2, _EMBEDDED, _LINES, _LOGS, _PAIRS2, _TR, _USERS, BLOCK, _blocks, _karcher, _lines, _lloyd_sql, _moments3, _own_compound,
-    _projector3, _users, _vectors, query,
+    _BLOCKED, _COMPOUND, _COV2, _EMBEDDED, _LINES, _LOGS, _PAIRS2, _SHIFTED, _TR, _USERS, BLOCK, _blocks, _karcher, _lines, _lloyd_sql, _moments3, _own_compound,
+    _projector3, _raster, _users, _vectors, query,
 )
 
 _SYM = {"s00": 0, "s01": 1, "s11": 3}
@@ -365,3 +365,34 @@ def _minimum(name: str, solver: str) -> None:
 
 _minimum("steepest_descent", "steepest")
 _minimum("conjugate_descent", "conjugate")
+
+
+# -- Monte-Carlo errors of a sampler without chance, and principal coordinates
+
+@query(
+    "monte_carlo_errors",
+    """SELECT * FROM (VALUES ('euclidean', 0, round(9.0::DOUBLE, 6)), ('product', 0, round(pow(ln(4.0), 2) + 0.5*9, 6)), ('product', 1, round(pow(ln(4.0), 2), 6)),
+    ('product', 2, round(9.0::DOUBLE, 6)), ('scm', 0, round(pow(ln(4.0), 2), 6))) AS t(feature, component, mse)""",
+)
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trial draws the same sample, of covariance diag(1, 4), so the mean squared errors against the identity are known, part by part."""
+    one = np.eye(2)
+    both = [geo.PositiveDefinite(2), geo.Euclidean(2, 2)]
+    every = {
+        "scm": features.covariance(), "euclidean": features.covariance_euclidean(),
+        "product": features.user_defined("product", lambda x: (estimators.scm(x),) * 2, both, (1, 0.5)),
+    }
+    truth = {"scm": one, "euclidean": one, "product": (one, one)}
+    bound = {k: f.bind(2, 2) for k, f in every.items()}
+    got = montecarlo.monte_carlo(spark, truth, lambda rng: np.sqrt(2) * np.diag([1.0, 2.0]), bound, 30, seed=1)
+    return got.select("feature", "component", F.round("mse", 6).alias("mse"))
+
+
+@query(
+    "pca_centred_raster",
+    f"SELECT 0.0::DOUBLE AS mean, round((s + u)/2 + sqrt(pow((s - u)/2, 2) + t*t), 5) AS variance FROM (SELECT var_pop(a) AS s, covar_pop(a, b) AS t, var_pop(b) AS u FROM ({_SHIFTED}))",
+)
+def _centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Principal coordinates have mean 0, and the first eigenvalue as their variance."""
+    p = images.pca(_raster(spark, sf_dir), ["a", "b"], 1)
+    return p.agg((F.round(F.avg("pc0"), 8) + F.lit(0.0)).alias("mean"), F.round(F.var_pop("pc0"), 5).alias("variance"))
