@@ -234,17 +234,16 @@ def _linker(percent: int):
     return run
 
 
-def _linked(groups: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """Links ``(a, b)`` of ``groups`` (group, i, j, class), each compared in one place, as a written table."""
-    moved = groups.join(sets.select("class", "sig", "members"), "class")
+def _linked(groups: DataFrame, percent: int, tag: str) -> DataFrame:
+    """Links ``(a, b)`` of ``groups`` (group, i, j, class, sig, members), each compared in one place, as a written table."""
     found = (
-        moved.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_linker(percent), "a long, b long")
+        groups.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_linker(percent), "a long, b long")
     )
     return written(found, tag)
 
 
 def _block_pairs(rows: DataFrame, crowd: DataFrame) -> DataFrame:
-    """``(group, i, j, class)``: every class of a group with the pairs of its block and each block.
+    """``rows`` (group, class, ...) with ``i`` and ``j``: every class of a group with the pairs of its block and each block.
 
     ``crowd`` (group, docs, blocks) has the sizes; rows of other groups are left out.  The pair of a block with itself comes with every other pair.
     """
@@ -252,7 +251,8 @@ def _block_pairs(rows: DataFrame, crowd: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")
     rows = join_one(rows, crowd, ["group"], "docs", COPIES, "class").where("blocks is not null")
     x = rows.select("*", own, other).where("own <> x or blocks = 1")
-    return x.select("group", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "class")
+    rest = [c for c in rows.columns if c not in ("group", "blocks")]
+    return x.select("group", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), *rest)
 
 
 def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
@@ -305,7 +305,8 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
     else:
         vast = crowd.where("blocks > 1").select("family")
     whole = crowd.join(vast, "family", "left_anti").select(F.col("family").alias("group"), "docs", "blocks")
-    found = _linked(_block_pairs(families.select(F.col("family").alias("group"), "class"), whole), sets, percent, "links")
+    # most sets move once, to where their family is compared
+    found = _linked(_block_pairs(sets.withColumnRenamed("family", "group"), whole), percent, "links")
     if vast.limit(1).count():
         seats = seats.join(vast, "family", "left_semi")
         stars = seats.where("class <> b").groupBy("class", "b").agg(F.first("n").alias("n"))
@@ -317,7 +318,8 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
         centres = arms.select(
             F.col("b").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"), F.col("b").alias("class")
         )
-        first = _linked(members.unionByName(centres), sets, percent, "links")
+        own = sets.select("class", "sig", "members")
+        first = _linked(members.unionByName(centres).join(own, "class"), percent, "links")
         so_far = components(first).select(F.col("node").alias("class"), "label")
         open_ = seats.join(so_far, "class", "left").withColumn("label", F.coalesce("label", "class"))
         of = open_.groupBy("bucket").agg(
@@ -325,7 +327,7 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
         )
         of = of.where("low < high").select(F.col("bucket").alias("group"), "docs", blocks.alias("blocks"))
         rest = _block_pairs(seats.select(F.col("bucket").alias("group"), "class"), of)
-        found = found.unionAll(first).unionAll(_linked(rest, sets, percent, "links"))
+        found = found.unionAll(first).unionAll(_linked(rest.join(own, "class"), percent, "links"))
     linked = components(found).select(F.col("node").alias("class"), "label")
     named = classes.select("h1", "h2", "class", "rep", "copies").join(linked, "class", "left")
     named = named.withColumn("label", F.coalesce("label", "class"))
