@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tangentia.llm import chat, decontaminate, html, langid, licences, lm, minhash, mixing, quality, sql, warc
+from tangentia.llm import chat, codes, decontaminate, html, langid, licences, lm, minhash, mixing, negatives, quality, sql, topk, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(rows.where("vec_id % 100 = 0"), rows)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return codes.with_label_errors(found.rows).select("vec_id", "code", "error", "label_error", F.lit(found.digest).alias("codebooks_sha256"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows.where("vec_id % 100 = 0"), rows)
+
+
 _ALL = (
     op1_html,
     op2_divergence,
@@ -67,6 +85,9 @@ _ALL = (
     op8_warc,
     op9_langid,
     op10_minhash,
+    op11_topk,
+    op12_codes,
+    op13_negatives,
 )
 
 
@@ -82,4 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix": sql.MIX,
         "op8_warc": sql.WARC,
         "op10_minhash": sql.NEAR_DUPLICATES,
+        "op11_topk": sql.TOP,
+        "op12_codes": sql.codes(),
+        "op13_negatives": sql.NEGATIVES,
     }

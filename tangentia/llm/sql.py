@@ -1,5 +1,6 @@
 """DuckDB SQL that states what the queries return, where SQL can state it."""
 
+from tangentia.llm import codes as _c
 from tangentia.llm import mixing as _m
 from tangentia.llm import quality as _q
 
@@ -196,3 +197,77 @@ SELECT doc_id, source, size, source_size, target,
        (epochs * size + greatest(least(size, budget - before), 0))::BIGINT AS taken
 FROM x
 """
+
+
+def _integers(scale: int) -> str:
+    """Rows of ``embeddings`` that take part, with their integers ``v``."""
+    return f"""(
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+
+def _score(a: str, b: str) -> str:
+    return f"list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])::BIGINT"
+
+
+TOP = f"""
+WITH r AS {_integers(1024)}, s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, {_score("q.v", "c.v")} AS score
+  FROM r q JOIN r c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER w::INTEGER AS rank, vec_id, score
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+NEGATIVES = f"""
+WITH r AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM {_integers(256)} WHERE label IS NOT NULL AND vec_id IS NOT NULL
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, {_score("a.v", "c.v")} AS score
+  FROM r a JOIN r c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def codes() -> str:
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (
+  SELECT k, s, x, min(d) AS d, arg_min(e, d * {_c.ENTRIES} + e) AS e FROM (
+    SELECT p.*, e, list_sum(list_transform(list_zip(p.x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{k} b ON b.s = p.s
+  ) GROUP BY k, s, x
+)"""
+
+    def moved(k: int) -> str:
+        return f"""m{k} AS (
+  SELECT s, e, list(m ORDER BY j) AS y FROM (
+    SELECT s, e, j, floor(sum(x[j]) / count(*))::BIGINT AS m FROM a{k}, range(1, (SELECT max(len(x)) FROM p) + 1) t(j) GROUP BY s, e, j
+  ) GROUP BY s, e
+), b{k + 1} AS (SELECT b.s, b.e, coalesce(m.y, b.y) AS y FROM b{k} b LEFT JOIN m{k} m ON m.s = b.s AND m.e = b.e)"""
+
+    rounds = ",\n".join(f"{assigned(k)},\n{moved(k)}" for k in range(_c.ROUNDS))
+    return f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, * FROM {_integers(_c.SCALE)}),
+p AS (
+  SELECT k, s, v[s * len(v) // {_c.PARTS} + 1 : (s + 1) * len(v) // {_c.PARTS}] AS x FROM r, range({_c.PARTS}) t(s)
+), b0 AS (SELECT s, k - 1 AS e, x AS y FROM p WHERE k <= {_c.ENTRIES}),
+{rounds},
+{assigned(_c.ROUNDS)},
+c AS (
+  SELECT k, string_agg(printf('%02x', e), '' ORDER BY s) AS code, sum(d)::BIGINT AS error FROM a{_c.ROUNDS} GROUP BY k
+), h AS (
+  SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY s, e)) AS codebooks_sha256 FROM b{_c.ROUNDS}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM r JOIN c USING (k), h
+"""
