@@ -29,13 +29,13 @@ def _quadratics(x: np.ndarray, sigma: np.ndarray) -> np.ndarray:
 def tyler(x: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-4, max_iter: int = 100, normalize: str | None = "det"):
     """Tyler's M-estimator by fixed point: ``(sigma, tau)``, normalised to determinant 1 or trace p.
 
-    The textures belong to the scatter of the round before the last.
+    The textures belong to the scatter of the round before the last; they are at least ``LEAST_TEXTURE``.
     """
     p, n = x.shape
     sigma = scm(x) if start is None else start
     sigma = sigma * p / np.real(np.trace(sigma))
     for _ in range(max_iter):
-        tau = _quadratics(x, sigma) / p
+        tau = np.maximum(_quadratics(x, sigma) / p, LEAST_TEXTURE)
         new = hermitian_part((x / tau) @ herm(x) / n)
         change = np.linalg.norm(new - sigma) / np.linalg.norm(sigma)
         sigma = new

@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from tangentia.functions import checks, estimators
 from tangentia.functions import geometry as geo
 from tangentia.functions.matrix import hermitian_part, sqrtm
-from tangentia.operators import estimate
+from tangentia.operators import estimate, robust
 
 #: Numbers of points up to which an iterative mean runs on the driver: rounds of a job each would cost more than they compute.
 LOCAL_NUMBERS = 2_000_000
+#: Numbers of a sample up to which a robust estimator takes it whole in one task; a longer one stays rows, and the estimator makes rounds over them.
+PACKED_NUMBERS = 1 << 20
 #: Most numbers of base points (classes times entries) that a closure carries to the workers.
 CLOSURE_NUMBERS = 4_000_000
 
@@ -45,10 +47,11 @@ class Feature:
     least_gradient: float = 1e-6
     additive: Callable[[geo.Geometry], tuple[Callable, Callable] | None] | None = None
     needs_order: bool = False
+    by_rounds: Callable[..., DataFrame] | None = None  # (samples, keys, channels, order), for samples of any length
     p: int = 0
     n: int = 0
     complex_valued: bool = False
-    options: dict = field(default_factory=dict)
+    options: dict = field(default_factory=dict)  # moments: those that the windows of an algebraic feature come from
 
     # -- binding and encoding
 
@@ -118,11 +121,12 @@ class Feature:
         """The feature of one p x n matrix."""
         return self.estimator(x)
 
-    def estimate(self, samples: DataFrame, keys: Sequence[str], channels: Sequence, order: Sequence[str] = ()) -> DataFrame:
+    def estimate(self, samples: DataFrame, keys: Sequence[str], channels: Sequence, order: Sequence[str] = (), rounds: bool | None = None) -> DataFrame:
         """``(keys, n, f)`` from observations in long form; complex channels are (re, im) pairs of columns.
 
         Features with a part as long as the sample, and those that pick an
-        observation, need ``order``, a total order within a sample.
+        observation, need ``order``, a total order within a sample.  Robust estimators gather samples of up to
+        ``PACKED_NUMBERS`` numbers and make rounds over the rows of longer ones, with the same result; ``rounds`` decides otherwise.
         """
         if self.needs_order and not order:
             raise ValueError(f"{self.name} needs the order of the observations")
@@ -130,6 +134,8 @@ class Feature:
             return self.complex_built_in(samples, keys, channels)
         if not self.complex_valued and self.built_in:
             return self.built_in(samples, keys, channels, order)
+        if self.by_rounds and (self.p * self.n > PACKED_NUMBERS if rounds is None else rounds):
+            return self.by_rounds(samples, keys, channels, list(order))
         flat = [c for pair in channels for c in pair] if self.complex_valued else list(channels)
         return self.estimate_packed(estimate.packed(samples, keys, flat, list(order) or flat), keys)
 
@@ -611,7 +617,7 @@ def center_intensity_euclidean() -> Feature:
 
 
 def mean_vector_euclidean() -> Feature:
-    return Feature("mean_vector_euclidean", lambda x: x.mean(axis=1), lambda p, n, c: geo.Euclidean(p, complex_valued=c), lambda s, k, ch, o: estimate.mean_vector(s, k, ch))
+    return Feature("mean_vector_euclidean", lambda x: x.mean(axis=1), lambda p, n, c: geo.Euclidean(p, complex_valued=c), lambda s, k, ch, o: estimate.mean_vector(s, k, ch), options={"moments": "mean"})
 
 
 def intensity_vector_euclidean() -> Feature:
@@ -623,6 +629,7 @@ def _scm_parts(assume_centered: bool) -> dict:
         "estimator": lambda x: estimators.scm(x, assume_centered),
         "built_in": lambda s, k, ch, o: estimate.covariance(s, k, ch, assume_centered),
         "complex_built_in": lambda s, k, ch: estimate.complex_covariance(s, k, ch, assume_centered),
+        "options": {"moments": "second" if assume_centered else "centred"},
     }
 
 
@@ -643,17 +650,20 @@ def covariance_div_alpha(assume_centered: bool = True, real_case: bool = False,
 
 
 def covariance_texture(weights=None, least_gradient: float = 1e-8, **options) -> Feature:
+    def rounds(s, k, ch, o) -> DataFrame:
+        return robust.tyler(s, k, ch, carry=o, **options).features(["sigma"], o, textures_at=1)
+
     return Feature(
         "covariance_texture", lambda x: estimators.tyler(x, **options),
         lambda p, n, c: geo.Product([geo.UnitDeterminant(p, c), geo.Positive(n)], weights or (1 / p, 1 / n)),
-        least_gradient=least_gradient, needs_order=True,
+        least_gradient=least_gradient, needs_order=True, by_rounds=None if "start" in options else rounds,
     )
 
 
 def _location(name: str, divergence: str, alpha: float, least_gradient: float) -> Feature:
     return Feature(
         name, estimators.gaussian, lambda p, n, c: geo.GaussianIG(p, c, divergence, alpha),
-        lambda s, k, ch, o: estimate.gaussian(s, k, ch), least_gradient=least_gradient, additive=_gaussian_additive,
+        lambda s, k, ch, o: estimate.gaussian(s, k, ch), least_gradient=least_gradient, additive=_gaussian_additive, options={"moments": "gaussian"},
     )
 
 
@@ -682,7 +692,11 @@ def location_covariance_texture_Gaussian_constrained_scatter(weights=(1, 1, 1))
 
 
 def location_covariance_texture_Tyler_constrained_scatter(weights=(1, 1, 1), **options) -> Feature:  # noqa: N802
-    return _three("location_covariance_texture_Tyler_constrained_scatter", lambda x: estimators.joint_tyler(x, **options), "scatter", weights)
+    def rounds(s, k, ch, o) -> DataFrame:
+        return robust.location_scatter(s, k, ch, carry=o, **options).features(["mu", "sigma"], o, textures_at=2)
+
+    three = _three("location_covariance_texture_Tyler_constrained_scatter", lambda x: estimators.joint_tyler(x, **options), "scatter", weights)
+    return replace(three, by_rounds=rounds)
 
 
 def location_covariance_texture_constrained_scatter(max_iter: int = 30_000, information_geometry: bool = True, solver: str = "steepest", weights=(1, 1, 1)) -> Feature:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tangentia.functions import estimators
 from tangentia.functions import geometry as geo
-from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo, pairs
+from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo, pairs, robust, tables
 from tangentia.sources import images as image_source
 from tangentia.streaming.covariance import windowed_covariance
 
@@ -215,12 +213,17 @@ def _unit_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tyler_sql(rounds: int) -> str:
-    sql = [f"WITH x AS ({_LINES}), s0 AS (SELECT id, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM x GROUP BY id)"]
-    sql.append(", t0 AS (SELECT id, 2*a/(a+e) AS a, 2*b/(a+e) AS b, 2*e/(a+e) AS e FROM s0)")
+    return _tyler_tables_sql(rounds, "id") + f" SELECT id, round(a/sqrt(a*e - b*b), 5) AS s00, round(b/sqrt(a*e - b*b), 5) AS s01, round(e/sqrt(a*e - b*b), 5) AS s11 FROM t{rounds}"
+
+
+_TAU2 = "((e*q*q - 2*b*q*d + a*d*d)/(a*e - b*b)/2)"
+
+
+def _tyler_tables_sql(rounds: int, key: str) -> str:
+    sql = [f"WITH x AS ({_LINES}), s0 AS (SELECT {key}, avg(q*q) AS a, avg(q*d) AS b, avg(d*d) AS e FROM x GROUP BY {key})"]
+    sql.append(f", t0 AS (SELECT {key}, 2*a/(a+e) AS a, 2*b/(a+e) AS b, 2*e/(a+e) AS e FROM s0)")
     for k in range(rounds):
-        tau = "((e*q*q - 2*b*q*d + a*d*d)/(a*e - b*b)/2)"
-        sql.append(f", t{k + 1} AS (SELECT x.id, avg(q*q/{tau}) AS a, avg(q*d/{tau}) AS b, avg(d*d/{tau}) AS e FROM x JOIN t{k} USING (id) GROUP BY x.id)")
-    sql.append(f"SELECT id, round(a/sqrt(a*e - b*b), 5) AS s00, round(b/sqrt(a*e - b*b), 5) AS s01, round(e/sqrt(a*e - b*b), 5) AS s11 FROM t{rounds}")
+        sql.append(f", t{k + 1} AS (SELECT x.{key}, avg(q*q/{_TAU2}) AS a, avg(q*d/{_TAU2}) AS b, avg(d*d/{_TAU2}) AS e FROM x JOIN t{k} USING ({key}) GROUP BY x.{key})")
     return " ".join(sql)
 
 
@@ -242,6 +245,20 @@ def _tyler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.round(a, 5).alias("s00"), F.round(b, 5).alias("s01"), F.round(e, 5).alias("s11"))
 
 
+@query(
+    "tyler_long_samples",
+    _tyler_tables_sql(6, "flag") + f""", y AS (SELECT flag, count(*) AS n, avg({_TAU2}) AS tau, max({_TAU2}) AS most FROM x JOIN t5 USING (flag) GROUP BY flag)
+    SELECT flag, n, round(a/sqrt(a*e - b*b), 5) AS s00, round(b/sqrt(a*e - b*b), 5) AS s01, round(e/sqrt(a*e - b*b), 5) AS s11,
+    round(tau*sqrt(a*e - b*b), 5) AS mean_tau, round(most*sqrt(a*e - b*b), 5) AS most_tau FROM t6 JOIN y USING (flag)""",
+)
+def _tyler_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three samples that hold all rows: observations stay where they are, and so do their textures."""
+    fit = robust.tyler(_lines(spark, sf_dir), ["flag"], ["q", "d"], tol=-1, max_iter=6)
+    tau = fit.textures().groupBy("flag").agg(F.count("*").alias("n"), *[F.round(f("tau"), 5).alias(n) for n, f in (("mean_tau", F.avg), ("most_tau", F.max))])
+    scatters = fit.states.select("flag", *[F.round(F.get("sigma.re", F.lit(i)), 5).alias(n) for n, i in (("s00", 0), ("s01", 1), ("s11", 3))])
+    return scatters.join(tau, "flag").select("flag", "n", "s00", "s01", "s11", "mean_tau", "most_tau")
+
+
 # -- distances and means of 2 x 2 covariances
 
 _COV2 = f"SELECT id, avg(q) AS m0, avg(d) AS m1, var_pop(q) AS a, covar_pop(q, d) AS b, var_pop(d) AS e FROM ({_LINES}) GROUP BY id"
@@ -655,15 +672,12 @@ def _farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- rasters
 
-_WIN = """SELECT r, c, round(avg({x}) OVER w, 6) AS {n} FROM p"""
-
-
-def _window_sql(cols: dict[str, str], extra: str = "") -> str:
+def _window_sql(cols: dict[str, str], extra: str = "", h: int = 1) -> str:
     sums = ", ".join(f"avg({v}) AS {k}" for k, v in cols.items())
     outs = ", ".join(f"round({k}, 6) AS {k}" for k in cols)
     return f"""WITH p AS ({_SHIFTED}), s AS (SELECT max(r) AS h, max(c) AS w FROM p)
-    SELECT r, c, {outs} FROM (SELECT x.r, x.c, {sums} FROM p x JOIN p y ON y.r BETWEEN x.r - 1 AND x.r + 1 AND y.c BETWEEN x.c - 1 AND x.c + 1, s
-    WHERE x.r BETWEEN 1 AND s.h - 1 AND x.c BETWEEN 1 AND s.w - 1 {extra} GROUP BY 1, 2)"""
+    SELECT r, c, {outs} FROM (SELECT x.r, x.c, {sums} FROM p x JOIN p y ON y.r BETWEEN x.r - {h} AND x.r + {h} AND y.c BETWEEN x.c - {h} AND x.c + {h}, s
+    WHERE x.r BETWEEN {h} AND s.h - {h} AND x.c BETWEEN {h} AND s.w - {h} {extra} GROUP BY 1, 2)"""
 
 
 def _holes_sql(cols: dict[str, str]) -> str:
@@ -688,6 +702,35 @@ def _window_scm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(images.window_covariances(p, ["a", "b"], 3, *_frame(p)), {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
 
 
+def _sides(size: int) -> None:
+    """Larger windows cost no more: their sums are differences of running sums."""
+
+    @query(f"window_scm_{size}_raster", _window_sql(_SECOND, h=size // 2))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = _raster(spark, sf_dir)
+        return _rounded(images.window_covariances(p, ["a", "b"], size, *_frame(p)), {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
+
+
+_sides(7)
+_sides(15)
+
+
+@query("tiled_window_scm_raster", _window_sql(_SECOND, h=2))
+def _window_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 16 pixels, so that windows reach over many edges; the estimator sees the windows as slices."""
+    p = _raster(spark, sf_dir)
+    scm = features.user_defined("scm", lambda v: v @ v.T / v.shape[1], features.geo.PositiveDefinite(2)).bind(2, 25)
+    return _rounded(images.window_features(p, ["a", "b"], scm, 5, *_frame(p), side=16), {"s00": 0, "s01": 1, "s11": 3}, "r", "c")
+
+
+@query("window_gaussian_raster", _window_sql({"m0": "y.a", "m1": "y.b", "s01": "y.a*y.b"}).replace("round(s01, 6)", "round(s01 - m0*m1, 6) + 0.0"))
+def _window_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _raster(spark, sf_dir)
+    f = images.window_features(p, ["a", "b"], features.location_covariance_div_alpha().bind(2, 9), 3, *_frame(p))
+    m = [F.round(F.get("f.c0", F.lit(i)), 6).alias(f"m{i}") for i in (0, 1)]
+    return f.select("r", "c", *m, (F.round(F.get("f.c1", F.lit(1)), 6) + F.lit(0.0)).alias("s01"))
+
+
 @query("nonoverlap_window_scm_raster", _window_sql(_SECOND, "AND (x.r - 1) % 3 = 0 AND (x.c - 1) % 3 = 0"))
 def _window_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _raster(spark, sf_dir)
@@ -712,7 +755,6 @@ def _window_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("window_mean_holes_raster", _holes_sql({"m0": "y.a", "m1": "y.b"}))
 def _window_mean_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the path that copies pixels to windows."""
     p = _holes(spark, sf_dir)
     f = images.window_features(p, ["a", "b"], features.mean_vector_euclidean().bind(2, 9), 3, *_frame(p))
     return f.select("r", "c", *[F.round(F.get("f.c0", F.lit(i)), 6).alias(f"m{i}") for i in (0, 1)])
@@ -839,16 +881,6 @@ def _cluster_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.cluster_image(p, ["a", "b"], 2, settings)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session's executors share; only a local session gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tangentia-")
-    return f"{root.rstrip('/')}/tangentia/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "named_image_raster",
     f"""WITH p AS (SELECT r, c, a, b, CASE WHEN b > 0.5 THEN 2 ELSE 1 END AS label FROM ({_SHIFTED})), {_CROP.replace("12", "15").replace("(SELECT", "k AS (SELECT", 1)},
@@ -860,7 +892,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 def _named_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scene of 200 bands written under its name, then loaded: cropped, its border blanked, centred by column."""
     band = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.when(i == 0, F.col("a")).otherwise(F.col("a") * (i - 1) * F.when(i == 1, 0).otherwise(i / (i - 1)) + F.col("b")))
-    root = _scratch(spark, "scenes")
+    root = tables.scratch(spark, "scenes")
     scene = _raster(spark, sf_dir).select("r", "c", band.alias("x"), F.when(F.col("b") > 0.5, 2).otherwise(1).alias("label"))
     scene.write.parquet(f"{root}/Indian_Pines.parquet")
     p = image_source.Dataset("Indian_Pines", root).load(spark, crop=True, border=1, center="column", crop_size=15)
@@ -876,7 +908,7 @@ def _named_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels renamed to the classes they match, written and read back."""
     p = _raster(spark, sf_dir)
-    path = _scratch(spark, "segmentation")
+    path = tables.scratch(spark, "segmentation")
     labels = p.select("r", "c", F.when(F.col("b") > 0.5, 1).otherwise(0).alias("k"))
     truth = p.select("r", "c", F.when(F.col("a") > 0, 0).otherwise(1).alias("label"))
     image_source.evaluate_and_save(labels, truth, path)
@@ -1102,9 +1134,12 @@ def _tenfold(samples: DataFrame) -> DataFrame:
     return samples.withColumns({c: 10 * F.col(c) for c in ("v", "h", "w")})
 
 
-def _blocks_of(spark: SparkSession, sf_dir: str, feature: features.Feature, tenfold: bool = False) -> DataFrame:
+def _blocks_of(spark: SparkSession, sf_dir: str, feature: features.Feature, tenfold: bool = False, rounds: bool = False) -> DataFrame:
+    """With ``rounds``, the blocks' observations are written once and read in each."""
     users = _users(spark, sf_dir)
-    return feature.bind(3, BLOCK).estimate(_blocks(_tenfold(users) if tenfold else users), ["id", "block"], ["v", "h", "w"], ["obs"])
+    blocks = _blocks(_tenfold(users) if tenfold else users).select("id", "block", "v", "h", "w", "obs")
+    blocks = tables.written(blocks, "blocks") if rounds else blocks
+    return feature.bind(3, BLOCK).estimate(blocks, ["id", "block"], ["v", "h", "w"], ["obs"], rounds=rounds)
 
 
 #: Added before rounding where values lie on a grid of decimal fractions, of which many would be ties.
@@ -1132,13 +1167,13 @@ def _mean3() -> dict[str, Column]:
 @query("feature_covariance_texture", _tyler3_sql(6))
 def _f_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six rounds of Tyler's estimator for every block."""
-    return _by_observation(_blocks_of(spark, sf_dir, features.covariance_texture(tol=-1, max_iter=6)), "f.c1", _scatter_of("c0"))
+    return _by_observation(_blocks_of(spark, sf_dir, features.covariance_texture(tol=-1, max_iter=6), rounds=True), "f.c1", _scatter_of("c0"))
 
 
 @query("feature_tyler_location", _joint_tyler3_sql(4))
 def _f_tyler_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four rounds of location and scatter together."""
-    f = _blocks_of(spark, sf_dir, features.location_covariance_texture_Tyler_constrained_scatter(tol=-1, max_iter=4))
+    f = _blocks_of(spark, sf_dir, features.location_covariance_texture_Tyler_constrained_scatter(tol=-1, max_iter=4), rounds=True)
     return _by_observation(f, "f.c2", _mean3() | _scatter_of("c1"))
 
 

@@ -59,6 +59,62 @@ def test_windows_with_missing_pixels_have_no_feature(spark, pixels, how):
     assert images.window_features(tiny, ["a", "b"], features.covariance().bind(2, 9), 3, 3, 3).count() == 0
 
 
+@pytest.mark.parametrize("size, side", [(3, 4), (5, 5), (7, 100)])
+def test_tiles_change_nothing(spark, pixels, size, side):
+    """Every path at tiles smaller than the image (and than the window's reach) equals slices of the array, with and without a mask."""
+    x, h = _array(pixels), size // 2
+    mask = pixels.withColumn("mask", (F.col("r") * 2 + F.col("c")) % 3 == 0)
+    want = {(r, c): x[r - h : r + h + 1, c - h : c + h + 1].reshape(-1, 2) for r in range(h, H - h) for c in range(h, W - h)}
+    kinds = {
+        "sums": (features.covariance(), lambda w: w.T @ w / len(w)),
+        "centred": (features.covariance(assume_centered=False), lambda w: np.cov(w.T, bias=True)),
+        "slices": (features.user_defined("scm", lambda v: v @ v.T / v.shape[1], features.geo.PositiveDefinite(2)), lambda w: w.T @ w / len(w)),
+        "order": (features.identity_euclidean(), lambda w: w.T),
+    }
+    for name, (feature, of) in kinds.items():
+        for m in (None, mask):
+            got = images.window_features(pixels, ["a", "b"], feature.bind(2, size * size), size, H, W, mask=m, side=side).collect()
+            assert len(got) == len({(r["r"], r["c"]) for r in got})
+            assert {(r["r"], r["c"]) for r in got} == {k for k in want if m is None or (k[0] * 2 + k[1]) % 3 == 0}, name
+            for r in got:
+                assert r["n"] == size * size
+                np.testing.assert_allclose(np.array(r["f"]["c0"]), of(want[r["r"], r["c"]]).ravel(), atol=1e-10)
+
+
+def test_sums_of_long_rows_of_tiles(spark):
+    """An image of one row of tiles, large values beside small ones, a repeated pixel, a NaN and an infinity."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3, 400)) + 100
+    x[1, 50], x[0, 200] = np.nan, np.inf
+    rows = [(r, c, float(x[r, c])) for r in range(3) for c in range(400)] + [(2, 300, 1.0)]
+    df = spark.createDataFrame(rows, "r int, c int, a double")
+    got = {r["c"]: r["m0"] for r in images.window_means(df, ["a"], 3, 3, 400, side=32).collect()}
+    assert set(got) == set(range(1, 399)) - {49, 50, 51, 299, 300, 301}
+    for c, m in got.items():
+        if abs(c - 200) < 2:
+            assert np.isnan(m)
+        else:
+            assert m == pytest.approx(x[:, c - 1 : c + 2].mean(), abs=1e-9)
+
+
+def test_one_shuffle_and_no_whole_rows(spark, pixels):
+    df = images.window_covariances(spark.createDataFrame(pixels.toPandas()), ["a", "b"], 5, H, W)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(_ti" in plan
+
+
+def test_complex_windows_are_sliced_too(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(6, 7)) + 1j * rng.normal(size=(6, 7))
+    df = spark.createDataFrame([(r, c, float(z[r, c].real), float(z[r, c].imag)) for r in range(6) for c in range(7)], "r long, c long, re double, im double")
+    for side in (3, 50):
+        f = images.window_features(df, [("re", "im")], features.identity_euclidean().bind(1, 9, True), 3, 6, 7, side=side)
+        got = {(r["r"], r["c"]): np.array(r["f"]["c0"]["re"]) + 1j * np.array(r["f"]["c0"]["im"]) for r in f.collect()}
+        assert len(got) == 4 * 5
+        for (r, c), v in got.items():
+            np.testing.assert_allclose(v, z[r - 1 : r + 2, c - 1 : c + 2].ravel())
+
+
 def test_windows_apart_and_masked(pixels):
     apart = images.exploded_windows(pixels, ["a"], 3, H, W, overlapping=False).select("r", "c").distinct()
     assert {(r["r"], r["c"]) for r in apart.collect()} == {(r, c) for r in (1, 4, 7) for c in (1, 4, 7)}
