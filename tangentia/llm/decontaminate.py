@@ -6,7 +6,7 @@ rarest terms are chosen by their counts over all documents; only the postings
 in a window, the lists of its two rarest terms are intersected; what is left is
 confirmed against the whole window in the document.
 
-Rarity costs one scan, postings a second, confirmation a third; no document is
+Rarity costs one scan, postings a second, confirmation a third, in which texts stay where they are; no document is
 compared with an item that doesn't share its two rarest words at the right
 distance.
 """
@@ -23,6 +23,8 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Most characters of a benchmark whose terms and windows are broadcast; a larger one is joined by shuffles.
 BROADCAST_CHARS = 4_000_000
+#: Most candidate places, or documents with a window, that are broadcast to the texts; more meet them by a shuffle.
+FEW = 1_000_000
 #: On the way of shuffles: occurrences of a term above which it is broadcast, and the parts that its postings are dealt to.
 OFTEN, PARTS = 1_000_000, 16
 
@@ -164,18 +166,29 @@ def decontaminate(
     count as no item but their windows still hit; rows that repeat an id and
     text get equal results, an id with different texts is judged for each.
     """
+    return _judged(documents, benchmark, id_col, text_col, item_col, item_text_col, width).drop("key")
+
+
+def _few(rows: DataFrame, size: Column | None = None) -> DataFrame:
+    """A written table as one side of a join with all texts: broadcast if it is small, so that they stay where they are."""
+    n = rows.agg(F.count("*") if size is None else F.sum(size)).first()[0] or 0
+    return F.broadcast(rows) if n <= FEW else rows.hint("shuffle_hash")
+
+
+def _judged(
+    documents: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW
+) -> DataFrame:
+    """What :func:`decontaminate` returns, with the ``key`` of each row's id and text."""
     index, items, candidates = phrase_hits(documents, benchmark, id_col, text_col, item_col, item_text_col, width)
-    per_doc = candidates.groupBy("key").agg(
-        F.collect_set(F.struct("start", "len", "w1", "w2")).alias("found")
-    )
+    per_doc = written(candidates.groupBy("key").agg(F.collect_set(F.struct("start", "len", "w1", "w2")).alias("found")), "candidates")
     words = F.col("words")
 
     def holds(c: Column) -> Column:
         part = F.slice(words, c["start"] + 1, c["len"])
         return (F.xxhash64(part) == c["w1"]) & (F.hash(part) == c["w2"])
 
-    # the texts move once, unsorted, and are cut into words where they arrive
-    docs = index.docs.join(per_doc.hint("shuffle_hash"), "key", "left")
+    # the texts don't move unless very many are candidates
+    docs = index.docs.join(_few(per_doc, F.size("found")), "key", "left")
     docs = docs.select("doc_id", "key", tokens(F.col("text")).alias("words"), "found")
     docs = docs.select("doc_id", "key", F.size("words").alias("n_words"), F.filter("found", holds).alias("hits"))
     spans = F.sort_array(F.transform("hits", lambda c: F.struct(c["start"].alias("a"), (c["start"] + c["len"]).alias("z"))))
@@ -212,6 +225,7 @@ def decontaminate(
     listed = F.coalesce(F.array_join(F.sort_array("items"), ","), F.lit(""))
     return out.select(
         "doc_id",
+        "key",
         "n_words",
         "n_hit",
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -267,7 +281,10 @@ def proximity_matches(
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` without a benchmark window, with its own columns; an id goes with all its rows."""
-    hits = decontaminate(documents.select(id_col, text_col), benchmark, id_col, text_col)
-    bad = hits.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad.hint("shuffle_hash"), documents[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``documents`` without a benchmark window, with its own columns only.
+
+    Each row is judged by its own text: clean rows stay, whatever other rows of their id, or other rows with a null id, hold.
+    """
+    hits = _judged(documents.select(id_col, text_col), benchmark, id_col, text_col)
+    bad = written(hits.where("contaminated").select(F.col("key").alias("_bad")).distinct(), "contaminated")
+    return documents.join(_few(bad), F.xxhash64(documents[id_col], documents[text_col]) == bad["_bad"], "left_anti")

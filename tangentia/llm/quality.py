@@ -4,8 +4,9 @@ Each text is reduced to two histograms: the classes of its characters
 and the most common words.  Both are compared with references for
 each language by the Jensen-Shannon distance (base 2, so 0 to 1), and the
 nearest language counts.  A text far from every language is rejected, but only
-if it is long enough for its histogram to be steady, and only if some reference
-is of its script.
+if it is long enough for its histogram to be steady, only if some reference
+is of its script, and only if the language it is labelled with, if any, has a reference: what is
+measured against other languages alone has no verdict.
 
 The references are learnt from the labelled rows of the corpus itself, all of
 them: the documents' median shares of the character classes, which junk in less than
@@ -33,8 +34,9 @@ CHAR_CLASSES = ("lower", "upper", "digit", "wide", "punct", "symbol", "other")
 WIDE = CHAR_CLASSES.index("wide")
 #: Words of a language's reference, and the most characters of such a word (it has no A-Z, digit or mark).
 COMMON_WORDS, COMMON_LENGTH, COMMON_WORD = 8, 5, r"^[^\x00-\x60\x7B-\x7F]+$"
-#: Labelled rows that a language needs for a reference, and their least share of all labelled rows.
-LEAST_ROWS, LEAST_SHARE = 10, 0.001
+#: Labelled rows that a language needs for a reference, whatever their share; and the most references, those of most rows.
+#: Texts of languages without one have no verdict.
+LEAST_ROWS, MOST_REFERENCES = 10, 256
 #: Steps in which documents' shares are read for their median.
 SHARE_STEPS = 1_000
 #: A reference is of a text's script if their shares of non-ASCII characters differ by no more.
@@ -48,10 +50,11 @@ LEAST_BASE_WORDS, MOST_REPEAT_PERCENT = 50, 50
 
 @dataclass(frozen=True)
 class Reference:
-    """A language's shares of the character classes, and of its common words, most common first."""
+    """A language's shares of the character classes, and of its common words, most common first; the label of its rows, if it has one."""
 
     chars: tuple[float, ...]
     words: tuple[tuple[str, float], ...]
+    lang: str | None = None
 
 
 def _fresh(df: DataFrame, *names: str) -> list[str]:
@@ -111,7 +114,9 @@ def _classed(df: DataFrame, chars: str, steps: list[str], out: str) -> DataFrame
 
 
 def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[Reference]:
-    """References of the languages that ``documents`` has enough labelled rows of, by name of the language.
+    """References of the languages that ``documents`` has ``LEAST_ROWS`` labelled rows of, by name of the language.
+
+    Of more than ``MOST_REFERENCES`` languages, those of most rows (of equals the first by name) have one.
 
     Rows with a null text or language, and texts without words, tell nothing.
     """
@@ -130,16 +135,15 @@ def learn(documents: DataFrame, text_col: str = "text", lang_col: str = "lang")
     top = counts.where(F.col("word").rlike(COMMON_WORD)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= COMMON_WORDS)
     listed = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("top"))
     sums = counts.groupBy("lang").agg(F.sum("n").alias("n_words"))
-    every = chars.collect()
-    most = sum(r["rows"] for r in every)
-    texts = {r["lang"]: r for r in sums.join(listed, "lang", "left").collect()}
+    every = chars.where(F.col("rows") >= LEAST_ROWS).orderBy(F.col("rows").desc(), "lang").limit(MOST_REFERENCES).collect()
+    mine = F.col("lang").isin([r["lang"] for r in every])
+    texts = {r["lang"]: r for r in sums.where(mine).join(listed.where(mine), "lang", "left").collect()} if every else {}
     out = []
     for r in sorted(every, key=lambda r: r["lang"].encode()):
-        if r["rows"] >= LEAST_ROWS and r["rows"] >= LEAST_SHARE * most:
-            n = [r[f"n{k}"] + 0.5 for k in range(len(CHAR_CLASSES))]
-            t = texts[r["lang"]]
-            common = tuple((x["word"], x["n"] / t["n_words"]) for x in t["top"] or ())
-            out.append(Reference(tuple(x / sum(n) for x in n), common))
+        n = [r[f"n{k}"] + 0.5 for k in range(len(CHAR_CLASSES))]
+        t = texts[r["lang"]]
+        common = tuple((x["word"], x["n"] / t["n_words"]) for x in t["top"] or ())
+        out.append(Reference(tuple(x / sum(n) for x in n), common, r["lang"]))
     return out
 
 
@@ -154,19 +158,23 @@ def measure(
     text_col: str = "text",
     out: str = "quality",
     carry: list[str] | None = None,
+    lang_col: str | None = None,
 ) -> DataFrame:
     """The columns ``carry`` of ``documents`` (all by default) with a struct ``out`` of measures and verdicts.
 
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    chars_js, words_js (double, null for a text without words and where no
-    reference is of its script), base_failed,
+    chars_js, words_js (double, null for a text without words, where no
+    reference is of its script, and where ``lang_col`` names a language without a reference: such a text isn't judged by
+    other languages), base_failed,
     kept (boolean).  A null text counts as an empty one: no words, all counts
     0, base_failed.
     """
+    named = [r.lang for r in references if r.lang is not None]
+    judged = F.lit(True) if lang_col is None else F.col(lang_col).isNull() | F.col(lang_col).cast("string").isin(named)
     names = ("_c", "_w", "_ln", "_c1", "_c2", "_c3", "_c4", "_c5", "_c6", "_h", "_s", "_p", "_common", "_classes", "_length")
     c, w, ln, c1, c2, c3, c4, c5, c6, h, s, p, common, classes, length = _fresh(documents, *names)
-    repeated, chars_js, words_js, failed, count, lines, distinct_lines, counts = _fresh(
-        documents, "_repeated", "_chars_js", "_words_js", "_failed", "_n", "_lines", "_distinct_lines", "_counts"
+    repeated, chars_js, words_js, failed, count, lines, distinct_lines, counts, known_lang = _fresh(
+        documents, "_repeated", "_chars_js", "_words_js", "_failed", "_n", "_lines", "_distinct_lines", "_counts", "_judged"
     )
     keep = [F.col(f"`{x}`") for x in (documents.columns if carry is None else carry)]
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -177,6 +185,7 @@ def measure(
     # every step uses columns of the one before more than once, so none is computed twice
     df = documents.select(
         *keep,
+        judged.alias(known_lang),
         F.array_remove(F.split(text, SPACE), "").alias(w),
         _removed(text, SPACE).alias(c),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(ln),
@@ -185,6 +194,7 @@ def measure(
     nothing = F.array().cast("array<bigint>")
     df = df.select(
         *keep,
+        known_lang,
         F.length(c).alias(length),
         n.alias(count),
         F.size(ln).alias(lines),
@@ -230,7 +240,7 @@ def measure(
     def nearest(distances: list[Column]) -> Column:
         """Of the references of the text's script."""
         fit = [F.when(F.abs(wide - r.chars[WIDE]) <= SCRIPT_GAP, d) for r, d in zip(references, distances, strict=True)]
-        return F.when(n > 0, F.round(F.least(*fit) if len(fit) > 1 else fit[0], 6)) if fit else F.lit(None).cast("double")
+        return F.when((n > 0) & F.col(known_lang), F.round(F.least(*fit) if len(fit) > 1 else fit[0], 6)) if fit else F.lit(None).cast("double")
 
     df = df.select(
         *keep,
@@ -275,19 +285,25 @@ def quality_rules(
     """One row for each row of ``documents``: ``doc_id`` and the fields of :func:`measure`.
 
     References are learnt from ``documents`` unless given.  Rows that repeat an
-    id, and rows with a null id, are each judged on their own.
+    id, and rows with a null id, are each judged on their own.  Given references judge
+    by the labels too where they are named; of unnamed ones, all do.
     """
-    if references is None:
-        references = learn(documents, text_col, lang_col)
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return measure(docs, references, carry=["doc_id"]).select("doc_id", "quality.*")
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_label(documents, references, lang_col))
+    references = learn(documents, text_col, lang_col) if references is None else references
+    return measure(docs, references, carry=["doc_id"], lang_col="lang" if "lang" in docs.columns else None).select("doc_id", "quality.*")
+
+
+def _label(documents: DataFrame, references: list[Reference] | None, lang_col: str) -> list[Column]:
+    """The label by which texts are judged: none where the references have no names, or the documents no labels."""
+    unnamed = references is not None and all(r.lang is None for r in references)
+    return [] if unnamed or lang_col not in documents.columns else [F.col(lang_col).alias("lang")]
 
 
 def keep_good(
     documents: DataFrame, text_col: str = "text", lang_col: str = "lang", references: list[Reference] | None = None
 ) -> DataFrame:
     """The rows of ``documents`` that the rules keep, with its own columns only."""
-    if references is None:
-        references = learn(documents, text_col, lang_col)
+    by = lang_col if _label(documents, references, lang_col) else None
+    references = learn(documents, text_col, lang_col) if references is None else references
     (q,) = _fresh(documents, "quality")
-    return measure(documents, references, text_col, q).where(F.col(f"{q}.kept")).drop(q)
+    return measure(documents, references, text_col, q, lang_col=by).where(F.col(f"{q}.kept")).drop(q)

@@ -111,12 +111,12 @@ q AS (
   SELECT lc.lang, list_transform([{", ".join(f"n{k}" for k in range(1, 8))}], lambda x: x::DOUBLE / ({" + ".join(f"n{k}" for k in range(1, 8))})) AS chars,
          coalesce(lt.v, []) AS v, list_transform(coalesce(lt.n, []), lambda x: x::DOUBLE / words) AS shares
   FROM lc JOIN ls USING (lang) LEFT JOIN lt USING (lang)
-  WHERE docs >= {_q.LEAST_ROWS} AND docs >= {_q.LEAST_SHARE} * (SELECT sum(docs) FROM lc)
+  WHERE docs >= {_q.LEAST_ROWS} QUALIFY row_number() OVER (ORDER BY docs DESC, lc.lang) <= {_q.MOST_REFERENCES}
 ), p AS (
   SELECT doc_id, list_transform(classes, lambda x: x::DOUBLE / word_chars) AS c, q.chars,
          list_append(shares, greatest(1.0 - coalesce(list_sum(shares), 0), 0)) AS s, n,
          list_transform(v, lambda x: len(list_filter(w, lambda y: y = x OR y = upper(x[1]) || x[2:] AND x[1] BETWEEN 'a' AND 'z'))) AS own
-  FROM f, q WHERE n > 0
+  FROM f, q WHERE n > 0 AND (f.lang IS NULL OR f.lang IN (SELECT lang FROM q))
 ), m AS (
   SELECT doc_id, c, chars, s, list_transform(list_append(own, n - coalesce(list_sum(own), 0)::BIGINT), lambda x: x::DOUBLE / n) AS o
   FROM p WHERE abs(c[4] - chars[4]) <= {_q.SCRIPT_GAP}

@@ -85,6 +85,31 @@ def test_other_scripts(spark):
     assert all(got[i]["kept"] for i, _, _ in more) and got[3]["chars_js"] < 0.2
 
 
+VIETNAMESE = "Tôi đang ngồi ở nhà và đọc một cuốn sách rất hay về những người đã đi qua nhiều nước trên thế giới để tìm việc làm."
+
+
+@pytest.mark.parametrize("n, others", [(3, 10_000), (9, 200), (12, 200), (12, 13_000)])
+def test_a_rare_language_is_never_judged_by_others(spark, n, others):
+    rows = [(k, _written(VIETNAMESE, 300, k), "vi") for k in range(n)]
+    english = spark.range(others).select(
+        (F.col("id") + 1000).alias("doc_id"), F.concat_ws(" ", F.lit(ENGLISH), F.lit(_written(ENGLISH, 150, 7)), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang")
+    )
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(english))
+    mine = got.where("doc_id < 1000").collect()
+    assert len(mine) == n and all(r["kept"] for r in mine)
+    assert all((r["chars_js"] is None) == (n < 10) and (r["chars_js"] or 0) < 0.1 for r in mine)
+    assert got.where("kept").count() == n + others
+
+
+def test_given_references_and_tables_without_labels(spark):
+    docs = _corpus(spark, [(1, _written(ENGLISH, 300, 0), "xx"), (2, " ".join(w + "$#" for w in _written(ENGLISH, 300, 1).split()), "xx")])
+    unnamed = [quality.Reference(r.chars, r.words) for r in quality.learn(docs)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, references=unnamed).collect()}
+    assert got[1] and not got[2]
+    assert {r["doc_id"] for r in quality.keep_good(docs.drop("lang"), references=quality.learn(docs)).collect()} >= {1, 1000}
+    assert 2 in {r["doc_id"] for r in quality.keep_good(docs).collect()}
+
+
 def test_references_by_brute_force(spark):
     rows = [(k, _written(ENGLISH if k % 2 else RUSSIAN, 30 + k, k), ("en", "ru")[k % 2 == 0]) for k in range(30)] + [(99, None, "en"), (98, "", "en"), (97, "zz", "rare"), (96, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -134,6 +159,7 @@ def _hits(text, items):
 def test_decontamination_by_brute_force(spark, monkeypatch, small):
     if not small:
         monkeypatch.setattr(dec, "BROADCAST_CHARS", -1)
+        monkeypatch.setattr(dec, "FEW", -1)
         monkeypatch.setattr(dec, "OFTEN", 3)  # so that frequent terms go their own way
     items = [(1, prose(40, 50)), (2, "Alpha beta"), (10, prose(12, 51)), (11, prose(12, 51)), (3, ""), (4, None), (5, "the the the"), (None, prose(15, 52)), (6, "Ünï code")]
     long = prose(3000, 60)
@@ -160,6 +186,17 @@ def test_decontamination_of_nothing(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2]
 
 
+@pytest.mark.parametrize("few", [1000, -1])
+def test_clean_rows_of_shared_and_null_ids_stay(spark, monkeypatch, few):
+    monkeypatch.setattr(dec, "FEW", few)
+    rows = [(None, "a c"), (None, "a b"), (None, "d"), (5, "x b y"), (5, "clean"), (6, None), (None, None), (5, "clean")]
+    bench = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    docs = documents(spark, rows).withColumn("key", F.lit(0)).withColumn("_bad", F.lit(0))
+    kept = dec.keep_clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted((r for r in rows if "b" not in (r[1] or "")), key=repr)
+
+
 def test_proximity(spark, monkeypatch):
     docs = documents(spark, [(1, "red w w w green w blue"), (2, "red " + "w " * 50 + "green blue"), (3, "blue green red red")])
     items = spark.createDataFrame([(7, "green blue red"), (8, "purple red"), (9, "green")], "item_id long, text string")
