@@ -53,18 +53,20 @@ def _content(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def join_one(rows: DataFrame, one: DataFrame, keys: list[str], count: str, most: int, spread: str) -> DataFrame:
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], count: str, most: int, spread: str, hint: str | None = None) -> DataFrame:
     """Left join of ``rows`` with ``one``, which has a row for each key, without a task for all rows of a frequent key.
 
     ``one[count]`` is at least the number of ``rows`` of its key.  Keys with more than ``most`` are
     broadcast, of which there are no more than all counts over ``most``; their rows are
-    dealt by ``spread`` as well.  Key and ``count`` columns of ``one`` are not added.
+    dealt by ``spread`` as well.  Key and ``count`` columns of ``one`` are not added.  ``hint`` is for the join with the other keys:
+    ``shuffle_hash`` where ``rows`` are too large to be sorted.
     """
     added = [c for c in one.columns if c not in (*keys, count)]
     frequent = one.where(F.col(count) > most).select(*keys, F.struct(*added).alias("_frequent"))
     # 0, but not as a constant, which would be taken out of the join's keys
     nought = F.pmod(F.col(count).cast("int"), F.lit(1)).alias("_deal")
     others = one.where(F.col(count) <= most).select(*keys, nought, F.struct(*added).alias("_other"))
+    others = others.hint(hint) if hint else others
     x = rows.join(F.broadcast(frequent), keys, "left")
     deal = F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(65_536)).cast("int"))
     x = x.withColumn("_deal", deal).join(others, [*keys, "_deal"], "left")

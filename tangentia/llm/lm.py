@@ -39,10 +39,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tangentia.llm.common import written
+from tangentia.llm.common import HUBS, join_one, written
 
-#: Words known to every task, and the longest of them in bytes.
-HEAD, HEAD_BYTES = 200_000, 64
+#: Words known to every task, and the longest of them in bytes; occurrences of any other word from which its count is broadcast to them.
+HEAD, HEAD_BYTES, OFTEN = 200_000, 64, 100_000
 #: Classes: the end (0), ``OWN`` frequent words, and endings.
 CLASSES, OWN, DIM = 128, 87, 48
 ENDINGS = CLASSES - 1 - OWN
@@ -461,10 +461,11 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "texts",
     )
     rooms = F.array(*[F.lit(float(x)) for x in room])
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
+    # long words aren't in the head, however frequent; the rows of such a word are dealt by text
+    often = max(OFTEN, n // HUBS)
     rare = (
-        texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-        .select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
-        .join(vocabulary, "token", "left")
+        join_one(rare, vocabulary.withColumn("_n", F.col("c")), ["token"], "_n", often, "row")
         .withColumn("c", F.coalesce("c", F.lit(0)))
         .select(
             "row",

@@ -41,6 +41,8 @@ PERMUTATIONS, WIDTH = 176, 5
 MISSED = 1e-6
 #: Rows of equal sets above which their class is broadcast to them instead of meeting them by its key.
 COPIES = 100_000
+#: Classes in a bucket above which the bucket is broadcast to them instead of meeting them by its key.
+SEATED = 100_000
 #: Members and shingles of a block; a family within one block is one group.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
 #: Standard deviations of the signature's estimate below the threshold at which a pair is not confirmed on its sets.
@@ -278,8 +280,10 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
     else:
         classes = classes.withColumn("class", F.col("rep"))
     seats = classes.select("class", F.explode("bands").alias("bucket"))
-    crowded = seats.groupBy("bucket").agg(F.min("class").alias("b"), F.max("class").alias("top")).where("b < top").drop("top")
-    ties = seats.join(crowded.hint("shuffle_hash"), "bucket").where("class <> b").select(F.col("class").alias("a"), "b")
+    crowded = seats.groupBy("bucket").agg(F.min("class").alias("b"), F.max("class").alias("top"), F.count("*").alias("seated")).where("b < top").drop("top")
+    # the seats of a bucket of very many classes are dealt by class
+    seats = join_one(seats, crowded, ["bucket"], "seated", SEATED, "class", "shuffle_hash").where("b is not null")
+    ties = seats.where("class <> b").select(F.col("class").alias("a"), "b")
     families = components(ties).select(F.col("node").alias("class"), F.col("label").alias("family"))
     families = written(families.join(classes.select("class", "rep", "h1", "h2", "n"), "class"), "families")
 
@@ -294,7 +298,6 @@ def _judged(docs: DataFrame, percent: int, block_docs: int, block_shingles: int)
     crowd = families.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("shingles") / block_shingles)).cast("int")
     crowd = written(crowd.select("family", "docs", blocks.alias("blocks")), "crowd")
-    seats = seats.join(crowded, "bucket")
     if crowd.where("blocks > 1").limit(1).count():
         # families of which a class goes to fewer groups by its buckets than by its family's blocks
         cut = families.select("class", "n", "family").join(crowd.where("blocks > 1"), "family")

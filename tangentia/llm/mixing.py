@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tangentia.llm.common import written
+from tangentia.llm.common import HUBS, join_one, written
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
+#: Sources that are put in order by one task, and documents of a source from which its plan is broadcast to them.
+ORDERED, HOT = 100_000, 100_000
 #: Documents up to which the bucket where a budget ends is sorted, and the buckets of one cut.
 BUCKET_DOCS, CUTS = 2_000, 64
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,6 +38,26 @@ def quality_of(text: Column) -> Column:
     return F.coalesce(F.greatest(F.round(letters / F.greatest(others, F.lit(1)), 6), F.lit(0.05)), F.lit(0.05))
 
 
+def _in_order(rows: DataFrame, n: int, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """The ``n`` ``rows`` with their rank ``k`` from 1 in ``order``, and under the keys of ``sums`` the sums of columns over all rows before.
+
+    Ranges of the order are put in order each by a task; only their counts and sums come together.
+    """
+    parts = max(1, -(-n // ORDERED))
+    rows = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    each = rows.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s{j}") for j, c in enumerate(sums.values())])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = each.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in each.columns[1:]])
+    rows = rows.join(F.broadcast(ahead), "_part")
+    own = Window.partitionBy("_part").orderBy(*order)
+    within = own.rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(
+        *[c for c in rows.columns if c not in ("_part", *each.columns)],
+        (F.row_number().over(own) + F.col("_n")).alias("k"),
+        *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_s{j}")).alias(name) for j, (name, c) in enumerate(sums.items())],
+    )
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``(source, source_size, docs, target)`` from ``(source, source_size, docs)``, one row for each source.
 
@@ -45,31 +67,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     sources in order of cap / weight, the first that the even share of what is
     left doesn't overfill ends the capped ones.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    t = sizes.withColumn("w", F.get(F.array(*[F.lit(w) for w in weights]), place))
-    t = t.withColumn("most", cap * F.col("source_size")).withColumn("r", F.col("most") / F.col("w"))
-    order = Window.orderBy("r", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select(
-        "*",
-        F.row_number().over(order).alias("k"),
-        F.coalesce(F.sum("most").over(before), F.lit(0)).alias("full"),
-        F.coalesce(F.sum("w").over(before), F.lit(0)).alias("gone"),
-        F.sum("source_size").over(Window.partitionBy()).alias("all"),
-        F.sum("w").over(Window.partitionBy()).alias("weights"),
-    )
-    t = t.withColumn("share", (F.col("all") - F.col("full")) / (F.col("weights") - F.col("gone")))
-    level = F.min_by("share", F.when(F.col("share") <= F.col("r"), F.col("k"))).over(Window.partitionBy())
-    return t.withColumn("level", level).select(
-        "source",
-        "source_size",
-        "docs",
-        F.least(F.col("most").cast("double"), F.col("level") * F.col("w")).alias("target"),
-    )
+    sizes = written(sizes, "sources")
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    by_name = [F.col("source").asc_nulls_last()]
+    t = _in_order(sizes, n, by_name, {}).withColumn("w", F.get(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("k") - 1, F.lit(len(weights))).cast("int")))
+    t = t.drop("k").withColumn("most", cap * F.col("source_size")).withColumn("r", F.col("most") / F.col("w"))
+    t = _in_order(t, n, [F.col("r").asc(), *by_name], {"full": "most", "gone": "w"})
+    t = written(t, "shares")
+    all_weights = t.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    share = (F.lit(total) - F.col("full")) / (F.lit(all_weights) - F.col("gone"))
+    level = t.select(share.alias("share"), "r", "k").where("share <= r").agg(F.min_by("share", "k")).first()[0]
+    return t.select("source", "source_size", "docs", F.least(F.col("most").cast("double"), F.lit(level).cast("double") * F.col("w")).alias("target"))
+
+
+#: A source as a key of joins, null apart from every name.
+def _name(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
 
 
-def _edges(docs: DataFrame, plan: DataFrame, bucket_docs: int) -> DataFrame:
+def _planned(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """``rows`` whose source has a row in ``plan`` (name, docs, ...), with its columns; those of a large source stay where they are dealt by key."""
+    held = [c for c in plan.columns if c not in ("name", "docs")]
+    out = join_one(rows.withColumn("name", _name(F.col("source"))), plan.select("name", "docs", F.struct(*held).alias("_plan")), ["name"], "docs", most, "key")
+    return out.where("_plan is not null").select(*rows.columns, "name", "_plan.*")
+
+
+def _edges(docs: DataFrame, plan: DataFrame, bucket_docs: int, most: int) -> DataFrame:
     """``plan`` with the range (low, high] of keys in which each source's budget ends, and the size ``before`` it.
 
     A source stays as it is once its range holds no more than ``bucket_docs`` documents or can't be cut
@@ -81,25 +104,24 @@ def _edges(docs: DataFrame, plan: DataFrame, bucket_docs: int) -> DataFrame:
     )
     own = edges.columns
     while edges.where("open").limit(1).count():
-        live = docs.join(edges.where("open"), docs["source"].eqNullSafe(edges["of"]))
-        live = live.where("key > low and key <= high").select("of", "key", "size", "budget", "before")
-        cuts = live.groupBy("of").agg(
+        live = edges.where("open").select("name", "docs", "budget", "before", "low", "high")
+        cuts = _planned(docs, live, most).where("key > low and key <= high").groupBy("name").agg(
             F.percentile_approx("key", [k / CUTS for k in range(1, CUTS)], 4096).alias("cuts")
-        ).withColumnRenamed("of", "name")
-        placed = live.join(cuts, live["of"].eqNullSafe(cuts["name"]))
+        )
+        placed = _planned(docs, live.join(cuts, "name"), most).where("key > low and key <= high")
         placed = placed.withColumn("k", F.size(F.filter("cuts", lambda x: x < F.col("key"))))
-        sums = placed.groupBy("of", "budget", "before", "k").agg(
+        sums = placed.groupBy("name", "budget", "before", "k").agg(
             F.sum("size").alias("s"), F.count("*").alias("n"), F.max("key").alias("top")
         )
         # at most CUTS rows of a source
-        upto = Window.partitionBy("of").orderBy("k")
+        upto = Window.partitionBy("name").orderBy("k")
         z = F.col("before") + F.sum("s").over(upto)
-        sums = sums.select("of", "budget", "k", "s", "n", "top", z.alias("z"), F.coalesce(F.lag("top").over(upto), F.lit(-1.0)).alias("under"))
-        ends = sums.where("z > budget").groupBy("of").agg(
+        sums = sums.select("name", "budget", "k", "s", "n", "top", z.alias("z"), F.coalesce(F.lag("top").over(upto), F.lit(-1.0)).alias("under"))
+        ends = sums.where("z > budget").groupBy("name").agg(
             F.min(F.struct("k", "top", "under", (F.col("z") - F.col("s")).alias("before"), "n")).alias("e")
-        ).withColumnRenamed("of", "name")
+        )
         went = F.col("open") & F.col("e").isNotNull()
-        edges = edges.join(ends, edges["of"].eqNullSafe(ends["name"]), "left").select(
+        edges = edges.join(ends, "name", "left").select(
             *plan.columns,
             F.when(went, F.greatest("low", "e.under")).otherwise(F.col("low")).alias("low"),
             F.when(went, F.col("e.top")).when(~F.col("open"), F.col("high")).alias("high"),
@@ -176,16 +198,17 @@ def _taken(base: DataFrame, rows: DataFrame | None, weights: tuple[int, ...], ca
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = written(targets(sizes, weights, cap), "targets")
     plan = plan.select(
-        F.col("source").alias("of"),
+        _name(F.col("source")).alias("name"),
         "source_size",
         "docs",
         "target",
         F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("epochs"),
     ).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
 
-    ends = _edges(base, plan, bucket_docs).drop("docs", "open", "left")
+    most = max(HOT, (plan.agg(F.sum("docs")).first()[0] or 0) // HUBS)
+    ends = _edges(base, plan, bucket_docs, most).drop("open", "left")
     rows = base if rows is None else rows
-    docs = rows.join(ends, rows["source"].eqNullSafe(ends["of"])).drop("of")
+    docs = _planned(rows, ends, most).drop("name")
     within = (F.col("key") > F.col("low")) & (F.col("key") <= F.coalesce("high", F.lit(-1.0)))
     # below the range, or in a source that is taken as a whole
     under = F.col("high").isNull() | (F.col("key") <= F.col("low"))

@@ -40,12 +40,14 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tangentia.llm.common import shared_dir
+from tangentia.llm.common import HUBS, join_one, shared_dir, written
 
 #: Bytes after which a task begins another archive file.
 ROTATE_BYTES = 256 << 20
 #: Payloads from this size on are stored once.
 LEAST_DEDUP_BYTES = 1000
+#: Pages of one payload from which its response is broadcast to them.
+COPIES = 10_000
 #: Manifests are ``_committed-<job>.json``.
 _COMMIT = "_committed-"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -270,7 +272,7 @@ class WarcReader(DataSourceReader):
                 if not self.passes(values):
                     continue
                 if wants:
-                    values["payload"] = None if values["record_type"] == "revisit" else block()
+                    values["payload"] = None if values["record_type"] == "revisit" else payload_of(headers, block())
                     held += len(values["payload"] or b"")
                 rows.append(values)
                 if len(rows) >= 4096 or held >= 32 << 20:
@@ -286,14 +288,45 @@ class WarcReader(DataSourceReader):
         )
 
 
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """What a record's block carries: of an HTTP message its body, without the transfer's chunks; of others, and of what is no message, the block."""
+    if not _is_http(headers):
+        return block
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap or not re.match(rb"HTTP/|[A-Z]+ \S+ HTTP/", head):
+        return block
+    chunked = re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b", head)
+    return _unchunked(body) if chunked else body
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The chunks' data up to the first that has none; a body that doesn't hold to the form stays as it is."""
+    out, at = [], 0
+    while True:
+        m = re.compile(rb"([0-9a-fA-F]{1,15})[^\r\n]*\r\n").match(body, at)
+        if not m:
+            return body
+        n = int(m[1], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n + 2
+
+
 def header_values(headers: dict[str, str]) -> dict:
     out: dict = {c: headers.get(h.lower()) for c, h in _HEADERS.items()}
     for c in _LONGS:
         out[c] = _long(out[c])
     out["payload_digest"] = _digest_hex(out["payload_digest"])
+    if out["payload_bytes"] is None and out["record_type"] != "revisit" and not _is_http(headers):
+        out["payload_bytes"] = _long(headers.get("content-length"))  # of an HTTP message, no header tells its body's
     return out
 
 
+def _is_http(headers: dict[str, str]) -> bool:
+    return headers.get("content-type", "").partition(";")[0].strip().lower() == "application/http"
+
+
 class _Members(io.RawIOBase):
     """Gzip members one after the other as one stream; ``skip`` passes bytes over."""
 
@@ -413,11 +446,13 @@ def archive_pages(
         .groupBy(F.sha1("payload").alias("digest"))
         .agg(F.max("page_id").alias("kept"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .select("digest", "kept")
     )
-    # the payloads move once, unsorted; small ones, of which very many may be equal, meet no digest and are spread by row
+    kept = written(kept.withColumnRenamed("digest", "_at"), "copies")
+    # the payloads move once, unsorted; small ones, of which very many may be equal, meet no digest and are spread by row,
+    # and a payload of very many pages is told to them where they are dealt by row too
     rows = rows.withColumn("_at", F.when(large, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string")))
-    rows = rows.join(kept.withColumnRenamed("digest", "_at").hint("shuffle_hash"), "_at", "left")
+    most = max(COPIES, (kept.agg(F.sum("copies")).first()[0] or 0) // HUBS)
+    rows = join_one(rows, kept, ["_at"], "copies", most, "page_id", "shuffle_hash")
     revisit = large & F.col("page_id").isNotNull() & (F.col("kept") > F.col("page_id"))
     rows = rows.select(
         "page_id",

@@ -84,6 +84,20 @@ def test_chained_families_compare_buckets(spark):
     assert 1 < len(set(want.values())) < len(rows)
 
 
+def test_buckets_of_very_many_classes(spark, monkeypatch):
+    """One bucket's classes are most of all rows, and nothing is broadcast unasked: the rows are dealt by class, with the same result."""
+    monkeypatch.setattr(minhash, "SEATED", 4)
+    monkeypatch.setattr(minhash, "COPIES", 4)
+    w = prose(150, 90, 4000).split()
+    rows = [(k, " ".join([*w[: 10 + k], f"n{k}", *w[11 + k :]])) for k in range(40)] + [(100 + k, prose(80, 500 + k)) for k in range(8)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = _result(minhash.near_duplicates(documents(spark, rows), block_docs=8))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {i: x[1] for i, x in got.items()} == components(rows)
+
+
 def test_min_max_values_estimate_the_similarity():
     rng = np.random.default_rng(0)
     errors = []

@@ -62,6 +62,20 @@ def test_reruns_and_buckets_agree(spark, corpus):
     assert one != run(docs, seed="another")
 
 
+def test_a_hot_source_and_many_ranges_of_sources(spark, corpus, monkeypatch):
+    """Nothing is broadcast unasked, every source but the small ones counts as hot, and a task orders two sources at most."""
+    corpus = corpus + [(2000 + k, prose(4, k), f"one{k}") for k in range(25)]
+    want = sorted(map(tuple, mixing.mix(documents(spark, corpus)).collect()), key=repr)
+    monkeypatch.setattr(mixing, "HOT", 5)
+    monkeypatch.setattr(mixing, "ORDERED", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = mixing.mix(documents(spark, corpus).repartition(5), bucket_docs=20)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_better_documents_come_first(spark):
     """Over many draws, documents of more letters are taken more often."""
     rows = [(i, ("word " * 10 if i % 2 else "12345 w ").strip() * 1, "a") for i in range(400)] + [(1000 + i, "more words here", "b") for i in range(400)]
@@ -77,10 +91,10 @@ def test_ranges_of_low_weights_and_equal_keys_are_cut(spark):
     docs = documents(spark, rows)
     base = docs.select(F.col("source"), mixing.size_of(F.col("text")).alias("size"), (-F.log(F.rand(3)) / mixing.quality_of(F.col("text"))).alias("key"))
     base = base.withColumn("key", F.when(F.col("source") == "one", F.lit(1.0)).otherwise(F.col("key"))).cache()
-    plan = base.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    plan = base.groupBy(mixing._name(F.col("source")).alias("name")).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = plan.withColumn("budget", (F.col("source_size") * 0.6).cast("long"))
     for bucket in (200, 20):
-        got = {r["of"]: r for r in mixing._edges(base, plan, bucket).collect()}
+        got = {r["name"][1:]: r for r in mixing._edges(base, plan, bucket, 1000 if bucket == 20 else 10_000).collect()}
         keys = {s: [(r["key"], r["size"]) for r in base.where(F.col("source") == s).collect()] for s in got}
         for s, r in got.items():
             inside = [x for x in keys[s] if r["low"] < x[0] <= r["high"]]

@@ -92,6 +92,22 @@ def test_language_model_score_by_brute_force(spark, monkeypatch, head, inner):
         assert 0.9 < mass < 1.0 and unseen > 0
 
 
+def test_a_long_word_in_every_text(spark, monkeypatch):
+    """A rule of 80 dashes is longer than the head's words: its rows are dealt by text, and nothing else is broadcast unasked."""
+    rule = "-" * 80
+    docs = documents(spark, [(i, f"{prose(30, i)}\n{rule}\n{prose(10, i)} {rule}") for i in range(80)])
+    want = sorted(map(tuple, lm.score_texts(docs).collect()))
+    monkeypatch.setattr(lm, "OFTEN", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(map(tuple, lm.score_texts(docs.repartition(3)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
 def test_words_inside_a_class_follow_the_class_before():
     rng = np.random.default_rng(1)
     classes = np.full(40, 90)
@@ -396,6 +412,7 @@ def test_self_closed_dropped_elements_swallow_nothing():
         ("All of it is released under the Eclipse Public License v2.0", ["EPL"]),
         ("You may use it under the European Union Public Licence (EUPL) v1.2", ["EUPL"]),
         ("It is distributed under the Artistic License 2.0, like Perl.", ["Artistic"]),
+        ("This project is MIT licensed.", ["MIT"]),
     ],
 )
 def test_licence_wordings_that_are_no_templates(line, families):
@@ -404,34 +421,80 @@ def test_licence_wordings_that_are_no_templates(line, families):
     assert licences.scan(f"{prose(60, 3)}\n{line}\n{prose(40, 4)}", model)[0] == families
 
 
-def test_pieces_leave_out_nothing_that_can_be_confirmed():
-    """Paragraphs and windows that aren't pieces are confirmed for no family."""
+def _pieces_by_brute_force(words, model):
+    """The definition, every name at every place and every template in turn."""
+    spots = []
+    for family, names in licences.NAMES.items():
+        for name in names:
+            n = licences.words_of(name)
+            spots += [(i, i + len(n), family) for i in range(len(words)) if words[i : i + len(n)] == n]
+    spots = [x for x in spots if not any(y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0] for y in spots)]
+    out = []
+    for a, z, family in sorted(spots):
+        piece = words[max(0, a - 8) : z + 8]
+        pairs = set(zip(piece, piece[1:]))
+        named = [set(zip(t, t[1:])) for t in map(licences.words_of, licences.TEMPLATES.get(family, ())) if any(f == family for f, _, _ in licences.named(t))]
+        if any(len(pairs & t) >= 0.5 * min(len(pairs), len(t)) for t in named):
+            out.append((family, piece))
+    if len(words) >= 5:
+        own = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        found = []
+        for family, runs in model.bodies:
+            at = [i for i in range(len(words) - 4) if tuple(words[i : i + 5]) in runs]
+            common = len({tuple(words[i : i + 5]) for i in at})
+            if at and common >= 0.5 * min(len(own), len(runs)):
+                found.append((common / len(own | runs), family, at[0], at[-1] + 5))
+        for share, family, a, z in found:
+            if family and not any(s > share and b < z and a < e for s, _, b, e in found):
+                out.append((family, words[a:z]))
+    return out
+
+
+def test_pieces_by_brute_force():
     import random
 
     model, rng = licences.default_model(), random.Random(4)
-    words = [w for ts in licences.TEMPLATES.values() for t in ts for w in licences.words_of(t)]
-    left = kept = 0
-    for k in range(1500):
-        text = prose(rng.randint(0, 40), k).split() + rng.choices(words, k=rng.randint(1, 12)) + licences.words_of(rng.choice(list(NOTICES.values())))[: k % 7]
-        text = text if k % 3 else text + licences.words_of(rng.choice(licences.TEMPLATES["MIT"])) + prose(k % 30, k).split()
-        found = [tuple(p) for p in licences.pieces(" ".join(text), text, model)]
-        every = [text] + [text[a : a + 16] for a in range(0, len(text) - 8, 8) if len(text) > 16]
-        assert [text[a:z] for a, z in licences.ranges_of(" ".join(text), text)] == every
-        for piece in every:
-            if tuple(piece) in found:
-                kept += 1
-            else:
-                left += 1
-                assert not any(licences.confirmed(piece, f, model) for f in model.grams)
-    assert left > 1000 and kept > 300
+    texts = [t for ts in licences.TEMPLATES.values() for t in ts] + licences.RELATIVES + list(NOTICES.values())
+    bag = [w for t in texts for w in licences.words_of(t)]
+    several = 0
+    for k in range(1200):
+        words = prose(rng.randint(0, 30), k).split() + licences.words_of(rng.choice(texts)) + rng.choices(bag, k=rng.choice((0, 0, 9)))
+        if k % 3 == 0:
+            words = [w for w in words if rng.random() > 0.1]
+        got = list(licences.pieces(words, model))
+        several += bool(got)
+        assert sorted(got) == sorted(_pieces_by_brute_force(words, model)), words
+    assert several > 600
+
+
+OTHERS = {
+    "CDDL": 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License. You can obtain a copy of the license at http://www.opensolaris.org/os/licensing.',
+    "Elastic": "Licensed under the Elastic License 2.0; you may not use this file except in compliance with the Elastic License 2.0.",
+    "SSPL": "This program is free software: you can redistribute it and/or modify it under the terms of the Server Side Public License, version 1, as published by MongoDB, Inc.",
+    "HPND": licences.RELATIVES[1],
+    "PostgreSQL": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "0BSD": licences.RELATIVES[0],
+    "CC BY-NC-SA": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "X11": "Permission to use, copy, modify, distribute, and sell this software and its documentation for any purpose is hereby granted without fee, provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation.",
+    "OSL": "Licensed under the Open Software License version 3.0",
+    "MS-PL": "This code is licensed under the Microsoft Public License.",
+    "GFDL": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3",
+}
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_licences_that_are_no_family(name):
+    model = licences.default_model()
+    for text in (OTHERS[name], f"{prose(50, 3)} {OTHERS[name]} {prose(50, 4)}", OTHERS[name].upper()):
+        assert licences.scan(text, model)[0] == [], text
 
 
 def test_families_left_out_are_seldom_taken_for_others():
-    """The licence texts of a family that the model has never seen; families with wording in common aren't counted."""
+    """The licence texts of each family by a model that has never seen it."""
     wrong = total = 0
-    for family in ("Apache-2.0", "MPL-2.0", "Zlib", "EUPL", "Artistic", "Unlicense"):
-        model = licences.train(1200, templates={f: t for f, t in licences.TEMPLATES.items() if f != family})
+    for family in licences.TEMPLATES:
+        model = licences.train(600, templates={f: t for f, t in licences.TEMPLATES.items() if f != family})
         for text in licences.TEMPLATES[family]:
             total += 1
             wrong += bool(licences.scan(text, model)[0])
-    assert total > 12 and wrong <= 1
+    assert total > 60 and wrong <= 2

@@ -131,3 +131,39 @@ def test_archives_of_others(spark, tmp_path):
     assert got["conversion"]["payload_digest"] is None and got["conversion"]["page_id"] is None
     assert bytes(got["conversion"]["payload"]) == b"def" and bytes(got["response"]["payload"]) == b"hi"
     assert got["response"]["target_uri"].startswith("http://a/") and got["metadata"]["payload_digest"] is None
+
+
+def test_bodies_of_http_messages(spark, tmp_path):
+    """The head is split off, chunks are joined, and what is no message stays; lengths are known where a header tells them."""
+    http = {"WARC-Type": "response", "Content-Type": "application/http; msgtype=response"}
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>a\r\n\r\nb</p>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip, Chunked\r\n\r\n3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n"
+    broken = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nnot chunks"
+    request = b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"
+    blocks = {"a": plain, "b": chunked, "c": broken, "d": request, "e": b"no head", "f": b""}
+    parts = [warc.record_bytes(http | {"WARC-Target-URI": k}, v) for k, v in blocks.items()]
+    parts.append(warc.record_bytes({"WARC-Type": "response", "WARC-Target-URI": "g", "Content-Type": "text/html"}, plain))
+    (tmp_path / "x.warc").write_bytes(b"".join(parts))
+    got = {r["target_uri"]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    want = {"a": b"<p>a\r\n\r\nb</p>", "b": b"abcde", "c": b"not chunks", "d": b"", "e": b"no head", "f": b"", "g": plain}
+    assert {k: bytes(r["payload"]) for k, r in got.items()} == want
+    assert {k: r["payload_bytes"] for k, r in got.items()} == dict.fromkeys("abcdef") | {"g": len(plain)}
+    assert [r["target_uri"] for r in warc.read_archives(spark, str(tmp_path)).where(f"payload_bytes = {len(plain)}").collect()] == ["g"]
+
+
+def test_a_payload_of_most_pages(spark, monkeypatch):
+    """Nothing is broadcast unasked, and the copies' digest is a frequent one: the same result, with their rows dealt by id."""
+    monkeypatch.setattr(warc, "COPIES", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = "x" * 2000
+        pages = spark.createDataFrame([(k, "u", text if k % 3 else text + str(k % 4)) for k in range(60)], "page_id long, url string, html string")
+        got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    last = {}
+    for k in range(60):
+        last[text if k % 3 else text + str(k % 4)] = k
+    for k in range(60):
+        kept = last[text if k % 3 else text + str(k % 4)]
+        assert got[k] == (("response", None) if kept == k else ("revisit", kept))
