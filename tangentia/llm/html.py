@@ -60,6 +60,9 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _CLOSED = re.compile(r"""(?:^|[\s"'])[^\s"'=]*/\s*$""")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
+#: Someone's words and when they were said, as readers' comments begin.
+_SAID = re.compile(r"^\S+(?: \S+){0,2} (?:wrote|writes|said|says|replied|commented|schrieb|schreibt|escribió|dijo|dice|a écrit|a dit)\b|^\S+(?: \S+){0,3}:$", re.I)
+_WHEN = re.compile(r"\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|\b\d{1,2}:\d{2}\b|\b(?:19|20)\d\d-\d\d-\d\d\b|^vor \d+ |^hace \d+ |^il y a \d+ ", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -73,6 +76,7 @@ class Node:
     size: int = 0  # characters of all text below
     all_linked: int = 0
     runs: int = 0  # runs of text below
+    twins: int = 1  # elements of the same tag and names under the same parent
     label: bool | None = None
 
 
@@ -173,9 +177,10 @@ def parse(page: str) -> list[Node]:
             continue
         if name not in IN_HEAD and name != "html" and opened["head"]:
             close(open_at(("head",), ()))
+        attrs = m["attrs"] or m["odd"] or ""
         if name in ("html", "body"):
+            nodes[0].label = _attributes(attrs)[2] if attrs and nodes[0].label is None else nodes[0].label
             continue
-        attrs = m["attrs"] or m["odd"] or ""
         words, hidden, label = _attributes(attrs) if attrs else ((), False, None)
         shut = name in DROPPED and attrs.endswith("/") and _CLOSED.search(attrs[-200:]) is not None
         if shut and name in RAW:  # a slash doesn't count where the element's own end tag comes next
@@ -228,6 +233,9 @@ def parse(page: str) -> list[Node]:
             up.size += node.size
             up.all_linked += node.all_linked
             up.runs += node.runs
+    alike = Counter((node.parent, node.tag, node.words) for node in nodes)
+    for node in nodes:
+        node.twins = alike[node.parent, node.tag, node.words]
     return nodes
 
 
@@ -236,8 +244,11 @@ def _level(x: float, *cuts: float) -> int:
 
 
 def features(nodes: list[Node], i: int) -> list[str]:
-    """Names of the features that are on for a node."""
+    """Names of the features that are on for a node: its own, its siblings', and its share of the page's text outside links."""
     node = nodes[i]
+    plain = max(1, nodes[0].size - nodes[0].all_linked)
+    share = _level((node.size - node.all_linked) / plain, 0.02, 0.1, 0.3, 0.6, 0.9)
+    page = _level(plain, 150, 600, 2500)
     if node.tag == "#":
         owner = nodes[node.parent]
         words = node.text.count(" ") + 1
@@ -248,7 +259,14 @@ def features(nodes: list[Node], i: int) -> list[str]:
             f"link:{_level(link, 0.05, 0.4, 0.8)}",
             f"stop:{node.text[-1] in '.!?…:;\"'}",
             f"comma:{_level(node.text.count(',') / words, 0.02, 0.2)}",
+            f"share:{share}",
+            f"of:{page},{share}",
+            f"linked:{_level(link, 0.05, 0.4, 0.8)},{_level(words, 3, 5, 8)}",
         ]
+        if _SAID.search(node.text[:80]):
+            out.append(f"said:{_level(owner.twins, 2, 4)}")
+        if _WHEN.search(node.text[:80]):
+            out.append(f"when:{_level(words, 6, 25)}")
         if "©" in node.text:
             out.append("copyright")
         return out
@@ -258,7 +276,13 @@ def features(nodes: list[Node], i: int) -> list[str]:
         f"size:{_level(node.size, 1, 40, 150, 600, 2000)}",
         f"links:{_level(node.all_linked / max(1, node.size), 0.05, 0.3, 0.7)}",
         f"long:{_level(node.size / max(1, node.runs), 20, 60, 150)}",
+        f"part:{share}",
+        f"whole:{page},{share}",
+        f"parts:{_level(node.all_linked / max(1, node.size), 0.05, 0.3, 0.7)},{_level(node.size / max(1, node.runs), 12, 20, 30, 60)}",
+        f"all:{_level(node.size / max(1, nodes[0].size), 0.1, 0.3, 0.6, 0.9)}",
     ]
+    if node.tag in ("div", "section", "article", "li"):
+        out.append(f"twins:{'named' if node.words else node.tag},{_level(node.twins, 2, 3, 6)}")
     out += [f"word:{w}" for w in node.words]
     return out
 

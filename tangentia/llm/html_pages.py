@@ -12,7 +12,8 @@ import re
 
 from tangentia.llm.html import Node
 
-PAGES, SEED = 1500, 5
+PAGES, SEED = 1700, 5
+_SAYS = ("wrote", "said", "replied", "says", "commented")
 _SYLLABLES = "an be cor de el fi gra ho in jo ka lu mo na or pe qui ra se ti un ve wa zen ing tion der que ent".split()
 _NAMES = {
     "menu": "menu navbar nav navigation topnav breadcrumb breadcrumbs toolbar tabs links skip toc main-nav mega-menu".split(),
@@ -136,6 +137,59 @@ class _Page:
         )
         return self.part("comments", f"<h2>{self.words(1, 3)}</h2>{'<ol>' + all_ + '</ol>' if one == 'li' else all_}")
 
+    def unnamed_comments(self) -> str:
+        """Readers' words in elements without names, one like the other: who, when and what."""
+        who, when = self.r.randrange(4), self.r.random() < 0.5
+        out = []
+        for _ in range(self.r.randint(2, 5)):
+            name = self.words(1, 2).title()
+            time = self.r.choice((f"{self.r.randint(2, 23)} hours ago", f"20{self.r.randint(10, 24)}-0{self.r.randint(1, 9)}-1{self.r.randint(0, 9)}", f"{self.r.randint(10, 23)}:{self.r.randint(10, 59)}")) if when else ""
+            says = self.sentences(1, 4)
+            out.append(
+                (
+                    f"<div>{name} {self.r.choice(_SAYS)}: {says}</div>", f"<div><b>{name}</b> {time}<p>{says}</p></div>",
+                    f"<div><p>{name} {self.r.choice(_SAYS)} {time}:</p><p>{says}</p></div>", f"<div><span>{name}:</span> <small>{time}</small><div>{says}</div></div>",
+                )[who]
+            )
+        head = self.r.choice(("", f"<h3>{self.words(1, 2)}</h3>", f"<h2>{self.r.randint(2, 40)} {self.word()}</h2>"))
+        return f'<div data-content="0">{head}{"".join(out)}</div>'
+
+    def linked_items(self) -> str:
+        """A list that is the page's matter, each item a link, with a few words or none."""
+        tag = self.r.choice(("ul", "ul", "ol"))
+        how = self.r.random()
+        items = []
+        for _ in range(self.r.randint(3, 10)):
+            link = f'<a href="/{self.word()}">{self.words(2, 7)}</a>'
+            items.append(link if how < 0.35 else f"{link}: {self.words(2, 8)}" if how < 0.7 else f"{link} {self.sentences(1, 2)}")
+        if self.r.random() < 0.4:
+            return f'<p>{", ".join(items)}.</p>'
+        return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{tag}>"
+
+    def details(self) -> str:
+        return f"<details><summary>{self.words(1, 8).capitalize()}{self.r.choice(('', '?', '.'))}</summary><p>{self.sentences(1, 4)}</p></details>"
+
+    def in_body(self) -> str:
+        """An article without elements of its own: runs of text in the body or one element, with breaks, rules and headings between."""
+        gap = self.r.choice(("<br><br>", "<hr>", "<p>", "<br>\n<br>"))
+        text = gap.join(self.rich(1, 5) for _ in range(self.r.randint(1, 6)))
+        head = self.r.choice(("", f"<h1>{self.words(2, 6)}</h1>", f"<b>{self.words(2, 6)}</b><br>"))
+        return head + text
+
+    def neutral(self) -> str:
+        """A short article in elements with names that say nothing."""
+        names = ["".join(self.r.choices("abcdefghijklmnopqrstuvwxyz", k=self.r.randint(1, 5))) + str(self.r.randint(0, 99)) for _ in range(3)]
+        parts = [f"<p>{self.sentences(1, 3)}</p>" if self.r.random() < 0.7 else f'<div class="{names[2]}">{self.sentences(1, 3)}</div>' for _ in range(self.r.choice((1, 1, 2, 3, 4)))]
+        head = self.r.choice(("", f"<h1>{self.words(1, 6)}</h1>", f"<h1>{self.words(1, 4)}</h1>", f"<h2>{self.words(1, 6)}</h2>", f'<div class="{names[2]}">{self.words(2, 6)}</div>'))
+        inner = f'<div class="{names[1]}">{head}{"".join(parts)}</div>'
+        return f'<div class="{names[0]}" data-content="1">{inner}</div>' if self.r.random() < 0.6 else inner.replace(">", ' data-content="1">', 1)
+
+    def list_page(self) -> str:
+        """A page whose article is a list of links under a heading."""
+        inner = f"<h1>{self.words(1, 6)}</h1>" + (f"<p>{self.sentences(1, 2)}</p>" if self.r.random() < 0.6 else "") + self.linked_items()
+        tag = self.r.choice(("article", "main", "div", ""))
+        return f'<{tag} data-content="1">{inner}</{tag}>' if tag else self.part("content", inner, 1)
+
     def form(self) -> str:
         return f'<form class="{self.r.choice(_NAMES["form"])}" data-content="0"><label>{self.words(1, 3)}</label><input name="q"><p>{self.sentences(1, 2)}</p><button>{self.word()}</button></form>'
 
@@ -175,8 +229,12 @@ class _Page:
                 out.append(self.prose())
             elif x < 0.82:
                 out.append(f"<h2>{self.words(1, 6)}</h2>")
-            elif x < 0.86:
+            elif x < 0.85:
                 out.append(self.items())
+            elif x < 0.857:
+                out.append(self.linked_items())
+            elif x < 0.864:
+                out.append(self.details())
             elif x < 0.875:
                 out.append(self.figure())
             elif x < 0.885:
@@ -198,6 +256,8 @@ class _Page:
             inner = self.part("content", inner, 1) if self.r.random() < 0.5 else f'<section data-content="1">{inner}</section>'
         if self.r.random() < 0.12:
             inner += self.comments()
+        elif self.r.random() < 0.05:
+            inner += self.unnamed_comments()
         how = self.r.random()
         if how < 0.45:
             return f'<article data-content="1">{inner}</article>'
@@ -222,13 +282,18 @@ class _Page:
         after = [f() for f in (self.share, self.comments, self.sidebar, self.advert, self.notice, self.form, self.signup) if self.r.random() < 0.35]
         if self.r.random() < 0.85:
             after.append(self.footer())
-        body = self.article()
-        if self.r.random() < 0.3:
+        other = self.r.random()
+        body = self.article() if other > 0.24 else self.neutral() if other > 0.14 else self.list_page() if other > 0.06 else ""
+        if self.r.random() < 0.07:
+            after.insert(0, self.unnamed_comments())
+        if self.r.random() < 0.3 and body:
             side = self.sidebar()
             body = f'<div class="{self.r.choice(("wrapper", "container", "row", "layout", "page"))}">{body + side if self.r.random() < 0.6 else side + body}</div>'
         if self.r.random() < 0.08:
             before, body, after = [], self.table(), []
         self.r.shuffle(before)
+        if not body:  # the body's own text is the article; its parts say of themselves that they aren't
+            return f'<html><head><title>{self.words(2, 5)}</title></head><body data-content="1">{"".join(before)}{self.in_body()}{"".join(after)}</body></html>'
         title = self.words(2, 5)
         start = self.r.choice(("</head><body>", "</head><body>", "</head><body>", "<body>", ""))  # the tags are optional
         empty = self.r.choice(("", "", "", '<svg class="icon"/>', "<canvas/>"))

@@ -322,6 +322,39 @@ def test_pages_that_no_rule_laid_out():
     assert "stone by stone" in bare and "twice a week" in bare and "Archive" not in bare and "Copyright" not in bare
 
 
+#: Written by hand, never for training: page and its main text.
+BY_HAND = {
+    "text in the body": (
+        "<html><head><title>x</title></head><body>The harbour was built by hand over eleven years.<br><br>Ships still call there twice a week.</body></html>",
+        "The harbour was built by hand over eleven years. Ships still call there twice a week.",
+    ),
+    "names that say nothing": (
+        '<html><body><div class="a1"><a href="/">Home</a> <a href="/x">About us</a></div><div class="b7"><div class="c2"><h1>Harbour news</h1><p>Ships call twice a week.</p></div></div></body></html>',
+        "Harbour news\nShips call twice a week.",
+    ),
+    "details": (
+        "<html><body><main><h1>Questions</h1><details><summary>How do I pay?</summary><p>By card or in cash at the counter.</p></details><details><summary>When are you open?</summary><p>From nine to five on all days.</p></details></main></body></html>",
+        "Questions\nHow do I pay?\nBy card or in cash at the counter.\nWhen are you open?\nFrom nine to five on all days.",
+    ),
+    "readers in divisions without names": (
+        "<html><body><article><h1>Harbour</h1><p>The harbour was built by hand, stone by stone, over eleven long years.</p><p>Ships still call there twice a week in summer.</p></article><div><div>Bob wrote: I liked this a lot, thank you.</div><div>Anna wrote: My grandfather worked there for years.</div></div><footer>x</footer></body></html>",
+        "Harbour\nThe harbour was built by hand, stone by stone, over eleven long years.\nShips still call there twice a week in summer.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_pages_written_by_hand(name):
+    page, text = BY_HAND[name]
+    assert html.main_text(page, html.default_model()) == text
+
+
+def test_a_list_of_links_that_is_the_page():
+    page = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></nav><main><h1>Resources</h1><ul><li><a href=/1>The old harbour and its builders</a></li><li><a href=/2>Stone by stone, a history</a></li><li><a href=/3>Ships of the summer</a></li></ul></main></body></html>"
+    found = html.main_text(page, html.default_model())
+    assert "The old harbour and its builders" in found and "Blog" not in found
+
+
 def test_broken_pages_are_read_in_linear_time():
     model = html.default_model()
     for page in ("<" * 300_000, "<a " * 100_000, '<a "' * 100_000, "<b>" * 20_000 + "x", "<div>" * 20_000 + "x", "<!-- " * 100_000, "<p><li>" * 20_000):
@@ -351,7 +384,7 @@ def test_marginals_equal_enumeration():
 
 def test_pages_held_out():
     model, right, total = html.default_model(), 0, 0
-    for page in html_pages.pages(1600)[1500:]:
+    for page in html_pages.pages(html_pages.PAGES + 100)[html_pages.PAGES :]:
         nodes = html_pages.labelled(html.parse(page))
         for node, p in zip(nodes, html.marginals(nodes, model), strict=True):
             if node.tag == "#":
