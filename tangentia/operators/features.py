@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tangentia.functions import checks, estimators
 from tangentia.functions import geometry as geo
 from tangentia.functions.matrix import hermitian_part, sqrtm
-from tangentia.operators import estimate, robust
+from tangentia.operators import estimate, robust, subspace
 
 #: Numbers of points up to which an iterative mean runs on the driver: rounds of a job each would cost more than they compute.
 LOCAL_NUMBERS = 2_000_000
@@ -747,35 +747,63 @@ def location_covariance_texture_constrained_texture_div_alpha(
     )
 
 
+def _subspace_rounds(k: int, textured: bool, **how) -> Callable[..., DataFrame]:
+    """For samples too long to be packed, or of too many channels: rounds over the rows."""
+
+    def run(samples: DataFrame, keys: Sequence[str], channels: Sequence, order: Sequence[str]) -> DataFrame:
+        vector = subspace.vector_of(channels)
+        if "batches" in how:
+            found = subspace.descend(samples, keys, vector, k, order, **how)
+        else:
+            found = subspace.top_subspace(samples, keys, vector, k, carry=order, **how)
+        return found.features(order, not isinstance(channels[0], str), textured)
+
+    return run
+
+
 def subspace_SCM(k: int, assume_centered: bool = True, least_gradient: float = 1e-6) -> Feature:  # noqa: N802
     return Feature(
         "subspace_SCM", lambda x: estimators.top_subspace(estimators.scm(x, assume_centered), k),
         lambda p, n, c: geo.Grassmann(p, k, c), least_gradient=least_gradient,
+        by_rounds=_subspace_rounds(k, False, assume_centered=assume_centered),
     )
 
 
+def _weighted(k: int, textured: bool, estimate_sigma: bool, options: dict) -> Callable[..., DataFrame]:
+    """Rounds for the textured models; a descent of batches where its solver is ``SGD``, for the others the fixed point that they end at too."""
+    if options.get("solver") == "SGD":
+        return _subspace_rounds(k, textured, estimate_sigma=estimate_sigma, batches=options.get("batches", 10), seed=options.get("seed", 0))
+    return _subspace_rounds(k, textured, weighted=True, estimate_sigma=estimate_sigma, **{x: options[x] for x in ("tol", "max_iter") if x in options})
+
+
 def subspace_tau_UUH(k: int, estimate_sigma: bool = False, **options) -> Feature:  # noqa: N802
-    return Feature("subspace_tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma, **options)[1], lambda p, n, c: geo.Grassmann(p, k, c))
+    return Feature(
+        "subspace_tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma, **options)[1], lambda p, n, c: geo.Grassmann(p, k, c),
+        by_rounds=_weighted(k, False, estimate_sigma, options),
+    )
 
 
 def subspace_tau_UUH_RO(k: int, estimate_sigma: bool = False, **options) -> Feature:  # noqa: N802
     return Feature(
-        "subspace_tau_UUH_RO", lambda x: estimators.tau_subspace_riemannian(x, k, estimate_sigma, **options)[1], lambda p, n, c: geo.Grassmann(p, k, c)
-    )
+        "subspace_tau_UUH_RO", lambda x: estimators.tau_subspace_riemannian(x, k, estimate_sigma, **options)[1], lambda p, n, c: geo.Grassmann(p, k, c),
+        by_rounds=_weighted(k, False, estimate_sigma, {x: v for x, v in options.items() if x != "max_iter"}),
+    )
 
 
-def _tau_u(name: str, estimator: Callable, k: int, weights) -> Feature:
+def _tau_u(name: str, estimator: Callable, k: int, weights, by_rounds: Callable) -> Feature:
     return Feature(
-        name, estimator, lambda p, n, c: geo.Product([geo.Positive(n), geo.Grassmann(p, k, c)], weights or (1 / n, 1 / k)), needs_order=True
-    )
+        name, estimator, lambda p, n, c: geo.Product([geo.Positive(n), geo.Grassmann(p, k, c)], weights or (1 / n, 1 / k)),
+        needs_order=True, by_rounds=by_rounds,
+    )
 
 
 def tau_UUH(k: int, estimate_sigma: bool = False, weights=None, **options) -> Feature:  # noqa: N802
-    return _tau_u("tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma, **options), k, weights)
+    return _tau_u("tau_UUH", lambda x: estimators.tau_subspace(x, k, estimate_sigma, **options), k, weights, _weighted(k, True, estimate_sigma, options))
 
 
 def tau_UUH_RO(k: int, estimate_sigma: bool = False, weights=None, **options) -> Feature:  # noqa: N802
-    return _tau_u("tau_UUH_RO", lambda x: estimators.tau_subspace_riemannian(x, k, estimate_sigma, **options), k, weights)
+    rounds = _weighted(k, True, estimate_sigma, {x: v for x, v in options.items() if x != "max_iter"})
+    return _tau_u("tau_UUH_RO", lambda x: estimators.tau_subspace_riemannian(x, k, estimate_sigma, **options), k, weights, rounds)
 
 
 def user_defined(name: str, estimator: Callable, geometries: geo.Geometry | list[geo.Geometry], weights=None, least_gradient: float = 1e-4) -> Feature:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tangentia.functions import estimators
 from tangentia.functions import geometry as geo
-from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo, pairs, robust, tables
+from tangentia.operators import distance, estimate, evaluation, features, images, learn, montecarlo, nearest, pairs, robust, subspace, tables
 from tangentia.sources import images as image_source
 from tangentia.streaming.covariance import windowed_covariance
 
@@ -670,6 +670,31 @@ def _farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("id", distance.nearest(F.col("d")).alias("k"), F.round(F.array_min("d")["d"], 6).alias("d"))
 
 
+@query(
+    "nearest_suppliers_airm",
+    f"""WITH v AS MATERIALIZED ({_COV2}), p AS (SELECT y.id, x.id AS other, sqrt({_LOGS.format(h="((y.e*x.a - 2*y.b*x.b + y.a*x.e)/(y.a*y.e - y.b*y.b)/2)", d="((x.a*x.e - x.b*x.b)/(y.a*y.e - y.b*y.b))")}) AS d
+    FROM v y JOIN v x ON x.id <> y.id)
+    SELECT id, row_number() OVER w::INTEGER AS rank, other, round(d, 6) AS d FROM p WINDOW w AS (PARTITION BY id ORDER BY d, other) QUALIFY row_number() OVER w <= 3""",
+)
+def _nearest_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three suppliers of the most similar covariances, by pivots instead of all pairs."""
+    f = estimate.covariance(_lines(spark, sf_dir), ["id"], ["q", "d"], assume_centered=False)
+    found = nearest.nearest(features.covariance().bind(2, 1), f, f, 3).rows
+    return found.select(F.col("query").alias("id"), "rank", F.col("key").alias("other"), F.round("d", 6).alias("d"))
+
+
+@query(
+    "embeddings_within_radius",
+    """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings)
+    SELECT a.id, b.id AS other, round(list_distance(a.x, b.x), 6) AS d FROM v a JOIN v b ON a.id < b.id WHERE list_distance(a.x, b.x) <= 1.1""",
+)
+def _close_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _vectors(spark, sf_dir)
+    width = f.select(F.max(F.size("f.c0"))).first()[0]
+    found = nearest.within(features.mean_vector_euclidean().bind(width, 1), f, f, 1.1).rows
+    return found.where("query < key").select(F.col("query").alias("id"), F.col("key").alias("other"), F.round("d", 6).alias("d"))
+
+
 # -- rasters
 
 def _window_sql(cols: dict[str, str], extra: str = "", h: int = 1) -> str:
@@ -1191,14 +1216,26 @@ def _f_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("feature_subspace_scm", f"SELECT id, {_PROJECTED} FROM ({_projector3(f'SELECT id, {_moments3(chr(118), chr(104), chr(119))} FROM ({_USERS}) GROUP BY id')})")
 def _f_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projectors on the first direction, which don't depend on its sign."""
-    f = features.subspace_SCM(1).bind(3, 1).estimate(_users(spark, sf_dir), ["id"], ["v", "h", "w"], ["ts", "event_id"])
+    f = features.subspace_SCM(1).bind(3, 1).estimate(_users(spark, sf_dir), ["id"], ["v", "h", "w"], ["ts", "event_id"], rounds=True)
     return f.select("id", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in _projector_of("c0").items()])
 
 
+@query(
+    "subspace_of_long_samples",
+    f"SELECT flag, {', '.join(f'round({v}, 5) + 0.0 AS {k}' for k, v in _SIX.items())} FROM ({_projector3(f'SELECT flag, {_moments3(*"qdt")} FROM ({_LINES}) GROUP BY flag')})",
+)
+def _subspace_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first direction of three samples that hold all rows, by blocks of two vectors of three: no sample is gathered, no 3 x 3 matrix formed."""
+    x = subspace.vector_of(["q", "d", "t"])
+    found = subspace.top_subspace(_lines(spark, sf_dir), ["flag"], x, 1, oversample=1, tol=1e-10).bases
+    entry = {k: F.get("basis.re", F.lit(i)) * F.get("basis.re", F.lit(j)) for k, (i, j) in (("s00", (0, 0)), ("s01", (0, 1)), ("s02", (0, 2)), ("s11", (1, 1)), ("s12", (1, 2)), ("s22", (2, 2)))}
+    return found.select("flag", *[(F.round(v, 5) + F.lit(0.0)).alias(k) for k, v in entry.items()])
+
+
 @query("feature_subspace_tau_uuh", _tau_subspace_sql(4, _USERS, "id", tau=False))
 def _f_subspace_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = features.subspace_tau_UUH(1, tol=-1, max_iter=4).bind(3, 1)
-    f = bound.estimate(_tenfold(_users(spark, sf_dir)), ["id"], ["v", "h", "w"], ["ts", "event_id"])
+    f = bound.estimate(_tenfold(_users(spark, sf_dir)), ["id"], ["v", "h", "w"], ["ts", "event_id"], rounds=True)
     return f.select("id", *[(F.round(v, 4) + F.lit(0.0)).alias(k) for k, v in _projector_of("c0").items()])
 
 
