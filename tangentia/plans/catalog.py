@@ -1032,13 +1032,42 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "toeplitz",
-    "SELECT i, j, round(pow(0.5, abs(i - j)), 9) AS v FROM (SELECT unnest(range(0, 5)) AS i) a, (SELECT unnest(range(0, 5)) AS j) b",
+    f"SELECT flag, i, j, round(pow(rho, abs(i - j)), 6) + 0.0 AS v FROM (SELECT flag, abs(corr(q, d*q)) AS rho FROM ({_LINES}) GROUP BY flag), range(5) a(i), range(5) b(j)",
 )
 def _toeplitz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances of autoregressions with the correlations that the lines of each flag have."""
     from tangentia.functions.generate import toeplitz
 
-    t = toeplitz(5, 0.5)
-    return spark.createDataFrame([(i, j, float(t[i, j])) for i in range(5) for j in range(5)], "i long, j long, v double")
+    rho = _lines(spark, sf_dir).groupBy("flag").agg(F.abs(F.corr("q", F.col("d") * F.col("q"))).alias("rho"))
+    build = F.udf(lambda r: toeplitz(5, r).ravel().tolist(), "array<double>")
+    rows = rho.select("flag", F.posexplode(build("rho")).alias("at", "v"))
+    return rows.select("flag", F.floor(F.col("at") / 5).alias("i"), (F.col("at") % 5).cast("long").alias("j"), (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+_DRAWN = "l_orderkey || '|' || l_linenumber || '|' || l_partkey"
+
+
+_LOGS_OF = _LOGS.format(h="((y.e*x.a - 2*y.b*x.b + y.a*x.e)/(y.a*y.e - y.b*y.b)/2)", d="((x.a*x.e - x.b*x.b)/(y.a*y.e - y.b*y.b))")
+
+
+@query(
+    "subsample_errors",
+    f"""WITH x AS (SELECT l_returnflag AS flag, l_quantity/50 AS q, l_discount*10 AS d, {_DRAWN} AS k FROM lineitem), t AS (SELECT unnest(range(6)) AS trial),
+    v AS MATERIALIZED (SELECT flag, var_pop(q) AS a, covar_pop(q, d) AS b, var_pop(d) AS e FROM x GROUP BY flag),
+    s AS MATERIALIZED (SELECT flag, trial, var_pop(q) AS a, covar_pop(q, d) AS b, var_pop(d) AS e FROM x, t
+      WHERE ('0x' || substr(md5('7|' || trial || '|' || k), 1, 8))::BIGINT < 2147483648 GROUP BY 1, 2)
+    SELECT flag, round(avg(pow(d, 2)), 9) AS mse, round(max(d), 6) AS most FROM (SELECT y.flag, sqrt({_LOGS_OF}) AS d FROM s y JOIN v x USING (flag)) GROUP BY flag""",
+)
+def _subsample_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the covariance of half a sample is from that of the whole, over trials drawn by a hash of the rows."""
+    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_returnflag").alias("flag"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), "l_orderkey", "l_linenumber", "l_partkey"
+    )
+    whole = estimate.covariance(e, ["flag"], ["q", "d"], assume_centered=False).select("flag", F.col("f").alias("g"))
+    half = estimate.covariance(montecarlo.subsamples(e, ["l_orderkey", "l_linenumber", "l_partkey"], 6, seed=7), ["flag", "trial"], ["q", "d"], assume_centered=False)
+    x, y = (distance.Sym2.of(F.col(f"{k}.c0")) for k in ("g", "f"))
+    d = half.join(whole, "flag").select("flag", distance.affine_invariant_2x2(x, y).alias("d"))
+    return d.groupBy("flag").agg(F.round(F.avg(F.col("d") * F.col("d")), 9).alias("mse"), F.round(F.max("d"), 6).alias("most"))
 
 
 # -- robust features of whole users or of blocks of equal length, and Monte-Carlo
@@ -1332,15 +1361,15 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("monte_carlo_scm")
 def _monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared errors of covariances of 200 draws around every supplier's own."""
     import numpy as np
 
     from tangentia.functions import generate
 
-    sigma = generate.covariance(3, np.random.default_rng(1))
-    bound = {"scm": features.covariance().bind(3, 200), "tyler": features.covariance_texture().bind(3, 200)}
-    unit = generate.unit_det(sigma)
-    truth = {"scm": sigma, "tyler": (unit[0], np.full(200, unit[1]))}
-    return montecarlo.monte_carlo(spark, truth, lambda rng: generate.gaussian(sigma, 200, rng), bound, 50, seed=1)
+    f = estimate.covariance(_lines(spark, sf_dir), ["id"], ["q", "d", "t"], assume_centered=False)
+    bound = features.covariance().bind(3, 200)
+    errors = montecarlo.around(f, ["id"], bound, lambda sigma, n, rng: generate.gaussian(np.asarray(sigma), n, rng), 20, 200, seed=1)
+    return errors.groupBy("id", "component").agg(F.avg(F.col("error") * F.col("error")).alias("mse"), F.count("*").alias("trials"))
 
 
 @query(

@@ -10,7 +10,7 @@ from tangentia.functions import estimators
 from tangentia.functions import geometry as geo
 from tangentia.functions import matrix as mx
 from tangentia.functions.solvers import descend
-from tangentia.operators import features, images, learn, montecarlo, pairs
+from tangentia.operators import estimate, features, images, learn, montecarlo, pairs
 from tangentia.plans.catalog import (
     _BLOCKED, _COMPOUND, _COV2, _EMBEDDED, _LINES, _LOGS, _PAIRS2, _SHIFTED, _TR, _USERS, BLOCK, _blocks, _karcher, _lines, _lloyd_sql, _moments3, _own_compound,
     _projector3, _raster, _users, _vectors, query,
@@ -371,21 +371,17 @@ _minimum("conjugate_descent", "conjugate")
 
 @query(
     "monte_carlo_errors",
-    """SELECT * FROM (VALUES ('euclidean', 0, round(9.0::DOUBLE, 6)), ('product', 0, round(pow(ln(4.0), 2) + 0.5*9, 6)), ('product', 1, round(pow(ln(4.0), 2), 6)),
-    ('product', 2, round(9.0::DOUBLE, 6)), ('scm', 0, round(pow(ln(4.0), 2), 6))) AS t(feature, component, mse)""",
+    f"""WITH v AS (SELECT id, var_pop(q) AS a, covar_pop(q, d) AS b, var_pop(d) AS e FROM ({_LINES}) GROUP BY id),
+    m AS (SELECT id, pow(ln(4.0), 2)*2 AS airm, 9*(a*a + 2*b*b + e*e) AS euclid FROM v)
+    SELECT id, 0 AS component, round(airm + 0.5*euclid, 5) AS mse FROM m UNION ALL SELECT id, 1, round(airm, 5) FROM m UNION ALL SELECT id, 2, round(euclid, 5) FROM m""",
 )
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every trial draws the same sample, of covariance diag(1, 4), so the mean squared errors against the identity are known, part by part."""
-    one = np.eye(2)
-    both = [geo.PositiveDefinite(2), geo.Euclidean(2, 2)]
-    every = {
-        "scm": features.covariance(), "euclidean": features.covariance_euclidean(),
-        "product": features.user_defined("product", lambda x: (estimators.scm(x),) * 2, both, (1, 0.5)),
-    }
-    truth = {"scm": one, "euclidean": one, "product": (one, one)}
-    bound = {k: f.bind(2, 2) for k, f in every.items()}
-    got = montecarlo.monte_carlo(spark, truth, lambda rng: np.sqrt(2) * np.diag([1.0, 2.0]), bound, 30, seed=1)
-    return got.select("feature", "component", F.round("mse", 6).alias("mse"))
+    """Trials that all draw a sample of four times a supplier's covariance, so the mean squared errors are known, part by part."""
+    f = estimate.covariance(_lines(spark, sf_dir), ["id"], ["q", "d"], assume_centered=False)
+    both = features.user_defined("product", lambda x: (estimators.scm(x),) * 2, [geo.PositiveDefinite(2), geo.Euclidean(2, 2)], (1, 0.5)).bind(2, 2)
+    points = f.select("id", F.struct(F.col("f.c0").alias("c0"), F.col("f.c0").alias("c1")).alias("f"))
+    errors = montecarlo.around(points, ["id"], both, lambda point, n, rng: 2 * np.sqrt(2) * np.linalg.cholesky(point[0]), 3, 2, seed=1)
+    return errors.groupBy("id", "component").agg(F.round(F.avg(F.col("error") * F.col("error")), 5).alias("mse"))
 
 
 @query(

@@ -245,3 +245,49 @@ def test_means_of_many_channels_are_stationary(spark, feature):
     slope = g.squared_gradient(at, many)
     slope = tuple(a.mean(axis=0) / 2 for a in slope) if isinstance(slope, tuple) else slope.mean(axis=0) / 2
     assert float(g.norm(mean, g.egrad2rgrad(mean, slope))) < 1e-4
+
+
+def test_trials_around_the_rows_of_a_table(spark):
+    """The same for any partitioning; rows without a point have none; a sampler without chance has known errors."""
+    bound = features.covariance().bind(2, 2)
+    rows = [("a", ([1.0, 0.0, 0.0, 2.0],)), ("b", ([3.0, 0.5, 0.5, 1.0],)), (None, ([1.0, 0.0, 0.0, 1.0],)), ("c", None)]
+    df = spark.createDataFrame(rows, "key string, f struct<c0: array<double>>")
+
+    runs = [
+        sorted(map(tuple, montecarlo.around(x, ["key"], features.covariance().bind(2, 50), lambda s, n, rng: generate.gaussian(np.asarray(s), n, rng), 4, 50, seed=3).collect()), key=repr)
+        for x in (df, df.repartition(4))
+    ]
+    assert runs[0] == runs[1] and len(runs[0]) == 12 and len({r[3] for r in runs[0]}) == 12
+    same = montecarlo.around(df, ["key"], bound, lambda s, n, rng: np.sqrt(2) * 2 * np.linalg.cholesky(np.asarray(s)), 2, 2).collect()
+    assert all(abs(r["error"] - np.sqrt(2) * np.log(4)) < 1e-9 for r in same) and len(same) == 6
+
+
+def test_subsamples_follow_the_rows(spark):
+    df = spark.range(2000).withColumn("null", F.lit(None).cast("string"))
+    one = montecarlo.subsamples(df, ["id", "null"], 3, 0.25, seed=2)
+    other = montecarlo.subsamples(df.repartition(5), ["id", "null"], 3, 0.25, seed=2)
+    assert sorted(map(tuple, one.select("id", "trial").collect())) == sorted(map(tuple, other.select("id", "trial").collect()))
+    assert all(400 < r["count"] < 600 for r in one.groupBy("trial").count().collect())
+
+
+@pytest.mark.parametrize("make", [lambda: features.covariance(), lambda: features.mean_vector_euclidean(), lambda: features.location_covariance_div_alpha(real_case=True)])
+def test_distributed_rounds_are_those_of_the_driver(spark, monkeypatch, make):
+    """Means and K-means of many rows, forced on few."""
+    rng = np.random.default_rng(6)
+    x = pd.DataFrame(rng.normal(size=(600, 2)) * np.repeat([1, 3], 300)[:, None], columns=["a", "b"]).assign(id=np.repeat(np.arange(20), 30))
+    feature = make().bind(2, 30)
+    f = feature.estimate(spark.createDataFrame(x), ["id"], ["a", "b"], ["id"]).withColumn("label", F.col("id") % 2).persist()
+    runs = []
+    for numbers in (2_000_000, 0):
+        monkeypatch.setattr(features, "LOCAL_NUMBERS", numbers)
+        means = feature.means(f, "label")
+        model = learn.KMeans(feature, 2, init=[0, 19], n_init=1, max_iter=4, tol=0).fit(f)
+        labels = {r["id"]: r["prediction"] for r in model.predict(f).collect()}
+        runs.append((means, model.criteria[0], labels))
+    f.unpersist()
+    assert runs[0][2] == runs[1][2]
+    np.testing.assert_allclose(runs[0][1], runs[1][1], rtol=1e-6)
+    for k in runs[0][0]:
+        a, b = ((v if isinstance(v, tuple) else (v,)) for v in (runs[0][0][k], runs[1][0][k]))
+        for u, v in zip(a, b, strict=True):
+            np.testing.assert_allclose(u, v, rtol=1e-5, atol=1e-7)
