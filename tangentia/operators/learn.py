@@ -11,12 +11,15 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tangentia.functions import checks
 from tangentia.operators import images
-from tangentia.operators.features import Feature, Means, by_label, gather
+from tangentia.operators.features import Feature, Means, _additive, by_label, gather
+from tangentia.operators.nearest import is_metric
+from tangentia.operators.tables import written
 
 
 def _nearest(classes: list, d: str = "d") -> Column:
@@ -90,6 +93,7 @@ class KMeansModel(Centroids):
     iterations: int = 0
     delta: float = np.inf
     criteria: list[list[float]] = field(default_factory=list)  # of every start
+    distances: int | None = None  # computed by all starts of this one's fit, where they were counted
 
 
 class KMeans:
@@ -138,9 +142,14 @@ class KMeans:
         try:
             best, criteria = None, []
             here = gather(self.feature, x, self.id_col)
-            for start in range(self.n_init):
-                first = self.initial(x, start)
-                model = self._lloyd(x, first) if here is None or here[1] is None else self._lloyd_here(here[1], first)
+            starts = [self.initial(x, start) for start in range(self.n_init)]
+            if here is not None and here[1] is not None:
+                models = [self._lloyd_here(here[1], first) for first in starts]
+            elif is_metric(self.feature.geometry):
+                models = self._lloyd_bounded(x, starts)
+            else:
+                models = [self._lloyd(x, first) for first in starts]
+            for model in models:
                 criteria.append(model.criteria[0])
                 if best is None or model.criteria[0][-1] < best.criteria[0][-1]:
                     best = model
@@ -185,10 +194,127 @@ class KMeans:
             points = [means.get(k, old) for k, old in enumerate(points)]
         return KMeansModel(self.feature, list(range(len(used))), used, it, float(delta), [values])
 
+    def _lloyd_bounded(self, x: DataFrame, starts: list[list]) -> list[KMeansModel]:
+        """The same rounds for all starts at once, one scan for each, in a metric.
+
+        A row keeps, for each start, its cluster and a lower bound of its distance to every other centroid, which falls by the
+        farthest move of a centroid.  While the distance to its own is below that, or below half of the way to the next centroid, no
+        other is nearer, and none is computed.  A round writes the rows' new state, and beside it each task's criteria and sums.
+        """
+        g, n_starts, most = self.feature.geometry, len(starts), max(len(s) for s in starts)
+        additive = self.feature.additive(g) if self.feature.additive else _additive(g)
+        decode, encoded, id_col = self.feature.decode, self.feature.type, self.id_col
+        kind = x.schema[id_col].dataType.simpleString()
+        state = x.where("f is not null").select(F.col(id_col).alias("id"), "f", F.array(*[F.lit(-1)] * n_starts).alias("lab"), F.array(*[F.lit(0.0)] * n_starts).alias("lo"))
+        points = [list(s) for s in starts]
+        values, deltas, its, used = ([[] for _ in starts], [np.inf] * n_starts, [0] * n_starts, [list(s) for s in starts])
+        moved, going, computed, context = [0.0] * n_starts, set(range(n_starts)), 0, x.sparkSession.sparkContext
+
+        def many(ps: list):
+            return tuple(np.stack(a) for a in zip(*ps, strict=True)) if isinstance(ps[0], tuple) else np.stack(ps)
+
+        def to_all(p, ps: list) -> np.ndarray:
+            return np.broadcast_to(np.real(g.dist(p, many(ps))), (len(ps),))
+
+        for it in range(1, self.max_iter + 1):
+            half = {s: [min([d for j, d in enumerate(to_all(p, points[s])) if j != c], default=np.inf) / 2 for c, p in enumerate(points[s])] for s in going}
+            sent = context.broadcast((points, half, moved, sorted(going)))
+
+            def run(batches, sent=sent):
+                points, half, moved, active = sent.value
+                total = {(s, c): [0, 0.0, 0.0] for s in active for c in range(len(points[s]))}
+                seen, types = 0, None
+                for batch in batches:
+                    n = len(batch)
+                    if not n:
+                        continue
+                    types = [batch.column(c).type for c in names[:4]]
+                    f = decode(batch.column("f"))
+                    lab = batch.column("lab").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).copy()
+                    lo = batch.column("lo").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).copy()
+                    stats = additive[0](f) if additive else None
+                    for s in active:
+                        ps, own, d = points[s], lab[:, s], np.full(n, np.inf)
+                        low = np.maximum(lo[:, s] - moved[s], 0)
+                        for c in range(len(ps)):
+                            at = np.flatnonzero(own == c)
+                            if len(at):
+                                d[at] = g.dist(ps[c], _part(f, at))
+                                low[at] = np.maximum(low[at], half[s][c])
+                                seen += len(at)
+                        new = np.flatnonzero((own < 0) | (d >= low * (1 - 1e-9)))
+                        if len(new):
+                            every = np.stack([np.broadcast_to(g.dist(p, _part(f, new)), (len(new),)) for p in ps], axis=1)
+                            seen += len(new) * (len(ps) - 1)
+                            own[new], d[new] = every.argmin(axis=1), every.min(axis=1)
+                            every[np.arange(len(new)), own[new]] = np.inf
+                            lo[new, s] = every.min(axis=1)
+                            old = np.setdiff1d(np.arange(n), new)
+                        else:
+                            old = np.arange(n)
+                        lo[old, s] = np.maximum(lo[old, s] - moved[s], 0)
+                        for c in range(len(ps)):
+                            at = own == c
+                            t = total[s, c]
+                            t[0] += int(at.sum())
+                            t[1] += float((d[at] ** 2).sum())
+                            if stats is not None:
+                                t[2] = t[2] + stats[at].sum(axis=0)
+                    nothing = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))]
+                    at = pa.array(np.arange(n + 1, dtype=np.int32) * n_starts)
+                    lists = [pa.ListArray.from_arrays(at, pa.array(v), type=t) for v, t in ((lab.ravel().astype(np.int32), types[2]), (lo.ravel(), types[3]))]
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("f"), *lists, *nothing], names)
+                if types:
+                    keys = list(total)
+                    rows = [[s for s, _ in keys], [c for _, c in keys], [total[k][0] for k in keys], [total[k][1] for k in keys], [seen, *[0] * (len(keys) - 1)], [np.atleast_1d(total[k][2]).tolist() for k in keys]]
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(keys), t) for t in types], *[pa.array(r, t) for r, t in zip(rows, kinds, strict=True)]], names)
+
+            names = ["id", "f", "lab", "lo", "start", "cluster", "n", "crit", "seen", "s"]
+            out = written(state.mapInArrow(run, f"id {kind}, f {encoded}, lab array<int>, lo array<double>, start int, cluster int, n long, crit double, seen long, s array<double>"), "kmeans")
+            state = out.where("start is null").select("id", "f", "lab", "lo")
+            told = out.where("start is not null")
+            sums = told.groupBy("start", "cluster").agg(F.sum("n").alias("n"), F.sum("crit").alias("crit"), F.sum("seen").alias("seen")).collect()
+            sent.destroy()
+            computed += sum(r["seen"] for r in sums)
+            for s in sorted(going):
+                value = float(sum(r["crit"] for r in sums if r["start"] == s))
+                its[s], used[s] = it, points[s]
+                if values[s]:
+                    deltas[s] = abs(values[s][-1] - value) / values[s][-1] if values[s][-1] else 0.0
+                values[s].append(value)
+                if value == 0 or deltas[s] < self.tol or it == self.max_iter:
+                    going.discard(s)
+            if not going:
+                break
+            counts = {(r["start"], r["cluster"]): r["n"] for r in sums if r["n"] and r["start"] in going}
+            if additive:
+                flat = told.where(F.col("n") > 0).select("start", "cluster", F.posexplode("s").alias("i", "v")).groupBy("start", "cluster", "i").agg(F.sum("v").alias("v")).collect()
+                stat = {k: np.zeros(1 + max(r["i"] for r in flat)) for k in counts}
+                for r in flat:
+                    if (r["start"], r["cluster"]) in stat:
+                        stat[r["start"], r["cluster"]][r["i"]] = r["v"]
+                means = {k: Means(self.feature, {})._cast(additive[1](v / counts[k])) for k, v in stat.items()}
+            else:
+                pairs = F.explode(F.filter(F.transform("lab", lambda c, s: s * most + c), lambda k: F.floor(k / most).isin(sorted(going))))
+                found = self.feature.means(state.select("f", pairs.alias("k")), "k")
+                means = {divmod(k, most): v for k, v in found.items()}
+            for s in going:
+                new = [means.get((s, c), old) for c, old in enumerate(points[s])]
+                moved[s] = max(float(np.real(g.dist(a, b))) for a, b in zip(points[s], new, strict=True)) * (1 + 1e-9)
+                points[s] = new
+        return [
+            KMeansModel(self.feature, list(range(len(used[s]))), used[s], its[s], float(deltas[s]), [values[s]], computed) for s in range(n_starts)
+        ]
+
     def fit_predict(self, features: DataFrame) -> DataFrame:
         return self.fit(features).predict(features)
 
 
+def _part(points, at: np.ndarray):
+    return tuple(a[at] for a in points) if isinstance(points, tuple) else points[at]
+
+
 def kmeans_datacube(
     pixels: DataFrame,
     channels: Sequence,

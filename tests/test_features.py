@@ -291,3 +291,29 @@ def test_distributed_rounds_are_those_of_the_driver(spark, monkeypatch, make):
         a, b = ((v if isinstance(v, tuple) else (v,)) for v in (runs[0][0][k], runs[1][0][k]))
         for u, v in zip(a, b, strict=True):
             np.testing.assert_allclose(u, v, rtol=1e-5, atol=1e-7)
+
+
+@pytest.mark.parametrize("kind", ["additive", "logs"])
+def test_bounded_rounds_of_all_starts_are_those_of_lloyd(spark, monkeypatch, kind):
+    """The same criteria and labels as one start after the other, and fewer than half of the distances at ten clusters."""
+    rng = np.random.default_rng(8)
+    if kind == "additive":
+        feature, k = features.mean_vector_euclidean().bind(2, 1), 10
+        points = rng.normal(size=(400, 2)) + rng.integers(0, 5, size=(400, 2)) * 6
+    else:
+        feature, k = features.covariance().bind(2, 1), 3
+        a = rng.normal(size=(60, 2, 4)) * np.repeat([1, 4, 12], 20)[:, None, None]
+        points = a @ np.swapaxes(a, 1, 2)
+    f = spark.createDataFrame([(i, v) for i, v in enumerate(feature.encode(points).to_pylist())], f"id long, f {feature.type}").repartition(3).persist()
+    runs = []
+    for numbers in (2_000_000, 0):
+        monkeypatch.setattr(features, "LOCAL_NUMBERS", numbers)
+        model = learn.KMeans(feature, k, n_init=2, max_iter=6 if k > 3 else 3, tol=0, seed=4).fit(f)
+        runs.append((model.criteria, {r["id"]: r["prediction"] for r in model.predict(f).collect()}, model))
+    f.unpersist()
+    for a, b in zip(runs[0][0], runs[1][0], strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-7)
+    assert runs[0][1] == runs[1][1]
+    if kind == "additive":
+        rounds = sum(len(c) for c in runs[1][0])
+        assert runs[1][2].distances < 0.5 * rounds * k * len(points)
