@@ -651,18 +651,19 @@ def _farthest_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("k").agg(F.min("id").alias("id")).select("id", F.col("k").cast("long").alias("k"))
 
 
-_SEEDED = """WITH v AS (SELECT label AS id, avg(embedding[1]) AS x, avg(embedding[2]) AS y FROM embeddings GROUP BY 1),
-  a AS (SELECT * FROM v ORDER BY id LIMIT 1),
-  b AS (SELECT v.* FROM v, a ORDER BY pow(v.x - a.x, 2) + pow(v.y - a.y, 2) DESC, v.id LIMIT 1)
-SELECT v.id, CASE WHEN pow(v.x - a.x, 2) + pow(v.y - a.y, 2) <= pow(v.x - b.x, 2) + pow(v.y - b.y, 2) THEN 0 ELSE 1 END AS k,
-  round(sqrt(least(pow(v.x - a.x, 2) + pow(v.y - a.y, 2), pow(v.x - b.x, 2) + pow(v.y - b.y, 2))), 6) AS d FROM v, a, b"""
+_SEEDED = """WITH u AS (SELECT id, i, avg(x) AS m FROM (SELECT label AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
+  v AS (SELECT id, list(m ORDER BY i) AS f FROM u GROUP BY id), a AS (SELECT * FROM v ORDER BY id LIMIT 1),
+  b AS (SELECT v.* FROM v, a ORDER BY list_distance(v.f, a.f) DESC, v.id LIMIT 1)
+SELECT v.id, CASE WHEN list_distance(v.f, a.f) <= list_distance(v.f, b.f) THEN 0 ELSE 1 END AS k,
+  round(least(list_distance(v.f, a.f), list_distance(v.f, b.f)), 6) AS d FROM v, a, b"""
 
 
 @query("farthest_first_seeds", _SEEDED)
 def _farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farthest-first seeding from the row of the least id, and the assignment to both seeds, as expressions."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    v = e.groupBy(F.col("label").alias("id")).agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in (0, 1)]).alias("f"))
+    means = e.select(F.col("label").alias("id"), F.posexplode("embedding").alias("i", "x")).groupBy("id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    v = means.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("f"))
     a = v.orderBy("id").limit(1).select(F.lit(0).alias("k"), "f")
     far = v.join(F.broadcast(a.select(F.col("f").alias("g")))).select("id", "f", distance.squared_euclidean(F.col("g"), F.col("f")).alias("far"))
     b = far.orderBy(F.col("far").desc(), "id").limit(1).select(F.lit(1).alias("k"), "f")
