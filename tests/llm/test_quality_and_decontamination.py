@@ -88,7 +88,7 @@ def test_other_scripts(spark):
 VIETNAMESE = "Tôi đang ngồi ở nhà và đọc một cuốn sách rất hay về những người đã đi qua nhiều nước trên thế giới để tìm việc làm."
 
 
-@pytest.mark.parametrize("n, others", [(3, 10_000), (9, 200), (12, 200), (12, 13_000)])
+@pytest.mark.parametrize("n, others", [(3, 10_000), (9, 200), (12, 13_000)])
 def test_a_rare_language_is_never_judged_by_others(spark, n, others):
     rows = [(k, _written(VIETNAMESE, 300, k), "vi") for k in range(n)]
     english = spark.range(others).select(
