@@ -73,3 +73,25 @@ def test_divergences_and_nothing(spark):
     feature = features.covariance().bind(2, 1)
     empty = spark.createDataFrame([], f"id long, f {feature.type}")
     assert nearest.nearest(feature, empty, empty).rows.count() == 0 and nearest.within(feature, empty, empty, 1.0).pairs == 0
+
+
+@pytest.mark.parametrize("kind", ["euclid", "airm", "grassmann", "product"])
+def test_blocks_equal_all_pairs(kind):
+    """Blocks of queries against a task's blocks of points; far blocks don't meet."""
+    rng = np.random.default_rng(3)
+    x, feature = _points(kind, 300, rng)
+    g = feature.geometry
+    d = np.stack([nearest._distances(g, nearest._at(x, i), x) for i in range(300)])
+    own, names = d[:, :8], np.arange(300)
+    table, seen = nearest._Points(x, own, names, 20), 0
+    limit = np.sort(d, axis=1)[:, 4]
+    for at in nearest._cuts(own, 16):
+        low, high = (v[0] for v in nearest._boxes(own, [at]))
+        i, j, v, _ = table.within(g, nearest._at(x, at), low, high, limit[at])
+        assert set(zip(at[i], j, strict=True)) == {(a, b) for a in at for b in np.flatnonzero(d[a] <= limit[a])}
+        np.testing.assert_allclose(v, d[at[i], j], atol=1e-7)
+        i, j, v, n = table.nearest(g, nearest._at(x, at), names[at], low, high, np.full(len(at), np.inf), 3)
+        seen += n
+        for row, a in enumerate(at):
+            assert set(np.argsort(np.where(names == a, np.inf, d[a]), kind="stable")[:3]) == set(j[i == row])
+    assert seen < 300 * 300 or kind in ("grassmann", "product")
