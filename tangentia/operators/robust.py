@@ -176,15 +176,21 @@ def _stated(sums: DataFrame, keys: Sequence[str], columns: str, make: Callable[[
     return sums.mapInArrow(run, f"{own}, {columns.replace(';', ',')}")
 
 
-def _rounds(rows: DataFrame, keys: list[str], state: DataFrame, step: Callable[[DataFrame], DataFrame], max_iter: int, width: int) -> tuple[DataFrame, int]:
-    """States after rounds of ``step``, and how many numbers they are; a sample whose state is ``done`` takes no more part."""
+def _rounds(
+    rows: DataFrame, keys: list[str], state: DataFrame, sums: Callable[[DataFrame], DataFrame], step: Callable[[DataFrame], DataFrame], max_iter: int, width: int
+) -> tuple[DataFrame, int]:
+    """States after rounds of ``sums`` of the weighed rows and ``step`` of sums and states, and how many numbers they are; a sample whose state is ``done`` takes no more part.
+
+    The sums of a round are numbers only and meet their states once they are summed: a state among them would have Spark sort all rows.
+    """
     state = written(state, "state")
     numbers = state.count() * width
     for _ in range(max_iter):
         going = state.where("not done")
         if not going.limit(1).count():
             break
-        state = written(step(with_state(rows, going, keys, numbers)).unionByName(state.where("done")), "state")
+        found = sums(with_state(rows, going, keys, numbers))
+        state = written(step(with_state(found, going, keys, numbers, deal=1)).unionByName(state.where("done")), "state")
     return state, numbers
 
 
@@ -240,16 +246,18 @@ def tyler(
     def tau(c: Channels) -> Column:
         return F.greatest(c.quadratic(c.parts(), "_s.inv") / p, F.lit(LEAST_TEXTURE))
 
-    def step(joined: DataFrame) -> DataFrame:
+    def sums_of(joined: DataFrame) -> DataFrame:
         weighed = joined.withColumn("_tau", tau(ch))
-        agg = weighed.groupBy(*keys).agg(
+        return weighed.groupBy(*keys).agg(
             *[F.sum(v / F.col("_tau")).alias(k) for k, v in ch.products(x).items()],
-            F.count("*").alias("n"), F.first("_s").alias("_s"),
+            F.count("*").alias("n"),
         )
-        return _stated(agg, keys, fields, later)
+
+    def step(found: DataFrame) -> DataFrame:
+        return _stated(found, keys, fields, later)
 
     start = _stated(rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums), keys, fields, first)
-    states, numbers = _rounds(rows, keys, start, step, max_iter, 4 * p * p)
+    states, numbers = _rounds(rows, keys, start, sums_of, step, max_iter, 4 * p * p)
     return Fit(rows, keys, ch, states, numbers, lambda c: tau(c) * F.col("_s.scale"))
 
 
@@ -302,15 +310,17 @@ def location_scatter(
         cols = [F.sum(v * w).alias(f"_m{k}{i}") for i, x in enumerate(ch.parts()) for k, v in zip(re_im, x, strict=False)]
         return [*cols, F.sum(w).alias("_w")]
 
-    def step(joined: DataFrame) -> DataFrame:
+    def sums_of(joined: DataFrame) -> DataFrame:
         weighed = joined.withColumn("_tau", tau(ch, "_s.next"))
-        agg = weighed.groupBy(*keys).agg(
+        return weighed.groupBy(*keys).agg(
             *[F.sum(v / F.col("_tau")).alias(k) for k, v in ch.products(ch.parts("_s.next")).items()], *means(1 / F.sqrt("_tau")),
-            F.count("*").alias("n"), F.first("_s").alias("_s"),
+            F.count("*").alias("n"),
         )
-        return _stated(agg, keys, fields, later)
+
+    def step(found: DataFrame) -> DataFrame:
+        return _stated(found, keys, fields, later)
 
     moments = [F.sum(v).alias(k) for k, v in ch.products(ch.parts()).items()]
     begin = _stated(rows.groupBy(*keys).agg(F.count("*").alias("n"), *moments, *means(F.lit(1.0))), keys, fields, start)
-    states, numbers = _rounds(rows, keys, begin, step, max_iter + 1, 4 * p * p + 4 * p)
+    states, numbers = _rounds(rows, keys, begin, sums_of, step, max_iter + 1, 4 * p * p + 4 * p)
     return Fit(rows, keys, ch, states, numbers, lambda c: tau(c, "_s.mu") * F.col("_s.scale"))

@@ -36,11 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_state(rows: DataFrame, state: DataFrame, keys: Sequence[str], numbers: int) -> DataFrame:
+def with_state(rows: DataFrame, state: DataFrame, keys: Sequence[str], numbers: int, deal: int | None = None) -> DataFrame:
     """``rows`` whose key has a ``state``, with a struct ``_s`` of its other columns; null keys are equal.
 
     A state of up to ``BROADCAST_NUMBERS`` numbers (``numbers`` of them, as counted) is broadcast.  A larger one meets the
-    rows by a shuffle in which each key's rows are dealt to ``DEAL`` parts, so that those of a frequent key never meet in one task.
+    rows by a shuffle in which each key's rows are dealt to ``deal`` parts (``DEAL`` unless given), so that those of a frequent key never meet in one task.
     """
     names = {k: f"_state_{k}" for k in keys}
     rest = [f"`{c}`" for c in state.columns if c not in keys]
@@ -48,6 +48,7 @@ def with_state(rows: DataFrame, state: DataFrame, keys: Sequence[str], numbers:
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{s}`")) for k, s in names.items()]
     if numbers <= BROADCAST_NUMBERS:
         return rows.join(F.broadcast(side), same, "inner").drop(*names.values())
-    rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.lit(DEAL)).cast("int"))
-    side = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    deal = deal or DEAL
+    rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.lit(deal)).cast("int"))
+    side = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
     return rows.join(side, [*same, F.col("_deal") == F.col("_part")], "inner").drop("_deal", "_part", *names.values())

@@ -118,3 +118,21 @@ def test_no_sample_is_gathered(spark):
     plan = fit.textures()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "collect_list" not in plan
     assert fit.states.first()["n"] == 200_000
+
+
+def test_rounds_sort_no_rows(spark, monkeypatch):
+    """A state among the sums of a round would make Spark sort all observations, which spills."""
+    plans = []
+
+    def told(df, name, written=robust.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(robust, "written", told)
+    rows = [(k % 2, float(k % 5 + 1), float(k % 7) - 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    for limit in (1 << 20, 0):  # states broadcast, and states that meet the rows by a shuffle
+        monkeypatch.setattr(tables, "BROADCAST_NUMBERS", limit)
+        assert robust.tyler(df, ["id"], ["a", "b"], tol=-1, max_iter=2).states.count() == 2
+        assert robust.location_scatter(df, ["id"], ["a", "b"], tol=-1, max_iter=1).states.count() == 2
+    assert len(plans) >= 8 and not any("SortAggregate" in p for p in plans)
