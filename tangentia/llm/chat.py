@@ -46,19 +46,22 @@ def local(turns: int) -> Callable[[Template], Template]:
 
 def escape(text: str, chars: str = "#<") -> str:
     """Puts a backslash before every backslash and every character of ``chars``."""
-    return re.sub(rf"[\\{re.escape(chars)}]", lambda m: "\\" + m[0], text)
+    text = text.replace("\\", "\\\\")
+    for c in chars:
+        text = text.replace(c, "\\" + c)
+    return text
 
 
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-@local(0)
 def marked_turns(turns: list[dict]) -> str:
     """The library's template: ``### role: text</turn>``, one turn to a line.
 
     ``#`` and ``<`` are escaped in texts and roles (``:`` in roles too), so no
     text can spell a marker, and :func:`read_turns` gives back what was written.
+    To the renderer it is a black box as any other: nothing is stated of it, so every prefix is rendered.
     """
     return "".join(f"### {escape(t['role'], '#<:')}: {escape(t['text'])}</turn>\n" for t in turns)
 

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 
 import pytest
@@ -192,3 +193,19 @@ def test_refused_conversations_have_null_digests(spark):
     digests = {r["conv_id"]: r for r in chat.digests(own).collect()}
     assert all(digests[2][c] is None for c in digests[2].asDict() if c != "conv_id")
     assert digests[1]["n_turns"] == 2 and digests[1]["loss_sha256"] == hashlib.sha256(b"a").hexdigest()
+
+
+def test_the_own_template_is_rendered_prefix_by_prefix():
+    """Nothing is stated of the library's template, so that each turn's span comes from two successive prefixes."""
+    seen = []
+
+    @functools.wraps(chat.marked_turns)
+    def told(turns):
+        seen.append(len(turns))
+        return chat.marked_turns(turns)
+
+    turns = [{"role": "user", "text": f"{k}\\#<"} for k in range(6)]
+    got = chat.render(turns, told)
+    assert set(seen) == set(range(7))
+    assert [chat.unescape(got.output[a:z]) for a, z in got.texts] == [t["text"] for t in turns]
+    assert chat.escape("a\\#<:b", "#<:") == "a\\\\\\#\\<\\:b"
