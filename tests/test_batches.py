@@ -5,6 +5,7 @@ import pytest
 
 from tangentia.functions import estimators, solvers
 from tangentia.functions import geometry as geo
+from tangentia.operators import features, pairs
 
 
 def _samples(seed=0, lengths=(40, 25, 40, 40, 25, 60), cplx=False):
@@ -57,3 +58,27 @@ def test_descents_of_matrices(solver):
     s = np.stack([g.rand(rng) for _ in range(20)] + [np.eye(2)])
     got = solvers.descend_many(g, lambda y, at: g.dist(y, s[at]) ** 2 / 2, lambda y, at: -g.log(y, s[at]), np.tile(np.eye(2), (21, 1, 1)), solver, 500, 1e-9, 1e-14)
     np.testing.assert_allclose(got, s, atol=1e-6)
+
+
+def test_pairs_carry_no_blocks(spark):
+    """No row holds a block of points: one side is sent, the other streams."""
+    f = features.covariance().bind(2, 1)
+    df = spark.createDataFrame([(i, {"c0": [1.0 + i, 0.1, 0.1, 1.0]}) for i in range(40)], f"id long, f {f.type}")
+    found = pairs.distances(df, f)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan and found.count() == 1600
+
+
+def test_only_long_samples_make_rounds(spark, monkeypatch):
+    """The samples of more numbers than a task packs make rounds, the others don't, and all are as if packed; nulls take no part."""
+    rng = np.random.default_rng(4)
+    rows = [(s, i, *map(float, 5 * rng.normal(size=3))) for s, n in ((1, 12), (2, 60), (None, 60), (3, 20)) for i in range(n)]
+    rows += [(1, 99, None, 1.0, 1.0), (2, 99, 1.0, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id long, obs long, a double, b double, c double")
+    f, channels = features.subspace_tau_UUH(1, tol=-1, max_iter=4).bind(3, 1), ["a", "b", "c"]
+    want = {r["id"]: np.outer(*[r["f"]["c0"]] * 2) for r in f.estimate(df.dropna(subset=channels), ["id"], channels, ["obs"]).collect()}
+    monkeypatch.setattr(features, "PACKED_NUMBERS", 90)
+    got = f.estimate(df, ["id"], channels, ["obs"], rounds="long").collect()
+    assert sorted((str(r["id"]), r["n"]) for r in got) == [("1", 12), ("2", 60), ("3", 20), ("None", 60)]
+    for r in got:
+        np.testing.assert_allclose(np.outer(*[r["f"]["c0"]] * 2), want[r["id"]], atol=1e-6)
