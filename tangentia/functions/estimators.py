@@ -29,17 +29,24 @@ def _quadratics(x: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     return np.real((np.conj(x) * np.linalg.solve(sigma, x)).sum(axis=-2))
 
 
-def tyler(x: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-4, max_iter: int = 100, normalize: str | None = "det"):
+def _weighed(x: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """Observations over their textures; NaN for one at the centre that has none."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / tau
+
+
+def tyler(x: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-4, max_iter: int = 100, normalize: str | None = "det", least: float = LEAST_TEXTURE):
     """Tyler's M-estimator by fixed point: ``(sigma, tau)``, normalised to determinant 1 or trace p.
 
-    The textures belong to the scatter of the round before the last; they are at least ``LEAST_TEXTURE``.
+    The textures belong to the scatter of the round before the last; they are at least ``least``.  With 0 an observation at the centre
+    isn't passed over: its sample has no fixed point and is NaN.
     """
     p, n = x.shape
     sigma = scm(x) if start is None else start
     sigma = sigma * p / np.real(np.trace(sigma))
     for _ in range(max_iter):
-        tau = np.maximum(_quadratics(x, sigma) / p, LEAST_TEXTURE)
-        new = hermitian_part((x / tau) @ herm(x) / n)
+        tau = np.maximum(_quadratics(x, sigma) / p, least)
+        new = hermitian_part(_weighed(x, tau) @ herm(x) / n)
         change = np.linalg.norm(new - sigma) / np.linalg.norm(sigma)
         sigma = new
         if change <= tol:
@@ -102,7 +109,7 @@ def _norms(a: np.ndarray) -> np.ndarray:
     return np.sqrt((np.abs(a.reshape(len(a), -1)) ** 2).sum(axis=1))
 
 
-def tyler_many(x: np.ndarray, tol: float = 1e-4, max_iter: int = 100, normalize: str | None = "det"):
+def tyler_many(x: np.ndarray, tol: float = 1e-4, max_iter: int = 100, normalize: str | None = "det", least: float = LEAST_TEXTURE):
     """:func:`tyler` of every sample; one that has settled takes no more part."""
     p, n = x.shape[1:]
     sigma = scm(x)
@@ -110,8 +117,8 @@ def tyler_many(x: np.ndarray, tol: float = 1e-4, max_iter: int = 100, normalize:
     tau, going = np.ones((len(x), n)), np.arange(len(x))
     for _ in range(max_iter):
         own, old = x[going], sigma[going]
-        tau[going] = np.maximum(_quadratics(own, old) / p, LEAST_TEXTURE)
-        sigma[going] = hermitian_part((own / tau[going][:, None]) @ herm(own) / n)
+        tau[going] = np.maximum(_quadratics(own, old) / p, least)
+        sigma[going] = hermitian_part(_weighed(own, tau[going][:, None]) @ herm(own) / n)
         going = going[~(_norms(sigma[going] - old) / _norms(old) <= tol)]
         if not len(going):
             break

@@ -7,7 +7,7 @@ task.  However long a sample is, none of it is gathered, and samples that have s
 Weights (textures) are rows too: :meth:`Fit.textures`.
 
 Channels are columns, or pairs (re, im) of them.  Observations with a channel that is null or NaN take no part.  Textures are at least
-``LEAST_TEXTURE``, so an observation at the centre has no direction and weighs nothing.
+``LEAST_TEXTURE``, so an observation at the centre has no direction and weighs nothing, unless a caller of :func:`tyler` asks for less.
 """
 
 from __future__ import annotations
@@ -202,12 +202,14 @@ def tyler(
     max_iter: int = 100,
     normalize: str | None = "det",
     carry: Sequence[str] = (),
+    least: float = LEAST_TEXTURE,
 ) -> Fit:
     """Tyler's M-estimator of every sample: states ``(keys, n, rounds, sigma, inv, scale, change, done)``.
 
     The rounds are those of the estimator of one matrix, so both agree up to the order of sums: from the sample covariance, until the relative
     change is at most ``tol`` or after ``max_iter`` rounds; the textures belong to the scatter of the round before the last.
-    A sample whose scatter has no inverse (fewer directions than channels) ends with NaN.
+    A sample whose scatter has no inverse (fewer directions than channels) ends with NaN, and so does one with an observation
+    at the centre if textures may be 0 (``least``).
     """
     keys = list(keys)
     rows, ch = _prepared(samples, keys, channels, carry)
@@ -244,10 +246,10 @@ def tyler(
         return state(b, _array(b.column("_s").field("sigma"), p, p), _array(b.column("_s").field("inv"), p, p))
 
     def tau(c: Channels) -> Column:
-        return F.greatest(c.quadratic(c.parts(), "_s.inv") / p, F.lit(LEAST_TEXTURE))
+        return F.greatest(c.quadratic(c.parts(), "_s.inv") / p, F.lit(float(least)))
 
     def sums_of(joined: DataFrame) -> DataFrame:
-        weighed = joined.withColumn("_tau", tau(ch))
+        weighed = joined.withColumn("_tau", tau(ch)).withColumn("_tau", F.when(F.col("_tau") > 0, F.col("_tau")).otherwise(F.lit(float("nan"))))
         return weighed.groupBy(*keys).agg(
             *[F.sum(v / F.col("_tau")).alias(k) for k, v in ch.products(x).items()],
             F.count("*").alias("n"),

@@ -136,3 +136,21 @@ def test_rounds_sort_no_rows(spark, monkeypatch):
         assert robust.tyler(df, ["id"], ["a", "b"], tol=-1, max_iter=2).states.count() == 2
         assert robust.location_scatter(df, ["id"], ["a", "b"], tol=-1, max_iter=1).states.count() == 2
     assert len(plans) >= 8 and not any("SortAggregate" in p for p in plans)
+
+
+def test_textures_of_zero(spark, real):
+    """With no least texture a sample with an observation at the centre is NaN, packed and by rounds; the others are as ever."""
+    samples = {k: x[:, :41].copy() for k, x in real.items()}
+    samples["a"][:, 7] = 0
+    df = _frame(spark, samples)
+    for rounds in (False, True):
+        bound = features.covariance_texture(tol=-1, max_iter=4, least=0).bind(3, 41)
+        got = {r["key"]: r["f"] for r in bound.estimate(df, ["key"], ["x0", "x1", "x2"], ["i"], rounds=rounds).collect()}
+        assert np.isnan(got["a"]["c0"]).all() and np.isnan(got["a"]["c1"]).all() and len(got["a"]["c1"]) == 41
+        for k in ("b", None):
+            sigma, tau = estimators.tyler(samples[k], tol=-1, max_iter=4)
+            np.testing.assert_allclose(np.reshape(got[k]["c0"], (3, 3)), sigma, rtol=1e-8)
+            np.testing.assert_allclose(got[k]["c1"], tau, rtol=1e-8)
+    sigma, tau = estimators.tyler(samples["a"], tol=-1, max_iter=4, least=0)
+    assert np.isnan(sigma).all() and np.isnan(tau).all()
+    assert np.isfinite(estimators.tyler(samples["a"], tol=-1, max_iter=4)[0]).all()
