@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tangentia.functions import estimators, solvers
 from tangentia.functions import geometry as geo
@@ -69,6 +70,22 @@ def test_pairs_carry_no_blocks(spark):
     assert "Join" not in plan and "collect_list" not in plan and found.count() == 1600
 
 
+def test_distances_of_like_points_take_little_room(spark, tmp_path):
+    """Points that are alike are neighbours in the pairs, whatever their ids, so Parquet keeps the distances in runs."""
+    f, rng = features.covariance().bind(2, 1), np.random.default_rng(5)
+    distinct = [a @ a.T + np.eye(2) for a in rng.normal(size=(50, 2, 2))]
+    ids = [int(i) for i in rng.permutation(1000)]
+    df = spark.createDataFrame([(i, {"c0": [float(v) for v in distinct[i % 50].ravel()]}) for i in ids], f"id long, f {f.type}")
+    pairs.distances(df, f).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.select("a", "b").distinct().count() == found.count() == 1000**2
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 1000**2
+    want = [[f.distances(x, y)[0] for y in distinct] for x in distinct]
+    got = found.groupBy((F.col("a") % 50).alias("a"), (F.col("b") % 50).alias("b")).agg(F.min("d").alias("low"), F.max("d").alias("high")).collect()
+    for r in got:
+        np.testing.assert_allclose([r["low"], r["high"]], want[r["a"]][r["b"]], atol=1e-6)
+
+
 def test_only_long_samples_make_rounds(spark, monkeypatch):
     """The samples of more numbers than a task packs make rounds, the others don't, and all are as if packed; nulls take no part."""
     rng = np.random.default_rng(4)
